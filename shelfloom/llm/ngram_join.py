@@ -7,7 +7,9 @@
    ranges of hash values at least m + 1 hold the same shingles in both; a
    signature is the sum of the shingles in one range. A set with more than m
    empty ranges also gives the prefix of its sorted hashes, of which two linked
-   sets share one. Nothing is missed, however frequent a shingle may be.
+   sets share one. Nothing is missed, however frequent a shingle may be. A set that
+   shares fewer than m + 1 ranges with all others together has no link: that takes
+   out the documents that only share a passage.
 2. Documents with equal sets are one entry. Entries that share a signature form
    ``families`` (connected components); all others have no link.
 3. ``t_occurrence`` (Python, one task for each block pair of a family): inverted
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfloom.llm import scratch
@@ -70,28 +72,34 @@ class Links:
         """Least overlap of a set of ``n`` with anything it is linked to."""
         return -(-self.percent * n // 100)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """By which a set meets every different set that it is linked with."""
-        n, found = len(s), []
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+        """(signatures, bands, how many of a band's signatures a linked set must share).
+
+        A signature's low bits are its band: the sizes that the larger set of a pair has.
+        """
+        n, found, bands, needs = len(s), [], [], []
         largest = n * 100 // self.percent
         if largest < 7 or largest == n:
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), bands, needs
         first, last = np.searchsorted(_BANDS, [max(n, 7), largest], side="right") - 1
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
-        for band in range(first, last + 1):
+        for band in range(int(first), int(last) + 1):
             high = int(_BANDS[band + 1]) - 1
             d = max(self.differ(x) for x in (2 * high, 2 * high - 1))
-            more = 1 + d // 12
+            more = 1 + d // 8
             k = d + 1 + more
             step = np.uint64((1 << 64) // k)
             cuts = np.searchsorted(s, np.arange(1, k, dtype=np.uint64) * step)
             cuts = np.concatenate([[0], cuts, [n]])
             sums, full = total[cuts[1:]] - total[cuts[:-1]], cuts[1:] > cuts[:-1]
-            salt = mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40))
-            found.append(mix(sums ^ salt)[full])
-            if k - int(full.sum()) > more:
-                found.append(mix(s[: n - self.least(n) + 1] ^ np.uint64((band << 40) + (1 << 39))))
-        return np.concatenate(found)
+            own = mix(sums ^ mix(np.arange(k, dtype=np.uint64) + np.uint64(band << 40)))[full]
+            need = more + 1 - (k - len(own))
+            if need < 1:
+                own = np.concatenate([own, mix(s[: n - self.least(n) + 1] ^ np.uint64((band << 40) + (1 << 39)))])
+            found.append((own & ~np.uint64(63)) | np.uint64(band))
+            bands.append(band)
+            needs.append(max(need, 1))
+        return np.concatenate(found), bands, needs
 
 
 def _set_ids(s: np.ndarray) -> tuple[int, int]:
@@ -99,27 +107,24 @@ def _set_ids(s: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw) - (1 << 63)
 
 
-def _documents(rule: Links, with_signatures: bool):
+def _documents(rule: Links):
+    columns = ["doc_id", "n_shingles", "set_a", "set_b", "signatures", "bands", "needs"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
             for lo in range(0, len(batch), 500):
-                ids, sizes, a, b, signs = [], [], [], [], []
-                part = batch.iloc[lo : lo + 500]
+                rows, part = [], batch.iloc[lo : lo + 500]
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
                     s = rule.shingles(text, hashes)
-                    x, y = _set_ids(s)
-                    ids.append(doc)
-                    sizes.append(len(s))
-                    a.append(x)
-                    b.append(y)
-                    if with_signatures:
-                        if len(seen) >= _SEEN:
-                            seen.clear()
-                        # copies met in this task need not say it again
-                        signs.append([] if x in seen else rule.signatures(s).view(np.int64))
-                        seen.add(x)
-                yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "set_a": a, "set_b": b} | ({"signatures": signs} if with_signatures else {}))
+                    a, b = _set_ids(s)
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    # copies met in this task need not say it again
+                    signs, bands, needs = ([], [], []) if a in seen else rule.signatures(s)
+                    seen.add(a)
+                    rows.append((doc, len(s), a, b, np.asarray(signs, np.uint64).view(np.int64), bands, needs))
+                yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -222,6 +227,19 @@ def _tokens(rule: Links):
     return run
 
 
+def _stars(signed: DataFrame) -> DataFrame:
+    """Edges (u, v) from each set that shares enough signatures to the least set of each signature."""
+    same = Window.partitionBy("signature")
+    rows = signed.select("set_a", F.explode("signatures").alias("signature"))
+    shared = rows.select("set_a", "signature", F.min("set_a").over(same).alias("low"), F.max("set_a").over(same).alias("high")).filter("low < high")
+    shared = scratch.table(shared.select("set_a", "signature").distinct(), "shared")
+    band = F.col("signature").bitwiseAND(63).cast("int").alias("band")
+    needs = signed.select("set_a", F.explode(F.arrays_zip("bands", "needs")).alias("x")).select("set_a", F.col("x.bands").alias("band"), F.col("x.needs").alias("need")).distinct()
+    enough = shared.groupBy("set_a", band).count().join(needs, ["set_a", "band"]).filter("count >= need").select("set_a", "band")
+    left = shared.select("set_a", "signature", band).join(enough, ["set_a", "band"], "left_semi")
+    return left.select(F.col("set_a").alias("u"), F.min("set_a").over(same).alias("v")).filter("u <> v").distinct()
+
+
 def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, block_tokens: int = 2_000_000) -> DataFrame:
     """``docs`` (doc_id, text) to (doc_id, n_shingles, component_id, n_links): one row per document.
 
@@ -234,22 +252,12 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, block_tokens
     rule = Links(size, percent)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
 
-    signed = texts.mapInPandas(_documents(rule, True), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signatures array<bigint>")
+    signed = texts.mapInPandas(_documents(rule), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signatures array<bigint>, bands array<int>, needs array<int>")
     signed = scratch.table(signed, "signed")
-    sets = signed.drop("signatures")
+    sets = signed.select("doc_id", "n_shingles", "set_a", "set_b")
     entries = sets.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("entry"), F.countDistinct("doc_id").alias("copies"))
     entries = scratch.table(entries, "entries")
-
-    # entries that share a signature: a star around the least of them
-    shared = signed.select("set_a", F.explode("signatures").alias("signature")).groupBy("signature", "set_a").agg(F.lit(1).alias("one"))
-    return _linked(rule, texts, sets, entries, shared, block_tokens)
-
-
-def _linked(rule, texts, sets, entries, shared, block_tokens):
-    from pyspark.sql import Window
-
-    star = F.min("set_a").over(Window.partitionBy("signature"))
-    family = components(shared.select(F.col("set_a").alias("u"), star.alias("v")))
+    family = components(_stars(signed))
     active = entries.join(family.withColumnRenamed("node", "set_a").withColumnRenamed("component", "family"), "set_a")
     active = scratch.table(active, "active")
 
