@@ -1,6 +1,95 @@
-"""placeholder"""
-from shelfloom.llm import queries
-STAGES = []
+"""From raw documents to token ids, in five stages.
+
+Quality rules, line dedup, n-gram Jaccard join, benchmark decontamination and
+byte-level BPE, each over all that the stage before has kept. ``run`` writes what
+each stage returns as Parquet in the shared folder and rereads it. A stage deletes
+the intermediate tables of the one before, unless its input still reads them.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from shelfloom.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules, scratch
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+_left: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left and not any(name.rpartition("/tables/")[2].startswith(path.rpartition("/")[2]) for name in docs.inputFiles() for path in _left):
+            scratch.drop(spark, _left)
+            _left.clear()
+        before = set(scratch.written())
+        out = f(spark, docs, sf_dir)
+        _left.extend(x for x in scratch.written() if x not in before)
+        return out
+
+    return run
+
+
+@_stage
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fences of their language and source."""
+    rules, prefix = quality_rules.Rules(), "__quality_"
+    judged = quality_rules.judge(quality_rules.features(docs, prefix=prefix), rules, prefix)
+    return judged.filter(F.col(prefix + "kept")).select(*docs.columns)
+
+
+@_stage
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that are on ten or more sources; n_chars is that of the new text."""
+    out = line_dedup.remove_boilerplate(docs, site="source", min_sites=10)
+    new = {"n_chars": F.when(F.col("n_lines_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+@_stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each class linked by 4-word shingles at 0.85; one row of each doc_id. Rows without a doc_id stay."""
+    classes = ngram_join.jaccard_join(docs, size=4, percent=85).select(F.col("doc_id").alias("__id"), "component_id")
+    stays = classes.filter(F.col("__id") == F.col("component_id")).select("__id")
+    own = docs.filter("doc_id is not null").join(stays, F.col("doc_id") == F.col("__id"), "left_semi")
+    first = own.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("__row = 1")
+    return first.select(*docs.columns).union(docs.filter("doc_id is null"))
+
+
+@_stage
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item (80 % of its 5-word shingles)."""
+    return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=5, percent=80)
+
+
+@_stage
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, ids, n_tokens): the token ids of every whole text."""
+    out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+    return out.withColumn("n_tokens", F.size("ids").cast("bigint"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", tokens),
+]
+
+#: Quantile sketches and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents`` of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), "stage")
+    return docs

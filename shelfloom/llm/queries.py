@@ -2,28 +2,113 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfloom.llm import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts
 
-from shelfloom.llm import ngram_join
+PIECES = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _chat_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for conv, out, spans in zip(batch["conv_id"], batch["formatted"], batch["spans"], strict=True):
+            turns = chat_format.read_turns(out)
+            loss = "".join(chat_format.unescape(out[s["text_start"] : s["text_end"]]) for s in spans if s["loss"])
+            said = "".join(f"{role}\n{text}\n" for role, text in turns)
+            rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(out)))
+        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the output."""
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id bigint, turn bigint, role string, text string")
+    out = chat_format.format_conversations(rows.unionByName(more))
+    digests = out.select("conv_id", "formatted", "spans").mapInPandas(_chat_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return digests
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by 4-word shingles at a Jaccard similarity of 0.85."""
     return ngram_join.jaccard_join(_read(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, the base rules and the verdict of the fences of its language and source."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    counted = quality_rules.features(docs).drop("text")
+    out = quality_rules.judge(counted)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which at least 80 % of the 5-word shingles are in a document."""
+    return decontaminate.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), size=5, percent=80)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the lines that are on ten or more sites."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = line_dedup.remove_boilerplate(docs, site="source", min_sites=10)
+    return out.select("doc_id", "n_lines_removed", F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text, and of the bytes that they decode to."""
+    return byte_bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every whole text."""
+    return token_counts.count_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in every whole text, with coverage and span."""
+    out = license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+    return out.withColumn("coverage", F.round("coverage", 6))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every text that repeat an earlier document, and what is left."""
+    out = substring_dedup.drop_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), spans.alias("removed"), F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, scanned against an empty ledger."""
+    docs = _read(spark, sf_dir, "documents")
+    found, _ = secret_scan.scan_versions(docs, secret_scan.empty_ledger(spark))
+    spans = F.col("findings")
+    base = F.filter(spans, lambda x: x["kind"].isin([r.kind for r in secret_scan.BASE]))
+    joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    kinds = F.transform(spans, lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, r.kind))).cast("bigint").alias(f"n_{r.kind}") for r in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+
+
 _SQL: dict[str, str] = {}
 
 _SQL["op2_ngram_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' '))) END AS shingles FROM w
+    ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS shingles FROM w
 ), x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
 ), p AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
@@ -36,6 +121,53 @@ SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, c.component_id, coalesce
 FROM s JOIN c ON c.node = s.doc_id LEFT JOIN l ON l.u = s.doc_id
 """
 
+_SQL["op1_chat_formatting"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
+), f AS (
+  SELECT *, length('### ') + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(': ')
+    + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + length(' </turn>') + 1 AS chars FROM t
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars)::BIGINT AS formatted_chars,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM f GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+_SQL["op4_benchmark_decontamination"] = r"""
+WITH x AS (SELECT doc_id AS id, 0 AS kind, lower(text) AS text FROM documents UNION ALL SELECT item_id, 1, lower(text) FROM benchmark
+), w AS (SELECT id, kind, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+') AS words FROM x WHERE text IS NOT NULL
+), n AS (SELECT id, least(5, len(words)) AS size, words FROM w WHERE kind = 1 AND len(words) > 0
+), i AS (SELECT id AS item_id, size, list_distinct([array_to_string(words[k:k + size - 1], ' ') FOR k IN range(1, len(words) - size + 2)]) AS shingles FROM n
+), e AS (SELECT item_id, len(shingles) AS n_shingles, unnest(shingles) AS shingle FROM i
+), d AS (
+  SELECT DISTINCT id AS doc_id, unnest([array_to_string(words[k:k + size - 1], ' ') FOR k IN range(1, len(words) - size + 2)]) AS shingle
+  FROM w, (SELECT DISTINCT size FROM i) WHERE kind = 0 AND len(words) >= size
+)
+SELECT doc_id, item_id, n_shingles::BIGINT AS n_shingles, count(*) AS n_shared
+FROM d JOIN e USING (shingle) GROUP BY doc_id, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
+"""
+
+_SQL["op5_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents
+), h AS (
+  SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS visible FROM l
+), b AS (
+  SELECT normal FROM h WHERE len(string_split(normal, ' ')) >= 3 GROUP BY normal HAVING count(DISTINCT source) >= 10
+), f AS (SELECT h.*, b.normal IS NOT NULL AS bad FROM h LEFT JOIN b ON h.normal = b.normal
+), g AS (
+  SELECT doc_id, any_value(text) AS text, count(*) FILTER (bad) AS n, coalesce(sum(visible) FILTER (NOT bad), 0) >= 0.5 * sum(visible) AND count(*) FILTER (bad) > 0 AS cut,
+    string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad) AS kept
+  FROM f GROUP BY doc_id
+), r AS (SELECT doc_id, CASE WHEN cut THEN n ELSE 0 END AS n_lines_removed, CASE WHEN cut THEN coalesce(kept, '') ELSE text END AS text FROM g)
+SELECT doc_id, n_lines_removed, length(text)::BIGINT AS n_chars_left, sha256(text) AS text_sha256 FROM r
+"""
+
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

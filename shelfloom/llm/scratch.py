@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
@@ -29,18 +29,18 @@ def table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables written so far, but for the first ``keep``."""
-    while len(_written) > keep:
-        _, path = _written.pop()
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def written() -> list[str]:
+    """The tables that there are, in the order in which they were written."""
+    return list(_written)
 
 
-def mark() -> int:
-    """How many tables there are now; for ``drop``."""
-    return len(_written)
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of which nothing is read any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
