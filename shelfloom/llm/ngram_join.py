@@ -261,10 +261,11 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, block_tokens
     active = entries.join(family.withColumnRenamed("node", "set_a").withColumnRenamed("component", "family"), "set_a")
     active = scratch.table(active, "active")
 
-    # a text is read again where its entry is active, once for each entry
+    # A text is read again where its entry is active, once for each entry. What is
+    # active grows with the documents, so this join is never a broadcast.
     many = active.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_tokens).cast("int").alias("blocks"))
     active = active.join(many, "family")
-    own = texts.join(active.select(F.col("entry").alias("doc_id"), "family", "copies", "blocks", "n_shingles", "set_a"), "doc_id")
+    own = texts.join(active.select(F.col("entry").alias("doc_id"), "family", "copies", "blocks", "n_shingles", "set_a").hint("merge"), "doc_id")
     tokens = own.mapInPandas(_tokens(rule), "doc_id bigint, family bigint, copies bigint, blocks int, n_shingles bigint, set_a bigint, tokens binary")
     tokens = (
         tokens.filter(F.length("tokens") == 8 * F.col("n_shingles"))
