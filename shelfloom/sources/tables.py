@@ -58,7 +58,7 @@ def sheet(df: DataFrame, order: Column) -> DataFrame:
 
 def brand_mappings(df: DataFrame, brand: str, synonyms: str, excluded: str) -> DataFrame:
     """(key, brand, synonyms, excluded): comma lists to arrays; the brand itself is the first synonym."""
-    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), F.trim), lambda x: x != "")
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     name = F.trim(F.col(brand))
     return df.filter(name != "").select(F.lower(name).alias("key"), name.alias("brand"), F.array_distinct(F.concat(F.array(name), listed(synonyms))).alias("synonyms"), listed(excluded).alias("excluded"))
 
