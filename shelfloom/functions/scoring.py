@@ -118,41 +118,55 @@ def back_projection(u: Column, v: Column, depth: Column, focal: float = 525.0) -
     return F.struct(F.round((u - 320) * depth / focal, 2).alias("x"), F.round((v - 240) * depth / focal, 2).alias("y"), F.round(depth, 2).alias("z"))
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lab(r: Column, g: Column, b: Column) -> Column:
     """struct(l, a, b) of an sRGB colour (0-255) under D65, three digits."""
     linear = lambda c: F.when(c / 255 <= 0.04045, c / 255 / 12.92).otherwise(F.pow((c / 255 + 0.055) / 1.055, F.lit(2.4)))
-    lr, lg, lb = linear(r), linear(g), linear(b)
-    root = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
-    x = root((lr * 0.4124564 + lg * 0.3575761 + lb * 0.1804375) / 0.95047)
-    y = root(lr * 0.2126729 + lg * 0.7151522 + lb * 0.0721750)
-    z = root((lr * 0.0193339 + lg * 0.1191920 + lb * 0.9503041) / 1.08883)
-    return F.struct(F.round(F.greatest(F.lit(0.0), 116 * y - 16), 3).alias("l"), F.round(500 * (x - y), 3).alias("a"), F.round(200 * (y - z), 3).alias("b"))
+    root = lambda t: let(t, lambda v: F.when(v > 0.008856, F.pow(v, F.lit(1 / 3))).otherwise(7.787 * v + 16 / 116))
+
+    def axes(c: Column) -> Column:
+        mixed = lambda x, y, z, white: root((c["r"] * x + c["g"] * y + c["b"] * z) / white)
+        return F.struct(mixed(0.4124564, 0.3575761, 0.1804375, 0.95047).alias("x"), mixed(0.2126729, 0.7151522, 0.0721750, 1.0).alias("y"), mixed(0.0193339, 0.1191920, 0.9503041, 1.08883).alias("z"))
+
+    opponent = lambda c: F.struct(F.round(F.greatest(F.lit(0.0), 116 * c["y"] - 16), 3).alias("l"), F.round(500 * (c["x"] - c["y"]), 3).alias("a"), F.round(200 * (c["y"] - c["z"]), 3).alias("b"))
+    return let(let(F.struct(linear(r).alias("r"), linear(g).alias("g"), linear(b).alias("b")), axes), opponent)
 
 
 def ciede2000(p: Column, q: Column) -> Column:
     """Colour difference of two struct(l, a, b), four digits."""
     sq = lambda c: c * c
-    mean = (F.hypot(p["a"], p["b"]) + F.hypot(q["a"], q["b"])) / 2
     seventh = lambda c: F.sqrt(F.pow(c, F.lit(7.0)) / (F.pow(c, F.lit(7.0)) + 25.0**7))
-    g = 1.5 - 0.5 * seventh(mean)
-    ap, aq = g * p["a"], g * q["a"]
-    cp, cq = F.hypot(ap, p["b"]), F.hypot(aq, q["b"])
     hue = lambda a, b: F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0))
-    hp, hq = hue(ap, p["b"]), hue(aq, q["b"])
-    grey, far = cp * cq == 0, F.abs(hp - hq) > 180
-    turn = hq - hp
-    dh = F.when(grey, 0.0).when(~far, turn).when(turn > 180, turn - 360).otherwise(turn + 360)
-    d_l, d_c, d_h = q["l"] - p["l"], cq - cp, 2 * F.sqrt(cp * cq) * F.sin(F.radians(dh / 2))
-    m_l, m_c = (p["l"] + q["l"]) / 2, (cp + cq) / 2
-    both = hp + hq
-    m_h = F.when(grey, both).when(~far, both / 2).when(both < 360, (both + 360) / 2).otherwise((both - 360) / 2)
     cosine = lambda c: F.cos(F.radians(c))
-    t = 1 - 0.17 * cosine(m_h - 30) + 0.24 * cosine(2 * m_h) + 0.32 * cosine(3 * m_h + 6) - 0.20 * cosine(4 * m_h - 63)
-    turn_by = F.radians(60 * F.exp(-sq((m_h - 275) / 25)))
-    w_l = d_l / (1 + 0.015 * sq(m_l - 50) / F.sqrt(20 + sq(m_l - 50)))
-    w_c = d_c / (1 + 0.045 * m_c)
-    w_h = d_h / (1 + 0.015 * m_c * t)
-    return F.round(F.sqrt(F.greatest(F.lit(0.0), sq(w_l) + sq(w_c) + sq(w_h) - F.sin(turn_by) * 2 * seventh(m_c) * w_c * w_h)), 4)
+
+    def stretched(x: Column) -> Column:
+        g = 1.5 - 0.5 * seventh((F.hypot(x["p"]["a"], x["p"]["b"]) + F.hypot(x["q"]["a"], x["q"]["b"])) / 2)
+        return F.struct(x["p"].alias("p"), x["q"].alias("q"), (g * x["p"]["a"]).alias("ap"), (g * x["q"]["a"]).alias("aq"))
+
+    def polar(x: Column) -> Column:
+        chroma = lambda side: F.hypot(x[f"a{side}"], x[side]["b"]).alias(f"c{side}")
+        angle = lambda side: hue(x[f"a{side}"], x[side]["b"]).alias(f"h{side}")
+        return F.struct((x["q"]["l"] - x["p"]["l"]).alias("dl"), ((x["p"]["l"] + x["q"]["l"]) / 2).alias("ml"), chroma("p"), chroma("q"), angle("p"), angle("q"))
+
+    def differences(x: Column) -> Column:
+        grey, far, turn, both = x["cp"] * x["cq"] == 0, F.abs(x["hp"] - x["hq"]) > 180, x["hq"] - x["hp"], x["hp"] + x["hq"]
+        dh = F.when(grey, 0.0).when(~far, turn).when(turn > 180, turn - 360).otherwise(turn + 360)
+        mh = F.when(grey, both).when(~far, both / 2).when(both < 360, (both + 360) / 2).otherwise((both - 360) / 2)
+        return F.struct(x["dl"].alias("dl"), x["ml"].alias("ml"), (x["cq"] - x["cp"]).alias("dc"), ((x["cp"] + x["cq"]) / 2).alias("mc"), (2 * F.sqrt(x["cp"] * x["cq"]) * F.sin(F.radians(dh / 2))).alias("dh"), mh.alias("mh"))
+
+    def weighted(x: Column) -> Column:
+        t = 1 - 0.17 * cosine(x["mh"] - 30) + 0.24 * cosine(2 * x["mh"]) + 0.32 * cosine(3 * x["mh"] + 6) - 0.20 * cosine(4 * x["mh"] - 63)
+        off = sq(x["ml"] - 50)
+        turn = F.sin(F.radians(60 * F.exp(-sq((x["mh"] - 275) / 25)))) * 2 * seventh(x["mc"])
+        return F.struct((x["dl"] / (1 + 0.015 * off / F.sqrt(20 + off))).alias("l"), (x["dc"] / (1 + 0.045 * x["mc"])).alias("c"), (x["dh"] / (1 + 0.015 * x["mc"] * t)).alias("h"), turn.alias("turn"))
+
+    total = lambda x: F.round(F.sqrt(F.greatest(F.lit(0.0), sq(x["l"]) + sq(x["c"]) + sq(x["h"]) - x["turn"] * x["c"] * x["h"])), 4)
+    steps = lambda x: let(let(let(let(stretched(x), polar), differences), weighted), total)
+    return let(F.struct(p.alias("p"), q.alias("q")), steps)
 
 
 def purity(loss: Column) -> Column:
