@@ -36,10 +36,15 @@ def _visible(line: Column) -> Column:
     return F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
-    """``docs`` to (line_hash): lines on at least ``min_sites`` distinct sites. A null site is no site."""
+def line_hashes(docs: DataFrame, key: str, site: str, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, site, line_hash) for each distinct line of each row that counts; written once, as it is needed more than once."""
     lines = F.array_distinct(F.filter(F.transform(F.split(F.col(text).cast("string"), "\n", -1), lambda x: _hash(x, min_words)), lambda h: h.isNotNull()))
-    seen = docs.select(F.col(site).cast("string").alias("site"), F.explode(lines).alias("line_hash")).filter("site is not null")
+    return scratch.table(docs.select(F.col(key).alias("key"), F.col(site).cast("string").alias("site"), F.explode(lines).alias("line_hash")), "lines")
+
+
+def boilerplate(hashes: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """``line_hashes`` to (line_hash): lines on at least ``min_sites`` distinct sites. A null site is no site."""
+    seen = hashes.select("site", "line_hash").filter("site is not null")
     spread = seen.groupBy("line_hash").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
     error = 3 * 1.04 / math.sqrt(2**lg_k)
     low, high = min(min_sites * (1 - error), min_sites - 1), max(min_sites * (1 + error), min_sites + 1)
@@ -61,11 +66,12 @@ def remove_boilerplate(
     lines are removed like others. Repeated rows are treated alike. An empty table
     gives no rows. Other columns are kept; n_lines_removed must not be among them.
     """
-    found = scratch.table(boilerplate(docs, site, text, min_sites, min_words, lg_k), "boilerplate")
-    lines = F.array_distinct(F.transform(F.split(F.col(text).cast("string"), "\n", -1), lambda x: _hash(x, min_words)))
-    has = docs.select(F.col(key).alias("__key"), F.explode(lines).alias("line_hash")).join(found, "line_hash").groupBy("__key").agg(F.collect_set("line_hash").alias("__bad"))
+    hashes = line_hashes(docs, key, site, text, min_words)
+    found = scratch.table(boilerplate(hashes, min_sites, lg_k), "boilerplate")
+    has = hashes.select(F.col("key").alias("__key"), "line_hash").join(found, "line_hash").groupBy("__key").agg(F.collect_set("line_hash").alias("__bad"))
     both = docs.join(has, docs[key].eqNullSafe(has["__key"]), "left").withColumn("__lines", F.split(F.col(text).cast("string"), "\n", -1))
-    both = both.withColumn("__stay", F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__bad", _hash(x, min_words)), F.lit(False))))
+    clean = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__bad", _hash(x, min_words)), F.lit(False)))
+    both = both.withColumn("__stay", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(clean))
     both = both.withColumn("__kept", F.array_join("__stay", "\n"))
     cut = F.col("__bad").isNotNull() & (F.size("__stay") < F.size("__lines")) & (_visible(F.col("__kept")) >= (1 - most_share) * _visible(F.col(text)))
     cut = F.coalesce(cut, F.lit(False))
