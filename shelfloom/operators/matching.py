@@ -110,7 +110,8 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64
     """(a, b, distance): pairs of bigints that differ in at most ``most`` bits. Of ``most + 1`` bands one is equal in such a pair; a hash of 0 is no hash."""
     n = most + 1
     edges = [round(i * width / n) for i in range(n + 1)]
-    band = lambda i: F.shiftrightunsigned(bits, edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
+    mask = lambda i: (1 << (edges[i + 1] - edges[i])) - 1
+    band = lambda i: F.shiftrightunsigned(bits, edges[i]).bitwiseAND(mask(i)) if mask(i) < 1 << 63 else F.col(bits)
     keyed = df.filter(F.col(bits) != 0).select(F.col(key).alias("k"), F.col(bits).alias("h"), F.posexplode(F.array(*[band(i) for i in range(n)])).alias("i", "v"))
     x, y = keyed.alias("x"), keyed.alias("y")
     distance = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
