@@ -5,10 +5,11 @@ blanks as one, no end mark), and hashes are grouped over all documents; of each,
 occurrence in the document with the least rank stays, at its first place. Units
 that repeat one after another make a passage, and a passage of at least
 ``min_words`` words is removed. What stays keeps its offsets in the original text.
-Short units repeat by chance: those under ``unit_words`` words are not hashed; they
-go with a passage that they are inside of, and a lone unit never makes a passage
-unless it is that long. Sentences are the default unit, as passages are pasted into
-the middle of lines.
+
+Sentences of a line are the default unit, as passages are pasted into the middle of
+lines. A sentence of fewer than ``unit_words`` words repeats by chance and makes one
+unit with the next; after any longer one, two texts are in step again. What is left
+at the end of a line isn't hashed, and goes with a passage that it is inside of.
 
 Only hashes, ranks and numbers of units are grouped, with a minimum and a count
 taken before the shuffle; a unit on a third of all documents is joined back with
@@ -28,19 +29,25 @@ from pyspark.sql import functions as F
 
 from shelfloom.llm import scratch
 
-MIN_WORDS, UNIT_WORDS = 30, 4
-#: What a unit is, without and with its end mark.
-UNITS = {"sentence": re.compile(r"([^\n.!?]+)[.!?]*"), "line": re.compile(r"([^\n]+)"), "paragraph": re.compile(r"((?:[^\n]|\n(?!\s*\n))+)")}
+MIN_WORDS, UNIT_WORDS = 25, 4
+#: Blocks in which units are joined, and the pieces of a block, without and with an end mark.
+UNITS = {"sentence": (r"[^\n]+", r"([^.!?]+)[.!?]*"), "line": (r"[^\n]+", r"(.+)"), "paragraph": (r"(?:[^\n]|\n(?!\s*\n))+", r"(?s)(.+)")}
+_COMPILED = {name: tuple(map(re.compile, pair)) for name, pair in UNITS.items()}
 
 _SPANS = "array<struct<`start`:int,`end`:int>>"
 
 
 def units(text: str, unit: str = "sentence", unit_words: int = UNIT_WORDS) -> Iterator[tuple[int, int, int, int]]:
     """(start, end, words, hash) of the units that count, by place."""
-    for m in UNITS[unit].finditer(text):
-        words = m[1].lower().split()
-        if len(words) >= unit_words:
-            yield m.start(), m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
+    blocks, pieces = _COMPILED[unit]
+    for block in blocks.finditer(text):
+        start, words = -1, []
+        for m in pieces.finditer(text, block.start(), block.end()):
+            start = m.start() if start < 0 else start
+            words += m[1].lower().split()
+            if len(words) >= unit_words:
+                yield start, m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
+                start, words = -1, []
 
 
 def passages(found: list[tuple[int, int, int, int]], repeated: list[int], min_words: int) -> list[tuple[int, int]]:

@@ -12,15 +12,24 @@ def sentences(seed, n, size=9):
     return [" ".join(words(seed * 1000 + i, size)).capitalize() + "." for i in range(n)]
 
 
-def brute(rows, min_words=30, unit_words=4):
+def brute(rows, min_words=25, unit_words=4):
     """Removed spans by document, from a table of all units."""
     units, first = {}, {}
     for d, text in sorted({r for r in rows if r[1] is not None and r[0] is not None}):
-        found = []
-        for m in re.finditer(r"([^\n.!?]+)[.!?]*", text):
-            ws = m[1].lower().split()
-            if len(ws) >= unit_words:
-                found.append((m.start(), m.end(), len(ws), " ".join(ws)))
+        found, at = [], 0
+        for line in text.split("\n"):
+            start, end, said = None, at, ""
+            for sentence in re.findall(r"[^.!?]+[.!?]*|^[.!?]+", line):
+                place = at + line.index(sentence, end - at)
+                end = place + len(sentence)
+                if re.match(r"[.!?]", sentence):
+                    continue
+                start = place if start is None else start
+                said += " " + sentence.rstrip(".!?")
+                if len(said.split()) >= unit_words:
+                    found.append((start, end, len(said.split()), " ".join(said.lower().split())))
+                    start, said = None, ""
+            at += len(line) + 1
         units[d, text] = found
         for *_, u in found:
             first.setdefault(u, d)
