@@ -118,6 +118,87 @@ def hull_ratio(mask: np.ndarray) -> float:
     return round(float(area / box), 4) if box else 0.0
 
 
+def frequency_ratio(image: np.ndarray) -> float:
+    """Share of the spectrum's magnitude outside the low quarter."""
+    f = np.abs(np.fft.fftshift(np.fft.fft2(grey(image))))
+    h, w = f.shape
+    low = f[h // 2 - h // 8 : h // 2 + h // 8 + 1, w // 2 - w // 8 : w // 2 + w // 8 + 1].sum()
+    return float(1 - low / f.sum()) if f.sum() else 0.0
+
+
+def exposure(image: np.ndarray) -> float:
+    """Median level."""
+    return float(np.percentile(grey(image), 50))
+
+
+def contrast(image: np.ndarray) -> float:
+    """Distance of the 99th from the first percentile."""
+    g = grey(image)
+    return float(np.percentile(g, 99) - np.percentile(g, 1))
+
+
+def blockiness(image: np.ndarray) -> float:
+    """Steps at the borders of 8 x 8 blocks against steps elsewhere; 1 for none."""
+    g = grey(image)
+    d = np.abs(np.diff(g, axis=1))
+    at = np.arange(d.shape[1]) % 8 == 7
+    inside = d[:, ~at].mean() if (~at).any() else 0.0
+    return float(d[:, at].mean() / inside) if at.any() and inside else 1.0
+
+
+def centring(image: np.ndarray) -> float:
+    """1 less the distance of the dark mass's centre from the middle, as a share of half the diagonal."""
+    dark = 255 - grey(image)
+    total = dark.sum()
+    if not total:
+        return 0.0
+    h, w = dark.shape
+    y, x = (dark.sum(axis=1) @ np.arange(h)) / total, (dark.sum(axis=0) @ np.arange(w)) / total
+    return float(1 - np.hypot(y - (h - 1) / 2, x - (w - 1) / 2) / (np.hypot(h, w) / 2))
+
+
+def has_content(image: np.ndarray) -> float:
+    """0 for a nearly flat image: mean deviation of the channels under 12 and at most two hue peaks."""
+    flat = image[..., :3].std(axis=(0, 1)).mean() < 12
+    r, g, b = (image[..., i].ravel() for i in range(3))
+    hue = np.degrees(np.arctan2(math.sqrt(3) * (g - b), 2 * r - g - b)) % 360
+    n = np.bincount((hue // 30).astype(int), minlength=12)
+    peaks = int((n > 0.05 * n.sum()).sum())
+    return 0.0 if flat and peaks <= 2 else 1.0
+
+
+def naturalness(image: np.ndarray) -> float:
+    """100 less the deviation of the levels, in 0..100."""
+    return float(np.clip(100 - grey(image).std(), 0, 100))
+
+
+def aesthetic(image: np.ndarray) -> float:
+    """A heuristic grade in 1..10 of saturation and deviation, lower at extreme brightness."""
+    top, low = image[..., :3].max(axis=2), image[..., :3].min(axis=2)
+    saturation = np.where(top > 0, (top - low) / np.maximum(top, 1) * 255, 0).mean()
+    extreme = not 40 <= top.mean() <= 220
+    return float(np.clip(5 + saturation / 50 + top.std() / 30 - 2 * extreme, 1, 10))
+
+
+def projection_variance(image: np.ndarray) -> float:
+    """Mean variance of the row and column sums, scaled by the size."""
+    g = grey(image) / 255
+    return float((g.mean(axis=0).var() + g.mean(axis=1).var()) / 2)
+
+
+#: Gate measures by column name.
+GATES = {
+    "frequency_ratio": frequency_ratio,
+    "exposure": exposure,
+    "contrast": contrast,
+    "blockiness": blockiness,
+    "centring": centring,
+    "content": has_content,
+    "naturalness": naturalness,
+    "aesthetic": aesthetic,
+    "projection": projection_variance,
+}
+
 #: Measures by column name.
 MEASURES = {
     "sharpness": laplacian_variance,
@@ -131,9 +212,9 @@ MEASURES = {
 }
 
 
-def measure(df: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:
+def measure(df: DataFrame, key: str, names: list[str] | None = None, measures: dict = MEASURES) -> DataFrame:
     """(key, height, width, channels, pixels) to (key, *measures, phash); an image that can't be read has nulls."""
-    chosen = names or list(MEASURES)
+    chosen = names or list(measures)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -141,7 +222,7 @@ def measure(df: DataFrame, key: str, names: list[str] | None = None) -> DataFram
             for k, h, w, c, raw in batch.itertuples(index=False, name=None):
                 try:
                     image = pixels(int(h), int(w), int(c), raw)
-                    rows.append((k, *[float(MEASURES[n](image)) for n in chosen], perceptual_hash(image)))
+                    rows.append((k, *[float(measures[n](image)) for n in chosen], perceptual_hash(image)))
                 except (ValueError, TypeError):
                     rows.append((k, *[None] * len(chosen), None))
             out = pd.DataFrame(rows, columns=[key, *chosen, "phash"])

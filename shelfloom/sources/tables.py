@@ -92,3 +92,36 @@ def log_tail(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
     """The last lines of a log: (line_number, line), by number."""
     text = spark.read.text(path).withColumn("line_number", F.monotonically_increasing_id())
     return text.orderBy(F.desc("line_number")).limit(lines).select("line_number", F.col("value").alias("line")).orderBy("line_number")
+
+
+def rdbms_table(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A table of a relational database by its driver, read in ``parts`` ranges of an integer key."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
+    if key:
+        reader = reader.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return reader.load()
+
+
+def key_values(lines: list[str]) -> dict[str, str]:
+    """``KEY=value`` lines of an environment file; comments and blanks are skipped, quotes around a value go."""
+    out = {}
+    for line in lines:
+        key, sign, value = line.strip().partition("=")
+        if sign and not key.startswith("#"):
+            out[key.strip()] = value.strip().strip("'\"")
+    return out
+
+
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON array of records under a given schema; nothing is inferred."""
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+def candidates(df: DataFrame, key: str, value, order: list[Column]) -> DataFrame:
+    """The rows of one key in an order; the key reaches the scan."""
+    return df.filter(F.col(key) == value).orderBy(*order)
+
+
+def fresh(df: DataFrame, at: str, now: Column, seconds: int) -> DataFrame:
+    """Rows written less than ``seconds`` before ``now``."""
+    return df.filter(F.col(at) > now - F.make_dt_interval(secs=F.lit(seconds)))

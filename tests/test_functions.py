@@ -265,3 +265,41 @@ def test_log_tail_and_settings(spark, tmp_path):
     assert [r.line for r in got] == [f"line {i}" for i in range(200, 300)]
     assert tables.settings(spark.createDataFrame([("a", "1")], "key string, value string")) == {"a": "1"}
     assert math.isclose(one(spark, scoring.sigmoid_probability([F.lit(2.0)], [1.0], [1.0], [0.0], 0.0)), 0.5)
+
+
+def test_ports(spark):
+    from shelfloom.functions import ports
+
+    assert one(spark, ports.call("visual_similarity", F.lit("a"), F.lit("b"))) == 0.85
+    ports.register("visual_similarity", lambda a, b: (a == b).astype(float))
+    try:
+        df = spark.createDataFrame([("a", "a"), ("a", "b")], "a string, b string")
+        assert [r[0] for r in df.select(ports.call("visual_similarity", F.col("a"), F.col("b"))).collect()] == [1.0, 0.0]
+    finally:
+        ports.register("visual_similarity", None)
+    with pytest.raises(KeyError):
+        ports.register("nothing", None)
+
+
+def test_image_gates():
+    flat = np.full((24, 24, 3), 200.0)
+    noisy = np.random.default_rng(0).integers(0, 255, (24, 24, 3)).astype(float)
+    spot = np.full((24, 24, 3), 255.0)
+    spot[10:14, 10:14] = 0
+    assert images.has_content(flat) == 0 and images.has_content(noisy) == 1
+    assert images.exposure(flat) == pytest.approx(200) and images.contrast(flat) == 0 and images.blockiness(flat) == 1.0
+    assert images.centring(spot) == pytest.approx(1.0) and images.centring(np.roll(spot, 9, axis=0)) < 0.8
+    assert images.naturalness(flat) == 100 and 1 <= images.aesthetic(noisy) <= 10 and images.projection_variance(spot) > images.projection_variance(flat)
+    assert images.frequency_ratio(noisy) > images.frequency_ratio(spot)
+    blocks = np.kron(np.random.default_rng(1).integers(0, 255, (3, 3)), np.ones((8, 8)))[..., None].repeat(3, axis=2) + np.random.default_rng(2).random((24, 24, 3))
+    assert images.blockiness(blocks) > 10
+
+
+def test_readers(spark, tmp_path):
+    assert tables.key_values(["# c", "A=1", "B = 'x y'", "", "broken"]) == {"A": "1", "B": "x y"}
+    (tmp_path / "f.json").write_text('[{"a": 1, "b": "x"}, {"a": null, "b": "y"}]')
+    assert [tuple(r) for r in tables.json_records(spark, str(tmp_path / "f.json"), "a int, b string").collect()] == [(1, "x"), (None, "y")]
+    e = spark.createDataFrame([(1, 5), (1, 9), (2, 7)], "k int, v int")
+    assert [r.v for r in tables.candidates(e, "k", 1, [F.desc("v")]).collect()] == [9, 5]
+    t = spark.sql("select timestamp '2024-01-01 00:00:00' as at union all select timestamp '2024-01-01 02:00:00'")
+    assert tables.fresh(t, "at", F.expr("timestamp '2024-01-01 02:30:00'"), 3600).count() == 1
