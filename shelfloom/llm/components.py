@@ -16,7 +16,8 @@ from shelfloom.llm import scratch
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # a table of its own, so that the join shuffles both sides alone and can split a hot vertex
+    least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
@@ -32,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     Vertices without an edge are absent; loops and nulls are ignored; repeated
     edges count once; no edges give no rows.
     """
+    spark = edges.sparkSession
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = scratch.table(now, "edges")
     seen = None
@@ -40,6 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or tuple(state) == seen:
             break
         seen = tuple(state)
+        before = scratch.written()
         now = scratch.table(_small(_large(now)), "edges")
+        scratch.drop(spark, [x for x in scratch.written()[len(before) - 1 : -1]])
     least = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(least)
