@@ -138,6 +138,36 @@ WITH c AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
+# The quantiles are exact while a sketch holds all its values, as it does over tables of up to a thousand rows.
+_SQL["op3_quality_rules"] = r"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM t
+), win AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS i, unnest([array_to_string(words[k:k + 7], ' ') FOR k IN range(1, len(words) - 6)]) AS run FROM w WHERE len(words) >= 8
+), again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1
+), covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 8) r(k) GROUP BY doc_id
+), f AS (
+  SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id
+), m AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
+    CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length FROM f
+), g AS (SELECT lang, source, count(*) AS n FROM m WHERE NOT base_failed GROUP BY ALL
+), l AS (SELECT lang, count(*) AS n_lang FROM m WHERE NOT base_failed GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, list_sort(list(m.symbol_share)) AS a, list_sort(list(m.dup_line_share)) AS b, list_sort(list(m.repeat_share)) AS c, list_sort(list(m.word_length)) AS d, count(*) AS k
+  FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang JOIN m ON NOT m.base_failed AND (g.n < 200 OR m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source) AND (g.n >= 200 OR n_lang < 200 OR m.lang IS NOT DISTINCT FROM g.lang)
+  GROUP BY g.lang, g.source
+), i AS (SELECT *, greatest(1, ceil(0.25 * k))::INT AS x, greatest(1, ceil(0.5 * k))::INT AS y, greatest(1, ceil(0.75 * k))::INT AS z FROM p
+), e AS (
+  SELECT lang, source, a[y] + greatest(8 * (a[z] - a[y]), 0.15::DOUBLE) AS a_top, b[y] + greatest(8 * (b[z] - b[y]), 0.5::DOUBLE) AS b_top, c[y] + greatest(8 * (c[z] - c[y]), 0.3::DOUBLE) AS c_top,
+    d[y] + greatest(8 * (d[z] - d[y]), 3::DOUBLE) AS d_top, d[y] - greatest(8 * (d[y] - d[x]), 2::DOUBLE) AS d_low FROM i
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(symbol_share <= a_top AND dup_line_share <= b_top AND repeat_share <= c_top AND word_length <= d_top AND word_length >= d_low, true) AS kept
+FROM m LEFT JOIN e ON m.lang IS NOT DISTINCT FROM e.lang AND m.source IS NOT DISTINCT FROM e.source
+"""
+
 _SQL["op4_benchmark_decontamination"] = r"""
 WITH x AS (SELECT doc_id AS id, 0 AS kind, lower(text) AS text FROM documents UNION ALL SELECT item_id, 1, lower(text) FROM benchmark
 ), w AS (SELECT id, kind, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+') AS words FROM x WHERE text IS NOT NULL
