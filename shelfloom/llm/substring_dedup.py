@@ -116,7 +116,8 @@ def drop_repeats(docs: DataFrame, rank: str = "doc_id", text: str = "text", unit
     own_key = F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(1 << 16)).cast("int")
     rows = docs.select(F.col(rank).cast("bigint").alias("rank"), own_key.alias("row_key"), F.col(text).cast("string").alias("text")).filter("text is not null and rank is not null")
     found = scratch.table(rows.mapInPandas(_units(unit, unit_words), "rank bigint, row_key int, number int, again boolean, hash bigint"), "units")
-    first = found.groupBy("hash").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # a table of its own, so that the join shuffles both sides alone and can split a hot unit
+    first = scratch.table(found.groupBy("hash").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     gone = found.join(first, "hash").filter("again or rank <> first").groupBy(F.col("rank").alias("__rank"), F.col("row_key").alias("__row")).agg(F.collect_set("number").alias("__numbers"))
     both = docs.join(gone, (F.col(rank).cast("bigint") == F.col("__rank")) & (own_key == F.col("__row")), "left").select(*docs.columns, "__numbers")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
