@@ -55,17 +55,18 @@ def boilerplate(hashes: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 
 def remove_boilerplate(
-    docs: DataFrame, site: str = "source", text: str = "text", key: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE, lg_k: int = LG_K
+    docs: DataFrame, site: str = "source", text: str = "text", key: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE, lg_k: int = LG_K, count_as: str = "n_lines_removed"
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and n_lines_removed: one row for each row.
+    """``docs`` with boilerplate lines taken out of ``text``, and their number as ``count_as``: one row for each row.
 
     Lines of fewer than ``min_words`` words stay. A text of which more than
     ``most_share`` of the visible characters would go is a copy of a page and not a
     page with boilerplate: it stays whole, for near-duplicate removal to judge. Null
     and empty texts stay as they are; a null site counts for no spread, but its
     lines are removed like others. Repeated rows are treated alike. An empty table
-    gives no rows. Other columns are kept; n_lines_removed must not be among them.
+    gives no rows. Other columns are kept; one that is named as the count is replaced.
     """
+    docs = docs.drop(count_as)
     hashes = line_hashes(docs, key, site, text, min_words)
     found = scratch.table(boilerplate(hashes, min_sites, lg_k), "boilerplate")
     has = hashes.select(F.col("key").alias("__key"), "line_hash").join(found, "line_hash").groupBy("__key").agg(F.collect_set("line_hash").alias("__bad"))
@@ -76,4 +77,4 @@ def remove_boilerplate(
     cut = F.col("__bad").isNotNull() & (F.size("__stay") < F.size("__lines")) & (_visible(F.col("__kept")) >= (1 - most_share) * _visible(F.col(text)))
     cut = F.coalesce(cut, F.lit(False))
     new = {text: F.when(cut, F.col("__kept")).otherwise(F.col(text))}
-    return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns], F.when(cut, F.size("__lines") - F.size("__stay")).otherwise(0).cast("bigint").alias("n_lines_removed"))
+    return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns], F.when(cut, F.size("__lines") - F.size("__stay")).otherwise(0).cast("bigint").alias(count_as))

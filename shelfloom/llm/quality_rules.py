@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from shelfloom.llm import scratch
 
 WINDOW = 8
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,9 @@ MEASURES = (
 def features(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines, all bigint; null text has none.
 
-    ``prefix`` goes before the new names, where ``docs`` has columns of these names.
+    ``prefix`` goes before the new names; columns of ``docs`` that have such a name are replaced.
     """
+    docs = docs.drop(*[prefix + name for name in FEATURES])
     tmp = lambda name: f"__{name}"
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blank = F.translate(t, "\t\n\x0b\x0c\r", "     ")
@@ -122,9 +124,10 @@ def judge(counted: DataFrame, rules: Rules = Rules(), prefix: str = "") -> DataF
     language and source (nulls are a group like any other). The rows are written
     once in the shared folder, as they are needed twice: select the columns you
     want first. Null and empty texts fail the base rules. Repeated rows are judged
-    alike; an empty table gives no rows.
+    alike; an empty table gives no rows. Columns that have a name of the verdict's
+    are replaced.
     """
-    measured = scratch.table(counted, "features")
+    measured = scratch.table(counted.drop(prefix + "base_failed", prefix + "kept"), "features")
     kept = scratch.table(sketches(measured, rules, prefix), "sketches")
     fences = scratch.table(thresholds(kept, rules), "fences")
     if fences.count() <= rules.broadcast_groups:

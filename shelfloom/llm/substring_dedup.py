@@ -110,9 +110,10 @@ def drop_repeats(docs: DataFrame, rank: str = "doc_id", text: str = "text", unit
 
     One row for each row. Null or empty text, and rows without a rank, stay as they
     are. Rows of one rank are one document: a unit that two of them share stays in
-    both. An empty table gives no rows. Other columns are kept; removed and kept must
-    not be among them.
+    both. An empty table gives no rows. Other columns are kept; ones that are named
+    removed or kept are replaced.
     """
+    docs = docs.drop("removed", "kept")
     own_key = F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(1 << 16)).cast("int")
     rows = docs.select(F.col(rank).cast("bigint").alias("rank"), own_key.alias("row_key"), F.col(text).cast("string").alias("text")).filter("text is not null and rank is not null")
     found = scratch.table(rows.mapInPandas(_units(unit, unit_words), "rank bigint, row_key int, number int, again boolean, hash bigint"), "units")

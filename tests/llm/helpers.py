@@ -10,7 +10,8 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 def documents(spark, rows):
     """Rows (doc_id, text[, source]) as a documents table with a column of a clashing name."""
     full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s0", None if r[1] is None else len(r[1])) for r in rows]
-    return spark.createDataFrame(full, SCHEMA).withColumn("hash", F.lit(1)).withColumn("family", F.lit("x")).withColumn("ids", F.lit(2))
+    clashing = ("hash", "family", "ids", "n_words", "kept", "removed", "base_failed", "n_lines_removed", "line_hash", "site", "blob", "findings", "entry", "component_id", "rank", "start", "item_id", "formatted")
+    return spark.createDataFrame(full, SCHEMA).withColumns({c: F.lit(1) for c in clashing})
 
 
 def words(seed, n, vocabulary=5000):

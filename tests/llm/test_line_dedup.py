@@ -52,7 +52,7 @@ def test_against_brute_force(spark, lg_k):
     rows = rows_for(30)
     df = documents(spark, rows)
     out = L.remove_boilerplate(df, min_sites=10, lg_k=lg_k)
-    assert out.columns == [*df.columns, "n_lines_removed"]
+    assert set(out.columns) == set(df.columns)
     got = sorted(((r.doc_id, r.text, r.n_lines_removed) for r in out.collect()), key=str)
     assert got == brute(rows, 10)
 

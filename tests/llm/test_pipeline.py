@@ -37,7 +37,7 @@ def test_odd_rows(spark, tmp_path):
     good = " ".join(words(1, 60))
     rows = [(1, good), (1, good), (2, " ".join(edited(words(1, 60), 1, 1))), (None, " ".join(words(2, 60))), (3, None), (4, ""), (5, " ".join(words(3, 60)), None)]
     spark.createDataFrame([(1, "none of it")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = documents(spark, rows).withColumnRenamed("hash", "n_words").withColumnRenamed("family", "kept")
+    docs = documents(spark, rows)
     empty = docs.filter("false")
     for _, stage in P.STAGES:
         docs, empty = scratch.table(stage(spark, docs, str(tmp_path)), "odd"), scratch.table(stage(spark, empty, str(tmp_path)), "odd")

@@ -22,7 +22,7 @@ def brute(text):
 def test_features_against_brute_force(spark):
     p = " ".join(words(1, 12))
     texts = [None, "", "\n\n \t", "a", p, f"{p} {p}", f"{p}\n{p}\n{p}", "a " * 40, "é#ü\u00a0* $%|<>&\n\x0b\x0cx", " ".join(words(2, 9)) + " " + " ".join(words(2, 9)[:8]), "x\r\nx\r\nx", " ".join(words(5, 30_000, 300)), p[: len(p) // 2] + " " + p]
-    df = Q.features(documents(spark, list(enumerate(texts))).withColumnRenamed("n_chars", "n_words_"))
+    df = Q.features(documents(spark, list(enumerate(texts))))
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in df.collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
