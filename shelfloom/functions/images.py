@@ -235,3 +235,52 @@ def measure(df: DataFrame, key: str, names: list[str] | None = None, measures: d
 def verdict(colourful: Column, sharp: Column, white: Column) -> Column:
     """Approved by colour, sharpness and background."""
     return F.when(~colourful.between(15, 95), "COLOUR").when(sharp < 50, "BLURRED").when(white < 0.9, "BACKGROUND").otherwise("APPROVED")
+
+
+def _orientation(segment: bytes) -> int:
+    """The orientation tag of an EXIF segment, 1 without one."""
+    if segment[:6] != b"Exif\0\0":
+        return 1
+    tiff = segment[6:]
+    order = "little" if tiff[:2] == b"II" else "big"
+    number = lambda at, size: int.from_bytes(tiff[at : at + size], order)
+    first = number(4, 4)
+    for i in range(min(number(first, 2), 200)):
+        at = first + 2 + 12 * i
+        if number(at, 2) == 0x0112:
+            return number(at + 8, 2)
+    return 1
+
+
+def jpeg_size(head: bytes) -> tuple[int, int] | None:
+    """(width, height) of a JPEG from the markers at its head, turned as its orientation says; None for others."""
+    if head[:2] != b"\xff\xd8":
+        return None
+    at, turned = 2, False
+    while at + 9 <= len(head):
+        if head[at] != 0xFF:
+            return None
+        marker = head[at + 1]
+        if marker == 0xFF or 0xD0 <= marker <= 0xD9 or marker == 0x01:
+            at += 1 if marker == 0xFF else 2
+            continue
+        length = int.from_bytes(head[at + 2 : at + 4], "big")
+        if marker == 0xE1:
+            turned = _orientation(head[at + 4 : at + 2 + length]) >= 5
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = int.from_bytes(head[at + 5 : at + 7], "big"), int.from_bytes(head[at + 7 : at + 9], "big")
+            return (height, width) if turned else (width, height)
+        at += 2 + length
+    return None
+
+
+def jpeg_dimensions(c: Column) -> Column:
+    """struct(width, height) of JPEG heads; null for others."""
+
+    @F.pandas_udf("width int, height int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            sizes = [jpeg_size(bytes(b)) if b is not None else None for b in x]
+            yield pd.DataFrame([s or (None, None) for s in sizes], columns=["width", "height"]).astype("Int32")
+
+    return run(c)

@@ -66,3 +66,15 @@ def logistic_fit(df: DataFrame, features: list[str], label: str, least_rows: int
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(ready)
     model = LogisticRegression(weightCol="weight", regParam=1.0 / total, elasticNetParam=0.0, standardization=False).fit(scaler.transform(ready))
     return [float(x) for x in model.coefficients], float(model.intercept), [float(x) for x in scaler.mean], [float(x) or 1.0 for x in scaler.std]
+
+
+def contrastive_loss(x: np.ndarray, y: np.ndarray, temperature: float = 0.07) -> float:
+    """Symmetric InfoNCE of a batch of aligned pairs, four digits."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    s = unit(x) @ unit(y).T / temperature
+
+    def one(m: np.ndarray) -> float:
+        top = m.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(m - top).sum(axis=1)) + top[:, 0] - np.diag(m)).mean())
+
+    return round((one(s) + one(s.T)) / 2, 4)

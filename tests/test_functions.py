@@ -303,3 +303,20 @@ def test_readers(spark, tmp_path):
     assert [r.v for r in tables.candidates(e, "k", 1, [F.desc("v")]).collect()] == [9, 5]
     t = spark.sql("select timestamp '2024-01-01 00:00:00' as at union all select timestamp '2024-01-01 02:00:00'")
     assert tables.fresh(t, "at", F.expr("timestamp '2024-01-01 02:30:00'"), 3600).count() == 1
+
+
+def test_jpeg_heads(spark):
+    sof = b"\xff\xc0\x00\x11\x08" + (400).to_bytes(2, "big") + (600).to_bytes(2, "big") + b"\x03" + b"\0" * 9
+    app = b"\xff\xe0\x00\x10JFIF\0" + b"\0" * 9
+    exif = b"Exif\0\0II*\0\x08\0\0\0\x01\0\x12\x01\x03\0\x01\0\0\0\x06\0\0\0"
+    turned = b"\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif
+    assert images.jpeg_size(b"\xff\xd8" + app + sof) == (600, 400) and images.jpeg_size(b"\xff\xd8" + turned + sof) == (400, 600)
+    assert images.jpeg_size(b"GIF89a") is None and images.jpeg_size(b"\xff\xd8" + app) is None
+    df = spark.createDataFrame([(b"\xff\xd8" + app + sof,), (b"x",), (None,)], "b binary")
+    assert [r[0] and tuple(r[0]) for r in df.select(images.jpeg_dimensions(F.col("b"))).collect()] in ([(600, 400), (None, None), (None, None)], [(600, 400), None, None])
+
+
+def test_contrastive_loss():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(30, 16))
+    assert vector_models.contrastive_loss(x, x) < 0.1 < vector_models.contrastive_loss(x, r.normal(size=(30, 16)))
