@@ -198,6 +198,57 @@ WITH l AS (
 SELECT doc_id, n_lines_removed, length(text)::BIGINT AS n_chars_left, sha256(text) AS text_sha256 FROM r
 """
 
+_SQL["op9_substring_dedup"] = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents WHERE text IS NOT NULL
+), o AS (
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(regexp_extract(line, '^[.!?]*')) AS off FROM l
+), c AS (
+  SELECT doc_id, ln, off, unnest(regexp_extract_all(line, '[^.!?]+[.!?]*')) AS t, generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*'), 1) AS k FROM o
+), p AS (
+  SELECT doc_id, ln, k, length(t) AS n, off + coalesce(sum(length(t)) OVER (PARTITION BY doc_id, ln ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+    [x FOR x IN string_split(lower(rtrim(t, '.!?')), ' ') IF x <> ''] AS words FROM c
+), r AS (
+  SELECT doc_id, ln, k, a AS start, a + n AS stop, words AS said FROM p WHERE k = 1
+  UNION ALL
+  SELECT p.doc_id, p.ln, p.k, CASE WHEN len(r.said) >= 4 THEN p.a ELSE r.start END, p.a + p.n, CASE WHEN len(r.said) >= 4 THEN p.words ELSE r.said || p.words END
+  FROM r JOIN p ON p.doc_id = r.doc_id AND p.ln = r.ln AND p.k = r.k + 1
+), u AS (
+  SELECT doc_id, start, stop, len(said) AS n, array_to_string(said, ' ') AS unit, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM r WHERE len(said) >= 4
+), f AS (SELECT unit, min(doc_id) AS first FROM u GROUP BY unit
+), g AS (SELECT u.*, first <> doc_id OR row_number() OVER (PARTITION BY doc_id, u.unit ORDER BY i) > 1 AS again FROM u JOIN f ON u.unit = f.unit
+), h AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g WHERE again
+), x AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM h GROUP BY doc_id, run HAVING sum(n) >= 25
+), y AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM x
+  UNION ALL SELECT d.doc_id, length(text), NULL, coalesce(max(b), 0) FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id WHERE text IS NOT NULL GROUP BY d.doc_id, text
+), z AS (
+  SELECT y.doc_id, count(b) AS n_removed, coalesce(string_agg((a::BIGINT) || ':' || (b::BIGINT), ',' ORDER BY a) FILTER (b IS NOT NULL), '') AS removed,
+    coalesce(string_agg(substr(text, since::BIGINT + 1, (a - since)::BIGINT), '' ORDER BY since), '') AS left_over FROM y JOIN documents d ON d.doc_id = y.doc_id GROUP BY y.doc_id
+)
+SELECT doc_id, n_removed, removed, length(left_over)::BIGINT AS n_chars_left, sha256(left_over) AS text_sha256 FROM z
+"""
+
+# A match is found again as the first place of its text: an earlier place of the same text would have matched.
+_SQL["op10_secret_scans"] = r"""
+WITH RECURSIVE k(ord, kind, pat, least) AS (VALUES
+  (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6), (1, 'access', 'AKIA[A-Z0-9]+()', 20), (2, 'hex', '[0-9a-f]{24,}()', 24),
+  (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----()', 0), (4, 'github', '\bgh[pousr]_[A-Za-z0-9]{36,}()', 0), (5, 'slack', '\bxox[abprs]-[A-Za-z0-9-]{10,}()', 0)
+), s AS (
+  SELECT doc_id, ord, kind, pat, least, coalesce(text, '') AS rest, 0::BIGINT AS base, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS counted FROM documents, k
+  UNION ALL
+  SELECT doc_id, ord, kind, pat, least, substr(rest, strpos(rest, m) + length(m)), base + strpos(rest, m) - 1 + length(m), base + strpos(rest, m) - 1, base + strpos(rest, m) - 1 + length(m),
+    CASE WHEN ord = 0 THEN length(regexp_extract(m, pat, 2)) ELSE length(m) END
+  FROM (SELECT *, regexp_extract(rest, pat) AS m FROM s) WHERE m <> ''
+), f AS (SELECT doc_id, ord, kind, kind || ':' || a || ':' || b AS span, a FROM s WHERE b > 0 AND counted >= least
+), g AS (
+  SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(span, ',' ORDER BY a, ord) AS spans FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
