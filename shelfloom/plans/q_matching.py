@@ -43,15 +43,15 @@ def entity_resolution(spark, d):
 
 @query(
     "fellegi_sunter_linkage",
-    """WITH p AS (SELECT * FROM part WHERE p_partkey < 400), m AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_partkey % 500 = b.p_partkey % 500 AS gtin, a.p_brand = b.p_brand AS brand, a.p_name = b.p_name AS name, a.p_size = b.p_size AS wv, a.p_type = b.p_type AS cat FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey),
+    """WITH m AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_partkey % 500 = b.p_partkey % 500 AS gtin, a.p_brand = b.p_brand AS brand, a.p_name = b.p_name AS name, a.p_size = b.p_size AS wv, a.p_type = b.p_type AS cat FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
     w AS (SELECT a, b, round(CASE WHEN gtin THEN round(log2(0.99::DOUBLE / 0.0001::DOUBLE), 4) ELSE round(log2((1 - 0.99::DOUBLE) / (1 - 0.0001::DOUBLE)), 4) END + CASE WHEN brand THEN round(log2(0.95::DOUBLE / 0.02::DOUBLE), 4) ELSE round(log2((1 - 0.95::DOUBLE) / (1 - 0.02::DOUBLE)), 4) END + CASE WHEN name THEN round(log2(0.9::DOUBLE / 0.01::DOUBLE), 4) ELSE round(log2((1 - 0.9::DOUBLE) / (1 - 0.01::DOUBLE)), 4) END + CASE WHEN wv THEN round(log2(0.92::DOUBLE / 0.05::DOUBLE), 4) ELSE round(log2((1 - 0.92::DOUBLE) / (1 - 0.05::DOUBLE)), 4) END + CASE WHEN cat THEN round(log2(0.88::DOUBLE / 0.1::DOUBLE), 4) ELSE round(log2((1 - 0.88::DOUBLE) / (1 - 0.1::DOUBLE)), 4) END, 4)::DOUBLE AS weight FROM m)
     SELECT a, b, weight, CASE WHEN weight >= 8 THEN 'GOLD_MATCH' WHEN weight >= 4 THEN 'PROBABLE_MATCH' WHEN weight >= 1 THEN 'NEEDS_REVIEW' ELSE 'DECLINED' END AS decision FROM w""",
 )
 def fellegi_sunter_linkage(spark, d):
-    """Pairs that share a name, weighed over five features. The keys are a small catalog's."""
-    p = table(spark, d, "part").filter("p_partkey < 400")
+    """Pairs that share a name and a size, weighed over five features."""
+    p = table(spark, d, "part")
     x, y = p.alias("x"), p.alias("y")
-    pairs = x.join(y, (F.col("x.p_name") == F.col("y.p_name")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
+    pairs = x.join(y, (F.col("x.p_name") == F.col("y.p_name")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
     same = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
     agree = {"gtin": F.col("x.p_partkey") % 500 == F.col("y.p_partkey") % 500, "brand": same("p_brand"), "product_name": same("p_name"), "weight_volume": same("p_size"), "category": same("p_type")}
     return matching.linkage(pairs, agree).select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), "weight", "decision")
@@ -60,9 +60,9 @@ def fellegi_sunter_linkage(spark, d):
 @query("sku_match", None)
 def sku_match(spark, d):
     """Half title similarity, half visual similarity; a match from 0.8."""
-    p = table(spark, d, "part").filter("p_partkey < 400").select("p_partkey", "p_name", "p_type", F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("title"))
     x, y = p.alias("x"), p.alias("y")
-    pairs = x.join(y, (F.col("x.p_name") == F.col("y.p_name")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
+    pairs = x.join(y, (F.col("x.p_name") == F.col("y.p_name")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
     pairs = pairs.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), text.jaro_winkler(F.col("x.title"), F.col("y.title")).alias("jw"))
     score = F.round(0.5 * F.col("jw") + 0.5 * ((F.col("a") + F.col("b")) % 10 / 10), 4)
     return pairs.select("a", "b", score.alias("score"), (score >= 0.8).alias("matched"), scoring.arcface_loss(score).alias("loss"))
@@ -156,7 +156,7 @@ def dom_element_match(spark, d):
     """For each target element the most alike of its page by eight weighted features; the first of equals, none under a half."""
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
     t = p.groupBy("p_brand").agg(F.min_by(F.struct("p_partkey", "p_name", "p_type", "p_size", "p_retailprice"), "p_partkey").alias("a"))
-    c = p.join(F.broadcast(t), "p_brand").filter("p_partkey <> a.p_partkey")
+    c = p.join(t, "p_brand").filter("p_partkey <> a.p_partkey")
     words = lambda x: F.split(x, " ")
     a = lambda n: F.col(f"a.{n}")
     overlap = F.size(F.array_intersect(words(a("p_name")), words(F.col("p_name")))) / F.size(F.array_union(words(a("p_name")), words(F.col("p_name"))))
@@ -170,13 +170,13 @@ def dom_element_match(spark, d):
 
 @query(
     "best_text_box",
-    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 500), s AS (SELECT *, round(1 - levenshtein(p_name, 'red widget')::DOUBLE / greatest(length(p_name), 10), 4) AS sim FROM b),
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_size FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT *, round(1 - levenshtein(p_name, 'red widget')::DOUBLE / greatest(length(p_name), 10), 4) AS sim FROM b),
     r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY sim DESC, l_linenumber, l_partkey) = 1)
     SELECT l_orderkey, l_partkey, sim, sim >= 0.8 AND p_size >= 10 AS passes FROM r""",
 )
 def best_text_box(spark, d):
     """Of an image's text boxes the one most like the target, the first of equals."""
-    b = table(spark, d, "lineitem").filter("l_orderkey < 500").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    b = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     s = b.select("l_orderkey", "l_linenumber", "l_partkey", "p_size", text.levenshtein_similarity(F.col("p_name"), F.lit("red widget")).alias("sim"))
     r = merge.latest(s, ["l_orderkey"], [F.desc("sim"), F.asc("l_linenumber"), F.asc("l_partkey")])
     return r.select("l_orderkey", "l_partkey", "sim", ((F.col("sim") >= 0.8) & (F.col("p_size") >= 10)).alias("passes"))

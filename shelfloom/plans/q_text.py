@@ -72,10 +72,10 @@ def fallback_query_sequence(spark, d):
 
 @query(
     "search_text_normalise",
-    """SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '([0-9]+)([a-zA-Z])', '\\1 \\2', 'g'), '([a-zA-Z])([0-9]+)', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}\\p{M}_\\s]', '', 'g'), ' ')) AS normal FROM documents WHERE lang = 'en'""".replace("\\\\", "\\"),
+    """SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '([0-9]+)([a-zA-Z])', '\\1 \\2', 'g'), '([a-zA-Z])([0-9]+)', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}\\p{M}_\\s]', '', 'g'), ' ')) AS normal FROM documents""".replace("\\\\", "\\"),
 )
 def search_text_normalise(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.sha2(text.normal_search(F.col("text")), 256).alias("normal"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.normal_search(F.col("text")), 256).alias("normal"))
 
 
 _METRIC = """t AS (SELECT p_partkey, p_name || ' ' || CASE p_partkey % 5 WHEN 0 THEN (p_partkey % 900) || ' g' WHEN 1 THEN (p_partkey % 9) || '.5kg' WHEN 2 THEN (p_partkey % 700) || 'ml' WHEN 3 THEN (p_partkey % 8) || ' L bottle' ELSE 'loose' END AS title FROM part)"""
