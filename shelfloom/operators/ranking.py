@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfloom.sources import sinks
+
 K = 60
 
 
@@ -60,3 +62,16 @@ def union_lists(lists: dict[str, DataFrame]) -> DataFrame:
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows."""
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+
+
+def numbered(df: DataFrame, order: Column, name: str = "number") -> DataFrame:
+    """Row numbers from 1 over a whole table of any size, without gathering it: a written range sort, and the row counts of its partitions."""
+    path = sinks.folder(df.sparkSession, "numbered")
+    ids = df.withColumn("__order", order).repartitionByRange("__order").sortWithinPartitions("__order").withColumn("__id", F.monotonically_increasing_id())
+    ids.drop("__order").write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    # as many rows as the sort has partitions
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
+    at = F.coalesce("__before", F.lit(0)) + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(before), "__part").withColumn(name, at).drop("__part", "__id", "__before")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfloom.operators.ranking import numbered
+
 #: The tables of a data directory.
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Header names of a sheet by field, in English and Arabic.
@@ -37,16 +39,11 @@ def header_fields(columns: list[str]) -> dict[str, str]:
 
 
 def sheet(df: DataFrame, order: Column) -> DataFrame:
-    """Rows of a sheet with a name: trimmed fields, row_number from 2 in ``order``, search_query, link and needs_review.
-
-    Numbering needs one order over the sheet, which is a document of bounded size.
-    """
-    from pyspark.sql import Window
-
+    """Rows of a sheet with a name: trimmed fields, row_number from 2 in ``order``, search_query, link and needs_review."""
     fields = header_fields(df.columns)
     text = {k: F.trim(F.coalesce(F.col(fields[k]).cast("string"), F.lit(""))) if k in fields else F.lit("") for k in HEADERS}
-    rows = df.select(order.alias("__order"), *[c.alias(k) for k, c in text.items()])
-    rows = rows.withColumn("row_number", F.row_number().over(Window.orderBy("__order")) + 1).filter("name <> ''")
+    rows = numbered(df.select(order.alias("at"), *[c.alias(k) for k, c in text.items()]), F.col("at"), "row_number")
+    rows = rows.withColumn("row_number", (F.col("row_number") + 1).cast("int")).filter("name <> ''")
     flagged = F.col("link").startswith(REVIEW_PREFIX)
     return rows.select(
         "row_number", "barcode", "name", "brand",

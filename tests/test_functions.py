@@ -320,3 +320,12 @@ def test_contrastive_loss():
     r = np.random.default_rng(0)
     x = r.normal(size=(30, 16))
     assert vector_models.contrastive_loss(x, x) < 0.1 < vector_models.contrastive_loss(x, r.normal(size=(30, 16)))
+
+
+def test_numbers_over_partitions(spark):
+    from shelfloom.operators import ranking
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k")).repartition(7)
+    got = ranking.numbered(df, -F.col("k")).collect()
+    assert sorted((r.number, r.k) for r in got) == [(i + 1, 4999 - i) for i in range(5000)]
+    assert ranking.numbered(df.filter("false"), F.col("k")).count() == 0
