@@ -329,3 +329,9 @@ def test_numbers_over_partitions(spark):
     got = ranking.numbered(df, -F.col("k")).collect()
     assert sorted((r.number, r.k) for r in got) == [(i + 1, 4999 - i) for i in range(5000)]
     assert ranking.numbered(df.filter("false"), F.col("k")).count() == 0
+
+
+def test_sizes_in_both_scripts(spark):
+    got = one(spark, text.sizes(F.lit("Milk 1L, 1.5 لتر and 250 g x2 12 حبة")))
+    assert [(r.value, r.unit) for r in got] == [(1000.0, "ml"), (1500.0, "ml"), (250.0, "g")]
+    assert one(spark, text.packs(F.lit("pack of 6 or x 12, 3pcs"))) == [6, 12, 3]
