@@ -125,3 +125,13 @@ def test_divide_skip_equals_counting():
 def test_components(spark, edges, want):
     got = components(spark.createDataFrame(edges, "u bigint, v bigint"))
     assert {r.node: r.component for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_bound_on_differing_shingles(percent):
+    """The two largest sums of a band have the most differing shingles of all in it."""
+    rule, most = ngram_join.Links(4, percent), 0
+    for both in range(1, 4001):
+        most = max(most, rule.differ(both))
+        if both % 2 == 0 and both >= 14:
+            assert max(rule.differ(both), rule.differ(both - 1)) == most
