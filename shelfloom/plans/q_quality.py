@@ -266,18 +266,39 @@ def volume_grounding(spark, d):
     return table(spark, d, "part").select("p_partkey", x.alias("x")).select("p_partkey", "x.measured", "x.gamma", "x.kind")
 
 
+_LINEAR = "CASE WHEN {0} / 255 <= 0.04045::DOUBLE THEN {0} / 255 / 12.92::DOUBLE ELSE pow(({0} / 255 + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS {0}"
+_ROOT = "CASE WHEN {0} > 0.008856::DOUBLE THEN pow({0}, 1::DOUBLE / 3) ELSE 7.787::DOUBLE * {0} + 16::DOUBLE / 116 END AS {0}"
+
+
 @query(
     "nearest_colour",
-    None,
+    f"""WITH c AS (SELECT p_partkey, (p_partkey % 256)::DOUBLE AS r, (p_partkey * 7 % 256)::DOUBLE AS g, (p_partkey * 13 % 256)::DOUBLE AS b FROM part),
+    n AS (SELECT p_partkey, {_LINEAR.format("r")}, {_LINEAR.format("g")}, {_LINEAR.format("b")} FROM c),
+    m AS (SELECT p_partkey, (r * 0.4124564::DOUBLE + g * 0.3575761::DOUBLE + b * 0.1804375::DOUBLE) / 0.95047::DOUBLE AS x, r * 0.2126729::DOUBLE + g * 0.7151522::DOUBLE + b * 0.0721750::DOUBLE AS y, (r * 0.0193339::DOUBLE + g * 0.1191920::DOUBLE + b * 0.9503041::DOUBLE) / 1.08883::DOUBLE AS z FROM n),
+    f AS (SELECT p_partkey, {_ROOT.format("x")}, {_ROOT.format("y")}, {_ROOT.format("z")} FROM m),
+    p AS (SELECT p_partkey, round(greatest(0, 116 * y - 16), 3) AS l1, round(500 * (x - y), 3) AS a1, round(200 * (y - z), 3) AS b1 FROM f),
+    t(target, l2, a2, b2) AS (VALUES (0, 50.0::DOUBLE, 20.0::DOUBLE, -10.0::DOUBLE), (1, 53.2::DOUBLE, 80.1::DOUBLE, 67.2::DOUBLE), (2, 87.7::DOUBLE, -86.2::DOUBLE, 83.2::DOUBLE)),
+    s AS (SELECT *, pow((sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2, 7) AS c7 FROM p, t),
+    g AS (SELECT *, (1.5::DOUBLE - 0.5::DOUBLE * sqrt(c7 / (c7 + pow(25::DOUBLE, 7)))) * a1 AS u1, (1.5::DOUBLE - 0.5::DOUBLE * sqrt(c7 / (c7 + pow(25::DOUBLE, 7)))) * a2 AS u2 FROM s),
+    h AS (SELECT *, sqrt(u1 * u1 + b1 * b1) AS c1, sqrt(u2 * u2 + b2 * b2) AS c2, (degrees(atan2(b1, u1)) + 360) % 360 AS h1, (degrees(atan2(b2, u2)) + 360) % 360 AS h2 FROM g),
+    d AS (SELECT *, CASE WHEN c1 * c2 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS turn,
+      CASE WHEN c1 * c2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS mh, (l1 + l2) / 2 AS ml, (c1 + c2) / 2 AS mc FROM h),
+    w AS (SELECT *, (l2 - l1) / (1 + 0.015::DOUBLE * pow(ml - 50, 2) / sqrt(20 + pow(ml - 50, 2))) AS wl, (c2 - c1) / (1 + 0.045::DOUBLE * mc) AS wc,
+      2 * sqrt(c1 * c2) * sin(radians(turn / 2)) / (1 + 0.015::DOUBLE * mc * (1 - 0.17::DOUBLE * cos(radians(mh - 30)) + 0.24::DOUBLE * cos(radians(2 * mh)) + 0.32::DOUBLE * cos(radians(3 * mh + 6)) - 0.20::DOUBLE * cos(radians(4 * mh - 63)))) AS wh,
+      sin(radians(60 * exp(-pow((mh - 275) / 25, 2)))) * 2 * sqrt(pow(mc, 7) / (pow(mc, 7) + pow(25::DOUBLE, 7))) AS rt FROM d),
+    e AS (SELECT p_partkey, target, round(sqrt(greatest(0, wl * wl + wc * wc + wh * wh - rt * wc * wh)), 4) AS delta FROM w)
+    SELECT p_partkey, arg_min(target, (delta, target)) AS target, min(delta) AS delta, CASE WHEN min(delta) <= 1 THEN 'EXACT' WHEN min(delta) <= 2 THEN 'CLOSE' ELSE 'OFF' END AS verdict FROM e GROUP BY p_partkey""",
 )
 def nearest_colour(spark, d):
-    """Colours to Lab, and the nearest of three targets by CIEDE2000; goldens are in the tests."""
+    """Colours to Lab, and the nearest of three targets by CIEDE2000."""
     k = F.col("p_partkey")
     rows = table(spark, d, "part").select("p_partkey", scoring.lab((k % 256).cast("double"), (k * 7 % 256).cast("double"), (k * 13 % 256).cast("double")).alias("lab"))
     targets = [(50.0, 20.0, -10.0), (53.2, 80.1, 67.2), (87.7, -86.2, 83.2)]
-    diffs = F.array(*[F.struct(scoring.ciede2000(F.col("lab"), F.struct(*[F.lit(v).alias(n) for n, v in zip("lab", t)])).alias("delta"), F.lit(i).alias("target")) for i, t in enumerate(targets)])
-    best = F.array_min(diffs)
-    return rows.select("p_partkey", best["target"].alias("target"), best["delta"].alias("delta"), F.when(best["delta"] <= 1, "EXACT").when(best["delta"] <= 2, "CLOSE").otherwise("OFF").alias("verdict"))
+    known = F.array(*[F.struct(F.struct(*[F.lit(v).alias(n) for n, v in zip("lab", t)]).alias("lab"), F.lit(i).alias("target")) for i, t in enumerate(targets)])
+    each = rows.select("p_partkey", "lab", F.explode(known).alias("t")).select("p_partkey", scoring.ciede2000(F.col("lab"), F.col("t.lab")).alias("delta"), F.col("t.target").alias("target"))
+    best = each.groupBy("p_partkey").agg(F.min(F.struct("delta", "target")).alias("b"))
+    delta = F.col("b.delta")
+    return best.select("p_partkey", F.col("b.target").alias("target"), delta.alias("delta"), F.when(delta <= 1, "EXACT").when(delta <= 2, "CLOSE").otherwise("OFF").alias("verdict"))
 
 
 @query(

@@ -224,10 +224,10 @@ def score_band_filter(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(s >= 0.95, "excellent").when(s >= 0.90, "medium").otherwise("weak").alias("band"))
 
 
-@query("word_scan", "SELECT doc_id, [a FOR a IN ['milk', 'nut', 'soy', 'gluten', 'egg'] IF contains(lower(text), a)]::VARCHAR AS hits FROM documents WHERE len([a FOR a IN ['milk', 'nut', 'soy', 'gluten', 'egg'] IF contains(lower(text), a)]) > 0")
+@query("word_scan", "SELECT doc_id, [a FOR a IN ['license', 'apache', 'reserved', 'token', 'thing'] IF contains(lower(text), a)]::VARCHAR AS hits FROM documents WHERE len([a FOR a IN ['license', 'apache', 'reserved', 'token', 'thing'] IF contains(lower(text), a)]) > 0")
 def word_scan(spark, d):
     """Texts that hold any of a list of words, with those that they hold."""
-    words = F.array(*[F.lit(x) for x in ("milk", "nut", "soy", "gluten", "egg")])
+    words = F.array(*[F.lit(x) for x in ("license", "apache", "reserved", "token", "thing")])
     out = table(spark, d, "documents").select("doc_id", F.filter(words, lambda a: F.contains(F.lower("text"), a)).alias("hits"))
     return out.filter(F.size("hits") > 0).select("doc_id", F.concat(F.lit("["), F.array_join("hits", ", "), F.lit("]")).alias("hits"))
 
