@@ -240,7 +240,12 @@ def product_quantization(spark, d):
     return codes.select("vec_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"), F.lit(4.0 * 64 / 16).alias("ratio"))
 
 
-@query("adc_search", None)
+@query(
+    "adc_search",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, e FROM v QUALIFY i < 16), q AS (SELECT e FROM v WHERE vec_id = 20),
+    c AS (SELECT v.vec_id, j, arg_min(b.i, (round(list_sum([pow(v.e[16 * j + k] - b.e[16 * j + k], 2) FOR k IN range(1, 17)]), 12), b.i)) AS code FROM v, b, range(0, 4) t(j) GROUP BY ALL)
+    SELECT c.vec_id, round(sqrt(sum(list_sum([pow(b.e[16 * j + k] - q.e[16 * j + k], 2) FOR k IN range(1, 17)]))), 4) AS distance FROM c JOIN b ON b.i = c.code, q GROUP BY c.vec_id ORDER BY distance, vec_id LIMIT 10""",
+)
 def adc_search(spark, d):
     """Distances of one vector to the coded ones, the nearest ten."""
     e = table(spark, d, "embeddings")
@@ -299,7 +304,15 @@ def rate_fold(spark, d):
     return stateful.fold(e, "user_id", ["ts", "event_id"], 1.0, step, ["event_id"], "rate double").withColumn("rate", F.round("rate", 6))
 
 
-@query("breaker_fold", None)
+@query(
+    "breaker_fold",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type NOT IN ('error', 'signup') AS ok, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    b AS (SELECT user_id, event_id, n, 'CLOSED' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, 0::DOUBLE AS opened FROM e WHERE n = 1
+      UNION ALL SELECT user_id, event_id, n, CASE WHEN mode = 'OPEN' THEN mode WHEN ok THEN 'CLOSED' WHEN mode = 'HALF_OPEN' OR failures + 1 >= 2 THEN 'OPEN' ELSE mode END,
+        CASE WHEN mode = 'OPEN' THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN mode <> 'OPEN' AND NOT ok AND (mode = 'HALF_OPEN' OR failures + 1 >= 2) THEN tm ELSE opened END
+      FROM (SELECT e.*, b.failures, b.opened, CASE WHEN b.state = 'OPEN' AND e.tm - b.opened >= 86400 THEN 'HALF_OPEN' ELSE b.state END AS mode FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1))
+    SELECT user_id, event_id, state, failures FROM b""",
+)
 def breaker_fold(spark, d):
     """State of each user's circuit breaker after each event."""
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))

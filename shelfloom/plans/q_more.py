@@ -160,7 +160,12 @@ def heuristic_category(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(metal, "parts/metal").when(device, "parts/device").otherwise("other").alias("path"), F.when(metal | device, 0.7).otherwise(0.4).alias("confidence"))
 
 
-@query("interactive_re_search", None)
+@query(
+    "interactive_re_search",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), t AS (SELECT [q.e[i] - 0.45::DOUBLE * r.e[i] FOR i IN range(1, 65)] AS m, r.e AS r FROM v q, v r WHERE q.vec_id = 0 AND r.vec_id = 20)
+    SELECT vec_id, round(list_dot_product(e, m) / sqrt(list_dot_product(e, e) * list_dot_product(m, m)), 6) AS similarity FROM v, t
+    WHERE vec_id <> 20 AND 1 - list_dot_product(e, r) / sqrt(list_dot_product(e, e) * list_dot_product(r, r)) >= 0.15 ORDER BY similarity DESC, vec_id LIMIT 10""",
+)
 def interactive_re_search(spark, d):
     """A rejection moves the query away, is blacklisted, and the rest is searched again: the nearest ten."""
     e = table(spark, d, "embeddings")
