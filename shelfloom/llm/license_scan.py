@@ -24,20 +24,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.llm.license_texts import TEXTS
 from shelfloom.llm.words import WordHashes, shingle_hashes
 
 K, WINDOW, PERCENT = 3, 3, 80
 _WORD = re.compile(r"\w+")
 
-#: Public license texts and notices.
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: Public license texts and notices. Parts that stand alone are templates of their own.
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "isc-permission": _ISC,
+    "isc-disclaimer": _ISC_DISCLAIMER,
+    "isc": f"{_ISC} {_ISC_DISCLAIMER}",
+    "bsd-conditions": _BSD,
+    "bsd-disclaimer": _BSD_DISCLAIMER,
+    "bsd-2-clause": f"{_BSD} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    **TEXTS,
 }
 
 
@@ -56,23 +74,30 @@ def align(template: list[str], words: list[str], band: int) -> tuple[int, int, i
 
     ``words`` starts ``band`` words before the diagonal.
     """
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(template))}
+    return _align(np.array([numbers[w] for w in template], np.int64), np.array([numbers.get(w, -1) for w in words], np.int64), band)
+
+
+def _align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int, int]:
+    """``align`` of word numbers, a row of the band at a time; -1 is a word of no template."""
     width = 2 * band + 1
-    score, first, last = [0] * width, [-1] * width, [-1] * width
+    words = np.concatenate([words, np.full(max(0, len(template) + width - len(words)), -1, np.int64)])
+    columns = np.arange(width)
+    score, first, last = np.zeros(width, np.int64), np.full(width, -1), np.full(width, -1)
+    skipped = np.full(width, -1)
     for i, word in enumerate(template):
-        new_score, new_first, new_last = [0] * width, [-1] * width, [-1] * width
-        for c in range(width):
-            j = i + c  # place in words; column c of the row before is the place j - 1
-            best = (score[c], first[c], last[c])
-            if j < len(words) and words[j] == word:
-                best = (score[c] + 1, first[c] if first[c] >= 0 else j, j)
-            elif c + 1 < width and score[c + 1] > best[0]:  # the template's word is skipped
-                best = (score[c + 1], first[c + 1], last[c + 1])
-            if c and new_score[c - 1] > best[0]:  # the document's word is skipped
-                best = (new_score[c - 1], new_first[c - 1], new_last[c - 1])
-            new_score[c], new_first[c], new_last[c] = best
-        score, first, last = new_score, new_first, new_last
-    c = max(range(width), key=lambda x: (score[x], -x))
-    return score[c], first[c], last[c]
+        same = words[i : i + width] == word  # column c is the place i + c in words; column c of the row before is the place before
+        skipped[:-1] = score[1:]
+        skip = ~same & (skipped > score)  # the template's word is skipped
+        at = columns + skip
+        best = np.where(skip, skipped, score + same)
+        first, last = first[at], np.where(same, i + columns, last[at])
+        first = np.where(same & (first < 0), i + columns, first)
+        score = np.maximum.accumulate(best)  # the document's word is skipped
+        own = np.maximum.accumulate(np.where(best == score, columns, 0))
+        first, last = first[own], last[own]
+    c = int(score.argmax())
+    return int(score[c]), int(first[c]), int(last[c])
 
 
 class Index:
@@ -81,6 +106,7 @@ class Index:
     def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW, percent: int = PERCENT):
         self.k, self.window, self.percent = k, window, percent
         self.names, self.words = [], []
+        self.numbers: dict[str, int] = {}
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         hashes = WordHashes()
         for name, text in templates.items():
@@ -91,9 +117,15 @@ class Index:
             for p in winnow(grams, window):
                 self.postings[int(grams[p])].append((len(self.names), int(p)))
             self.names.append(name)
-            self.words.append(words)
+            self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64))
+        self.counts = [np.bincount(x, minlength=len(self.numbers)) for x in self.words]
         self.keys = np.array(sorted(self.postings), dtype=np.uint64)
 
+    def possible(self, t: int, numbers: np.ndarray) -> bool:
+        """Whether enough words of a template are in the words at all, in any order: no alignment has more."""
+        have = np.bincount(numbers[numbers >= 0], minlength=len(self.numbers))
+        return 100 * int(np.minimum(have, self.counts[t]).sum()) >= self.percent * len(self.words[t])
+
     def scan(self, text: str, hashes: WordHashes) -> list[tuple[str, int, int, int, int]]:
         """(template, matched words, template words, start, end) of a text, by place; of overlapping finds of one template the best."""
         lower = text.lower()
@@ -111,9 +143,12 @@ class Index:
         for p in places:
             for t, q in self.postings[int(grams[p])]:
                 diagonals[t].add(int(p) - q)
+        numbers = np.array([self.numbers.get(w, -1) for w in words], np.int64) if diagonals else None
         spans, found = None, []
         for t, starts in diagonals.items():
             template = self.words[t]
+            if 100 * len(words) < self.percent * len(template) or not self.possible(t, numbers):
+                continue
             band = max(2, len(template) // 8)
             best: list[tuple[int, int, int]] = []
             reach = None
@@ -122,8 +157,11 @@ class Index:
                     continue  # the band of the diagonal before holds it
                 reach = d
                 lo = d - band
-                around = [""] * max(0, -lo) + words[max(0, lo) : max(0, d + len(template) + band)]
-                n, first, last = align(template, around, band)
+                around = numbers[max(0, lo) : max(0, d + len(template) + band)]
+                if not self.possible(t, around):
+                    continue
+                around = np.concatenate([np.full(max(0, -lo), -1, np.int64), around])
+                n, first, last = _align(template, around, band)
                 if 100 * n >= self.percent * len(template):
                     best.append((n, first + lo, last + lo))
             for n, first, last in sorted(best, key=lambda x: (-x[0], x[1])):

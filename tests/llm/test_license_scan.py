@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from shelfloom.llm import license_scan as S
@@ -50,3 +52,31 @@ def test_twice_in_one_text():
     index = S.Index(S.TEMPLATES)
     text = "Licensed under CC BY-NC 4.0. " + "x " * 30 + "Licensed under CC BY-NC 4.0."
     assert [f[0] for f in index.scan(text, WordHashes())] == ["cc-by-nc-4.0-notice"] * 2
+
+
+def test_every_license_line_of_the_documents(spark):
+    """Each kind of line that names a license is found in each document that has it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lower(text) rlike 'licen[sc]e'")
+    found = {(r.doc_id, r.start, r.end) for r in S.scan_licenses(docs).collect()}
+    named, lines = 0, set()
+    for r in docs.select("doc_id", "text").collect():
+        for m in re.finditer(r"(?im)^.*licen[sc]e.*$", r.text):
+            named += 1
+            lines.add(m.group())
+            assert any(d == r.doc_id and m.start() <= a and b <= m.end() for d, a, b in found), m.group()
+    assert named > 250 and "This work is licensed under the GNU General Public License, version 3." in lines
+
+
+def test_whole_texts_of_common_licenses():
+    index, hashes = S.Index(S.TEMPLATES), WordHashes()
+    around = " ".join(words(3, 400))
+    for name in ("apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0", "bsd-3-clause", "bsd-2-clause", "isc"):
+        text = " ".join(edited(S.TEMPLATES[name].split(), 4, len(S.TEMPLATES[name].split()) // 25))
+        assert name in {f[0] for f in index.scan(f"{around} {text} {around}", hashes)}, name
+
+
+def test_parts_of_a_license_that_stand_alone():
+    index, hashes = S.Index(S.TEMPLATES), WordHashes()
+    bsd = S.TEMPLATES["bsd-3-clause"]
+    at = bsd.index("THIS SOFTWARE IS")
+    assert [[f[0] for f in index.scan(x, hashes)] for x in (bsd[at:], bsd[: bsd.index("Neither")])] == [["bsd-disclaimer"], ["bsd-conditions"]]
