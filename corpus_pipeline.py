@@ -54,8 +54,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class linked by 4-word shingles at 0.85; one row of each doc_id. Rows without a doc_id stay."""
-    classes = ngram_join.jaccard_join(docs, size=4, percent=85).select(F.col("doc_id").alias("__id"), "component_id")
+    """The document of least doc_id of each class linked by 5-word shingles at 0.8; one row of each doc_id. Rows without a doc_id stay."""
+    classes = ngram_join.jaccard_join(docs, size=5, percent=80).select(F.col("doc_id").alias("__id"), "component_id")
     stays = classes.filter(F.col("__id") == F.col("component_id")).select("__id")
     own = docs.filter("doc_id is not null").join(stays, F.col("doc_id") == F.col("__id"), "left_semi")
     first = own.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("__row = 1")

@@ -57,3 +57,22 @@ def test_scratch_tables_of_the_stage_before_go(spark):
 
 def test_decontamination_is_the_operator(spark):
     assert decontaminate.PERCENT == 80 and [name for name, _ in P.STAGES][3] == "benchmark decontamination"
+
+
+def test_near_duplicates_by_five_words_at_80(spark):
+    """Brute force at the stage's own rule, with copies that four words at 0.85 would keep apart."""
+    texts = {i: words(100 + i, 50) for i in range(0, 40, 4)}
+    for i in list(texts):
+        for k, n in ((1, 1), (2, 2), (3, 4)):
+            copy = list(texts[i])
+            for j in range(n):
+                copy[9 + 10 * j] = f"new{k}{j}"
+            texts[i + k] = copy
+    sets = {d: [{tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for n in (4, 5)] for d, t in texts.items()}
+    alike = lambda a, b, k: len(sets[a][k] & sets[b][k]) / len(sets[a][k] | sets[b][k])
+    least = {d: d for d in texts}
+    for _ in texts:
+        least = {d: min(least[e] for e in texts if alike(d, e, 1) >= 0.8) for d in texts}
+    assert alike(0, 1, 1) >= 0.8 and alike(0, 1, 0) < 0.85
+    docs = documents(spark, [(d, " ".join(t)) for d, t in texts.items()])
+    assert {r.doc_id for r in P.near_duplicates(spark, docs, D).collect()} == {d for d, first in least.items() if d == first}
