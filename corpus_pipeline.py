@@ -46,8 +46,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are on ten or more sources; n_chars is that of the new text."""
-    out = line_dedup.remove_boilerplate(docs, site="source", min_sites=10, count_as="__n_lines_removed")
+    """Documents without the lines of any length that are on ten or more sources, but for texts of nothing else; n_chars is that of the new text."""
+    out = line_dedup.remove_boilerplate(docs, site="source", min_sites=10, min_words=1, most_share=1.0, count_as="__n_lines_removed")
     new = {"n_chars": F.when(F.col("__n_lines_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))}
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 

@@ -27,9 +27,9 @@ def _normal(line: Column) -> Column:
 
 
 def _hash(line: Column, min_words: int) -> Column:
-    """Hash of a line that counts; null for one with fewer words."""
+    """Hash of a line that counts; null for a blank one and for one with fewer words."""
     normal = _normal(line)
-    return F.when(F.size(F.split(normal, " ")) >= min_words, F.xxhash64(normal))
+    return F.when((normal != "") & (F.size(F.split(normal, " ")) >= min_words), F.xxhash64(normal))
 
 
 def _visible(line: Column) -> Column:
@@ -59,9 +59,11 @@ def remove_boilerplate(
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and their number as ``count_as``: one row for each row.
 
-    Lines of fewer than ``min_words`` words stay. A text of which more than
-    ``most_share`` of the visible characters would go is a copy of a page and not a
-    page with boilerplate: it stays whole, for near-duplicate removal to judge. Null
+    Blank lines and lines of fewer than ``min_words`` words stay. A text of which
+    more than ``most_share`` of the visible characters would go, or all of them, is a
+    copy of a page and not a page with boilerplate: it stays whole, for
+    near-duplicate removal to judge. With ``min_words=1`` and ``most_share=1`` every
+    other line counts and only texts that are boilerplate throughout stay. Null
     and empty texts stay as they are; a null site counts for no spread, but its
     lines are removed like others. Repeated rows are treated alike. An empty table
     gives no rows. Other columns are kept; one that is named as the count is replaced.
@@ -74,7 +76,7 @@ def remove_boilerplate(
     clean = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__bad", _hash(x, min_words)), F.lit(False)))
     both = both.withColumn("__stay", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(clean))
     both = both.withColumn("__kept", F.array_join("__stay", "\n"))
-    cut = F.col("__bad").isNotNull() & (F.size("__stay") < F.size("__lines")) & (_visible(F.col("__kept")) >= (1 - most_share) * _visible(F.col(text)))
+    cut = F.col("__bad").isNotNull() & (F.size("__stay") < F.size("__lines")) & (_visible(F.col("__kept")) >= (1 - most_share) * _visible(F.col(text))) & (_visible(F.col("__kept")) > 0)
     cut = F.coalesce(cut, F.lit(False))
     new = {text: F.when(cut, F.col("__kept")).otherwise(F.col(text))}
     return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns], F.when(cut, F.size("__lines") - F.size("__stay")).otherwise(0).cast("bigint").alias(count_as))

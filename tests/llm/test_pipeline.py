@@ -76,3 +76,14 @@ def test_near_duplicates_by_five_words_at_80(spark):
     assert alike(0, 1, 1) >= 0.8 and alike(0, 1, 0) < 0.85
     docs = documents(spark, [(d, " ".join(t)) for d, t in texts.items()])
     assert {r.doc_id for r in P.near_duplicates(spark, docs, D).collect()} == {d for d, first in least.items() if d == first}
+
+
+def test_lines_of_any_length_and_share(spark):
+    """Lines of one word go, and so does boilerplate that is most of a text; blank lines and texts of boilerplate alone stay."""
+    own = {i: " ".join(words(i, 12)) for i in range(12)}
+    rows = [(i, f"Login\n\n{own[i]}\nread  more", f"site{i}") for i in range(12)]
+    long = " ".join(words(77, 60))
+    rows += [(100 + i, f"{long}\n{own[i]}x", f"site{i}") for i in range(12)] + [(200, f"login\nRead more\n\n{long}", "site1"), (201, f"only here\nLOGIN\n{long}", None), (202, "ok\nnot boilerplate", "site2")]
+    got = {r.doc_id: r.text for r in P.lines(spark, documents(spark, rows), D).collect()}
+    want = {i: f"\n{own[i]}" for i in range(12)} | {100 + i: f"{own[i]}x" for i in range(12)} | {200: rows[24][1], 201: "only here", 202: "ok\nnot boilerplate"}
+    assert got == want
