@@ -64,3 +64,14 @@ def test_entry_without_the_text_operators(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as E; q = E.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+@pytest.mark.parametrize("name", ["vector_first_and_best_hit", "blacklist_anti_join"])
+def test_more_rows_than_one_block(spark, duck, name, monkeypatch):
+    """Queries and listed rows beyond what is sent at once are met in blocks."""
+    from shelfloom.operators import matching
+
+    monkeypatch.setattr(matching, "MOST_SENT", 3)
+    monkeypatch.setattr(matching, "MOST_CELLS", 20, raising=False)
+    assert duck.execute("SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0").fetchone()[0] > 3
+    test_query(spark, duck, name)
