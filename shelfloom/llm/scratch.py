@@ -1,14 +1,20 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A written table cuts lineage, so an executor that is lost later costs a reread
-and not a recomputation. The folder is the session's ``spark.checkpoint.dir``;
-where that is unset (tests, a laptop) a temporary one is set.
+and not a recomputation. The folder is the session's ``spark.checkpoint.dir``, or
+the one given to ``setCheckpointDir``. Where neither is set, a temporary folder is
+made on a local master (tests, a laptop), and a cluster is an error: its executors
+would each write to a disk of their own.
+
+Tables that a returned DataFrame reads stay until ``clear``; those that only led
+to another table go as soon as that one is written (``only``).
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +25,11 @@ def root(spark: SparkSession) -> str:
     """The shared folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shelfloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,6 +44,14 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, as a table; the tables that it has written on the way are deleted."""
+    before = set(_written)
+    out = table(make(), label)
+    drop(spark, [x for x in _written[:-1] if x not in before])
+    return out
+
+
 def written() -> list[str]:
     """The tables that there are, in the order in which they were written."""
     return list(_written)
@@ -44,3 +63,8 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         _written.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table: call it when no result that reads one is needed any more."""
+    drop(spark, written())

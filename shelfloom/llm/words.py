@@ -15,17 +15,23 @@ _PLACES = np.array(
 )
 
 
+#: Characters or bytes of a word up to which a worker keeps what it knows of it.
+KEPT_LENGTH = 64
+
+
 class WordHashes(dict):
-    """64-bit hash of a word, kept for the words seen lately (at most ``limit``)."""
+    """64-bit hash of a word, kept for the words seen lately: at most ``limit`` of at most ``KEPT_LENGTH`` characters."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list) -> np.ndarray:
