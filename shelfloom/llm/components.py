@@ -22,7 +22,7 @@ def _large(edges: DataFrame) -> DataFrame:
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     over = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return over.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -42,8 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state[0] == 0 or tuple(state) == seen:
             break
         seen = tuple(state)
-        before = scratch.written()
-        now = scratch.table(_small(_large(now)), "edges")
-        scratch.drop(spark, [x for x in scratch.written()[len(before) - 1 : -1]])
+        last = scratch.written()[-1]
+        now = scratch.only(spark, lambda edges=now: _small(scratch.table(_large(edges), "stars")), "edges")
+        scratch.drop(spark, [last])
     least = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(least)

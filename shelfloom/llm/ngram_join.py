@@ -33,12 +33,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm import scratch
+from shelfloom.llm import arrow, scratch
 from shelfloom.llm.components import components
 from shelfloom.llm.words import WordHashes, blank_separated, mix, shingle_hashes
 
@@ -54,7 +54,7 @@ _SEEN = 200_000
 class Links:
     """The rule for a link: ``100 * |x & y| >= percent * |x | y|``, and what follows from it."""
 
-    def __init__(self, size: int = 4, percent: int = 85):
+    def __init__(self, size: int = 5, percent: int = 80):
         self.size, self.percent = size, percent
 
     def shingles(self, text: str | None, hashes: WordHashes) -> np.ndarray:
@@ -108,23 +108,28 @@ def _set_ids(s: np.ndarray) -> tuple[int, int]:
 
 
 def _documents(rule: Links):
-    columns = ["doc_id", "n_shingles", "set_a", "set_b", "signatures", "bands", "needs"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                rows, part = [], batch.iloc[lo : lo + 500]
-                for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                    s = rule.shingles(text, hashes)
-                    a, b = _set_ids(s)
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    # copies met in this task need not say it again
-                    signs, bands, needs = ([], [], []) if a in seen else rule.signatures(s)
-                    seen.add(a)
-                    rows.append((doc, len(s), a, b, np.asarray(signs, np.uint64).view(np.int64), bands, needs))
-                yield pd.DataFrame(rows, columns=columns)
+        for part in arrow.parts(batches, 500):
+            n, first, second, signs, bands, needs = [], [], [], [], [], []
+            for text in part.column("text").to_pylist():
+                s = rule.shingles(text, hashes)
+                a, b = _set_ids(s)
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                # copies met in this task need not say it again
+                own = ([], [], []) if a in seen else rule.signatures(s)
+                seen.add(a)
+                n.append(len(s))
+                first.append(a)
+                second.append(b)
+                signs.append(np.asarray(own[0], np.uint64).view(np.int64))
+                bands.append(own[1])
+                needs.append(own[2])
+            yield arrow.with_columns(part, ["text"], {
+                "n_shingles": (n, pa.int64()), "set_a": (first, pa.int64()), "set_b": (second, pa.int64()),
+                "signatures": (signs, pa.list_(pa.int64())), "bands": (bands, pa.list_(pa.int32())), "needs": (needs, pa.list_(pa.int32())),
+            })
 
     return run
 
@@ -172,12 +177,12 @@ def t_occurrence(rule: Links, sets: list[np.ndarray], queries: list[np.ndarray])
 def _search(rule: Links):
     """Rows sorted by (family, block_a, block_b) to (entry, least linked entry or itself, number of links)."""
 
-    def group(rows: list[tuple]) -> pd.DataFrame:
+    def group(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = list({(r[3], r[4], r[6].tobytes()): r for r in rows}.values())  # a row may be repeated
         left = [r for r in rows if r[3] == r[1]]
         right = left if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == r[2]]
-        entries = np.array([r[4] for r in left] + ([] if right is left else [r[4] for r in right]), dtype=np.int64)
-        copies = np.array([r[5] for r in left] + ([] if right is left else [r[5] for r in right]), dtype=np.int64)
+        both = left if right is left else left + right
+        entries, copies = (np.array([r[i] for r in both], dtype=np.int64) for i in (4, 5))
         shift = 0 if right is left else len(left)
         label, links = np.arange(len(entries)), np.zeros(len(entries), np.int64)
         for i, found in enumerate(t_occurrence(rule, [r[6] for r in right], [r[6] for r in left])):
@@ -191,56 +196,62 @@ def _search(rule: Links):
             labels = np.unique(np.append(label[found], label[i]))
             if len(labels) > 1:
                 label[np.isin(label, labels)] = labels[0]
-        least = pd.Series(entries).groupby(label).transform("min").to_numpy()
-        return pd.DataFrame({"entry": entries, "linked": least, "n_links": links})
+        least = np.full(len(entries), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, entries)
+        return entries, least[label], links
+
+    def batch(done: list[tuple]) -> pa.RecordBatch:
+        return arrow.made({n: (np.concatenate([d[i] for d in done]), pa.int64()) for i, n in enumerate(("entry", "linked", "n_links"))})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         key, done, waiting = None, [], 0
-        for batch in batches:
-            for r in batch[["family", "block_a", "block_b", "block", "entry", "copies", "tokens"]].itertuples(index=False, name=None):
+        for part in arrow.parts(batches, 1_000):
+            for r in zip(*arrow.values(part, "family", "block_a", "block_b", "block", "entry", "copies", "tokens"), strict=True):
                 if r[:3] != key and rows:
                     done.append(group(rows))
                     waiting += len(rows)
                     rows = []
                     if waiting > 5000:
-                        yield pd.concat(done)
+                        yield batch(done)
                         done, waiting = [], 0
                 key = r[:3]
                 rows.append((*r[:6], np.frombuffer(r[6], dtype=np.uint64)))
         if rows:
             done.append(group(rows))
         if done:
-            yield pd.concat(done)
+            yield batch(done)
 
     return run
 
 
 def _tokens(rule: Links):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.iloc[lo : lo + 200]
-                yield part.drop(columns="text").assign(tokens=[rule.shingles(t, hashes).tobytes() for t in part["text"]])
+        for part in arrow.parts(batches, 200):
+            yield arrow.with_columns(part, ["text"], {"tokens": ([rule.shingles(t, hashes).tobytes() for t in part.column("text").to_pylist()], pa.binary())})
 
     return run
 
 
+def _least(rows: DataFrame, label: str) -> DataFrame:
+    """(signature, low) of signatures that more than one set has. A table of its own, so that its join shuffles both sides alone and can split a hot signature."""
+    ends = rows.groupBy("signature").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
+    return scratch.table(ends.filter("low < high").select("signature", "low"), label)
+
+
 def _stars(signed: DataFrame) -> DataFrame:
     """Edges (u, v) from each set that shares enough signatures to the least set of each signature."""
-    same = Window.partitionBy("signature")
     rows = signed.select("set_a", F.explode("signatures").alias("signature"))
-    shared = rows.select("set_a", "signature", F.min("set_a").over(same).alias("low"), F.max("set_a").over(same).alias("high")).filter("low < high")
-    shared = scratch.table(shared.select("set_a", "signature").distinct(), "shared")
+    shared = scratch.table(rows.join(_least(rows, "met"), "signature", "left_semi").distinct(), "shared")
     band = F.col("signature").bitwiseAND(63).cast("int").alias("band")
     needs = signed.select("set_a", F.explode(F.arrays_zip("bands", "needs")).alias("x")).select("set_a", F.col("x.bands").alias("band"), F.col("x.needs").alias("need")).distinct()
     enough = shared.groupBy("set_a", band).count().join(needs, ["set_a", "band"]).filter("count >= need").select("set_a", "band")
-    left = shared.select("set_a", "signature", band).join(enough, ["set_a", "band"], "left_semi")
-    return left.select(F.col("set_a").alias("u"), F.min("set_a").over(same).alias("v")).filter("u <> v").distinct()
+    left = scratch.table(shared.select("set_a", "signature", band).join(enough, ["set_a", "band"], "left_semi").select("set_a", "signature"), "enough")
+    return left.join(_least(left, "low"), "signature").select(F.col("set_a").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
 
 
-def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, block_tokens: int = 2_000_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens: int = 400_000) -> DataFrame:
     """``docs`` (doc_id, text) to (doc_id, n_shingles, component_id, n_links): one row per document.
 
     ``n_links``: other documents it is linked with, copies included. Null or
@@ -249,34 +260,34 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, block_tokens
     of all of them count; texts that differ under one doc_id link as one document). Rows without a doc_id are left out. Other columns are
     ignored; an empty table gives no rows.
     """
-    rule = Links(size, percent)
+    rule, spark = Links(size, percent), docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
 
-    signed = texts.mapInPandas(_documents(rule), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signatures array<bigint>, bands array<int>, needs array<int>")
+    signed = texts.mapInArrow(_documents(rule), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signatures array<bigint>, bands array<int>, needs array<int>")
     signed = scratch.table(signed, "signed")
     sets = signed.select("doc_id", "n_shingles", "set_a", "set_b")
     entries = sets.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("entry"), F.countDistinct("doc_id").alias("copies"))
     entries = scratch.table(entries, "entries")
-    family = components(_stars(signed))
+    family = scratch.only(spark, lambda: components(_stars(signed)), "families")
     active = entries.join(family.withColumnRenamed("node", "set_a").withColumnRenamed("component", "family"), "set_a")
     active = scratch.table(active, "active")
 
     # A text is read again where its entry is active, once for each entry. What is
     # active grows with the documents, so this join is never a broadcast.
-    many = active.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_tokens).cast("int").alias("blocks"))
+    many = scratch.table(active.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_tokens).cast("int").alias("blocks")), "blocks")
     active = active.join(many, "family")
     own = texts.join(active.select(F.col("entry").alias("doc_id"), "family", "copies", "blocks", "n_shingles", "set_a").hint("merge"), "doc_id")
-    tokens = own.mapInPandas(_tokens(rule), "doc_id bigint, family bigint, copies bigint, blocks int, n_shingles bigint, set_a bigint, tokens binary")
+    tokens = own.mapInArrow(_tokens(rule), "doc_id bigint, family bigint, copies bigint, blocks int, n_shingles bigint, set_a bigint, tokens binary")
     tokens = (
         tokens.filter(F.length("tokens") == 8 * F.col("n_shingles"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("family", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", F.col("doc_id").alias("entry"), "copies", "tokens")
     )
-    found = tokens.repartition("family", "block_a", "block_b").sortWithinPartitions("family", "block_a", "block_b", "entry").mapInPandas(_search(rule), "entry bigint, linked bigint, n_links bigint")
+    found = tokens.repartition("family", "block_a", "block_b").sortWithinPartitions("family", "block_a", "block_b", "entry").mapInArrow(_search(rule), "entry bigint, linked bigint, n_links bigint")
     found = scratch.table(found, "found")
 
-    linked = components(found.select(F.col("entry").alias("u"), F.col("linked").alias("v")))
+    linked = scratch.only(spark, lambda: components(found.select(F.col("entry").alias("u"), F.col("linked").alias("v"))), "linked")
     links = found.groupBy("entry").agg(F.sum("n_links").alias("n_links"))
     entries = (
         entries.join(links, "entry", "left")

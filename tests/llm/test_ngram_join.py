@@ -16,8 +16,8 @@ def shingles(text, size=4):
     return frozenset(tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)) if len(ws) >= size else frozenset([tuple(ws)])
 
 
-def brute(rows, percent=85):
-    sets = {d: shingles(t) for d, t, *_ in rows}
+def brute(rows, percent=85, size=4):
+    sets = {d: shingles(t, size) for d, t, *_ in rows}
     ids = sorted(sets)
     linked = defaultdict(set)
     for i, a in enumerate(ids):
@@ -56,14 +56,14 @@ def corpus():
 
 def test_against_brute_force(spark):
     rows = corpus()
-    assert result(ngram_join.jaccard_join(documents(spark, rows))) == brute(rows)
+    assert result(ngram_join.jaccard_join(documents(spark, rows), 4, 85)) == brute(rows)
 
 
 def test_blocks_of_a_large_family(spark):
     """A family over many blocks has the links of one block."""
     base = words(1, 60)
     rows = [(i, " ".join(edited(base, i, i % 4))) for i in range(60)]
-    assert result(ngram_join.jaccard_join(documents(spark, rows), block_tokens=500)) == brute(rows)
+    assert result(ngram_join.jaccard_join(documents(spark, rows), 4, 85, block_tokens=500)) == brute(rows)
 
 
 def test_chain_of_links(spark):
@@ -72,13 +72,13 @@ def test_chain_of_links(spark):
     for i in range(12):
         rows.append((100 - i, " ".join(ws)))
         ws = [*ws[4:], *words(50 + i, 4)]
-    got = result(ngram_join.jaccard_join(documents(spark, rows)))
+    got = result(ngram_join.jaccard_join(documents(spark, rows), 4, 85))
     assert got == brute(rows) and len({c for _, c, _ in got.values()}) == 1
 
 
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, None), (3, None)]
-    assert result(ngram_join.jaccard_join(documents(spark, rows))) == {1: (5, 1, 1), 2: (5, 1, 1), 3: (0, 3, 0)}
+    assert result(ngram_join.jaccard_join(documents(spark, rows), 4, 85)) == {1: (5, 1, 1), 2: (5, 1, 1), 3: (0, 3, 0)}
     assert ngram_join.jaccard_join(documents(spark, [])).count() == 0
     assert ngram_join.jaccard_join(documents(spark, [(None, "a b c d e")])).count() == 0
 
@@ -86,12 +86,12 @@ def test_repeated_rows_and_empty_table(spark):
 def test_very_long_text(spark):
     ws = words(3, 60_000, 10**9)
     rows = [(1, " ".join(ws)), (2, " ".join(edited(ws, 1, 200))), (3, " ".join(words(4, 60_000, 10**9)))]
-    assert result(ngram_join.jaccard_join(documents(spark, rows))) == brute(rows)
+    assert result(ngram_join.jaccard_join(documents(spark, rows), 4, 85)) == brute(rows)
 
 
 def test_signatures_meet():
     """Any two sets at the threshold share a signature, and enough of them."""
-    rule, r = ngram_join.Links(), random.Random(0)
+    rule, r = ngram_join.Links(4, 85), random.Random(0)
     for n in [6, 7, 9, 13, 20, 41, 77, 150, 333, 900]:
         for _ in range(20):
             universe = np.array(r.sample(range(1 << 62), 2 * n + 10), dtype=np.uint64) * np.uint64(4)
@@ -113,7 +113,7 @@ def test_signatures_meet():
 
 
 def test_divide_skip_equals_counting():
-    rule, r = ngram_join.Links(), random.Random(1)
+    rule, r = ngram_join.Links(4, 85), random.Random(1)
     base = np.arange(1, 101, dtype=np.uint64)
     sets = [np.unique(np.concatenate([r.sample(base.tolist(), 92), [1000 + i * 7 + j for j in range(4)]]).astype(np.uint64)) for i in range(40)]
     for q, found in zip(sets, ngram_join.t_occurrence(rule, sets, sets)):
