@@ -4,9 +4,10 @@
 sketch of each measure for each language and source; sketches merge, so a hot
 source is aggregated where its rows are, a day's sketches can be added to an
 earlier table, and a group with few rows takes the merged sketch of its language
-or of everything. ``thresholds`` turns quantiles into fences (a median and a
-multiple of the upper or lower half-spread, with a least width), and ``assess``
-joins them back to the rows.
+or of everything. ``thresholds`` draws a fence at a high (or low) quantile of the
+group and a multiple of its distance from the median beyond, and ``judge`` joins
+them back to the rows. How high the quantile is says what share of a group is taken
+to be sound: four fifths where junk is common, 0.99 where any repeat is rare.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Windows are compared by 64-bit hashes.
 """
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm import scratch
+from shelfloom.llm import arrow, scratch
 
 WINDOW = 8
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -30,21 +31,21 @@ class Rules:
 
     least_words: int = 20
     most_repeated: int = 30
-    spread: float = 8.0
     least_rows: int = 200
     sketch_k: int = 1000
     #: Groups of language and source up to which the fences are broadcast.
     broadcast_groups: int = 20_000
 
 
-#: Measure, side of the fence, least distance from the median.
+#: Measure, side of the fence, quantile that is sound, multiple of its distance from the median, tolerance where all are alike.
 MEASURES = (
-    ("symbol_share", "upper", 0.15),
-    ("dup_line_share", "upper", 0.50),
-    ("repeat_share", "upper", 0.30),
-    ("word_length", "upper", 3.0),
-    ("word_length", "lower", 2.0),
+    ("symbol_share", "upper", 0.80, 2.0, 0.05),
+    ("dup_line_share", "upper", 0.99, 1.0, 0.05),
+    ("repeat_share", "upper", 0.99, 1.0, 0.03),
+    ("word_length", "upper", 0.80, 8.0, 0.1),
+    ("word_length", "lower", 0.05, 4.0, 0.1),
 )
+_QUANTILES = (0.5, *sorted({m[2] for m in MEASURES}))
 
 
 def features(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -53,7 +54,7 @@ def features(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame
     ``prefix`` goes before the new names; columns of ``docs`` that have such a name are replaced.
     """
     docs = docs.drop(*[prefix + name for name in FEATURES])
-    tmp = lambda name: f"__{name}"
+    tmp = lambda name: arrow.spare([*docs.columns, *FEATURES], f"__{name}")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     blank = F.translate(t, "\t\n\x0b\x0c\r", "     ")
     step = docs.withColumn(tmp("t"), t).withColumn(tmp("words"), F.array_remove(F.split(blank, " ", -1), ""))
@@ -96,25 +97,25 @@ def base_failed(rules: Rules, prefix: str = "") -> Column:
 
 
 def sketches(measured: DataFrame, rules: Rules, prefix: str = "") -> DataFrame:
-    """One row for each (lang, source): n and a sketch of each measure, over the rows that pass the base rules."""
+    """One row for each (lang, source): n and a sketch of each measure, over the rows that pass the base rules. ``measured`` should be a written table, as each measure reads it."""
     sound = measured.filter(~base_failed(rules, prefix))
     return sound.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, F.lit(rules.sketch_k)).alias(m) for m, c in _measures(prefix).items()])
 
 
-def thresholds(kept: DataFrame, rules: Rules) -> DataFrame:
-    """Sketches by (lang, source) to fences by (lang, source)."""
-    names = list(dict.fromkeys(m for m, _, _ in MEASURES))
+def thresholds(kept: DataFrame, rules: Rules, mark: str = "") -> DataFrame:
+    """Sketches by (lang, source) to fences by (lang, source); ``mark`` goes before every name."""
+    names = list(dict.fromkeys(m[0] for m in MEASURES))
     merged = lambda by: [F.sum("n").alias(f"n_{by}"), *[F.kll_merge_agg_double(m, F.lit(rules.sketch_k)).alias(f"{m}_{by}") for m in names]]
     by_lang = kept.groupBy(F.col("lang").alias("of_lang")).agg(*merged("lang"))
     of_all = kept.groupBy().agg(*merged("all"))
     wide = kept.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left").join(F.broadcast(of_all))  # one row
     pick = lambda m: F.when(F.col("n") >= rules.least_rows, F.col(m)).when(F.col("n_lang") >= rules.least_rows, F.col(f"{m}_lang")).otherwise(F.col(f"{m}_all"))
-    wide = wide.select("lang", "source", *[F.kll_sketch_get_quantile_double(pick(m), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(m) for m in names])
+    wide = wide.select("lang", "source", *[F.kll_sketch_get_quantile_double(pick(m), F.array(*[F.lit(q) for q in _QUANTILES])).alias(m) for m in names])
     fences = []
-    for m, side, least in MEASURES:
-        low, mid, high = (F.element_at(m, i) for i in (1, 2, 3))
-        fences.append((mid + F.greatest(rules.spread * (high - mid), F.lit(least)) if side == "upper" else mid - F.greatest(rules.spread * (mid - low), F.lit(least))).alias(f"{m}_{side}"))
-    return wide.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *fences)
+    for m, side, quantile, stretch, tolerance in MEASURES:
+        mid, edge = F.element_at(m, 1), F.element_at(m, 1 + _QUANTILES.index(quantile, 1))
+        fences.append((edge + stretch * (edge - mid) + F.lit(tolerance if side == "upper" else -tolerance)).alias(f"{mark}{m}_{side}"))
+    return wide.select(F.col("lang").alias(mark + "lang"), F.col("source").alias(mark + "source"), *fences)
 
 
 def judge(counted: DataFrame, rules: Rules = Rules(), prefix: str = "") -> DataFrame:
@@ -129,13 +130,14 @@ def judge(counted: DataFrame, rules: Rules = Rules(), prefix: str = "") -> DataF
     """
     measured = scratch.table(counted.drop(prefix + "base_failed", prefix + "kept"), "features")
     kept = scratch.table(sketches(measured, rules, prefix), "sketches")
-    fences = scratch.table(thresholds(kept, rules), "fences")
+    mark = arrow.spare([c[: i + 1] for c in measured.columns for i in range(len(c))], "__")
+    fences = scratch.table(thresholds(kept, rules, mark), "fences")
     if fences.count() <= rules.broadcast_groups:
         fences = F.broadcast(fences)
-    joined = measured.join(fences, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
+    joined = measured.join(fences, F.col("lang").eqNullSafe(F.col(mark + "lang")) & F.col("source").eqNullSafe(F.col(mark + "source")), "left")
     value, inside = _measures(prefix), F.lit(True)
-    for m, side, _ in MEASURES:
-        fence = F.col(f"{m}_{side}")
+    for m, side, *_ in MEASURES:
+        fence = F.col(f"{mark}{m}_{side}")
         inside = inside & F.coalesce(value[m] <= fence if side == "upper" else value[m] >= fence, F.lit(True))
     failed = base_failed(rules, prefix)
     return joined.select(*measured.columns, failed.alias(prefix + "base_failed"), (~failed & inside).alias(prefix + "kept"))
