@@ -35,8 +35,8 @@ def case():
 def test_against_brute_force(spark):
     docs, items = case()
     table = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (3, 20_000):
-        got = {tuple(r) for r in D.contained_items(documents(spark, docs), table, block_items=block).select("doc_id", "item_id", "n_shingles", "n_shared").collect()}
+    for most in (3, 20_000):
+        got = {tuple(r) for r in D.contained_items(documents(spark, docs), table, most_items=most).select("doc_id", "item_id", "n_shingles", "n_shared").collect()}
         assert got == brute(docs, items) and len(got) > 8
 
 
@@ -45,10 +45,12 @@ def test_rows_without_items(spark):
     table = spark.createDataFrame(items, "item_id bigint, text string")
     bad = {d for d, *_ in brute(docs, items)}
     df = documents(spark, docs)
-    out = D.without_items(df, table, block_items=5)
-    assert out.columns == df.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, *_ in docs if d not in bad)
+    for most in (100, 10**9):
+        out = D.without_items(df, table, most_chars=most)
+        assert out.columns == df.columns
+        assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, *_ in docs if d not in bad)
     assert D.without_items(df, table.filter("false")).count() == len(docs)
+    assert D.contained_items(df.filter("false"), table, most_items=0).count() == 0 and D.without_items(df.filter("false"), table, most_items=0).count() == 0
     assert D.contained_items(df, table.filter("false")).count() == 0
     assert D.contained_items(df.filter("false"), table).count() == 0
 
