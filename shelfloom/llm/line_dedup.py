@@ -17,29 +17,26 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm import scratch
+from shelfloom.llm import arrow, scratch
 
-MIN_SITES, MIN_WORDS, MOST_SHARE, LG_K = 10, 3, 0.5, 10
+MIN_SITES, LG_K = 10, 10
 
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+def _hash(line: Column) -> Column:
+    """Hash of a line; null for a blank one."""
+    normal = F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    return F.when(normal != "", F.xxhash64(normal))
 
 
-def _hash(line: Column, min_words: int) -> Column:
-    """Hash of a line that counts; null for a blank one and for one with fewer words."""
-    normal = _normal(line)
-    return F.when((normal != "") & (F.size(F.split(normal, " ")) >= min_words), F.xxhash64(normal))
+def _lines(text: Column) -> Column:
+    return F.split(text.cast("string"), "\n", -1)
 
 
-def _visible(line: Column) -> Column:
-    return F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
-
-
-def line_hashes(docs: DataFrame, key: str, site: str, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, site, line_hash) for each distinct line of each row that counts; written once, as it is needed more than once."""
-    lines = F.array_distinct(F.filter(F.transform(F.split(F.col(text).cast("string"), "\n", -1), lambda x: _hash(x, min_words)), lambda h: h.isNotNull()))
-    return scratch.table(docs.select(F.col(key).alias("key"), F.col(site).cast("string").alias("site"), F.explode(lines).alias("line_hash")), "lines")
+def line_hashes(docs: DataFrame, key: str, site: str, text: str = "text") -> DataFrame:
+    """(key, text_hash, site, line_hash) for each distinct line of each row that isn't blank; written once, as it is needed more than once."""
+    lines = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), _hash), lambda h: h.isNotNull()))
+    own = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(site).cast("string").alias("site"), F.explode(lines).alias("line_hash"))
+    return scratch.table(own, "lines")
 
 
 def boilerplate(hashes: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -55,28 +52,27 @@ def boilerplate(hashes: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 
 def remove_boilerplate(
-    docs: DataFrame, site: str = "source", text: str = "text", key: str = "doc_id", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE, lg_k: int = LG_K, count_as: str = "n_lines_removed"
+    docs: DataFrame, site: str = "source", text: str = "text", key: str = "doc_id", min_sites: int = MIN_SITES, lg_k: int = LG_K, count_as: str = "n_lines_removed", whole_as: str = "all_boilerplate"
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and their number as ``count_as``: one row for each row.
-
-    Blank lines and lines of fewer than ``min_words`` words stay. A text of which
-    more than ``most_share`` of the visible characters would go, or all of them, is a
-    copy of a page and not a page with boilerplate: it stays whole, for
-    near-duplicate removal to judge. With ``min_words=1`` and ``most_share=1`` every
-    other line counts and only texts that are boilerplate throughout stay. Null
-    and empty texts stay as they are; a null site counts for no spread, but its
-    lines are removed like others. Repeated rows are treated alike. An empty table
-    gives no rows. Other columns are kept; one that is named as the count is replaced.
+    """``docs`` with boilerplate lines taken out of ``text``, their number as ``count_as``, and ``whole_as``: one row for each row.
+
+    Every line but a blank one counts, however short it is and whatever its share
+    of the text. A text with no other line isn't a page with boilerplate but a
+    copied page: it stays as it is and is flagged in ``whole_as``, for near-duplicate
+    removal to judge. Null and empty texts stay as they are; a null site counts for
+    no spread, but its lines are removed like others. Repeated rows are treated
+    alike, and rows without a key by their own text. An empty table gives no rows.
+    Other columns are kept; ones that are named as the two results are replaced.
     """
-    docs = docs.drop(count_as)
-    hashes = line_hashes(docs, key, site, text, min_words)
-    found = scratch.table(boilerplate(hashes, min_sites, lg_k), "boilerplate")
-    has = hashes.select(F.col("key").alias("__key"), "line_hash").join(found, "line_hash").groupBy("__key").agg(F.collect_set("line_hash").alias("__bad"))
-    both = docs.join(has, docs[key].eqNullSafe(has["__key"]), "left").withColumn("__lines", F.split(F.col(text).cast("string"), "\n", -1))
-    clean = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__bad", _hash(x, min_words)), F.lit(False)))
-    both = both.withColumn("__stay", F.when(F.col("__bad").isNull(), F.col("__lines")).otherwise(clean))
-    both = both.withColumn("__kept", F.array_join("__stay", "\n"))
-    cut = F.col("__bad").isNotNull() & (F.size("__stay") < F.size("__lines")) & (_visible(F.col("__kept")) >= (1 - most_share) * _visible(F.col(text))) & (_visible(F.col("__kept")) > 0)
-    cut = F.coalesce(cut, F.lit(False))
-    new = {text: F.when(cut, F.col("__kept")).otherwise(F.col(text))}
-    return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns], F.when(cut, F.size("__lines") - F.size("__stay")).otherwise(0).cast("bigint").alias(count_as))
+    docs = docs.drop(count_as, whole_as)
+    hashes = line_hashes(docs, key, site, text)
+    found = scratch.only(docs.sparkSession, lambda: boilerplate(hashes, min_sites, lg_k), "boilerplate")
+    k, h, bad, lines, stay = (arrow.spare(docs.columns, "__" + name) for name in ("key", "text_hash", "bad", "lines", "stay"))
+    has = hashes.select(F.col("key").alias(k), F.col("text_hash").alias(h), "line_hash").join(found, "line_hash").groupBy(k, h).agg(F.collect_set("line_hash").alias(bad))
+    both = docs.join(has, docs[key].eqNullSafe(has[k]) & (F.xxhash64(docs[text].cast("string")) == has[h]), "left").withColumn(lines, _lines(F.col(text)))
+    clean = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(bad, _hash(x)), F.lit(False)))
+    both = both.withColumn(stay, F.when(F.col(bad).isNotNull(), clean))
+    some = F.coalesce(F.exists(stay, lambda x: x.rlike(r"[^\x20\x09-\x0D]")), F.lit(False))
+    new = {text: F.when(some, F.array_join(stay, "\n")).otherwise(F.col(text))}
+    count = F.when(some, F.size(lines) - F.size(stay)).otherwise(0).cast("bigint")
+    return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns], count.alias(count_as), (F.col(bad).isNotNull() & ~some).alias(whole_as))

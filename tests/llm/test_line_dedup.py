@@ -12,23 +12,22 @@ def normal(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
 
 
-def brute(rows, min_sites, min_words=3, most=0.5):
+def brute(rows, min_sites):
     sites = defaultdict(set)
-    counts = lambda x: len(normal(x).split(" ")) >= min_words
     for _, text, site in rows:
         for line in (text or "").split("\n"):
-            if counts(line) and site is not None:
+            if normal(line) and site is not None:
                 sites[normal(line)].add(site)
     bad = {k for k, v in sites.items() if len(v) >= min_sites}
-    seen = lambda x: len(re.sub(r"[\x20\x09-\x0D]", "", x))
     out = []
     for d, text, _ in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (counts(x) and normal(x) in bad)]
-        if text is not None and len(kept) < len(lines) and seen("\n".join(kept)) >= (1 - most) * seen(text):
-            out.append((d, "\n".join(kept), len(lines) - len(kept)))
+        kept = [x for x in lines if normal(x) not in bad]
+        some = any(normal(x) for x in kept)
+        if text is not None and some:
+            out.append((d, "\n".join(kept), len(lines) - len(kept), False))
         else:
-            out.append((d, text, 0))
+            out.append((d, text, 0, len(kept) < len(lines)))
     return sorted(out, key=str)
 
 
@@ -43,6 +42,7 @@ def rows_for(sites):
                 lines.append("follow us everywhere today")
             rows.append((i * 10 + j, "\n".join(lines), f"site{i}"))
     rows += [(900, None, "x"), (901, "", None), (902, "All rights reserved", "y"), (903, "all rights reserved\n" + " ".join(words(5, 30)), None), (904, "two words\ntwo words", "z"), (0, rows[0][1], "site0")]
+    rows += [(None, "follow us everywhere today\nmine alone", "site0"), (None, "ok\nmine too", "site0"), (950, "OK\nthe  the\n\nof my own", "q")]
     return rows + [(905 + i, "the the\nok", f"site{i}") for i in range(12)]
 
 
@@ -52,8 +52,8 @@ def test_against_brute_force(spark, lg_k):
     rows = rows_for(30)
     df = documents(spark, rows)
     out = L.remove_boilerplate(df, min_sites=10, lg_k=lg_k)
-    assert set(out.columns) == set(df.columns)
-    got = sorted(((r.doc_id, r.text, r.n_lines_removed) for r in out.collect()), key=str)
+    assert set(out.columns) == {*df.columns, "all_boilerplate"}
+    got = sorted(((r.doc_id, r.text, r.n_lines_removed, r.all_boilerplate) for r in out.collect()), key=str)
     assert got == brute(rows, 10)
 
 
