@@ -15,11 +15,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.llm import arrow
+
 #: Characters of a text, or of a run of white space, from which it is cut.
 LONG = 50_000
 LONG_RUN = 2_000
@@ -42,6 +44,7 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
+        self.digits = [str(i) for i in range(len(self.bytes_of))]
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -74,13 +77,14 @@ class Codec:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
+_IDS = pa.list_(pa.int32())
+
+
 def _encode(path: str, pattern: str, column: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        for batch in batches:
-            for lo in range(0, len(batch), 200):
-                part = batch.iloc[lo : lo + 200]
-                yield part.drop(columns=column).assign(ids=[codec.encode(t) for t in part[column]])
+        for part in arrow.parts(batches, 200):
+            yield arrow.with_columns(part, [column], {"ids": ([codec.encode(t) for t in part.column(column).to_pylist()], _IDS)})
 
     return run
 
@@ -91,36 +95,38 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     Null text is encoded as empty: no ids. Columns not in ``keep`` are left out,
     so a column named ids can't clash. An empty table gives no rows.
     """
-    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInPandas(_encode(path, pattern, "__text"), f"{schema}, ids array<int>")
+    column = arrow.spare(keep, "text")
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(column))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != column)
+    return rows.mapInArrow(_encode(path, pattern, column), f"{schema}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep, ids) to (*keep, ids, decoded binary): the bytes of the ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        for batch in batches:
-            yield batch.assign(decoded=[codec.decode(i) for i in batch["ids"]])
+        for part in arrow.parts(batches, 200):
+            yield arrow.with_columns(part, [], {"decoded": ([codec.decode(i) for i in part.column("ids").to_pylist()], pa.binary())})
 
     rows = encoded.select(*keep, "ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{schema}, decoded binary")
+    return rows.mapInArrow(run, f"{schema}, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes each text and decodes the ids, without moving them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
-        name = [str(i) for i in range(len(codec.bytes_of))]
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for part in arrow.parts(batches, 1_000):
+            n, ids_sha, decoded_sha = [], [], []
+            for text in part.column("text").to_pylist():
                 ids = codec.encode(text)
-                rows.append((doc, len(ids), hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(",".join([codec.digits[i] for i in ids]).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+            yield arrow.with_columns(part, ["text"], {"n_tokens": (n, pa.int64()), "ids_sha256": (ids_sha, pa.string()), "decoded_sha256": (decoded_sha, pa.string())})
 
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
