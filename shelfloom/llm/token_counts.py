@@ -6,6 +6,12 @@ longest pieces at the front have been popped, and the number of those pieces is
 kept beside it. A word is read once, character by character, each failure step
 pops at least one piece, so the work is linear in its length. Distinct words are
 counted once in a batch and kept for later ones.
+
+A vocabulary with a mark for the end of a word has it as one more character, after
+the last one of the word: a final piece fits at the end only. The mark alone is a piece
+that counts nothing, so a word may end with a piece that isn't final where the
+longest match leaves no other. A word with a character that no piece has is one
+unknown piece.
 """
 
 from __future__ import annotations
@@ -14,24 +20,30 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.llm import arrow
+from shelfloom.llm.words import KEPT_LENGTH
+
 _PRE = re.compile(r"[^\W\d_]+|\d|[^\w\s]+|_+")
 _KEPT_WORDS = 1_000_000
 _DEAD = -1
+#: Stands for the end of a word; no byte is written as it.
+_END = "\ue000"
 
 
 class Automaton:
-    """Counts greedy pieces; ``initial`` may start a word, ``continuing`` may follow (the same by default)."""
+    """Counts greedy pieces; ``initial`` may start a word, ``continuing`` may follow (the same by default); a piece in ``free`` counts nothing."""
 
-    def __init__(self, initial: Iterable[str], continuing: Iterable[str] | None = None):
+    def __init__(self, initial: Iterable[str], continuing: Iterable[str] | None = None, free: frozenset[str] = frozenset()):
         self.next: list[dict[str, int]] = [{}]
         self.fail: list[int] = [_DEAD]
         self.pops: list[int] = [0]
         self.whole: list[bool] = [False]
         self.start = self.rest = 0
+        self.free, self.uncounted = free, set()
         initial = list(initial)
         self._grow(self.rest, initial if continuing is None else continuing)
         if continuing is not None:
@@ -56,6 +68,8 @@ class Automaton:
                 at = to
             if at != root:
                 self.whole[at] = True
+                if piece in self.free:
+                    self.uncounted.add(at)
 
     def _link(self) -> None:
         """Breadth first: a node that is a piece pops itself; another pops as its parent does until the character fits."""
@@ -66,7 +80,7 @@ class Automaton:
                 for c, node in self.next[parent].items():
                     below.append(node)
                     if self.whole[node]:
-                        self.fail[node], self.pops[node] = self.rest, 1
+                        self.fail[node], self.pops[node] = self.rest, int(node not in self.uncounted)
                         continue
                     at, popped = self.fail[parent], self.pops[parent]
                     while at != _DEAD and c not in self.next[at]:
@@ -103,14 +117,14 @@ def byte_characters() -> list[str]:
 
 
 class Counts:
-    """Pieces of texts by the vocabulary in a tokenizer file; words are lower case, white space is dropped."""
+    """Pieces of texts by the vocabulary in a tokenizer file, whose final pieces have ``word_end``; words are lower case, white space is dropped."""
 
     _built: dict[str, Counts] = {}
 
     def __init__(self, path: str, word_end: str = "</w>"):
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        self.automaton = Automaton({piece.removesuffix(word_end) for piece in vocabulary} - {""})
+        self.automaton = Automaton({piece.removesuffix(word_end) + _END if piece.endswith(word_end) else piece for piece in vocabulary} - {""} | {_END}, free=frozenset({_END}))
         self.bytes_as = byte_characters()
         self.known: dict[str, int] = {}
 
@@ -123,9 +137,11 @@ class Counts:
     def word(self, word: str) -> int:
         n = self.known.get(word)
         if n is None:
-            if len(self.known) >= _KEPT_WORDS:
-                self.known.clear()
-            n = self.known[word] = self.automaton.count("".join([self.bytes_as[b] for b in word.encode("utf-8", "surrogatepass")]))
+            n = self.automaton.count("".join([self.bytes_as[b] for b in word.encode("utf-8", "surrogatepass")]) + _END)
+            if len(word) <= KEPT_LENGTH:
+                if len(self.known) >= _KEPT_WORDS:
+                    self.known.clear()
+                self.known[word] = n
         return n
 
     def text(self, text: str) -> tuple[int, int]:
@@ -141,11 +157,12 @@ def count_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     gives no rows. Other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts.of(path)
-        for batch in batches:
-            found = [counts.text(t) for t in batch["text"]]
-            yield pd.DataFrame({key: batch[key], "n_words": [w for w, _ in found], "n_pieces": [p for _, p in found]})
+        for part in arrow.parts(batches, 1_000):
+            found = [counts.text(t) for t in part.column(column).to_pylist()]
+            yield arrow.with_columns(part, [column], {"n_words": ([w for w, _ in found], pa.int64()), "n_pieces": ([p for _, p in found], pa.int64())})
 
-    rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_words bigint, n_pieces bigint")
+    column = arrow.spare([key], "text")
+    rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(column))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_words bigint, n_pieces bigint")
