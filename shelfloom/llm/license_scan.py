@@ -7,7 +7,7 @@ in common. A document's fingerprints pick (template, place) candidates; candidat
 on nearly the same diagonal are one. Each is aligned with the words of the document
 around that diagonal, in a band, by longest common subsequence; the share of the
 template's words that match, and the span from the first to the last of them, are
-reported when the share is large enough.
+reported when the share is large enough; a short notice must match as a whole.
 
 The index is that of the template list, which is part of the code that is sent;
 every document is scanned where it is, without a shuffle.
@@ -20,14 +20,17 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfloom.llm import arrow
 from shelfloom.llm.license_texts import TEXTS
 from shelfloom.llm.words import WordHashes, shingle_hashes
 
 K, WINDOW, PERCENT = 3, 3, 80
+#: A template of fewer words is a short notice, all of which must match.
+SHORT = 8
 _WORD = re.compile(r"\w+")
 
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
@@ -59,6 +62,11 @@ TEMPLATES = {
 }
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a text in lower case, one for each word of the text as it is."""
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+
+
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     """Places of the least gram of every window (the last one of equals); of all grams if they are fewer."""
     if len(grams) == 0:
@@ -104,13 +112,13 @@ class Index:
     """Templates with their fingerprints."""
 
     def __init__(self, templates: dict[str, str], k: int = K, window: int = WINDOW, percent: int = PERCENT):
-        self.k, self.window, self.percent = k, window, percent
+        self.k, self.window = k, window
         self.names, self.words = [], []
         self.numbers: dict[str, int] = {}
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         hashes = WordHashes()
         for name, text in templates.items():
-            words = _WORD.findall(text.lower())
+            words = words_of(text)
             if len(words) < k:
                 continue
             grams = shingle_hashes(hashes.of(words), k)
@@ -119,17 +127,17 @@ class Index:
             self.names.append(name)
             self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64))
         self.counts = [np.bincount(x, minlength=len(self.numbers)) for x in self.words]
+        self.needs = [len(x) if len(x) < SHORT else -(-percent * len(x) // 100) for x in self.words]
         self.keys = np.array(sorted(self.postings), dtype=np.uint64)
 
     def possible(self, t: int, numbers: np.ndarray) -> bool:
         """Whether enough words of a template are in the words at all, in any order: no alignment has more."""
         have = np.bincount(numbers[numbers >= 0], minlength=len(self.numbers))
-        return 100 * int(np.minimum(have, self.counts[t]).sum()) >= self.percent * len(self.words[t])
+        return int(np.minimum(have, self.counts[t]).sum()) >= self.needs[t]
 
     def scan(self, text: str, hashes: WordHashes) -> list[tuple[str, int, int, int, int]]:
         """(template, matched words, template words, start, end) of a text, by place; of overlapping finds of one template the best."""
-        lower = text.lower()
-        words = _WORD.findall(lower)
+        words = words_of(text)
         if len(words) < self.k or not len(self.keys):
             return []
         grams = shingle_hashes(hashes.of(words), self.k)
@@ -144,10 +152,10 @@ class Index:
             for t, q in self.postings[int(grams[p])]:
                 diagonals[t].add(int(p) - q)
         numbers = np.array([self.numbers.get(w, -1) for w in words], np.int64) if diagonals else None
-        spans, found = None, []
+        found = []
         for t, starts in diagonals.items():
             template = self.words[t]
-            if 100 * len(words) < self.percent * len(template) or not self.possible(t, numbers):
+            if len(words) < self.needs[t] or not self.possible(t, numbers):
                 continue
             band = max(2, len(template) // 8)
             best: list[tuple[int, int, int]] = []
@@ -162,18 +170,14 @@ class Index:
                     continue
                 around = np.concatenate([np.full(max(0, -lo), -1, np.int64), around])
                 n, first, last = _align(template, around, band)
-                if 100 * n >= self.percent * len(template):
+                if n >= self.needs[t]:
                     best.append((n, first + lo, last + lo))
             for n, first, last in sorted(best, key=lambda x: (-x[0], x[1])):
                 if all(last < a or first > b for name, _, _, a, b in found if name == t):
                     found.append((t, n, len(template), first, last))
         if not found:
             return []
-        # lower case may change the length of a text: offsets are those of the text itself
-        source = lower if len(lower) == len(text) else text
-        spans = [m.span() for m in _WORD.finditer(source)]
-        if len(spans) != len(words):
-            spans = [m.span() for m in _WORD.finditer(lower)]
+        spans = [m.span() for m in _WORD.finditer(text)]
         out = [(self.names[t], n, size, spans[a][0], spans[b][1]) for t, n, size, a, b in found]
         return sorted(out, key=lambda x: (x[3], x[4], x[0]))
 
@@ -185,12 +189,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, key: s
     their finds again. An empty table gives no rows. Other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, hashes = Index(templates, percent=percent), WordHashes()
-        for batch in batches:
-            rows = [(k, name, n, size, n / size, a, b) for k, t in zip(batch["key"], batch["text"], strict=True) for name, n, size, a, b in index.scan(t, hashes)]
-            yield pd.DataFrame(rows, columns=["key", "template", "matched", "words", "coverage", "start", "end"])
+        for part in arrow.parts(batches, 1_000):
+            rows = [(k, name, n, size, n / size, a, b) for k, t in zip(*arrow.values(part, "key", "text"), strict=True) for name, n, size, a, b in index.scan(t, hashes)]
+            yield arrow.made({n: ([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("key", "template", "matched", "words", "coverage", "start", "end"), types, strict=True))})
 
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    out = rows.mapInPandas(run, "key bigint, template string, matched bigint, words bigint, coverage double, `start` bigint, `end` bigint")
+    out = rows.mapInArrow(run, "key bigint, template string, matched bigint, words bigint, coverage double, `start` bigint, `end` bigint")
     return out.withColumnRenamed("key", key)

@@ -39,7 +39,7 @@ def test_finds_edited_licenses_and_their_spans(spark):
     rows = [(1, "Hello. Released under the MIT License. Bye"), (2, None), (3, ""), (4, " ".join(words(1, 500)) + " " + broken + " " + " ".join(words(2, 500))), (5, " ".join(mit.split()[:60])), (6, "LICENSED under the apache license version 2.0 İ"), (1, "Hello. Released under the MIT License. Bye"), (7, "nothing")]
     got = S.scan_licenses(documents(spark, rows)).collect()
     found = {(r.doc_id, r.template) for r in got}
-    assert found == {(1, "mit-notice"), (4, "mit"), (6, "apache-2.0-notice")}
+    assert found == {(1, "mit-notice"), (4, "mit"), (6, "apache-2.0-notice")}, found
     assert sum(r.doc_id == 1 for r in got) == 2
     one = next(r for r in got if r.doc_id == 1)
     assert rows[0][1][one.start : one.end] == "Released under the MIT License" and one.coverage == 1.0
@@ -80,3 +80,41 @@ def test_parts_of_a_license_that_stand_alone():
     bsd = S.TEMPLATES["bsd-3-clause"]
     at = bsd.index("THIS SOFTWARE IS")
     assert [[f[0] for f in index.scan(x, hashes)] for x in (bsd[at:], bsd[: bsd.index("Neither")])] == [["bsd-disclaimer"], ["bsd-conditions"]]
+
+
+def test_spans_are_those_of_the_text_itself():
+    """Lower case makes these words longer, or two of one; offsets and words don't move."""
+    index, hashes = S.Index(S.TEMPLATES), WordHashes()
+    for before in ("İstanbul " * 5, "ﬀ İ̇ ß ", "ΑΣ Ⱥ "):
+        text = before + "Released under the MIT License. İİ"
+        assert [text[f[3] : f[4]] for f in index.scan(text, hashes)] == ["Released under the MIT License"]
+
+
+def test_short_notices_match_as_a_whole():
+    index, hashes = S.Index(S.TEMPLATES), WordHashes()
+    assert index.scan("it is licensed under the MIT license", hashes) == [] and len(index.scan("it is released under the MIT license", hashes)) == 1
+
+
+def test_against_brute_force(spark):
+    """Random documents around edited templates: found are those templates that some stretch of the document aligns with well enough."""
+    templates = {f"t{i}": " ".join(words(700 + i, n, 400)) for i, n in enumerate((12, 25, 40, 70))}
+    rows = []
+    for i in range(40):
+        name = f"t{i % 4}"
+        size = len(templates[name].split())
+        inside = edited(templates[name].split(), i, (i % 5) * size // 12)
+        if i % 3 == 0:
+            del inside[size // 2]
+        rows.append((i, " ".join(words(i, 50, 400) + inside + words(900 + i, 30, 400))))
+    want = set()
+    for d, text in rows:
+        ws = text.split()
+        for name, t in templates.items():
+            t = t.split()
+            if max(lcs(t, ws[at : at + len(t) + 2]) for at in range(len(ws))) * 100 >= 80 * len(t):
+                want.add((d, name))
+    got = S.scan_licenses(documents(spark, rows), templates).collect()
+    assert {(r.doc_id, r.template) for r in got} == want and 15 < len(want) < 40
+    for r in got:
+        ws, t = S._WORD.findall(rows[r.doc_id][1][r.start : r.end]), templates[r.template].split()
+        assert lcs(t, ws) >= r.matched and 100 * r.matched >= 80 * r.words and ws[0] in t and ws[-1] in t
