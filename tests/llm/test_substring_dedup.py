@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
         rows.append((i, " ".join(own[:3]) + " and so " + " ".join(passage) + "\n" + " ".join(own[3:]) if i % 2 else "\n".join(own)))
     rows += [(20, " ".join(sentences(50, 5)) + " Yes. " + " ".join(sentences(50, 5))), (21, None), (22, ""), (23, "The. The. The."), (24, passage[0]), (25, " ".join(sentences(10, 6)[:2])), (None, " ".join(passage)), (3, rows[3][1])]
     df = documents(spark, rows)
-    got = S.drop_repeats(df).collect()
+    got = S.drop_repeats(df, least={"sentence": 25}).collect()
     want = brute(rows)
     assert len(got) == len(rows) and set(got[0].__fields__) == set(df.columns)
     original = defaultdict(list)
@@ -74,17 +74,43 @@ def test_against_brute_force(spark):
     assert all(not r.removed for r in got if r.doc_id in (1, 24, 25, None))
 
 
+def test_every_repeated_line_goes(spark):
+    """Short ones, too; of each the earliest occurrence stays, and what stays has its offsets in the original."""
+    rows = [(3, "Hello  World\nown three"), (1, "x\nhello world\n\nx"), (2, "hello world"), (2, "a\nhello WORLD\nb"), (4, "a\n\nc"), (5, "b"), (6, " \n"), (7, "x\nx")]
+    got = sorted((r.doc_id, r.text, [(s.start, s.end) for s in r.removed]) for r in S.drop_repeats(documents(spark, rows)).collect())
+    want = [
+        (1, "x\nhello world\n\n", [(15, 16)]), (2, "", [(0, 11)]), (2, "a\n\nb", [(2, 13)]), (3, "\nown three", [(0, 12)]),
+        (4, "\n\nc", [(0, 1)]), (5, "", [(0, 1)]), (6, " \n", []), (7, "", [(0, 3)]),
+    ]
+    assert got == sorted(want)
+
+
+def test_ties_of_rank(spark):
+    """Two documents of one rank share a line: it stays in one of them. Rows that are the same stay the same."""
+    line = " ".join(words(1, 40))
+    got = [r.text for r in S.drop_repeats(documents(spark, [(1, f"a\n{line}"), (1, f"b\n{line}"), (5, line), (5, line)])).collect()]
+    assert sorted(t for t in got if t[:2] in ("a\n", "b\n")) in ([f"a\n{line}", "b\n"], ["a\n", f"b\n{line}"]) and got.count("") == 2
+    got = [r.text for r in S.drop_repeats(documents(spark, [(5, line), (5, line)])).collect()]
+    assert got == [line, line]
+
+
 def test_empty_table_and_other_units(spark):
     assert S.drop_repeats(documents(spark, [])).count() == 0
     line = " ".join(words(1, 40))
-    rows = [(1, f"a\n{line}\nb"), (2, f"{line}\nc")]
-    got = {r.doc_id: r.text for r in S.drop_repeats(documents(spark, rows), unit="line").collect()}
-    assert got == {1: rows[0][1], 2: "\nc"}
     block = line + "\n" + line[::-1]
-    got = {r.doc_id: r.text for r in S.drop_repeats(documents(spark, [(1, block), (2, f"x y\n\n{block}\n\nz")]), unit="paragraph").collect()}
+    got = {r.doc_id: r.text for r in S.drop_repeats(documents(spark, [(1, block), (2, f"x y\n\n{block}\n\nz")]), least={"paragraph": 1}).collect()}
     assert got[1] == block and line not in got[2] and got[2].startswith("x y")
 
 
+def test_lines_and_sentences_together(spark):
+    """A line that repeats goes with its short end; a passage inside another line goes too, and spans that overlap are one."""
+    said = sentences(1, 4)
+    line = " ".join(said) + " So."
+    rows = [(1, line), (2, f"first\n{line}\nlast"), (3, "Before this one here. " + " ".join(said) + " After.")]
+    got = {r.doc_id: (r.text, len(r.removed)) for r in S.drop_repeats(documents(spark, rows), least={"line": 15, "sentence": 25}).collect()}
+    assert got == {1: (line, 0), 2: ("first\n\nlast", 1), 3: ("Before this one here. After.", 1)}
+
+
 @given(st.integers(0, 50), st.lists(st.tuples(st.integers(0, 50), st.integers(1, 5)), max_size=4))
 def test_kept_is_what_was_not_removed(n, parts):
     spans, at = [], 0
