@@ -5,30 +5,35 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm import byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts
+from shelfloom.llm import arrow, byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts
 
 PIECES = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Shorter lines repeat by chance or as boilerplate: half of all documents have one, and clean documents are to be left alone.
+PASSAGES = {"line": 15, "sentence": 25}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _chat_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+_DIGESTS = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+
+
+def _chat_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in arrow.parts(batches, 500):
         rows = []
-        for conv, out, spans in zip(batch["conv_id"], batch["formatted"], batch["spans"], strict=True):
+        for out, spans in zip(*arrow.values(part, "formatted", "spans"), strict=True):
             turns = chat_format.read_turns(out)
             loss = "".join(chat_format.unescape(out[s["text_start"] : s["text_end"]]) for s in spans if s["loss"])
             said = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(out)))
-        yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            rows.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(out)))
+        yield arrow.with_columns(part, ["formatted", "spans"], {n: ([r[i] for r in rows], t) for i, (n, t) in enumerate(_DIGESTS.items())})
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +42,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id bigint, turn bigint, role string, text string")
     out = chat_format.format_conversations(rows.unionByName(more))
-    digests = out.select("conv_id", "formatted", "spans").mapInPandas(_chat_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
-    return digests
+    return out.select("conv_id", "formatted", "spans").mapInArrow(_chat_digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +64,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every text without the lines that are on ten or more sites."""
+    """What is left of every text without the lines that are on ten or more sites; texts of nothing else are flagged."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = line_dedup.remove_boilerplate(docs, site="source", min_sites=10)
-    return out.select("doc_id", "n_lines_removed", F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines_removed", "all_boilerplate", F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,16 +87,18 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of every text that repeat an earlier document, and what is left."""
-    out = substring_dedup.drop_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Lines of 15 words and passages of 25 that repeat an earlier document, and what is left of every text."""
+    out = substring_dedup.drop_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), least=PASSAGES)
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return out.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), spans.alias("removed"), F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every whole text, scanned against an empty ledger."""
-    docs = _read(spark, sf_dir, "documents")
-    found, _ = secret_scan.scan_versions(docs, secret_scan.empty_ledger(spark))
+    """Secrets in every whole text. The table comes in two deliveries, earlier and later ids, and the second scans only blobs that aren't in the ledger of the first."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    middle = docs.agg(F.expr("cast(min(doc_id) / 2 + max(doc_id) / 2 as bigint)")).first()[0] or 0
+    early = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    found, _ = secret_scan.scan_deliveries([docs.filter(early), docs.filter(~early)], secret_scan.empty_ledger(spark))
     spans = F.col("findings")
     base = F.filter(spans, lambda x: x["kind"].isin([r.kind for r in secret_scan.BASE]))
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -123,9 +129,9 @@ FROM s JOIN c ON c.node = s.doc_id LEFT JOIN l ON l.u = s.doc_id
 
 _SQL["op1_chat_formatting"] = r"""
 WITH c AS (
-  SELECT conv_id, turn, role, text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
-), t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, role, text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, NULL, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (SELECT conv_id, alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c
 ), f AS (
   SELECT *, length('### ') + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(': ')
     + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + length(' </turn>') + 1 AS chars FROM t
@@ -133,7 +139,7 @@ WITH c AS (
   SELECT conv_id, count(*) AS n_turns, sum(chars)::BIGINT AS formatted_chars,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss
-  FROM f GROUP BY conv_id
+  FROM f GROUP BY conv_id, alone
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
@@ -158,10 +164,10 @@ WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM document
   SELECT g.lang, g.source, list_sort(list(m.symbol_share)) AS a, list_sort(list(m.dup_line_share)) AS b, list_sort(list(m.repeat_share)) AS c, list_sort(list(m.word_length)) AS d, count(*) AS k
   FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang JOIN m ON NOT m.base_failed AND (g.n < 200 OR m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source) AND (g.n >= 200 OR n_lang < 200 OR m.lang IS NOT DISTINCT FROM g.lang)
   GROUP BY g.lang, g.source
-), i AS (SELECT *, greatest(1, ceil(0.25 * k))::INT AS x, greatest(1, ceil(0.5 * k))::INT AS y, greatest(1, ceil(0.75 * k))::INT AS z FROM p
+), i AS (SELECT *, greatest(1, ceil(0.05 * k))::INT AS q5, greatest(1, ceil(0.5 * k))::INT AS q50, greatest(1, ceil(0.8 * k))::INT AS q80, greatest(1, ceil(0.99 * k))::INT AS q99 FROM p
 ), e AS (
-  SELECT lang, source, a[y] + greatest(8 * (a[z] - a[y]), 0.15::DOUBLE) AS a_top, b[y] + greatest(8 * (b[z] - b[y]), 0.5::DOUBLE) AS b_top, c[y] + greatest(8 * (c[z] - c[y]), 0.3::DOUBLE) AS c_top,
-    d[y] + greatest(8 * (d[z] - d[y]), 3::DOUBLE) AS d_top, d[y] - greatest(8 * (d[y] - d[x]), 2::DOUBLE) AS d_low FROM i
+  SELECT lang, source, a[q80] + 2::DOUBLE * (a[q80] - a[q50]) + 0.05::DOUBLE AS a_top, b[q99] + 1::DOUBLE * (b[q99] - b[q50]) + 0.05::DOUBLE AS b_top, c[q99] + 1::DOUBLE * (c[q99] - c[q50]) + 0.03::DOUBLE AS c_top,
+    d[q80] + 8::DOUBLE * (d[q80] - d[q50]) + 0.1::DOUBLE AS d_top, d[q5] + 4::DOUBLE * (d[q5] - d[q50]) - 0.1::DOUBLE AS d_low FROM i
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(symbol_share <= a_top AND dup_line_share <= b_top AND repeat_share <= c_top AND word_length <= d_top AND word_length >= d_low, true) AS kept
@@ -186,16 +192,13 @@ _SQL["op5_line_dedup"] = r"""
 WITH l AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents
 ), h AS (
-  SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS visible FROM l
-), b AS (
-  SELECT normal FROM h WHERE len(string_split(normal, ' ')) >= 3 GROUP BY normal HAVING count(DISTINCT source) >= 10
+  SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS normal FROM l
+), b AS (SELECT normal FROM h WHERE normal <> '' GROUP BY normal HAVING count(DISTINCT source) >= 10
 ), f AS (SELECT h.*, b.normal IS NOT NULL AS bad FROM h LEFT JOIN b ON h.normal = b.normal
 ), g AS (
-  SELECT doc_id, any_value(text) AS text, count(*) FILTER (bad) AS n, coalesce(sum(visible) FILTER (NOT bad), 0) >= 0.5 * sum(visible) AND count(*) FILTER (bad) > 0 AS cut,
-    string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad) AS kept
-  FROM f GROUP BY doc_id
-), r AS (SELECT doc_id, CASE WHEN cut THEN n ELSE 0 END AS n_lines_removed, CASE WHEN cut THEN coalesce(kept, '') ELSE text END AS text FROM g)
-SELECT doc_id, n_lines_removed, length(text)::BIGINT AS n_chars_left, sha256(text) AS text_sha256 FROM r
+  SELECT doc_id, any_value(text) AS text, count(*) FILTER (bad) AS n, count(*) FILTER (NOT bad AND normal <> '') > 0 AS alive, string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad) AS kept FROM f GROUP BY doc_id
+), r AS (SELECT doc_id, CASE WHEN alive THEN n ELSE 0 END AS n_lines_removed, n > 0 AND NOT alive AS all_boilerplate, CASE WHEN n > 0 AND alive THEN kept ELSE text END AS text FROM g)
+SELECT doc_id, n_lines_removed, all_boilerplate, length(text)::BIGINT AS n_chars_left, sha256(text) AS text_sha256 FROM r
 """
 
 _SQL["op9_substring_dedup"] = r"""
@@ -213,12 +216,19 @@ WITH RECURSIVE l AS (
   UNION ALL
   SELECT p.doc_id, p.ln, p.k, CASE WHEN len(r.said) >= 4 THEN p.a ELSE r.start END, p.a + p.n, CASE WHEN len(r.said) >= 4 THEN p.words ELSE r.said || p.words END
   FROM r JOIN p ON p.doc_id = r.doc_id AND p.ln = r.ln AND p.k = r.k + 1
+), v AS (
+  SELECT doc_id, 'sentence' AS kind, 25 AS least, start, stop, said FROM r WHERE len(said) >= 4
+  UNION ALL
+  SELECT doc_id, 'line', 15, off - length(regexp_extract(line, '^[.!?]*')), off - length(regexp_extract(line, '^[.!?]*')) + length(line), [x FOR x IN string_split(lower(line), ' ') IF x <> ''] FROM o WHERE trim(line) <> ''
 ), u AS (
-  SELECT doc_id, start, stop, len(said) AS n, array_to_string(said, ' ') AS unit, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i FROM r WHERE len(said) >= 4
-), f AS (SELECT unit, min(doc_id) AS first FROM u GROUP BY unit
-), g AS (SELECT u.*, first <> doc_id OR row_number() OVER (PARTITION BY doc_id, u.unit ORDER BY i) > 1 AS again FROM u JOIN f ON u.unit = f.unit
-), h AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g WHERE again
-), x AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM h GROUP BY doc_id, run HAVING sum(n) >= 25
+  SELECT doc_id, kind, least, start, stop, len(said) AS n, array_to_string(said, ' ') AS unit, row_number() OVER (PARTITION BY doc_id, kind ORDER BY start) AS i FROM v
+), f AS (SELECT kind, unit, min(doc_id) AS first FROM u GROUP BY kind, unit
+), g AS (SELECT u.*, first <> doc_id OR row_number() OVER (PARTITION BY doc_id, u.kind, u.unit ORDER BY i) > 1 AS again FROM u JOIN f ON u.kind = f.kind AND u.unit = f.unit
+), h AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, kind ORDER BY i) AS run FROM g WHERE again
+), p1 AS (SELECT doc_id, min(start) AS a, max(stop) AS b FROM h GROUP BY doc_id, kind, run, least HAVING sum(n) >= least
+), p2 AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < a AS fresh FROM (SELECT DISTINCT doc_id, a, b FROM p1)
+), p3 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS part FROM p2
+), x AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM p3 GROUP BY doc_id, part
 ), y AS (
   SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM x
   UNION ALL SELECT d.doc_id, length(text), NULL, coalesce(max(b), 0) FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id WHERE text IS NOT NULL GROUP BY d.doc_id, text

@@ -18,12 +18,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfloom.llm import scratch
+from shelfloom.llm import arrow, scratch
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,8 @@ MORE = (
 )
 RULES = BASE + MORE
 
+_FINDINGS = "array<struct<kind:string,`start`:int,`end`:int>>"
+_FINDINGS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _LEDGER = "blob string, rules string, findings array<struct<kind:string,`start`:int,`end`:int>>"
 
 
@@ -73,11 +76,12 @@ def scan_text(text: str, rules: list[tuple[Rule, re.Pattern]]) -> list[tuple[str
 
 
 def _scan(rules: tuple[Rule, ...]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # runs of hexadecimal digits that are too short need not be visited one by one: none overlaps another
         compiled = [(r, re.compile(r"[0-9a-f]{24,}") if r == BASE[2] else r.compiled()) for r in rules]
-        for batch in batches:
-            yield pd.DataFrame({"blob": batch["blob"], "findings": [[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t, compiled)] for t in batch["text"]]})
+        for part in arrow.parts(batches, 1_000):
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t, compiled)] for t in part.column("text").to_pylist()]
+            yield arrow.with_columns(part, ["text"], {"findings": (found, _FINDINGS_ARROW)})
 
     return run
 
@@ -91,21 +95,32 @@ def scan_versions(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] =
 
     Findings: (key, blob, findings), one row for each row of ``docs``. The second
     frame has (blob, rules, findings) of the blobs scanned now and is written in
-    the shared folder. Null text is scanned as empty. A null key stays. Repeated
-    rows give repeated rows, from one scan. Other columns are ignored; an empty
-    table gives no rows.
+    the shared folder. A ledger may have a pair more than once, as after a retried
+    append. Null text is scanned as empty. A null key stays. Repeated rows give
+    repeated rows, from one scan. Other columns are ignored; an empty table gives
+    no rows.
     """
     now = version(rules)
     rows = docs.select(F.col(key).cast("bigint").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     named = rows.select(key, F.sha2("text", 256).alias("blob"))
-    known = ledger.filter(F.col("rules") == now).select("blob", "findings")
+    known = ledger.filter(F.col("rules") == now).select("blob", "findings").dropDuplicates(["blob"])
     holder = named.groupBy("blob").agg(F.min(key).alias("holder"))
     unseen = holder.join(known, "blob", "left_anti")
     texts = rows.withColumn("blob", F.sha2("text", 256)).join(
         unseen.select(F.col("blob").alias("new_blob"), "holder"), F.col(key).eqNullSafe(F.col("holder")) & (F.col("blob") == F.col("new_blob")), "left_semi"
     )
-    scanned = texts.select("blob", "text").mapInPandas(_scan(rules), "blob string, findings array<struct<kind:string,`start`:int,`end`:int>>")
+    scanned = texts.select("blob", "text").mapInArrow(_scan(rules), f"blob string, findings {_FINDINGS}")
     added = scratch.table(scanned.dropDuplicates(["blob"]).select("blob", F.lit(now).alias("rules"), "findings"), "ledger")
     findings = known.unionByName(added.select("blob", "findings")).filter(F.size("findings") > 0)
-    out = named.join(findings, "blob", "left").select(key, "blob", F.coalesce("findings", F.array().cast("array<struct<kind:string,`start`:int,`end`:int>>")).alias("findings"))
+    out = named.join(findings, "blob", "left").select(key, "blob", F.coalesce("findings", F.array().cast(_FINDINGS)).alias("findings"))
     return out, added
+
+
+def scan_deliveries(deliveries: list[DataFrame], ledger: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows that arrive one delivery after another to (findings of all rows, the ledger after the last one): a delivery scans what no earlier one has had."""
+    found = []
+    for rows in deliveries:
+        own, added = scan_versions(rows, ledger, rules, key, text)
+        found.append(own)
+        ledger = ledger.unionByName(added)
+    return reduce(DataFrame.union, found), ledger

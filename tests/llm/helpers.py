@@ -24,3 +24,13 @@ def edited(ws, seed, edits):
     for _ in range(edits):
         out[r.randrange(len(out))] = f"x{r.randrange(10**6)}"
     return out
+
+
+#: Ids that a float can't hold, beside a null.
+LARGE_IDS = [9_007_199_254_740_993, None, -9_007_199_254_740_995, 9_007_199_254_740_992]
+
+
+def with_large_ids(spark, text):
+    """A documents table in one partition, so that every batch has a null beside the large ids."""
+    rows = [(i, text if k == 0 else f"{text} and {k}") for k, i in enumerate(LARGE_IDS)]
+    return documents(spark, rows).withColumn("n_chars", F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))).coalesce(1)

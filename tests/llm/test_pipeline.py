@@ -20,9 +20,9 @@ def test_stages_keep_the_columns_and_take_effect(spark):
             judged = {r.doc_id for r in quality_rules.judge(quality_rules.features(docs)).filter("kept").collect()}
             assert set(after) == judged
         elif name == "line dedup":
-            assert after == {d: t for d, t, _ in boilerplate(before, 10)}
+            assert after == {d: t for d, t, *_ in boilerplate(before, 10)}
         elif name == "n-gram Jaccard join":
-            assert set(after) == {d for d, (_, c, _) in classes([r[:2] for r in before]).items() if c == d}
+            assert set(after) == {d for d, (_, c, _) in classes([r[:2] for r in before], 80, 5).items() if c == d}
         else:
             items = [tuple(r) for r in spark.read.parquet(f"{D}/benchmark.parquet").select("item_id", "text").collect()]
             assert set(after) == {d for d, *_ in before} - {d for d, *_ in leaks(before, items)}
@@ -51,8 +51,6 @@ def test_scratch_tables_of_the_stage_before_go(spark):
     assert mine
     P.STAGES[3][1](spark, one, D)
     assert not set(mine) & set(scratch.written())
-    lazy = P.STAGES[0][1](spark, docs, D)
-    assert P.STAGES[3][1](spark, lazy, D).count() > 0  # its input still reads them
 
 
 def test_decontamination_is_the_operator(spark):

@@ -52,6 +52,22 @@ def test_ledger_scans_only_what_is_new(spark):
     assert again.count() == 2 and {r.doc_id: [f.kind for f in r.findings] for r in out.collect()}[2] == ["x"]
 
 
+def test_ledger_with_a_pair_twice(spark):
+    """As after a retried append: each row comes once."""
+    docs = documents(spark, [(1, "token=abcdefgh"), (2, "clean")])
+    _, added = S.scan_versions(docs, S.empty_ledger(spark))
+    out, more = S.scan_versions(docs, added.unionByName(added))
+    assert sorted((r.doc_id, len(r.findings)) for r in out.collect()) == [(1, 1), (2, 0)] and more.count() == 0
+
+
+def test_deliveries_scan_each_blob_once(spark):
+    one = documents(spark, [(1, "token=abcdefgh"), (2, "clean")])
+    two = documents(spark, [(3, "token=abcdefgh"), (4, "password: qwerty"), (None, "clean"), (5, None)])
+    out, ledger = S.scan_deliveries([one, two, two.filter("false")], S.empty_ledger(spark))
+    assert ledger.count() == 4 == ledger.select("blob").distinct().count()
+    assert sorted(((r.doc_id, len(r.findings)) for r in out.collect()), key=str) == sorted([(1, 1), (2, 0), (3, 1), (4, 1), (None, 0), (5, 0)], key=str)
+
+
 def test_empty_table(spark):
     out, added = S.scan_versions(documents(spark, []), S.empty_ledger(spark))
     assert out.count() == 0 and added.count() == 0
