@@ -1,9 +1,9 @@
 """From raw documents to token ids, in five stages.
 
 Quality rules, line dedup, n-gram Jaccard join, benchmark decontamination and
-byte-level BPE, each over all that the stage before has kept. ``run`` writes what
-each stage returns as Parquet in the shared folder and rereads it. A stage deletes
-the intermediate tables of the one before, unless its input still reads them.
+byte-level BPE, each over all that the stage before has kept. What a stage returns
+is written as Parquet in the shared folder and reread before the next one, so a
+stage first deletes the intermediate tables of the one before.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ _left: list[str] = []
 def _stage(f: Stage) -> Stage:
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _left and not any(name.rpartition("/tables/")[2].startswith(path.rpartition("/")[2]) for name in docs.inputFiles() for path in _left):
-            scratch.drop(spark, _left)
-            _left.clear()
+        scratch.drop(spark, [x for x in _left if x in scratch.written()])
+        _left.clear()
         before = set(scratch.written())
         out = f(spark, docs, sf_dir)
         _left.extend(x for x in scratch.written() if x not in before)
@@ -46,9 +45,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of any length that are on ten or more sources, but for texts of nothing else; n_chars is that of the new text."""
-    out = line_dedup.remove_boilerplate(docs, site="source", min_sites=10, min_words=1, most_share=1.0, count_as="__n_lines_removed")
-    new = {"n_chars": F.when(F.col("__n_lines_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))}
+    """Documents without the lines that are on ten or more sources, but for texts of nothing else; n_chars is that of the new text."""
+    n = "__n_lines_removed"
+    out = line_dedup.remove_boilerplate(docs, site="source", min_sites=10, count_as=n, whole_as="__all_boilerplate")
+    new = {"n_chars": F.when(F.col(n) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))}
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
