@@ -9,30 +9,41 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 State = Any
+_MISSING = object()
+_ROWS = 5_000
 
 
 def fold(df: DataFrame, key: str, order: list[str], start: State, step: Callable[[State, dict], tuple[State, tuple]], columns: list[str], schema: str) -> DataFrame:
-    """For each row (key, *columns, what ``step`` returns): ``step`` takes the state and the row, by key and order."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    """For each row (key, *columns, what ``step`` returns): ``step`` takes the state and the row, by key and order.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, start
+    Rows with a null key are one sequence. Values are those of the table (a null is
+    None, an integer beside a null stays one); ``columns`` pass through as they are.
+    """
+    made = [part.strip().split(" ") for part in schema.split(",")]
+    arrow = {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = _MISSING, start
         for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                if row[key] != at:
-                    at, state = row[key], start
-                state, out = step(state, row)
-                rows.append((*[row[c] for c in (key, *columns)], *out))
-            yield pd.DataFrame(rows, columns=[key, *columns, *names])
+            for low in range(0, batch.num_rows, _ROWS):
+                part, outs = batch.slice(low, _ROWS), []
+                names = part.schema.names
+                for values in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    row = dict(zip(names, values, strict=True))
+                    if at is _MISSING or row[key] != at:
+                        at, state = row[key], start
+                    state, out = step(state, row)
+                    outs.append(out)
+                arrays = [part.column(c) for c in (key, *columns)] + [pa.array([o[i] for o in outs], type=arrow[kind]) for i, (_, kind) in enumerate(made)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, *columns, *[name for name, _ in made]])
 
     kinds = dict(df.dtypes)
     full = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *columns)) + ", " + schema
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, full)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, full)
 
 
 def health_step(state: float, ok: bool, gain: float = 5.0, loss: float = 20.0) -> float:
