@@ -39,10 +39,11 @@ def rocchio(query: Column, rejected: Column, alpha: float = 1.0, gamma: float =
     return F.when(length > 1e-12, F.transform(moved, lambda x: x / length)).otherwise(doubles(query))
 
 
-def sign_bits(v: Column, first: int = 0, bits: int = 32) -> Column:
+def sign_bits(v: Column, first: int = 0, bits: int = 64) -> Column:
     """Bigint whose bit i says whether component ``first + i`` is positive."""
-    part = F.slice(v, first + 1, bits)
-    return F.aggregate(F.transform(part, lambda x, i: F.when(x > 0, F.expr("1L") * F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    part = F.transform(F.slice(v, first + 1, bits), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    one = lambda x: F.when(x["x"] > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), x["i"])).otherwise(F.lit(0).cast("bigint"))
+    return F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(one(x)))
 
 
 def product_codes(v: Column, books: Column, width: int) -> Column:

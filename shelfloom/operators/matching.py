@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -112,17 +113,34 @@ def jaccard_pairs(df: DataFrame, key: str, tokens: str, percent: int) -> DataFra
     return both.filter(100 * shared >= percent * union).select("a", "b", F.round(shared / union, 6).alias("similarity"))
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64) -> DataFrame:
-    """(a, b, distance): pairs of bigints that differ in at most ``most`` bits. Of ``most + 1`` bands one is equal in such a pair; a hash of 0 is no hash."""
-    n = most + 1
+def hash_classes(df: DataFrame, key: str, bits: str) -> DataFrame:
+    """(key, class_id): rows of equal hashes are one class, known by its least key; a hash of 0 is no hash."""
+    some = df.filter(F.col(bits) != 0).select(key, bits)
+    least = some.groupBy(bits).agg(F.min(key).alias("class_id"))
+    return some.join(least, bits).select(key, "class_id")
+
+
+def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64, agree: int = 2) -> DataFrame:
+    """(a, b, n_a, n_b, distance): pairs of classes of equal hashes that differ in at most ``most`` bits, by their least keys and sizes.
+
+    A hash is cut into ``most + agree`` bands, of which ``agree`` are equal in such a
+    pair; each choice of so many bands is a key. More bands in a key are more keys
+    for each hash, and a power fewer rows that share one. A pair is given out by its
+    first common key only, so nothing is made distinct. ``hash_classes`` has the
+    members of a class; a hash of 0 is no hash.
+    """
+    n = most + agree
     edges = [round(i * width / n) for i in range(n + 1)]
-    mask = lambda i: (1 << (edges[i + 1] - edges[i])) - 1
-    band = lambda i: F.shiftrightunsigned(bits, edges[i]).bitwiseAND(mask(i)) if mask(i) < 1 << 63 else F.col(bits)
-    keyed = df.filter(F.col(bits) != 0).select(F.col(key).alias("k"), F.col(bits).alias("h"), F.posexplode(F.array(*[band(i) for i in range(n)])).alias("i", "v"))
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    bands = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(n)]
+    masks = F.array(*[F.lit(signed(sum(chosen))).cast("bigint") for chosen in combinations(bands, agree)])
+    classes = df.filter(F.col(bits) != 0).groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("k"), F.count("*").alias("n"))
+    keyed = classes.select("k", "n", "h", F.posexplode(masks).alias("i", "m")).select("k", "n", "h", "i", F.col("h").bitwiseAND(F.col("m")).alias("v"))
     x, y = keyed.alias("x"), keyed.alias("y")
-    distance = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
-    pairs = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")))
-    return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), distance.alias("distance")).filter(F.col("distance") <= most).distinct()
+    off = F.col("x.h").bitwiseXOR(F.col("y.h"))
+    first = F.array_position(F.transform(masks, lambda m: off.bitwiseAND(m) == 0), True) - 1
+    pairs = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")) & (F.bit_count(off) <= most) & (F.col("x.i") == first))
+    return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), F.bit_count(off).alias("distance"))
 
 
 def vector_search(df: DataFrame, queries: DataFrame, key: str, vector: str, least: float) -> DataFrame:
