@@ -19,10 +19,27 @@ def fake_promotions(df: DataFrame, key: str, days_ago: str, price: str) -> DataF
     return df.withColumn("hit", F.coalesce(hit, F.lit(False))).groupBy(key).agg(F.max("hit").alias("fake"))
 
 
+def audit(df: DataFrame, key: str, days_ago: str, price: str, peer: str) -> DataFrame:
+    """(key, price, sigma, fake, r): the last price, whether it is an outlier of the ones before, a fake promotion in the history, and its correlation with ``peer``.
+
+    One shuffle: the history of a key is read once, in one window order and its reverse.
+    """
+    old, new = Window.partitionBy(key).orderBy(F.desc(days_ago), F.asc(price)), Window.partitionBy(key).orderBy(F.asc(days_ago))
+    p1, p2, d2 = F.lead(price, 1).over(old), F.lead(price, 2).over(old), F.lead(days_ago, 2).over(old)
+    hit = (F.col(days_ago) - d2 <= 14) & (p1 >= 1.25 * F.col(price)) & (p2 <= 1.05 * F.col(price))
+    rows = df.withColumn("__hit", F.coalesce(hit, F.lit(False))).withColumn("__last", F.row_number().over(new) == 1)
+    before, last = F.when(~F.col("__last"), F.col(price)), F.when(F.col("__last"), F.col(price))
+    s = rows.groupBy(key).agg(F.max(last).alias("price"), F.avg(before).alias("__mean"), F.stddev_pop(before).alias("__sd"), F.count(before).alias("__n"), F.max("__hit").alias("fake"), pearson(price, peer).alias("r"))
+    return s.select(key, "price", three_sigma(F.col("price"), F.col("__mean"), F.col("__sd"), F.col("__n")).alias("sigma"), "fake", "r")
+
+
 def pearson(a: str, b: str) -> Column:
     """Aggregate: correlation of at least three pairs, four digits; null for a constant."""
-    r = F.corr(a, b)
-    return F.when((F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)) >= 3) & ~F.isnan(r), F.round(r, 4))
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+    # the built-in correlation is an error for a constant under ANSI rules
+    r = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return F.when(F.count(x) >= 3, F.round(r, 4))
 
 
 def pricing_verdict(below_map: Column, sigma: Column, fake: Column, correlation: Column) -> Column:
