@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfloom.operators.ranking import numbered
@@ -78,17 +78,45 @@ def in_ranges(c: Column, ranges: list[tuple[int, int]] | None) -> Column:
 
 
 def settings(df: DataFrame, key: str = "key", value: str = "value") -> dict[str, str]:
-    """A key and value table of at most a thousand rows as a dictionary on the driver."""
+    """A key and value table of at most a thousand rows (more is an error: settings are no data) as a dictionary on the driver."""
     rows = df.select(key, value).limit(1001).collect()
     if len(rows) > 1000:
         raise ValueError("a settings table has at most 1000 rows")
     return {r[0]: r[1] for r in rows}
 
 
+def typed_settings(found: dict[str, str], kinds: dict[str, str]) -> dict:
+    """Settings that are known, as ``list`` (split at commas, blanks dropped), ``bool``, ``int``, ``float`` or text; one that can't be read is left out."""
+    casts = {
+        "list": lambda v: [x.strip() for x in v.split(",") if x.strip()],
+        "bool": lambda v: v.strip().lower() in ("1", "true", "yes", "on"),
+        "int": int,
+        "float": float,
+        "text": str,
+    }
+    out = {}
+    for name, kind in kinds.items():
+        try:
+            if found.get(name) is not None:
+                out[name] = casts[kind](found[name])
+        except ValueError:
+            continue
+    return out
+
+
 def log_tail(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
-    """The last lines of a log: (line_number, line), by number."""
-    text = spark.read.text(path).withColumn("line_number", F.monotonically_increasing_id())
-    return text.orderBy(F.desc("line_number")).limit(lines).select("line_number", F.col("value").alias("line")).orderBy("line_number")
+    """The last lines of a log: (file, line_number, line), oldest first. Files go by name; numbers are those of the lines in their file.
+
+    A file is read in splits. A line's place is its file, the byte at which its split
+    starts, and its row there; each task keeps ``lines`` rows, and the rows of a split
+    are counted for the numbers, so a long log is neither sorted nor gathered.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    last = rows.orderBy(F.desc("file"), F.desc("split"), F.desc("row")).limit(lines)
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("row").alias("first")).withColumn("before", F.coalesce(before, F.lit(0)))
+    numbered_lines = last.join(counts, ["file", "split"])
+    return numbered_lines.select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line_number"), "line").orderBy("file", "line_number")
 
 
 def rdbms_table(spark: SparkSession, url: str, name: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:

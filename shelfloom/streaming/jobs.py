@@ -54,22 +54,26 @@ def replay_then_tail(history: DataFrame, tail: DataFrame, last_id: int) -> DataF
 def delta_sync(path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: the last state of each key of a batch is written if its hash is new, rows before hashes.
 
-    The batch's folder is named by its number and overwritten on a retry, so a
-    batch that ran twice is there once.
+    ``path/rows/<batch>`` has what a batch changed, ``path/known/<batch>`` the latest
+    hash of every key after it: a batch reads the one before and no other, and the
+    one before that goes. Folders are named by the batch and overwritten on a retry,
+    so a batch that ran twice is there once.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = batch.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("x"))
         hashed = last.select("user_id", "x.*").withColumn("hash", F.sha2(F.concat_ws("|", "event_type", F.col("value").cast("string")), 256))
-        known = None
-        for i in range(number):
-            part = spark.read.parquet(f"{path}/{i}").select("user_id", "hash", F.lit(i).alias("at"))
-            known = part if known is None else known.unionByName(part)
-        if known is not None:
-            latest = known.groupBy("user_id").agg(F.max_by("hash", "at").alias("old"))
-            hashed = hashed.join(latest, "user_id", "left").filter(~F.col("hash").eqNullSafe(F.col("old"))).drop("old")
-        hashed.write.mode("overwrite").parquet(f"{path}/{number}")
+        if number == 0:
+            known = spark.createDataFrame([], "user_id bigint, old string")
+        else:
+            known = spark.read.parquet(f"{path}/known/{number - 1}").withColumnRenamed("hash", "old")
+        changed = hashed.join(known, "user_id", "left").filter(~F.col("hash").eqNullSafe(F.col("old"))).drop("old")
+        changed.write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        now = known.join(hashed.select("user_id", "hash"), "user_id", "full_outer").select("user_id", F.coalesce("hash", "old").alias("hash"))
+        now.write.mode("overwrite").parquet(f"{path}/known/{number}")
+        if number > 1:
+            sinks.delete(spark, f"{path}/known/{number - 2}")
 
     return run
 
@@ -89,6 +93,37 @@ def breaker_stream(events: DataFrame, threshold: int = 2, cooldown: float = 8640
     return timed.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, state string, failures int", "state string, failures int, opened double", "update", "NoTimeout")
 
 
+def fan_out(sinks_by_name: dict[str, Callable[[DataFrame, int], None]]) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: a batch is read once and goes to every sink, each with the number by which it knows a retry."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for write in sinks_by_name.values():
+                write(batch, number)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def numbered_folder(path: str, of: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A sink that writes what ``of`` makes of a batch under its number: a retried batch replaces itself, so at least once becomes once."""
+    return lambda batch, number: of(batch).write.mode("overwrite").parquet(f"{path}/{number}")
+
+
+def route(column: str, queues: dict[str, list[str]], default: str) -> Callable[[DataFrame], DataFrame]:
+    """A batch with the queue of each row, by the values that a queue takes; all others go to ``default``."""
+
+    def run(batch: DataFrame) -> DataFrame:
+        queue = F.lit(None).cast("string")
+        for name, values in queues.items():
+            queue = F.coalesce(queue, F.when(F.col(column).isin(*values), F.lit(name)))
+        return batch.withColumn("queue", F.coalesce(queue, F.lit(default)))
+
+    return run
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream over what has arrived and read back what it wrote; in update mode every version of a row."""
     spark = stream.sparkSession
