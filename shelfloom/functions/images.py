@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +115,61 @@ def hull_ratio(mask: np.ndarray) -> float:
 
     hull = half(points) + half(points[::-1])
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1], strict=True))) / 2
-    box = (xs.max() - xs.min()) * (ys.max() - ys.min())
-    return round(float(area / box), 4) if box else 0.0
+    box = (xs.max() - xs.min() + 1) * (ys.max() - ys.min() + 1)
+    return round(float(area / box), 4)
+
+
+def packaging_ratio(image: np.ndarray) -> float:
+    """``hull_ratio`` of what is darker than the background; 0 for fewer than ten such pixels."""
+    dark = grey(image) < 240
+    return hull_ratio(dark) if dark.sum() >= 10 else 0.0
+
+
+def shadow(image: np.ndarray) -> float:
+    """1 where soft grey covers more than a twenty-fifth of what is darker than the background."""
+    g = grey(image)
+    return float(((g >= 160) & (g < 235)).sum() > 0.04 * (g < 240).sum())
+
+
+def mean_level(image: np.ndarray) -> float:
+    return float(grey(image).mean())
+
+
+def bright_level(image: np.ndarray) -> float:
+    return float(np.percentile(grey(image), 90))
+
+
+def burnt_share(image: np.ndarray) -> float:
+    """Share of pixels at the top of the range."""
+    return float((grey(image) >= 254).mean())
+
+
+def fill_ratio(image: np.ndarray, white: int = 251) -> float:
+    """Area of the bounding box of what isn't white over that of the image."""
+    ys, xs = np.nonzero((image[..., :3] < white).any(axis=2))
+    return float((xs.max() - xs.min() + 1) * (ys.max() - ys.min() + 1) / image[..., 0].size) if len(ys) else 0.0
+
+
+#: White-background gates: border in pixels, least white level, least share of white, least fill, least side.
+BACKGROUND_GATES = {
+    "strict": (10, 251, 0.98, 0.85, 21),
+    "perimeter": (6, 250, 0.995, 0.0, 1),
+    "original": (1, 248, 0.96, 0.0, 400),
+    "compliance": (1, 253, 0.0, 0.0, 1),
+}
+
+
+def background_gate(name: str, image: np.ndarray) -> tuple[float, float, bool]:
+    """(share of white in the border, fill, passed) by a gate; an image that is too small for it fails."""
+    border, level, least_white, least_fill, side = BACKGROUND_GATES[name]
+    if min(image.shape[:2]) < side:
+        return 0.0, 0.0, False
+    # the last gate counts channels, the others pixels
+    white = image[..., :3] >= level if name == "compliance" else (image[..., :3] >= level).all(axis=2)
+    edge = np.ones(image.shape[:2], dtype=bool)
+    edge[border:-border, border:-border] = False
+    purity, fill = float(white[edge].mean()), fill_ratio(image, level)
+    return purity, fill, purity >= least_white and fill >= least_fill
 
 
 def frequency_ratio(image: np.ndarray) -> float:
@@ -199,6 +253,23 @@ GATES = {
     "projection": projection_variance,
 }
 
+#: What the audits of a catalog need, by column name.
+AUDIT = {
+    "sharpness": laplacian_variance,
+    "colourfulness": colourfulness,
+    "packaging": packaging_ratio,
+    "shadow": shadow,
+    "mean_level": mean_level,
+    "bright_level": bright_level,
+    "burnt_share": burnt_share,
+    "contrast": contrast,
+    "blockiness": blockiness,
+    "fill": fill_ratio,
+    "content": has_content,
+    **{f"{name}_purity": (lambda image, name=name: background_gate(name, image)[0]) for name in BACKGROUND_GATES},
+    **{f"{name}_passed": (lambda image, name=name: float(background_gate(name, image)[2])) for name in BACKGROUND_GATES},
+}
+
 #: Measures by column name.
 MEASURES = {
     "sharpness": laplacian_variance,
@@ -216,20 +287,23 @@ def measure(df: DataFrame, key: str, names: list[str] | None = None, measures: d
     """(key, height, width, channels, pixels) to (key, *measures, phash); an image that can't be read has nulls."""
     chosen = names or list(measures)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(h, w, c, raw) -> list:
+        try:
+            image = pixels(int(h), int(w), int(c), raw)
+            return [*[float(measures[n](image)) for n in chosen], perceptual_hash(image)]
+        except (ValueError, TypeError):
+            return [None] * (len(chosen) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, h, w, c, raw in batch.itertuples(index=False, name=None):
-                try:
-                    image = pixels(int(h), int(w), int(c), raw)
-                    rows.append((k, *[float(measures[n](image)) for n in chosen], perceptual_hash(image)))
-                except (ValueError, TypeError):
-                    rows.append((k, *[None] * len(chosen), None))
-            out = pd.DataFrame(rows, columns=[key, *chosen, "phash"])
-            yield out.astype({"phash": "Int64"} | {n: "float64" for n in chosen})
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                rows = [of(*r) for r in zip(*[part.column(n).to_pylist() for n in ("height", "width", "channels", "pixels")], strict=True)]
+                made = [pa.array([r[i] for r in rows], type=pa.int64() if i == len(chosen) else pa.float64()) for i in range(len(chosen) + 1)]
+                yield pa.RecordBatch.from_arrays([part.column(key), *made], names=[key, *chosen, "phash"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "height", "width", "channels", "pixels").mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"{n} double" for n in chosen) + ", phash bigint")
+    return df.select(key, "height", "width", "channels", "pixels").mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} double" for n in chosen) + ", phash bigint")
 
 
 def verdict(colourful: Column, sharp: Column, white: Column) -> Column:
