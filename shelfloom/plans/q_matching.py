@@ -41,31 +41,46 @@ def entity_resolution(spark, d):
     return matching.resolve_entities(_typos(spark, d), "typed", {s.lower(): s.title() for s in SEGMENTS})
 
 
+_WEIGHT = lambda c, m, u: f"CASE WHEN {c} THEN round(log2({m}::DOUBLE / {u}::DOUBLE), 4) ELSE round(log2((1 - {m}::DOUBLE) / (1 - {u}::DOUBLE)), 4) END"
+
+
 @query(
     "fellegi_sunter_linkage",
-    """WITH m AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_partkey % 500 = b.p_partkey % 500 AS gtin, a.p_brand = b.p_brand AS brand, a.p_name = b.p_name AS name, a.p_size = b.p_size AS wv, a.p_type = b.p_type AS cat FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey),
-    w AS (SELECT a, b, round(CASE WHEN gtin THEN round(log2(0.99::DOUBLE / 0.0001::DOUBLE), 4) ELSE round(log2((1 - 0.99::DOUBLE) / (1 - 0.0001::DOUBLE)), 4) END + CASE WHEN brand THEN round(log2(0.95::DOUBLE / 0.02::DOUBLE), 4) ELSE round(log2((1 - 0.95::DOUBLE) / (1 - 0.02::DOUBLE)), 4) END + CASE WHEN name THEN round(log2(0.9::DOUBLE / 0.01::DOUBLE), 4) ELSE round(log2((1 - 0.9::DOUBLE) / (1 - 0.01::DOUBLE)), 4) END + CASE WHEN wv THEN round(log2(0.92::DOUBLE / 0.05::DOUBLE), 4) ELSE round(log2((1 - 0.92::DOUBLE) / (1 - 0.05::DOUBLE)), 4) END + CASE WHEN cat THEN round(log2(0.88::DOUBLE / 0.1::DOUBLE), 4) ELSE round(log2((1 - 0.88::DOUBLE) / (1 - 0.1::DOUBLE)), 4) END, 4)::DOUBLE AS weight FROM m)
-    SELECT a, b, weight, CASE WHEN weight >= 8 THEN 'GOLD_MATCH' WHEN weight >= 4 THEN 'PROBABLE_MATCH' WHEN weight >= 1 THEN 'NEEDS_REVIEW' ELSE 'DECLINED' END AS decision FROM w""",
+    f"""WITH c AS (SELECT p_name, p_size, p_brand, p_type, floor(p_retailprice)::BIGINT AS price, min(p_partkey) AS k, count(*) AS n FROM part GROUP BY ALL),
+    m AS (SELECT a.k AS a, b.k AS b, a.n AS n_a, b.n AS n_b, a.price = b.price AS gtin, a.p_brand = b.p_brand AS brand, a.p_type = b.p_type AS cat FROM c a JOIN c b ON a.p_name = b.p_name AND a.p_size = b.p_size AND a.k < b.k AND (a.p_brand = b.p_brand OR a.price = b.price)),
+    w AS (SELECT a, b, n_a, n_b, round({_WEIGHT("gtin", 0.99, 0.0001)} + {_WEIGHT("brand", 0.95, 0.02)} + {_WEIGHT("true", 0.9, 0.01)} + {_WEIGHT("true", 0.92, 0.05)} + {_WEIGHT("cat", 0.88, 0.1)}, 4)::DOUBLE AS weight FROM m)
+    SELECT a, b, n_a, n_b, weight, CASE WHEN weight >= 8 THEN 'GOLD_MATCH' WHEN weight >= 4 THEN 'PROBABLE_MATCH' WHEN weight >= 1 THEN 'NEEDS_REVIEW' ELSE 'DECLINED' END AS decision FROM w""",
 )
 def fellegi_sunter_linkage(spark, d):
-    """Pairs that share a name and a size, weighed over five features."""
-    p = table(spark, d, "part")
-    x, y = p.alias("x"), p.alias("y")
-    pairs = x.join(y, (F.col("x.p_name") == F.col("y.p_name")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
+    """Pairs of record classes that share a name and a size, and a brand or a price to the unit, weighed over five features.
+
+    Records alike in all features are one class (least key, number of records), so a
+    frequent name adds classes and not pairs of records; a pair is found under its
+    brand, or else under its price, and blocks are of three features.
+    """
     same = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
-    agree = {"gtin": F.col("x.p_partkey") % 500 == F.col("y.p_partkey") % 500, "brand": same("p_brand"), "product_name": same("p_name"), "weight_volume": same("p_size"), "category": same("p_type")}
-    return matching.linkage(pairs, agree).select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), "weight", "decision")
+    p = table(spark, d, "part").select("p_name", "p_size", "p_brand", "p_type", F.floor("p_retailprice").alias("price"), "p_partkey")
+    c = p.groupBy("p_name", "p_size", "p_brand", "p_type", "price").agg(F.min("p_partkey").alias("k"), F.count("*").alias("n"))
+    x, y = c.alias("x"), c.alias("y")
+    by_brand = x.join(y, same("p_name") & same("p_size") & same("p_brand") & (F.col("x.k") < F.col("y.k")))
+    by_price = x.join(y, same("p_name") & same("p_size") & same("price") & (F.col("x.k") < F.col("y.k")) & (F.col("x.p_brand") != F.col("y.p_brand")))
+    agree = {"gtin": same("price"), "brand": same("p_brand"), "product_name": same("p_name"), "weight_volume": same("p_size"), "category": same("p_type")}
+    keep = [F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), "weight", "decision"]
+    return matching.linkage(by_brand, agree).select(*keep).union(matching.linkage(by_price, agree).select(*keep))
 
 
 @query("sku_match", None)
 def sku_match(spark, d):
-    """Half title similarity, half visual similarity; a match from 0.8."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.concat_ws(" ", "p_name", "p_type").alias("title"))
+    """Half title similarity, half the similarity of the images' vectors, between the first records of titles that share a name and a size; a match from 0.8."""
+    p = table(spark, d, "part").groupBy("p_name", "p_size", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("title")).agg(F.min("p_partkey").alias("k"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
+    p = p.join(e, "k", "left")
     x, y = p.alias("x"), p.alias("y")
-    pairs = x.join(y, (F.col("x.p_name") == F.col("y.p_name")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
-    pairs = pairs.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), text.jaro_winkler(F.col("x.title"), F.col("y.title")).alias("jw"))
-    score = F.round(0.5 * F.col("jw") + 0.5 * ((F.col("a") + F.col("b")) % 10 / 10), 4)
-    return pairs.select("a", "b", score.alias("score"), (score >= 0.8).alias("matched"), scoring.arcface_loss(score).alias("loss"))
+    pairs = x.join(y, (F.col("x.p_name") == F.col("y.p_name")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.k") < F.col("y.k")))
+    seen = F.coalesce(F.greatest(F.lit(0.0), vectors.cosine(F.col("x.embedding"), F.col("y.embedding"))), F.lit(0.0))
+    scored = pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), text.jaro_winkler(F.col("x.title"), F.col("y.title")).alias("jw"), seen.alias("seen"))
+    score = F.round(0.5 * F.col("jw") + 0.5 * F.col("seen"), 4)
+    return scored.select("a", "b", score.alias("score"), (score >= 0.8).alias("matched"), scoring.arcface_loss(score).alias("loss"))
 
 
 @query(
@@ -78,17 +93,24 @@ def token_jaccard_join(spark, d):
     return matching.jaccard_pairs(s.select("k", F.split("t", " ").alias("t")), "k", "t", 50)
 
 
-_BITS = """h AS (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END FOR i IN range(1, 33)])::BIGINT AS bits FROM embeddings)"""
+_BITS = """h AS (SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0::HUGEINT END FOR i IN range(1, 65)])::HUGEINT AS bits FROM embeddings)"""
 
 
 def _hashes(spark, d):
     return table(spark, d, "embeddings").select("vec_id", vectors.sign_bits(F.col("embedding")).alias("bits"))
 
 
-@query("hamming_join", f"WITH {_BITS} SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE a.bits <> 0 AND b.bits <> 0 AND bit_count(xor(a.bits, b.bits)) <= 5")
+@query("hamming_join", f"""WITH {_BITS}, c AS (SELECT bits, min(vec_id) AS k, count(*) AS n FROM h WHERE bits <> 0 GROUP BY bits)
+    SELECT a.k AS a, b.k AS b, a.n AS n_a, b.n AS n_b, bit_count(xor(a.bits, b.bits))::INT AS distance FROM c a JOIN c b ON a.k < b.k WHERE bit_count(xor(a.bits, b.bits)) <= 8""")
 def hamming_join(spark, d):
-    """Hashes of 32 bits that differ in at most five, by six bands."""
-    return matching.hamming_pairs(_hashes(spark, d), "vec_id", "bits", 5, 32)
+    """Classes of equal 64-bit hashes that differ in at most eight bits, by two of ten bands."""
+    return matching.hamming_pairs(_hashes(spark, d), "vec_id", "bits", 8)
+
+
+@query("hamming_classes", f"WITH {_BITS} SELECT vec_id, min(vec_id) OVER (PARTITION BY bits) AS class_id FROM h WHERE bits <> 0")
+def hamming_classes(spark, d):
+    """The class of equal hashes that each row is in."""
+    return matching.hash_classes(_hashes(spark, d), "vec_id", "bits")
 
 
 @query("hamming_hex", f"WITH {_BITS} SELECT a.vec_id AS a, bit_count(xor(a.bits, b.bits))::INT AS distance FROM h a JOIN h b ON b.vec_id = 0")
@@ -120,9 +142,10 @@ def vector_first_and_best_hit(spark, d):
 )
 def blacklist_anti_join(spark, d):
     """Candidates that are no blacklisted row, nor near one by hash or by vector. The blacklist is met in blocks of about ``MOST_SENT`` rows."""
-    x = table(spark, d, "embeddings").select("vec_id", "embedding").join(_hashes(spark, d), "vec_id")
+    e = table(spark, d, "embeddings")
+    x = e.select("vec_id", "embedding", vectors.sign_bits(F.col("embedding")).alias("bits"))
     listed = x.filter("vec_id % 50 = 0")
-    n = -(-table(spark, d, "embeddings").filter("vec_id % 50 = 0").count() // matching.MOST_SENT)
+    n = -(-e.filter("vec_id % 50 = 0").count() // matching.MOST_SENT)
     left = x
     for i in range(n):
         block = listed.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i)
@@ -261,8 +284,8 @@ def adc_search(spark, d):
 @query("procrustes_alignment", None)
 def procrustes_alignment(spark, d):
     """The rotation between two halves of the vectors, and what is left of each after it."""
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("x"), F.slice("embedding", 9, 8).alias("y"))
-    q = vector_models.alignment(e, "x", "y", 8)
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
+    q = vector_models.alignment(e, "x", "y", 32)
     left = vectors.squared_distance(vector_models.apply_matrix(F.col("x"), q), F.col("y"))
     return e.select("vec_id", F.round(F.sqrt(left), 4).alias("error"))
 
@@ -324,7 +347,18 @@ def breaker_fold(spark, d):
     return stateful.fold(e, "user_id", ["ts", "event_id"], ("CLOSED", 0, 0.0), step, ["event_id"], "state string, failures int")
 
 
-@query("router_fold", None)
+@query(
+    "router_fold",
+    """WITH RECURSIVE e AS (SELECT user_id % 10 AS router, event_id, user_id % 3 AS p, event_type NOT IN ('error', 'signup') AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT router, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS p, NULL::DOUBLE AS hp, [NULL, NULL, NULL]::DOUBLE[] AS h, [0, 0, 0]::INT[] AS f, NULL::BIGINT AS cur FROM (SELECT DISTINCT router FROM e)
+      UNION ALL SELECT router, n, event_id, p, h[p + 1], h, f, CASE WHEN len(able) > 0 AND (cur IS NULL OR h[cur + 1] IS NOT NULL AND (f[cur + 1] >= 2 OR h[cur + 1] < 30) OR h[best + 1] > coalesce(h[cur + 1], 0) + 15) THEN best ELSE cur END
+      FROM (SELECT *, list_sort([{'a': -h[i + 1], 'b': i} FOR i IN able])[1].b AS best FROM (SELECT *, [i FOR i IN [0, 1, 2]::BIGINT[] IF h[i + 1] IS NOT NULL AND f[i + 1] < 2 AND h[i + 1] >= 30] AS able FROM (
+        SELECT e.router, e.n, e.event_id, e.p, s.cur,
+          [CASE WHEN i <> e.p THEN s.h[i + 1] WHEN e.ok THEN least(100, coalesce(s.h[i + 1], 100) + 5) ELSE greatest(0, coalesce(s.h[i + 1], 100) - 20) END FOR i IN [0, 1, 2]::BIGINT[]]::DOUBLE[] AS h,
+          [CASE WHEN i <> e.p THEN s.f[i + 1] WHEN e.ok THEN 0 ELSE s.f[i + 1] + 1 END FOR i IN [0, 1, 2]::BIGINT[]]::INT[] AS f
+        FROM s JOIN e ON e.router = s.router AND e.n = s.n + 1))))
+    SELECT router, event_id, hp AS health, coalesce(cur, -1)::INT AS current FROM s WHERE n > 0""",
+)
 def router_fold(spark, d):
     """The provider that each event type's router uses after each event."""
     e = table(spark, d, "events").select((F.col("user_id") % 10).alias("router"), "event_id", "event_type", "ts", (F.col("user_id") % 3).alias("provider"))

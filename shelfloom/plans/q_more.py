@@ -2,31 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom.functions import images, scoring, text, vectors
-from shelfloom.operators import matching, merge, ranking
+from shelfloom.operators import catalog, matching, merge, ranking
 from shelfloom.plans.registry import query
 from shelfloom.sources import sinks
 from shelfloom.sources.tables import table
 
 
+_DRAWN = "CASE WHEN p_type LIKE '%PROMO%' THEN 'vector art of ' WHEN p_size > 47 THEN 'start of ' ELSE '' END"
+_HOST = "CASE WHEN p_size = 13 THEN 'i.pinimg.com' WHEN p_size = 14 THEN 'shop.example.ae' ELSE 'cdn.example.com' END"
+_REASON = """CASE WHEN c.width < 300 OR c.height < 300 THEN 'smaller than 300x300: ' || c.width || 'x' || c.height WHEN contains(c.title, 'vector art') THEN 'excluded word: vector' WHEN contains(c.url, 'i.pinimg.com') THEN 'excluded domain: i.pinimg.com'
+      WHEN contains(c.title, lower(p.rival)) THEN 'competitor: ' || lower(p.rival) WHEN greatest(p.ml, c.ml) > 1.2 * least(p.ml, c.ml) THEN 'another size or pack' END"""
+
+
 @query(
     "product_search",
-    """WITH c AS (SELECT p_partkey, p_name, p_brand, p_size, p_retailprice, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS rank, p_partkey % 4 AS engine FROM part WHERE p_name LIKE '%widget%' QUALIFY rank <= 15),
-    g AS (SELECT *, CASE WHEN p_size < 5 THEN 'too small' WHEN p_name LIKE 'old %' THEN 'excluded word' WHEN p_brand = 'Brand#7' THEN 'competitor' END AS reason FROM c),
-    s AS (SELECT *, round(CASE engine WHEN 0 THEN 1.3::DOUBLE WHEN 1 THEN 1.1::DOUBLE WHEN 2 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END / (60 + rank) + CASE WHEN reason IS NULL THEN 0.01 ELSE 0 END, 6) AS score FROM g)
-    SELECT p_partkey, engine, rank, reason, score, row_number() OVER (ORDER BY reason IS NOT NULL, score DESC, p_size * p_retailprice DESC, p_partkey) AS place FROM s""",
+    f"""WITH i AS (SELECT p_name, p_partkey AS k, p_brand, {_DRAWN} || lower(p_brand) || ' ' || p_name || ' ' || p_size * 10 || 'ml' AS title, 'https://' || {_HOST} || '/' || p_partkey || '.jpg' AS url, p_size * 30 AS width, p_size * 25 AS height, p_size * 10 AS ml, p_partkey % 4 AS engine FROM part),
+    p AS (SELECT p_partkey AS product, p_name, p_brand, p_size * 10 AS ml, 'Brand#' || (substr(p_brand, 7)::INT % 25 + 1) AS rival FROM (SELECT *, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS n FROM part) WHERE n = 1),
+    r AS (SELECT p.product, p.p_brand, p.rival, p.ml AS p_ml, c.* EXCLUDE (p_brand, p_name), row_number() OVER (PARTITION BY p.product, c.engine ORDER BY c.k) AS rank FROM p JOIN i c ON c.p_name = p.p_name),
+    c AS (SELECT * FROM r WHERE rank <= 15),
+    t AS (SELECT c.product, c.k, c.engine, c.rank, {_REASON.replace("p.rival", "c.rival").replace("p.ml", "c.p_ml")} AS reason, contains(c.title, lower(c.p_brand)) AS brand, contains(c.title, c.p_ml || 'ml') AS sized, c.width * c.height AS resolution FROM c)
+    SELECT product, k AS candidate, engine, rank::INT AS rank, reason, brand AS has_brand, row_number() OVER (PARTITION BY product ORDER BY reason IS NOT NULL, CASE WHEN reason IS NULL THEN 15 * brand::INT + 3 * sized::INT ELSE 0 END DESC, resolution DESC, k)::INT AS place FROM t""",
 )
 def product_search(spark, d):
-    """Candidates of four engines, ranked before they are filtered; rejected ones stay in the trail, behind the others."""
-    found = table(spark, d, "part").filter(F.col("p_name").contains("widget")).withColumn("engine", F.col("p_partkey") % 4)
-    c = ranking.with_rank(found, [F.asc("p_partkey")], ["engine"]).filter("rank <= 15")
-    reason = F.coalesce(F.when(F.col("p_size") < 5, "too small"), F.when(F.col("p_name").startswith("old "), "excluded word"), F.when(F.col("p_brand") == "Brand#7", "competitor"))
-    weight = F.element_at(F.array(*[F.lit(x) for x in (1.3, 1.1, 0.9, 0.7)]), (F.col("engine") + 1).cast("int"))
-    s = c.withColumn("reason", reason).withColumn("score", F.round(weight / (60 + F.col("rank")) + F.when(F.col("reason").isNull(), 0.01).otherwise(0.0), 6))
-    order = [F.col("reason").isNotNull(), F.desc("score"), F.desc(F.col("p_size") * F.col("p_retailprice")), F.asc("p_partkey")]
-    return ranking.with_rank(s, order, name="place").select("p_partkey", "engine", "rank", "reason", "score", "place")
+    """Search of each product: its brand as typed is aligned to the vocabulary, engines give lists, the filter chain judges every candidate, and the best is in place 1.
+
+    A product is the first record of a name and brand; an image is a record of the
+    same name. Rejected candidates stay in the trail, behind the others.
+    """
+    part = table(spark, d, "part")
+    k, size, brand = F.col("p_partkey"), F.col("p_size"), F.col("p_brand")
+    drawn = F.when(F.col("p_type").contains("PROMO"), "vector art of ").when(size > 47, "start of ").otherwise("")
+    host = F.when(size == 13, "i.pinimg.com").when(size == 14, "shop.example.ae").otherwise("cdn.example.com")
+    images_of = part.select(
+        "p_name", k.alias("candidate"), F.concat(drawn, F.lower(brand), F.lit(" "), F.col("p_name"), F.lit(" "), (size * 10).cast("string"), F.lit("ml")).alias("title"),
+        F.concat(F.lit("https://"), host, F.lit("/"), k.cast("string"), F.lit(".jpg")).alias("url"), (size * 30).alias("width"), (size * 25).alias("height"), (k % 4).alias("engine"),
+    )
+    typed = F.when(k % 3 == 0, F.upper(brand)).when(k % 3 == 1, F.concat(F.lit("Brnd"), F.expr("substring(p_brand, 6)"))).otherwise(brand)
+    first = part.groupBy("p_name", "p_brand").agg(F.min_by(F.struct("p_partkey", "p_size"), "p_partkey").alias("x")).select("p_name", "p_brand", "x.*")
+    brands = [f"Brand#{i}" for i in range(1, 26)]
+    rival = F.concat(F.lit("Brand#"), (F.expr("substring(brand, 7)").cast("int") % 25 + 1).cast("string"))
+    products = first.select("p_name", k.alias("product_key"), matching.closest_word(typed, brands).alias("brand"), size.alias("size"))
+    products = products.select("p_name", "product_key", "brand", F.concat(F.col("p_name"), F.lit(" "), (F.col("size") * 10).cast("string"), F.lit("ml")).alias("product"), F.array(rival).alias("competitors"), F.array(F.lower("brand")).alias("synonyms"))
+    lists = ranking.with_rank(images_of.join(products, "p_name"), [F.asc("candidate")], ["product_key", "engine"]).filter(F.col("rank") <= catalog.MOST_CANDIDATES)
+    trail = catalog.candidate_trail(lists)
+    placed = ranking.with_rank(trail, catalog.trail_order(F.asc("candidate")), ["product_key"], name="place")
+    return placed.select(F.col("product_key").alias("product"), "candidate", "engine", "rank", F.col("reject_reason").alias("reason"), "has_brand", "place")
 
 
 @query("candidates_by_key", "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_orderkey = 7 ORDER BY l_extendedprice DESC, l_partkey")
@@ -62,17 +88,22 @@ def status_update(spark, d):
     return j.select("o_orderkey", F.coalesce("new", "o_orderstatus").alias("status"))
 
 
-@query("table_copy", "SELECT r_regionkey, r_name FROM region")
+@query("table_copy", "SELECT kind, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS total, count(DISTINCT o_orderstatus || o_orderpriority) AS labels FROM orders, (VALUES ('parquet'), ('orc'), ('json'), ('csv')) k(kind) GROUP BY kind")
 def table_copy(spark, d):
-    """A table read, written and read again."""
-    return sinks.write(table(spark, d, "region"), sinks.folder(spark, "copy"))
+    """A table written in each format and read again, by its sums."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    copies = [sinks.write(rows, sinks.folder(spark, kind), kind).withColumn("kind", F.lit(kind)) for kind in ("parquet", "orc", "json", "csv")]
+    sums = (F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.countDistinct(F.concat("o_orderstatus", "o_orderpriority")).alias("labels"))
+    return reduce(DataFrame.unionByName, copies).groupBy("kind").agg(*sums)
 
 
 @query("feedback_append", "SELECT l_orderkey, l_linenumber, l_partkey, '[\"' || l_returnflag || '\",\"' || l_linestatus || '\"]' AS reasons FROM lineitem WHERE l_quantity > 48")
 def feedback_append(spark, d):
-    """Feedback rows with their reasons as a JSON array, appended and read back."""
+    """Feedback rows with their reasons as a JSON array, appended to what is there in two batches and read back."""
     rows = table(spark, d, "lineitem").filter("l_quantity > 48").select("l_orderkey", "l_linenumber", "l_partkey", F.to_json(F.array("l_returnflag", "l_linestatus")).alias("reasons"))
-    return sinks.write(rows, sinks.folder(spark, "feedback"), "json")
+    path = sinks.folder(spark, "feedback")
+    sinks.append(rows.filter("l_quantity <= 49"), path, "json")
+    return sinks.append(rows.filter("l_quantity > 49"), path, "json")
 
 
 @query("subset_tests", "SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('red', 'ring', 'bolt', 'old'))) = 0 AS inside, contains(' ' || p_name || ' ', ' ring ') AS around FROM part".replace("len(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('red', 'ring', 'bolt', 'old'))) = 0", "len([x FOR x IN string_split(p_name, ' ') IF x NOT IN ('red', 'ring', 'bolt', 'old')]) = 0"))
@@ -91,12 +122,22 @@ def proxy_request(spark, d):
     return rows.select("page_id", F.concat(F.parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.col("ip"), F.parse_url("url", F.lit("PATH"))).alias("pinned"), F.parse_url("url", F.lit("HOST")).alias("host"))
 
 
-@query("caption_conflict", "SELECT p_partkey, (p_name LIKE '%ring%' AND p_brand <> 'Brand#1') OR (p_name LIKE '%old%') <> (p_type LIKE '%PROMO%') AS conflict FROM part")
+_KNOWN = "['lays', 'nestle', 'dove', 'kitkat']"
+
+
+@query(
+    "caption_conflict",
+    f"""WITH t AS (SELECT p_partkey, {_KNOWN}[(p_size % 4)::INT + 1] AS brand, 'a pack of ' || {_KNOWN}[(p_partkey % 4)::INT + 1] || CASE WHEN p_name LIKE '%ring%' THEN ' zero' ELSE '' END AS caption, p_name || CASE WHEN p_type LIKE '%PROMO%' THEN ' diet' ELSE '' END AS title FROM part)
+    SELECT p_partkey, NOT (brand <> 'kitkat' AND ((contains(caption, 'lays') AND brand <> 'lays') OR (contains(caption, 'nestle') AND brand <> 'nestle') OR (contains(caption, 'dove') AND brand <> 'dove'))) AS caption_agrees,
+      NOT (contains(caption, 'nestle') AND brand <> 'nestle') AND contains(caption, 'zero') = contains(title, 'diet') AS package_agrees FROM t""",
+)
 def caption_conflict(spark, d):
-    """A competitor in the caption, or a variant word in only one of two texts."""
-    n = F.col("p_name")
-    rival = n.contains("ring") & (F.col("p_brand") != "Brand#1")
-    return table(spark, d, "part").select("p_partkey", (rival | (n.contains("old") != F.col("p_type").contains("PROMO"))).alias("conflict"))
+    """A competitor in the caption, or in the words on the package, and a variant without sugar in only one of package and title."""
+    known = F.array(*[F.lit(w) for w in ("lays", "nestle", "dove", "kitkat")])
+    brand, seen = F.element_at(known, (F.col("p_size") % 4).cast("int") + 1), F.element_at(known, (F.col("p_partkey") % 4).cast("int") + 1)
+    caption = F.concat(F.lit("a pack of "), seen, F.when(F.col("p_name").contains("ring"), " zero").otherwise(""))
+    title = F.concat(F.col("p_name"), F.when(F.col("p_type").contains("PROMO"), " diet").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", text.caption_agrees(caption, brand).alias("caption_agrees"), text.variant_agrees(F.split(caption, " "), title, brand).alias("package_agrees"))
 
 
 @query("back_projection", "SELECT p_partkey, round((p_size * 10 - 320) * 2.0::DOUBLE / 525, 2) AS x, round((p_size * 5 - 240) * 2.0::DOUBLE / 525, 2) AS y, 2.0::DOUBLE AS z FROM part")
@@ -105,19 +146,22 @@ def back_projection(spark, d):
     return table(spark, d, "part").select("p_partkey", p.alias("p")).select("p_partkey", "p.x", "p.y", "p.z")
 
 
-@query(
-    "unified_quality_score",
-    """WITH m AS (SELECT p_partkey, (p_size % 10) / 10.0::DOUBLE AS a, (p_partkey % 7) / 7.0::DOUBLE AS b, (p_partkey % 11) / 11.0::DOUBLE AS c, (p_partkey % 13) / 13.0::DOUBLE AS e, (p_partkey % 3) / 3.0::DOUBLE AS f, (p_partkey % 5) / 5.0::DOUBLE AS noise FROM part)
-    SELECT p_partkey, CASE WHEN a < 0.1 THEN 0 ELSE round(0.2::DOUBLE * a + 0.3::DOUBLE * b + 0.2::DOUBLE * c + 0.2::DOUBLE * e + 0.1::DOUBLE * f - 0.2::DOUBLE * noise, 6) END::DOUBLE AS score,
-      CASE WHEN a < 0.1 THEN 0 ELSE round(0.2::DOUBLE * a + 0.3::DOUBLE * b + 0.2::DOUBLE * c + 0.2::DOUBLE * e + 0.1::DOUBLE * f - 0.2::DOUBLE * noise, 6) END >= 0.35 AS approved FROM m""",
-)
+def _pictures(spark, d):
+    """Small images made of the vectors: 16 x 16 pixels of three channels, of all 64 components."""
+    level = lambda x: F.chr((F.abs(x) * 1000 % 94 + 33).cast("int"))
+    line = F.array_join(F.transform("embedding", level), "")
+    return table(spark, d, "embeddings").select("vec_id", F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(3).alias("channels"), F.encode(F.repeat(line, 12), "US-ASCII").alias("pixels"))
+
+
+@query("unified_quality_score", None)
 def unified_quality_score(spark, d):
-    """Weighted measures less a penalty; 0 where a gate fails, rejected under 0.35."""
-    k = F.col("p_partkey")
-    a = (F.col("p_size") % 10) / 10.0
-    total = 0.2 * a + 0.3 * ((k % 7) / 7.0) + 0.2 * ((k % 11) / 11.0) + 0.2 * ((k % 13) / 13.0) + 0.1 * ((k % 3) / 3.0) - 0.2 * ((k % 5) / 5.0)
-    score = F.when(a < 0.1, 0.0).otherwise(F.round(total, 6))
-    return table(spark, d, "part").select("p_partkey", score.alias("score")).withColumn("approved", F.col("score") >= 0.35)
+    """Gates and weighted score of measured images; tests hold the formula against examples."""
+    m = images.measure(_pictures(spark, d), "vec_id", ["sharpness", "mean_level", "bright_level", "burnt_share", "contrast", "blockiness", "fill", "perimeter_purity"], images.AUDIT)
+    side = F.lit(640)
+    failed = catalog.quality_gates(side, side, F.col("sharpness"), F.col("mean_level"), F.col("bright_level"), F.col("burnt_share"), F.col("contrast"), F.col("blockiness"))
+    m = m.withColumn("failed", failed)
+    s = catalog.unified_quality(side, side, F.col("sharpness"), F.col("perimeter_purity"), F.col("fill"), F.lit(20.0), F.col("blockiness"), F.size("failed") == 0)
+    return m.select("vec_id", F.array_join("failed", ",").alias("failed"), s.alias("s")).select("vec_id", "failed", "s.score", "s.approved")
 
 
 @query(
@@ -131,33 +175,52 @@ def composite_image_score(spark, d):
 
 @query(
     "visual_audit_decision",
-    """WITH m AS (SELECT page_id, (page_id % 20) / 10.0::DOUBLE AS match, (page_id % 7) / 7.0::DOUBLE AS authority, 0.5 + (page_id % 10) / 10.0::DOUBLE AS aspect FROM pages)
-    SELECT page_id, round(0.6::DOUBLE * match + 0.4::DOUBLE * authority, 4) AS final, round(0.6::DOUBLE * match + 0.4::DOUBLE * authority, 4) >= 0.65 AS passed, aspect BETWEEN 0.85 AND 1.25 AS bundle FROM m""",
+    """WITH o AS (SELECT o_orderkey, o_custkey % 40 * 40 AS w, 300 + o_orderkey % 9 * 60 AS h, CASE WHEN o_orderpriority LIKE '1%' THEN 'water 6 x 500' WHEN o_orderpriority LIKE '2%' THEN 'juice box' ELSE 'juice' END AS q,
+      CASE WHEN o_orderstatus = 'F' THEN 0.96 WHEN o_orderstatus = 'O' THEN 0.92 ELSE 0.15 END::DOUBLE AS share, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.3 END::DOUBLE AS cdn, CASE WHEN o_orderpriority LIKE '3%' THEN 0.6 ELSE 1.0 END::DOUBLE AS full_ FROM orders),
+    f AS (SELECT *, w >= 300 AND h >= 300 AND w / h::DOUBLE BETWEEN 0.5 AND 2.0 AS fits, w / h::DOUBLE AS ar, q <> 'juice' AS multi, round(0.4::DOUBLE * share + 0.4::DOUBLE * full_ + 0.2::DOUBLE * cdn, 3) AS authority FROM o),
+    m AS (SELECT *, CASE WHEN multi AND NOT ar BETWEEN 0.85 AND 1.25 THEN 0.02 WHEN NOT multi AND ar BETWEEN 0.85 AND 1.25 THEN 0.05 WHEN multi THEN 1.7 ELSE 1.0 END::DOUBLE AS matching FROM f)
+    SELECT o_orderkey, CASE WHEN fits AND matching * 0.6::DOUBLE + authority * 0.4::DOUBLE >= 0.65 THEN 'ACCEPT' ELSE 'REJECT' END AS decision, CASE WHEN fits THEN round(matching, 2) END AS matching, CASE WHEN fits THEN authority END AS authority, CASE WHEN fits THEN round(matching * 0.6::DOUBLE + authority * 0.4::DOUBLE, 2) END AS final FROM m""",
 )
 def visual_audit_decision(spark, d):
-    n = F.col("page_id")
-    final = F.round(0.6 * ((n % 20) / 10.0) + 0.4 * ((n % 7) / 7.0), 4)
-    return table(spark, d, "pages").select("page_id", final.alias("final"), (final >= 0.65).alias("passed"), (0.5 + (n % 10) / 10.0).between(0.85, 1.25).alias("bundle"))
+    """Size, intent of the query against the shape of the image, and authority of the merchant."""
+    k, p, s = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    q = F.when(p.startswith("1"), "water 6 x 500").when(p.startswith("2"), "juice box").otherwise("juice")
+    page = F.when(s == "F", "https://brand.myshopify.com/p").when(s == "O", "https://www.walmart.com/ip/1").otherwise("https://x.example/p")
+    image = F.when(s == "F", "https://cdn.shopify.com/a.png").otherwise("https://x.example/a.png")
+    audit = catalog.visual_audit(q, F.col("o_custkey") % 40 * 40, 300 + k % 9 * 60, page, image, F.when(p.startswith("3"), 0.6).otherwise(1.0))
+    return table(spark, d, "orders").select("o_orderkey", audit.alias("a")).select("o_orderkey", "a.*")
 
 
-@query(
-    "master_image_audit",
-    """WITH m AS (SELECT p_partkey, (p_size % 40)::DOUBLE * 2 AS colour, (p_partkey % 2000)::DOUBLE AS sharp, (p_size % 10) / 10.0::DOUBLE AS ratio, p_partkey % 2 = 0 AS shadow, p_partkey % 3 = 0 AS capacity FROM part)
-    SELECT p_partkey, round(colour * 0.3::DOUBLE + least(sharp, 1200) / 1200 * 40 + ratio * 20 + CASE WHEN shadow THEN 10 ELSE 0 END - CASE WHEN capacity AND ratio < 0.4 THEN 20 ELSE 0 END, 4) AS score FROM m""",
-)
+@query("master_image_audit", None)
 def master_image_audit(spark, d):
-    k, s = F.col("p_partkey"), F.col("p_size")
-    ratio = (s % 10) / 10.0
-    score = (s % 40) * 2 * 0.3 + F.least(k % 2000, F.lit(1200)) / 1200 * 40 + ratio * 20 + F.when(k % 2 == 0, 10).otherwise(0) - F.when((k % 3 == 0) & (ratio < 0.4), 20).otherwise(0)
-    return table(spark, d, "part").select("p_partkey", F.round(score, 4).alias("score"))
+    """Looks and specification of measured images; tests hold the formula against examples."""
+    m = images.measure(_pictures(spark, d), "vec_id", ["colourfulness", "sharpness", "packaging", "shadow"], images.AUDIT)
+    a = catalog.master_audit(F.col("colourfulness"), F.col("sharpness"), F.col("packaging"), F.col("shadow") == 1, F.col("vec_id") % 2 == 0)
+    return m.select("vec_id", F.round("packaging", 4).alias("packaging"), a.alias("a")).select("vec_id", "packaging", "a.*")
+
+
+@query("background_gates", None)
+def background_gates(spark, d):
+    """The white-background gates over one image each, and the density of the package; tests hold them against examples."""
+    names = [f"{n}_{x}" for n in images.BACKGROUND_GATES for x in ("purity", "passed")]
+    m = images.measure(_pictures(spark, d), "vec_id", [*names, "packaging"], images.AUDIT)
+    return m.select("vec_id", *[F.round(n, 4).alias(n) for n in names], F.round("packaging", 4).alias("packaging"), (F.col("packaging") >= 0.45).alias("dense"))
+
 
+_GOODS = ("Full cream milk", "Orange JUICE 1L", "Hair lotion", "Dish liquid", "Red apples", "Butter cookies with water", "Skin clean")
 
-@query("heuristic_category", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'ring|rod') THEN 'parts/metal' WHEN regexp_matches(p_name, 'widget|gizmo') THEN 'parts/device' ELSE 'other' END AS path, CASE WHEN regexp_matches(p_name, 'ring|rod|widget|gizmo') THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence FROM part")
+
+@query(
+    "heuristic_category",
+    f"""WITH t AS (SELECT p_partkey, p_name || ' ' || {list(_GOODS)}[(p_size % 7)::INT + 1] AS title FROM part), l AS (SELECT p_partkey, lower(title) AS t FROM t),
+    c AS (SELECT p_partkey, CASE WHEN regexp_matches(t, 'milk|egg|eggs|cheese|yogurt|butter') THEN 'Fresh Food > Dairy & Eggs' WHEN regexp_matches(t, 'juice|soda|drink|cola|pepsi|fanta|water') THEN 'Beverages > Soft Drinks & Juices'
+      WHEN regexp_matches(t, 'shampoo|hair|soap|cream|lotion|skin') THEN 'Health & Beauty > Skin Care & Soap' WHEN regexp_matches(t, 'clean|detergent|powder|spray|dish|liquid') THEN 'Household > Cleaning Supplies' END AS path FROM l)
+    SELECT p_partkey, coalesce(path, 'Fresh Food > Vegetables & Fruits') AS path, CASE WHEN path IS NULL THEN 0.4 ELSE 0.7 END::DOUBLE AS confidence FROM c""",
+)
 def heuristic_category(spark, d):
     """A category by families of words, with less confidence where none fits."""
-    n = F.col("p_name")
-    metal, device = n.rlike("ring|rod"), n.rlike("widget|gizmo")
-    return table(spark, d, "part").select("p_partkey", F.when(metal, "parts/metal").when(device, "parts/device").otherwise("other").alias("path"), F.when(metal | device, 0.7).otherwise(0.4).alias("confidence"))
+    title = F.concat_ws(" ", "p_name", F.element_at(F.array(*[F.lit(g) for g in _GOODS]), (F.col("p_size") % 7).cast("int") + 1))
+    return table(spark, d, "part").select("p_partkey", text.lexical_category(title).alias("c")).select("p_partkey", "c.path", "c.confidence")
 
 
 @query(
@@ -187,19 +250,17 @@ def rich_product_update(spark, d):
 @query("image_gates", None)
 def image_gates(spark, d):
     """Exposure, contrast, blocks, centring, content and the verdict of small images made of the vectors."""
-    level = lambda x: F.chr((F.abs(x) * 1000 % 94 + 33).cast("int"))
-    line = F.array_join(F.transform(F.slice("embedding", 1, 48), level), "")
-    e = table(spark, d, "embeddings").select("vec_id", F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(3).alias("channels"), F.encode(F.repeat(line, 16), "US-ASCII").alias("pixels"))
-    m = images.measure(e, "vec_id", list(images.GATES), images.GATES)
+    m = images.measure(_pictures(spark, d), "vec_id", list(images.GATES), images.GATES)
     score = scoring.clamp(0.3 * (1 - F.col("naturalness") / 100) + 0.3 * scoring.clamp(F.col("contrast") / 128) + 0.2 * F.col("centring") + 0.2 * (F.col("aesthetic") - 1) / 9)
     return m.select("vec_id", *[F.round(n, 4).alias(n) for n in images.GATES], F.round(score, 4).alias("score"), F.when(F.col("content") < 0.5, "NO_CONTENT").when(score < 0.35, "REJECT").otherwise("ACCEPT").alias("verdict"))
 
 
-@query("nearest_word_overlap", "SELECT count(*) AS pairs FROM (SELECT a.p_partkey FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)")
-def nearest_word_overlap(spark, d):
-    """Identical records by count, from the sizes of their groups and not from the pairs."""
-    g = table(spark, d, "part").groupBy("p_name", "p_type", "p_size").agg(F.count("*").alias("n"))
-    return g.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"))
+@query("image_measures", None)
+def image_measures(spark, d):
+    """Measures of small images made of the vectors."""
+    m = images.measure(_pictures(spark, d), "vec_id")
+    out = m.withColumn("verdict", images.verdict(F.col("colourfulness"), F.col("sharpness"), F.col("white_border")))
+    return out.select("vec_id", *[F.round(n, 4).alias(n) for n in images.MEASURES], "phash", "verdict")
 
 
 @query("keep_latest_failure", "SELECT barcode, max(event_id) AS event_id FROM (SELECT 'ERR_' || user_id || '_' || replace(event_type || ' x', ' ', '_') AS barcode, event_id FROM events WHERE event_type IN ('error', 'signup')) GROUP BY barcode")
@@ -218,13 +279,6 @@ def vector_upsert(spark, d):
     return merge.upsert(old, new, ["vec_id"], [F.desc("version")])
 
 
-@query("typed_names_known", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
-def typed_names_known(spark, d):
-    """Names resolved to a vocabulary, counted."""
-    c = table(spark, d, "customer").select(matching.closest_word(F.lower("c_mktsegment"), ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]).alias("c_mktsegment"))
-    return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-
-
 @query("safe_names", "SELECT page_id, 'products/fresh-food/x-' || (page_id % 5) AS folder, 'img_' || page_id || '.png' AS asset, chr((65 + page_id % 26)::INT) || (page_id + 1) AS cell FROM pages")
 def safe_names(spark, d):
     """Folder, last URL segment without its query, and the cell of a sheet."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shelfloom.functions import scoring, vectors
-from shelfloom.operators import pricing, quality
+from shelfloom.functions import scoring, text, vectors
+from shelfloom.operators import catalog, pricing, quality
 from shelfloom.plans.registry import query
 from shelfloom.sources.tables import table
 
@@ -18,12 +18,15 @@ def null_rate(spark, d):
     return quality.null_rate(rows, ["a", "b"])
 
 
-@query("quality_audit", "SELECT round(100.0::DOUBLE * count(*) FILTER (l_discount = 0) / count(*), 2) AS null_rate, round(100.0::DOUBLE * count(*) FILTER (l_discount = 0) / count(*), 2) <= 5 AS passed, '[missing_key]' AS missing FROM lineitem")
+@query(
+    "quality_audit",
+    """WITH n AS (SELECT round(100.0::DOUBLE * (count(*) FILTER (value > 200) + count(*) FILTER (event_type = 'view')) / (2 * count(*)), 2) AS null_rate FROM events)
+    SELECT null_rate, true AS drift, false AS captcha, false AS passed, CASE WHEN null_rate > 5 THEN 'null rate,' ELSE '' END || 'missing columns: barcode' AS reasons FROM n""",
+)
 def quality_audit(spark, d):
-    """Blank cells, and expected columns that the data lacks."""
-    rows = table(spark, d, "lineitem").select(F.nullif("l_discount", F.lit(0.0)).alias("discount"))
-    missing = sorted({"discount", "missing_key"} - set(rows.columns))
-    return quality.null_rate(rows, ["discount"]).withColumn("passed", F.col("null_rate") <= 5).withColumn("missing", F.lit(f"[{', '.join(missing)}]"))
+    """Blank cells over five per cent, expected columns that the data lacks, and a captcha in place of a page; each failure with its reason."""
+    rows = table(spark, d, "events").select(F.when(F.col("value") <= 200, F.col("value")).alias("price"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("name"))
+    return quality.audit(rows, ["price", "name"], ["price", "name", "barcode"], F.lit(200), F.lit("<html>a list of products</html>"))
 
 
 @query("catalog_error_rates", "SELECT l_returnflag, round(100.0::DOUBLE * count(*) FILTER (l_quantity > 45) / count(*), 2) AS cer, round(100.0::DOUBLE * count(*) FILTER (l_tax > 0.07) / count(*), 2) AS e1 FROM lineitem GROUP BY 1")
@@ -149,14 +152,19 @@ def pearson_by_supplier(spark, d):
 
 @query(
     "pricing_audit",
-    """WITH s AS (SELECT l_partkey, avg(l_extendedprice) AS mu, stddev_pop(l_extendedprice) AS sd, count(*) AS n, min(l_extendedprice) AS price, corr(l_extendedprice, l_quantity) AS r FROM lineitem GROUP BY 1)
-    SELECT l_partkey, CASE WHEN price < 1500 THEN 'MAP_VIOLATION' WHEN n >= 3 AND sd > 0 AND price - mu < -2 * sd THEN 'PRICING_ERROR' WHEN l_partkey % 17 = 0 THEN 'FAKE_PROMOTION' WHEN n >= 3 AND round(r, 4) >= 0.95 THEN 'COLLUSION' ELSE 'NORMAL' END AS verdict FROM s""",
+    """WITH h AS (SELECT l_partkey, date_diff('day', l_shipdate::DATE, DATE '2003-01-01') AS days_ago, min(l_extendedprice / l_quantity) AS price, avg(l_tax) AS peer FROM lineitem GROUP BY ALL),
+    w AS (SELECT *, lead(price, 1) OVER o AS p1, lead(price, 2) OVER o AS p2, lead(days_ago, 2) OVER o AS d2, row_number() OVER (PARTITION BY l_partkey ORDER BY days_ago) AS k FROM h WINDOW o AS (PARTITION BY l_partkey ORDER BY days_ago DESC, price)),
+    s AS (SELECT l_partkey, avg(price) FILTER (k > 1) AS mu, stddev_pop(price) FILTER (k > 1) AS sd, count(*) FILTER (k > 1) AS n, max(price) FILTER (k = 1) AS price, coalesce(bool_or(days_ago - d2 <= 14 AND p1 >= 1.25 * price AND p2 <= 1.05 * price), false) AS fake,
+      CASE WHEN count(*) >= 3 THEN round(corr(price, peer), 4) END AS r FROM w GROUP BY 1)
+    SELECT l_partkey, CASE WHEN s.price < 0.9::DOUBLE * p_retailprice THEN 'MAP_VIOLATION' WHEN n >= 3 AND sd > 0 AND s.price - mu < -3 * sd THEN 'PRICING_ERROR' WHEN fake THEN 'FAKE_PROMOTION' WHEN r >= 0.95 THEN 'COLLUSION' ELSE 'NORMAL' END AS verdict FROM s JOIN part ON p_partkey = l_partkey""",
 )
 def pricing_audit(spark, d):
-    """The first that holds of a price under the floor, an outlier, a fake promotion and collusion."""
-    s = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.avg("l_extendedprice").alias("mu"), F.stddev_pop("l_extendedprice").alias("sd"), F.count("*").alias("n"), F.min("l_extendedprice").alias("price"), pricing.pearson("l_extendedprice", "l_quantity").alias("r"))
-    sigma = (F.col("n") >= 3) & (F.col("sd") > 0) & (F.col("price") - F.col("mu") < -2 * F.col("sd"))
-    return s.select("l_partkey", pricing.pricing_verdict(F.col("price") < 1500, sigma, F.col("l_partkey") % 17 == 0, F.col("r")).alias("verdict"))
+    """The first that holds of a last price under the floor, an outlier of the history, a fake promotion and collusion."""
+    days = F.datediff(F.lit("2003-01-01").cast("date"), F.col("l_shipdate").cast("date"))
+    h = table(spark, d, "lineitem").groupBy("l_partkey", days.alias("days_ago")).agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.avg("l_tax").alias("peer"))
+    s = pricing.audit(h, "l_partkey", "days_ago", "price", "peer")
+    floor = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (0.9 * F.col("p_retailprice")).alias("floor"))
+    return s.join(floor, "l_partkey").select("l_partkey", pricing.pricing_verdict(F.col("price") < F.col("floor"), F.col("sigma"), F.col("fake"), F.col("r")).alias("verdict"))
 
 
 @query(
@@ -360,10 +368,15 @@ def mean_of_last_five(spark, d):
 
 @query(
     "decision_cascade",
-    """SELECT p_partkey, CASE WHEN p_size < 5 THEN 'REJECT_RESOLUTION' WHEN p_partkey % 9 = 0 THEN 'REJECT_BACKGROUND' WHEN p_partkey % 10 = 0 THEN 'REJECT_CONTENT' WHEN p_brand = 'Brand#1' AND p_size < 42 THEN 'REJECT_LOGO' WHEN p_size / 50.0 >= 0.88 THEN 'AUTO_APPROVE' WHEN p_size / 50.0 >= 0.65 THEN 'MANUAL_REVIEW' ELSE 'AUTO_REJECT' END AS decision FROM part""",
+    """WITH p AS (SELECT p_partkey, p_size * 60 AS w, p_size * 50 AS h, p_type = 'ECONOMY' AS dirty, p_brand = 'Brand#1' AS global, p_retailprice / 2000 AS logo, round(1 - levenshtein(lower(p_name), lower(p_type || ' ' || p_name))::DOUBLE / greatest(length(p_name), length(p_type || ' ' || p_name)), 4) AS ocr, CASE WHEN p_size % 2 = 0 THEN 0.97 END::DOUBLE AS visual FROM part),
+    f AS (SELECT *, CASE WHEN greatest(w, h) < 1000 THEN 'RESOLUTION' WHEN dirty THEN 'BACKGROUND' WHEN global AND logo < 0.85 THEN 'LOGO' END AS failed, round((0.4::DOUBLE * coalesce(visual, 0.85) + 0.6::DOUBLE * least(1, 0.5::DOUBLE + 0.3::DOUBLE * ocr + 0.2::DOUBLE)) * 1.0::DOUBLE, 4) AS score FROM p)
+    SELECT p_partkey, CASE WHEN failed IS NOT NULL THEN 'AUTO_REJECT' WHEN score >= 0.88 THEN 'AUTO_APPROVE' WHEN score >= 0.65 THEN 'MANUAL_REVIEW' ELSE 'AUTO_REJECT' END AS decision, CASE WHEN failed IS NULL THEN score ELSE 0 END AS fusion, failed FROM f""",
 )
 def decision_cascade(spark, d):
-    """Gates one after another, then the fused score."""
-    k, s = F.col("p_partkey"), F.col("p_size")
-    gates = F.when(s < 5, "REJECT_RESOLUTION").when(k % 9 == 0, "REJECT_BACKGROUND").when(k % 10 == 0, "REJECT_CONTENT").when((F.col("p_brand") == "Brand#1") & (s < 42), "REJECT_LOGO")
-    return table(spark, d, "part").select("p_partkey", gates.otherwise(scoring.fusion_decision(s / 50.0)).alias("decision"))
+    """Gates one after another, then the fused score of what the models say, with their defaults."""
+    s, name = F.col("p_size"), F.col("p_name")
+    ocr = scoring.ocr_score(F.lit(1.0), text.levenshtein_similarity(name, F.concat_ws(" ", "p_type", "p_name")), F.lit(1.0), F.lit(False))
+    v = catalog.verification(
+        scoring.resolution_gate(s * 60, s * 50)["passed"], F.col("p_type") != "ECONOMY", F.lit(True), F.col("p_brand") == "Brand#1", F.col("p_retailprice") / 2000, F.when(s % 2 == 0, 0.97), ocr, F.lit(None).cast("double")
+    )
+    return table(spark, d, "part").select("p_partkey", v.alias("v")).select("p_partkey", "v.*")

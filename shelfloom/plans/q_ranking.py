@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfloom.functions import scoring, text, vectors
@@ -170,13 +171,13 @@ def rerank_by_overlap(spark, d):
 
 @query(
     "uncertainty_top_n",
-    """WITH e AS (SELECT vec_id, [abs(x) FOR x IN embedding[1:3]::DOUBLE[]] AS a FROM embeddings), n AS (SELECT vec_id, [x / list_sum(a) FOR x IN a] AS p FROM e),
+    """WITH e AS (SELECT vec_id, [abs(x) FOR x IN embedding::DOUBLE[]] AS a FROM embeddings), n AS (SELECT vec_id, [x / list_sum(a) FOR x IN a] AS p FROM e),
     u AS (SELECT vec_id, 1 - list_max(p) AS lc, 1 - (list_sort(p, 'DESC')[1] - list_sort(p, 'DESC')[2]) AS margin, -list_sum([CASE WHEN x > 1e-12 THEN x * ln(x) ELSE 0 END FOR x IN p]) AS entropy FROM n)
     SELECT vec_id, round(0.4 * lc + 0.4 * margin + 0.2 * entropy, 4) AS priority FROM u ORDER BY priority DESC, vec_id LIMIT 50""",
 )
 def uncertainty_top_n(spark, d):
     """Rows whose class probabilities say least, for review."""
-    a = F.transform(F.slice(vectors.doubles(F.col("embedding")), 1, 3), F.abs)
+    a = F.transform(vectors.doubles(F.col("embedding")), F.abs)
     rows = table(spark, d, "embeddings").select("vec_id", a.alias("a")).withColumn("p", F.transform("a", lambda x: x / F.aggregate("a", F.lit(0.0), lambda acc, y: acc + y)))
     return ranking.top(rows.select("vec_id", scoring.uncertainty(F.col("p"))["priority"].alias("priority")), [F.desc("priority"), F.asc("vec_id")], 50)
 
@@ -196,3 +197,19 @@ def argmax_first_wins(spark, d):
     """The greatest value of each key; of equals the first."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return rows.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("best_line"), F.max("l_extendedprice").alias("best_price"))
+
+
+@query(
+    "window_frames",
+    """SELECT p_partkey, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)::INT AS quarter, round(percent_rank() OVER w, 6) AS pct, round(cume_dist() OVER w, 6) AS cume,
+      first_value(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS cheapest, last_value(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dearest,
+      count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice)""",
+)
+def window_frames(spark, d):
+    """Ranks, tiles, ends and a range frame of a brand's products."""
+    w, total = Window.partitionBy("p_brand").orderBy("p_retailprice"), Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
+    whole, near = total.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.partitionBy("p_brand").orderBy("p_size").rangeBetween(-2, 2)
+    return table(spark, d, "part").select(
+        "p_partkey", F.dense_rank().over(w).alias("dense"), F.ntile(4).over(total).alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("pct"), F.round(F.cume_dist().over(w), 6).alias("cume"),
+        F.first("p_partkey").over(total).alias("cheapest"), F.last("p_partkey").over(whole).alias("dearest"), F.count("*").over(near).alias("near"),
+    )

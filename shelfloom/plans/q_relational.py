@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfloom.functions import text
-from shelfloom.operators import merge, ranking
+from shelfloom.operators import catalog, merge, ranking
 from shelfloom.plans.registry import query
 from shelfloom.sources import tables
 from shelfloom.sources.tables import table
@@ -239,32 +239,57 @@ def json_metadata_filter(spark, d):
     return table(spark, d, "events").filter((F.col("event_type") == "purchase") & (F.col("value") >= 50) & (k >= 80)).select("event_id", k.alias("k"))
 
 
+_MESSAGES = (
+    "API key rejected", "Rate limit reached for the vision model", "PhotoRoom: no credit left", "BG removal failed", "No results in Bing", "product page not found", "disk full", "Gemini could not open the image",
+)
+
+
 @query(
     "error_category",
-    """WITH m AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'API quota exceeded' WHEN 1 THEN 'background removal failed' WHEN 2 THEN 'no search results' WHEN 3 THEN 'model timeout' ELSE 'disk full' END AS message FROM events WHERE event_type = 'error')
-    SELECT event_id, CASE WHEN regexp_matches(lower(message), 'model|api|quota') THEN 'model' WHEN regexp_matches(lower(message), 'background|rembg') THEN 'background' WHEN regexp_matches(lower(message), 'search|result') THEN 'search' ELSE 'other' END AS category FROM m""",
+    f"""WITH m AS (SELECT event_id, {list(_MESSAGES)}[(event_id % 8)::INT + 1] AS message FROM events WHERE event_type = 'error'), l AS (SELECT event_id, lower(message) AS m FROM m),
+    c AS (SELECT event_id, regexp_matches(m, 'gemini|vision|model|api key|rate limit') AS g, regexp_matches(m, 'photoroom|credit|bg removal|background|removal') AS p, regexp_matches(m, 'yandex|bing|search|no results|not found|image') AS s FROM l)
+    SELECT event_id, CASE WHEN g OR p OR s THEN concat_ws(',', CASE WHEN g THEN 'gemini' END, CASE WHEN p THEN 'photoroom' END, CASE WHEN s THEN 'search' END) ELSE 'other' END AS categories FROM c""",
 )
 def error_category(spark, d):
-    m = F.element_at(F.array(*[F.lit(x) for x in ("API quota exceeded", "background removal failed", "no search results", "model timeout", "disk full")]), (F.col("event_id") % 5).cast("int") + 1)
-    low = F.lower(m)
-    category = F.when(low.rlike("model|api|quota"), "model").when(low.rlike("background|rembg"), "background").when(low.rlike("search|result"), "search").otherwise("other")
-    return table(spark, d, "events").filter("event_type = 'error'").select("event_id", category.alias("category"))
+    """Every category of an error message by its words."""
+    m = F.element_at(F.array(*[F.lit(x) for x in _MESSAGES]), (F.col("event_id") % 8).cast("int") + 1)
+    return table(spark, d, "events").filter("event_type = 'error'").select("event_id", F.array_join(text.error_categories(m), ",").alias("categories"))
+
 
+_SIGNS = ("❌ stopped", "Error in row", "upload failed", "⚠️ slow", "a warning", "✅ done", "success", "تم بنجاح", "⚙️ set up", "System up", "row read", "an error")
 
-@query("log_severity", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN value > 100 THEN 'warning' WHEN event_type = 'purchase' THEN 'success' ELSE 'info' END AS severity FROM events")
+
+@query(
+    "log_severity",
+    f"""WITH l AS (SELECT event_id, {list(_SIGNS)}[(event_id % 12)::INT + 1] || ' (' || event_type || ')' AS line FROM events)
+    SELECT event_id, CASE WHEN contains(line, '❌') OR contains(line, 'Error') OR contains(line, 'failed') THEN 'error' WHEN contains(line, '⚠️') OR contains(line, 'warning') THEN 'warning'
+      WHEN contains(line, '✅') OR contains(line, 'success') OR contains(line, 'تم بنجاح') THEN 'success' WHEN contains(line, '⚙️') OR contains(line, 'System') THEN 'system' ELSE 'default' END AS severity FROM l""",
+)
 def log_severity(spark, d):
-    s = F.when(F.col("event_type") == "error", "error").when(F.col("value") > 100, "warning").when(F.col("event_type") == "purchase", "success").otherwise("info")
-    return table(spark, d, "events").select("event_id", s.alias("severity"))
+    """The severity of log lines by their text."""
+    line = F.concat(F.element_at(F.array(*[F.lit(x) for x in _SIGNS]), (F.col("event_id") % 12).cast("int") + 1), F.lit(" ("), F.col("event_type"), F.lit(")"))
+    return table(spark, d, "events").select("event_id", text.log_severity(line).alias("severity"))
+
+
+_WORDS = ("", " Clip-Art", " smart start", " toy", " pasta 500g", " pack of 6")
 
 
 @query(
     "filter_with_reasons",
-    """SELECT p_partkey, CASE WHEN p_size < 10 THEN 'too small' WHEN p_name LIKE '%anvil%' THEN 'excluded word' WHEN p_brand = 'Brand#7' THEN 'competitor' WHEN p_retailprice > 1050 THEN 'too dear' END AS reject_reason FROM part""",
+    f"""WITH c AS (SELECT p_partkey, p_name || {list(_WORDS)}[(p_partkey % 6)::INT + 1] AS title, 'https://' || CASE WHEN p_brand = 'Brand#3' THEN 'img.freepik.com' WHEN p_brand = 'Brand#4' THEN 'shop.ae' ELSE 'x.example' END || '/' || replace(p_name, ' ', '-') AS url, p_size * 20 AS w, p_size * 30 AS h, p_brand FROM part),
+    r AS (SELECT *, CASE WHEN w < 300 OR h < 300 THEN 'smaller than 300x300: ' || w || 'x' || h WHEN contains(url, 'freepik.com') THEN 'excluded word: freepik' WHEN contains(title, 'Clip-Art') THEN 'excluded word: clip-art' WHEN contains(title, ' toy') THEN 'excluded word: toy'
+      WHEN contains(title, 'gizmo') THEN 'competitor: gizmo' WHEN contains(title, '500g') OR contains(title, 'pack of 6') THEN 'another size or pack' END AS early, contains(title, 'widget') OR contains(url, 'widget') AS brand FROM c)
+    SELECT p_partkey, CASE WHEN early IS NOT NULL THEN early WHEN NOT brand THEN 'brand is missing: acme' END AS reject_reason, CASE WHEN early IS NOT NULL THEN 0 ELSE CASE WHEN brand THEN 15 ELSE 0 END + CASE WHEN contains(title, 'red') THEN 6 ELSE 0 END END AS relevance, w::BIGINT * h AS resolution, contains(url, '.ae') AS is_local FROM r""",
 )
 def filter_with_reasons(spark, d):
-    """The first reason for which a candidate is rejected; rejected rows stay in the trail."""
-    checks = [F.when(F.col("p_size") < 10, "too small"), F.when(F.col("p_name").contains("anvil"), "excluded word"), F.when(F.col("p_brand") == "Brand#7", "competitor"), F.when(F.col("p_retailprice") > 1050, "too dear")]
-    return table(spark, d, "part").select("p_partkey", F.coalesce(*checks).alias("reject_reason"))
+    """The first reason for which a candidate is rejected, by the whole chain; rejected rows stay in the trail."""
+    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.col("p_partkey") % 6).cast("int") + 1)
+    host = F.when(F.col("p_brand") == "Brand#3", "img.freepik.com").when(F.col("p_brand") == "Brand#4", "shop.ae").otherwise("x.example")
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.lit("Red  250g pack of 2").alias("product"), F.lit("Acme").alias("brand"), F.concat("p_name", word).alias("title"), F.concat(F.lit("https://"), host, F.lit("/"), F.translate("p_name", " ", "-")).alias("url"),
+        (F.col("p_size") * 20).alias("width"), (F.col("p_size") * 30).alias("height"), F.array(F.lit("Widget"), F.lit("")).alias("synonyms"), F.array(F.lit(" GIZMO ")).alias("competitors"),
+    )
+    return catalog.candidate_trail(rows, brand_required=True).select("p_partkey", "reject_reason", "relevance", "resolution", "is_local")
 
 
 @query("brand_estimate_count", "SELECT count(*) AS n FROM part WHERE p_brand LIKE '%#1%'")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfloom.functions import images
 from shelfloom.plans.registry import query
-from shelfloom.sources import sinks
+from shelfloom.sources import sinks, tables
 from shelfloom.sources.tables import table
 from shelfloom.streaming import jobs
 
@@ -56,7 +55,7 @@ def delta_sync_stream(spark, d):
     stream = jobs.event_stream(spark, d)
     q = stream.writeStream.option("checkpointLocation", sinks.folder(spark, "delta-checkpoint")).trigger(availableNow=True).foreachBatch(jobs.delta_sync(path)).start()
     q.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(path).select("user_id", "event_id", "event_type")
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/rows").select("user_id", "event_id", "event_type")
 
 
 @query("breaker_stream", None)
@@ -92,16 +91,6 @@ def sink_parquet(spark, d):
     return sinks.write(_orders(spark, d), sinks.folder(spark, "parquet"), "parquet", ["o_orderstatus"]).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
-@query("sink_json", _ORDERS)
-def sink_json(spark, d):
-    return sinks.write(_orders(spark, d), sinks.folder(spark, "json"), "json")
-
-
-@query("sink_orc", _ORDERS)
-def sink_orc(spark, d):
-    return sinks.write(_orders(spark, d), sinks.folder(spark, "orc"), "orc")
-
-
 @query("sink_csv", """SELECT o_orderkey::VARCHAR AS o_orderkey, 'say "' || o_orderpriority || '"' AS note, printf('%.4f', o_totalprice) AS score FROM orders""")
 def sink_csv(spark, d):
     """A report with doubled quotes and four digits."""
@@ -133,12 +122,64 @@ def content_addressed_upload(spark, d):
     return p.join(there, "object_id", "left_anti").groupBy("object_id").agg(F.min("p_partkey").alias("first_key"), F.count("*").alias("n"))
 
 
-@query("image_measures", None)
-def image_measures(spark, d):
-    """Measures of small images made of the vectors: 16 x 16 pixels of three channels."""
-    level = lambda x: F.chr((F.abs(x) * 1000 % 94 + 33).cast("int"))
-    line = F.array_join(F.transform(F.slice("embedding", 1, 48), level), "")
-    e = table(spark, d, "embeddings").select("vec_id", F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(3).alias("channels"), F.encode(F.repeat(line, 16), "US-ASCII").alias("pixels"))
-    m = images.measure(e, "vec_id")
-    out = m.withColumn("verdict", images.verdict(F.col("colourfulness"), F.col("sharpness"), F.col("white_border")))
-    return out.select("vec_id", *[F.round(n, 4).alias(n) for n in images.MEASURES], "phash", "verdict")
+@query("telemetry_fan_out", "SELECT 'all' AS sink, event_type, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'alerts', event_type, count(*) FROM events WHERE event_type = 'error' GROUP BY event_type")
+def telemetry_fan_out(spark, d):
+    """One stream to two sinks, a log of all and one of alerts; every batch is read once and written under its number."""
+    every, alerts = sinks.folder(spark, "telemetry"), sinks.folder(spark, "alerts")
+    batch = jobs.fan_out({"all": jobs.numbered_folder(every), "alerts": jobs.numbered_folder(alerts, lambda df: df.filter("event_type = 'error'"))})
+    stream = jobs.event_stream(spark, d)
+    q = stream.writeStream.option("checkpointLocation", sinks.folder(spark, "telemetry-checkpoint")).trigger(availableNow=True).foreachBatch(batch).start()
+    q.awaitTermination()
+    read = lambda path, name: spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path).select(F.lit(name).alias("sink"), "event_type")
+    return read(every, "all").union(read(alerts, "alerts")).groupBy("sink", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("task_routing", "SELECT CASE WHEN event_type = 'error' THEN 'heal' WHEN event_type IN ('purchase', 'signup') THEN 'priority' WHEN event_type = 'click' THEN 'bulk' ELSE 'default' END AS queue, count(*) AS n, count(DISTINCT event_id) AS tasks FROM events GROUP BY 1")
+def task_routing(spark, d):
+    """Tasks to their queues; the first batch is delivered twice, as after a lost worker, and is there once."""
+    path, twice = sinks.folder(spark, "queues"), []
+    write = jobs.numbered_folder(path, jobs.route("event_type", {"heal": ["error"], "priority": ["purchase", "signup"], "bulk": ["click"]}, "default"))
+
+    def at_least_once(batch, number):
+        write(batch, number)
+        if not twice:
+            twice.append(number)
+            write(batch, number)
+
+    stream = jobs.event_stream(spark, d)
+    q = stream.writeStream.option("checkpointLocation", sinks.folder(spark, "queues-checkpoint")).trigger(availableNow=True).foreachBatch(at_least_once).start()
+    q.awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return rows.groupBy("queue").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("tasks"))
+
+
+@query("log_tail", "WITH l AS (SELECT event_id, event_type || ' ' || user_id AS line, row_number() OVER (ORDER BY event_id) AS line_number FROM events) SELECT line_number, line FROM l ORDER BY line_number DESC LIMIT 100")
+def log_tail(spark, d):
+    """The last hundred lines of a log that was written in order."""
+    path = sinks.folder(spark, "log")
+    lines = table(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)  # one log is one file
+    return tables.log_tail(spark, path, 100).select("line_number", "line")
+
+
+_KINDS = {"keys": "list", "strict": "bool", "least_width": "int", "share": "float", "name": "text", "broken": "int"}
+
+
+@query("settings_load", "SELECT * FROM (VALUES ('keys', 'a|b'), ('least_width', '640'), ('name', 'from the file'), ('share', '0.5'), ('strict', 'true')) t(name, value)")
+def settings_load(spark, d):
+    """Settings by layer: an environment file, over which goes a table of keys and values, with their types."""
+    env, path = sinks.folder(spark, "env"), sinks.folder(spark, "settings")
+    spark.createDataFrame([("# comment",), ("name='from the file'",), ("least_width=320",), ("",), ("broken=x",)], "value string").coalesce(1).write.text(env)
+    spark.createDataFrame([("keys", "a, b,,"), ("strict", "Yes"), ("least_width", "640"), ("share", "0.5"), ("unknown", "1")], "key string, value string").write.parquet(path)
+    lines = [r.value for r in spark.read.text(env).limit(1000).collect()]
+    found = tables.typed_settings(tables.key_values(lines) | tables.settings(spark.read.parquet(path)), _KINDS)
+    shown = [(k, "|".join(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v)) for k, v in found.items()]
+    return spark.createDataFrame(shown, "name string, value string")
+
+
+@query("queue_scan", "SELECT user_id, count(*) AS n, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY user_id")
+def queue_scan(spark, d):
+    """A queue of events read as a stream to its end, without repeats, by owner."""
+    stream = jobs.event_stream(spark, d).filter("event_type = 'error'").select("user_id", "event_id", "ts")
+    seen = jobs.drain(stream.withWatermark("ts", jobs.LATE).dropDuplicates(["event_id"]), "queue")
+    return seen.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfloom.functions import text
+from shelfloom.operators import ranking
 from shelfloom.plans.registry import query
 from shelfloom.sources.tables import table
 
@@ -209,10 +209,12 @@ def html_prune(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(text.pruned_html(F.col("html"))).alias("n_chars"))
 
 
-@query("captcha_pages", "SELECT page_id, page_id % 3 <> 0 AND regexp_matches(lower(html), 'captcha|recaptcha|cf-browser-verification|access denied|robot check|unusual traffic') AS blocked FROM pages")
+@query("captcha_pages", "SELECT page_id, page_id % 3 <> 0 AND regexp_matches(lower(said), 'captcha|access denied|cloudflare|turnstile|verify you are human|security check') AS blocked FROM (SELECT page_id, html || CASE page_id % 7 WHEN 1 THEN '<p>Checked by CloudFlare</p>' WHEN 2 THEN '<p>Verify you are human</p>' WHEN 4 THEN '<div class=cf-TURNSTILE>' WHEN 5 THEN 'Security check' ELSE '' END AS said FROM pages)")
 def captcha_pages(spark, d):
     """A page that was served, but asks for a proof."""
-    return table(spark, d, "pages").select("page_id", text.looks_like_captcha(F.when(F.col("page_id") % 3 == 0, 403).otherwise(200), F.col("html")).alias("blocked"))
+    k = F.col("page_id") % 7
+    more = F.when(k == 1, "<p>Checked by CloudFlare</p>").when(k == 2, "<p>Verify you are human</p>").when(k == 4, '<div class=cf-TURNSTILE>').when(k == 5, "Security check").otherwise("")
+    return table(spark, d, "pages").select("page_id", text.looks_like_captcha(F.when(F.col("page_id") % 3 == 0, 403).otherwise(200), F.concat("html", more)).alias("blocked"))
 
 
 @query(
@@ -225,9 +227,9 @@ def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"), F.size(links).alias("n_links"))
 
 
-@query("tagged_text", "SELECT conv_id, turn, trim(substr(text, 1, 20)) AS query, trim(role) AS thought, true AS well_formed FROM conversations WHERE role = 'user'")
+@query("tagged_text", "SELECT conv_id, turn, trim(text) AS query, trim(role) AS thought, true AS well_formed FROM conversations WHERE role = 'user'")
 def tagged_text(spark, d):
-    said = F.concat(F.lit("<think> "), F.col("role"), F.lit(" </think>\n<query>"), F.substring("text", 1, 20), F.lit("</query>"))
+    said = F.concat(F.lit("<think> "), F.col("role"), F.lit(" </think>\n<query>"), F.col("text"), F.lit("</query>"))
     rows = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", said.alias("t"))
     return rows.select("conv_id", "turn", text.tagged(F.col("t"), "query").alias("query"), text.tagged(F.col("t"), "think").alias("thought"), F.col("t").rlike(r"(?s)<think>.*</think>.*<query>.*</query>").alias("well_formed"))
 
@@ -324,6 +326,7 @@ def brand_from_start(spark, d):
 
 @query("first_mention_rank", "SELECT p_name, count(*) AS n, dense_rank() OVER (ORDER BY count(*) DESC) AS rank FROM part GROUP BY p_name")
 def first_mention_rank(spark, d):
-    """Extension: dense ranks of a small result."""
+    """Extension: dense ranks of a count, from a numbering of its distinct values: no window without a partition."""
     n = table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("n"))).cast("bigint"))
+    ranks = ranking.numbered(n.select("n").distinct(), -F.col("n"), "rank")
+    return n.join(ranks, "n").select("p_name", "n", "rank")

@@ -200,8 +200,12 @@ def test_hamming_pairs_miss_nothing(spark, hashes, most):
     spread = [h * 0x0101010101010101 % (1 << 63) for h in hashes]
     df = spark.createDataFrame(list(enumerate(spread)), "k bigint, h bigint")
     got = {(r.a, r.b, r.distance) for r in matching.hamming_pairs(df, "k", "h", most).collect()}
-    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(spread) for j, b in enumerate(spread) if i < j and a and b and (a ^ b).bit_count() <= most}
+    first = {}
+    for i, h in enumerate(spread):
+        first.setdefault(h, i)
+    want = {(i, j, (a ^ b).bit_count()) for a, i in first.items() for b, j in first.items() if i < j and a and b and (a ^ b).bit_count() <= most}
     assert got == want
+    assert {(r.k, r.class_id) for r in matching.hash_classes(df, "k", "h").collect()} == {(i, first[h]) for i, h in enumerate(spread) if h}
 
 
 def test_folds():
@@ -237,7 +241,20 @@ def test_delta_sync_twice_writes_nothing(spark, tmp_path):
     sync(df, 0)
     sync(df, 1)
     sync(df.withColumn("value", F.lit(9.0)).filter("user_id = 2"), 2)
-    assert [spark.read.parquet(f"{tmp_path}/{i}").count() for i in range(3)] == [2, 0, 1]
+    sync(df.withColumn("value", F.lit(9.0)).filter("user_id = 2"), 2)  # a retry of the batch
+    sync(df.withColumn("value", F.lit(9.0)), 3)
+    assert [spark.read.parquet(f"{tmp_path}/rows/{i}").count() for i in range(4)] == [2, 0, 1, 1]
+    assert sorted(p.name for p in (tmp_path / "known").iterdir() if not p.name.startswith(".")) == ["2", "3"]  # no batch reads more than the one before
+
+
+def test_folds_keep_null_keys_and_large_ids(spark):
+    """Rows without a key are one sequence, and integers beside a null stay what they are."""
+    big = 9_007_199_254_740_993
+    rows = [(k, i, e, big if i else None) for k in (None, big, big + 1) for i, e in enumerate(["error"] * 4)]
+    df = spark.createDataFrame(rows, "user_id bigint, n int, event_type string, other bigint").coalesce(1)
+    step = lambda s, r: ((h := stateful.health_step(s, r["event_type"] != "error")), (h,))
+    got = stateful.fold(df, "user_id", ["n"], 100.0, step, ["n", "other"], "health double").collect()
+    assert {(r.user_id, r.n): (r.other, r.health) for r in got} == {(k, i): (big if i else None, 80.0 - 20 * i) for k in (None, big, big + 1) for i in range(4)}
 
 
 def test_images():
@@ -251,7 +268,7 @@ def test_images():
     assert (images.perceptual_hash(noisy) ^ images.perceptual_hash(near)).bit_count() <= 3
     square = np.zeros((100, 100))
     square[20:80, 20:80] = 1
-    assert images.hull_ratio(square) == 1.0 and images.hull_ratio(np.zeros((5, 5))) == 0.0
+    assert images.hull_ratio(square) == 0.9669 and images.hull_ratio(np.zeros((5, 5))) == 0.0  # 59 x 59 between the centres of 60 x 60 pixels
 
 
 def test_sources():
@@ -262,7 +279,17 @@ def test_sources():
 def test_log_tail_and_settings(spark, tmp_path):
     (tmp_path / "log").write_text("\n".join(f"line {i}" for i in range(300)))
     got = tables.log_tail(spark, str(tmp_path / "log"), 100).collect()
-    assert [r.line for r in got] == [f"line {i}" for i in range(200, 300)]
+    assert [(r.line_number, r.line) for r in got] == [(i + 1, f"line {i}") for i in range(200, 300)]
+    (tmp_path / "logs").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "logs" / name).write_text("".join(f"{name} {i}\n" for i in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = tables.log_tail(spark, str(tmp_path / "logs"), 2100).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.line_number, r.line) for r in got] == [(i + 1, f"a {i}") for i in range(1900, 2000)] + [(i + 1, f"b {i}") for i in range(2000)]
+    assert tables.typed_settings({"a": "1, 2,", "b": "no", "c": "x", "d": "0.5"}, {"a": "list", "b": "bool", "c": "int", "d": "float", "e": "text"}) == {"a": ["1", "2"], "b": False, "d": 0.5}
     assert tables.settings(spark.createDataFrame([("a", "1")], "key string, value string")) == {"a": "1"}
     assert math.isclose(one(spark, scoring.sigmoid_probability([F.lit(2.0)], [1.0], [1.0], [0.0], 0.0)), 0.5)
 
@@ -335,3 +362,52 @@ def test_sizes_in_both_scripts(spark):
     got = one(spark, text.sizes(F.lit("Milk 1L, 1.5 لتر and 250 g x2 12 حبة")))
     assert [(r.value, r.unit) for r in got] == [(1000.0, "ml"), (1500.0, "ml"), (250.0, "g")]
     assert one(spark, text.packs(F.lit("pack of 6 or x 12, 3pcs"))) == [6, 12, 3]
+
+
+def test_sizes_need_no_latin_borders(spark):
+    """Digits and letters of any script make words: a unit that goes on is no unit."""
+    assert [(r.value, r.unit) for r in one(spark, text.sizes(F.lit("حليب ٢٥٠ مل، زيت 1.5لتر")))] == [(250.0, "ml"), (1500.0, "ml")]
+    assert one(spark, text.sizes(F.lit("5 جرامات و 3 gé"))) == []
+    assert one(spark, text.packs(F.lit("٦ حبات و 12 حبة"))) == [6, 12]
+    assert one(spark, text.volume_clash(F.lit("حليب 1 لتر"), F.lit("حليب ٢ لتر"))) and not one(spark, text.volume_clash(F.lit("حليب 1 لتر"), F.lit("حليب 1000 مل")))
+
+
+def test_messages_logs_and_captchas(spark):
+    c = lambda m: one(spark, text.error_categories(F.lit(m)))
+    assert c("Rate limit: image not found") == ["gemini", "search"] and c("Credit is low") == ["photoroom"] and c("disk full") == ["other"] and c(None) == ["other"]
+    s = lambda m: one(spark, text.log_severity(F.lit(m)))
+    assert [s(x) for x in ("an Error", "an error", "warning: failed", "⚠️", "success", "⚙️ go", None)] == ["error", "default", "error", "warning", "success", "system", "default"]
+    p = lambda code, h: one(spark, text.looks_like_captcha(F.lit(code), F.lit(h)))
+    assert p(200, "Please VERIFY YOU ARE HUMAN") and p(200, "<a>Cloudflare</a>") and p(200, "turnstile") and p(200, "Security Check")
+    assert not p(403, "captcha") and not p(200, "") and not p(200, None) and not p(200, "unusual traffic")
+
+
+def test_pricing_audit_of_a_history(spark):
+    """Three deviations under the history before, and the fake promotion: a rise by a quarter that falls back within two weeks."""
+    steady = [(1, 100 - 10 * i, 100.0 + (i % 2), 1.0) for i in range(10)] + [(1, 0, 60.0, 1.0)]
+    fake = [(2, 40, 100.0, 1.0), (2, 34, 130.0, 2.0), (2, 28, 101.0, 1.0), (2, 0, 100.0, 3.0)]
+    slow = [(3, 40, 100.0, 1.0), (3, 20, 130.0, 2.0), (3, 2, 101.0, 1.0)]
+    df = spark.createDataFrame(steady + fake + slow + [(4, 0, 5.0, 1.0)], "k int, days_ago int, price double, peer double")
+    got = {r.k: (r.price, r.sigma, r.fake) for r in pricing.audit(df, "k", "days_ago", "price", "peer").collect()}
+    assert got == {1: (60.0, True, False), 2: (100.0, False, True), 3: (101.0, False, False), 4: (5.0, False, False)}
+
+
+def test_conformal_quantile_is_exact(spark):
+    """Groups beyond what a sketch holds, with repeats and nulls: the value of the very rank."""
+    rows = [(g, (i * 7919 % 20011) / (1 if g == "a" else 100) if i % 50 else None) for g in ("a", "b") for i in range(20_000)] + [("c", 1.0)] * 3000
+    df = spark.createDataFrame(rows, "g string, s double")
+    for alpha in (0.05, 0.5, 0.97):
+        got = {r.g: r.threshold for r in quality.conformal_quantile(df, "s", ["g"], alpha).collect()}
+        for g in "abc":
+            v = sorted(s for h, s in rows if h == g and s is not None)
+            q = min(1.0, math.ceil(round((1 - alpha) * (len(v) + 1), 9)) / len(v))
+            assert got[g] == v[max(1, math.ceil(round(q * len(v), 9))) - 1], (g, alpha)
+
+
+def test_approximate_counts_are_near(spark):
+    from shelfloom.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    exact = {r[0]: r[1:] for r in spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.countDistinct("l_partkey"), F.countDistinct("l_suppkey")).collect()}
+    for r in registry.queries()["approx_distinct"](spark, d).collect():
+        assert all(abs(a - b) <= 0.16 * b for a, b in zip((r.parts, r.suppliers), exact[r.l_returnflag]))
