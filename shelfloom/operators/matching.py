@@ -101,13 +101,14 @@ def linkage(pairs: DataFrame, agreements: dict[str, Column]) -> DataFrame:
 
 
 def jaccard_pairs(df: DataFrame, key: str, tokens: str, percent: int) -> DataFrame:
-    """(a, b, similarity): pairs of token sets with at least ``percent`` Jaccard similarity, by the prefix of the rarest tokens."""
+    """(a, b, similarity): pairs of token sets with at least ``percent`` Jaccard similarity, by the prefix of the rarest tokens and the sizes that can be linked."""
     sets = df.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).filter(F.size("t") > 0)
     rare = sets.select(F.explode("t").alias("w")).groupBy("w").count()
     ranked = sets.select("k", "t", F.explode("t").alias("w")).join(rare, "w").groupBy("k").agg(F.first("t").alias("t"), F.transform(F.sort_array(F.collect_list(F.struct("count", "w"))), lambda x: x["w"]).alias("o"))
     prefix = F.size("o") - F.ceil(F.size("o") * percent / 100) + 1
-    heads = ranked.select("k", F.explode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("w"))
-    pairs = heads.alias("x").join(heads.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.k") < F.col("y.k"))).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    heads = ranked.select("k", F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), prefix.cast("int"))).alias("w"))
+    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    pairs = heads.alias("x").join(heads.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.k") < F.col("y.k")) & sized).select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
     shared, union = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
     return both.filter(100 * shared >= percent * union).select("a", "b", F.round(shared / union, 6).alias("similarity"))

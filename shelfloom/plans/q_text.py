@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfloom.functions import text
+from shelfloom.functions import images, ports, text
 from shelfloom.operators import ranking
 from shelfloom.plans.registry import query
 from shelfloom.sources.tables import table
@@ -330,3 +330,28 @@ def first_mention_rank(spark, d):
     n = table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n"))
     ranks = ranking.numbered(n.select("n").distinct(), -F.col("n"), "rank")
     return n.join(ranks, "n").select("p_name", "n", "rank")
+
+
+@query(
+    "image_heads",
+    """WITH p AS (SELECT p_partkey, p_size * 31 AS w, p_size * 17 + 1 AS h, p_partkey % 4 AS k FROM part)
+    SELECT p_partkey, CASE k WHEN 3 THEN NULL WHEN 2 THEN h ELSE w END::INT AS width, CASE k WHEN 3 THEN NULL WHEN 2 THEN w ELSE h END::INT AS height FROM p""",
+)
+def image_heads(spark, d):
+    """Width and height from the first bytes of PNG and JPEG files, one of them turned by its orientation tag; nulls for others."""
+    k, w, h = F.col("p_partkey") % 4, F.col("p_size") * 31, F.col("p_size") * 17 + 1
+    two = lambda c: F.lpad(F.hex(c), 4, "0")
+    frame = F.concat(F.lit("FFC0001108"), two(h), two(w), F.lit("03" + "00" * 9))
+    exif = "45786966000049492A0008000000" + "0100" + "1201030001000000" + "06000000"
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(w), 8, "0"), F.lpad(F.hex(h), 8, "0"))
+    digits = F.when(k == 0, png).when(k == 1, F.concat(F.lit("FFD8FFE00004AAAA"), frame)).when(k == 2, F.concat(F.lit(f"FFD8FFE1{len(exif) // 2 + 2:04X}{exif}"), frame)).otherwise(F.lit("00112233"))
+    heads = table(spark, d, "part").select("p_partkey", F.unhex(digits).alias("c"))
+    sizes = heads.select("p_partkey", text.image_dimensions(F.col("c")).alias("a"), images.jpeg_dimensions(F.col("c")).alias("b"))
+    return sizes.select("p_partkey", F.coalesce("a.width", "b.width").alias("width"), F.coalesce("a.height", "b.height").alias("height"))
+
+
+@query("model_ports", "SELECT p_partkey, 0.85::DOUBLE AS visual, 1.0::DOUBLE AS judge FROM part")
+def model_ports(spark, d):
+    """What decisions fall back to where no model is registered behind a port."""
+    visual, judge = (ports.call(name, F.col("p_name"), F.col("p_type")) for name in ("visual_similarity", "adjudicate"))
+    return table(spark, d, "part").select("p_partkey", visual.alias("visual"), judge.alias("judge"))
