@@ -17,8 +17,8 @@
    longest lists are set aside, the short ones are merged by counting, and what
    reaches the overlap less the number of lists set aside is looked up in the long
    lists by binary search, unless merging a list costs less than its look-ups.
-   The merge counts postings in an array and not on a heap: same counts, no
-   Python step for each posting.
+   The merge counts postings in an array and not on a heap: the same counts, without
+   a Python step for each posting (for figures see the README).
 4. Links go out as one row per entry and task (the least entry it is linked with
    in the task, and its number of links), never as pairs; ``components`` joins
    them into classes.

@@ -1,5 +1,7 @@
+import public_tokenizers
+
 import corpus_pipeline as P
-from shelfloom.llm import decontaminate, quality_rules, scratch
+from shelfloom.llm import byte_bpe, decontaminate, quality_rules, scratch
 from tests.llm.helpers import documents, edited, words
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_line_dedup import brute as boilerplate
@@ -29,6 +31,9 @@ def test_stages_keep_the_columns_and_take_effect(spark):
         docs = out
     last = P.STAGES[-1][1](spark, docs, D)
     assert last.count() == docs.count() < n and set(last.columns) == {"doc_id", "lang", "source", "ids", "n_tokens"}
+    codec = byte_bpe.Codec.of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = {r.doc_id: codec.encoding.encode_ordinary(r.text) for r in docs.collect()}
+    assert {r.doc_id: (list(r.ids), r.n_tokens) for r in last.collect()} == {d: (ids, len(ids)) for d, ids in want.items()}
     assert P.run(spark, D).count() == last.count()
 
 
