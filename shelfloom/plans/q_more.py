@@ -279,6 +279,37 @@ def vector_upsert(spark, d):
     return merge.upsert(old, new, ["vec_id"], [F.desc("version")])
 
 
+@query(
+    "typed_names_known",
+    """WITH t AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment[1:3] || c_mktsegment[5:] WHEN 1 THEN lower(c_mktsegment) ELSE 'x' || reverse(c_mktsegment) END AS typed FROM customer), v AS (SELECT DISTINCT c_mktsegment AS w FROM customer),
+    k AS (SELECT t.c_custkey, any_value(typed) AS typed, arg_min(w, (levenshtein(lower(typed), lower(w)), w)) FILTER (levenshtein(lower(typed), lower(w))::DOUBLE / greatest(length(typed), length(w)) <= 0.15) AS w FROM t, v GROUP BY t.c_custkey)
+    SELECT coalesce(w, 'unknown') AS c_mktsegment, count(*) AS n, count(DISTINCT typed) AS spellings FROM k GROUP BY 1""",
+)
+def typed_names_known(spark, d):
+    """Names as typed, resolved to a vocabulary and counted, with their spellings; what is near no name is unknown."""
+    known = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    s, k = F.col("c_mktsegment"), F.col("c_custkey")
+    typed = F.when(k % 3 == 0, F.concat(F.expr("substring(c_mktsegment, 1, 3)"), F.expr("substring(c_mktsegment, 5)"))).when(k % 3 == 1, F.lower(s)).otherwise(F.concat(F.lit("x"), F.reverse(s)))
+    # a spelling is resolved once, however many rows have it
+    spelt = table(spark, d, "customer").groupBy(typed.alias("typed")).agg(F.count("*").alias("n")).withColumn("w", matching.closest_word(F.col("typed"), known))
+    return spelt.groupBy(F.when(F.col("w").isin(*known), F.col("w")).otherwise("unknown").alias("c_mktsegment")).agg(F.sum("n").alias("n"), F.count("*").alias("spellings"))
+
+
+@query(
+    "nearest_word_overlap",
+    """WITH n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS name FROM part), w AS (SELECT name, unnest(string_split(name, ' ')) AS word FROM n),
+    s AS (SELECT a.name, b.name AS other, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.name <> b.name GROUP BY ALL)
+    SELECT name, arg_min(other, (-shared, other)) AS nearest, max(shared) AS shared FROM s GROUP BY name""",
+)
+def nearest_word_overlap(spark, d):
+    """For each distinct name the other one that shares most words, the first of equals."""
+    n = table(spark, d, "part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")).distinct()
+    w = n.select("name", F.explode(F.split("name", " ")).alias("word"))
+    s = w.join(w.withColumnRenamed("name", "other"), "word").filter("name <> other").groupBy("name", "other").agg(F.count("*").alias("shared"))
+    best = s.groupBy("name").agg(F.min(F.struct((-F.col("shared")).alias("o"), "other")).alias("x"))
+    return best.select("name", F.col("x.other").alias("nearest"), (-F.col("x.o")).alias("shared"))
+
+
 @query("safe_names", "SELECT page_id, 'products/fresh-food/x-' || (page_id % 5) AS folder, 'img_' || page_id || '.png' AS asset, chr((65 + page_id % 26)::INT) || (page_id + 1) AS cell FROM pages")
 def safe_names(spark, d):
     """Folder, last URL segment without its query, and the cell of a sheet."""
