@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfloom.llm import arrow, scratch
@@ -49,6 +49,8 @@ _PROBE = 40
 #: DivideSkip's weight of the list length.
 _MU = 0.0085
 _SEEN = 200_000
+#: Signatures that are taken for hot at most, the items that their sketch tracks in a task, and the rows from which one is hot.
+_HOT, _TRACKED, HOT_ROWS = 512, 4096, 10_000
 
 
 class Links:
@@ -234,24 +236,43 @@ def _tokens(rule: Links):
     return run
 
 
-def _least(rows: DataFrame, label: str) -> DataFrame:
-    """(signature, low) of signatures that more than one set has. A table of its own, so that its join shuffles both sides alone and can split a hot signature."""
-    ends = rows.groupBy("signature").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
-    return scratch.table(ends.filter("low < high").select("signature", "low"), label)
+def _hot(signed: DataFrame, least_rows: int) -> DataFrame:
+    """(signature): the most frequent ones, by a sketch of frequent items over all rows; at most ``_HOT`` of them.
+
+    It decides how rows are dealt to tasks and nothing else, so it may be wrong.
+    """
+    top = signed.select(F.explode("signatures").alias("signature")).agg(F.expr(f"approx_top_k(signature, {_HOT}, {_TRACKED})").alias("top")).first()["top"]
+    return signed.sparkSession.createDataFrame([(r["item"],) for r in top or [] if r["count"] >= least_rows], "signature bigint")
+
+
+def _met(signed: DataFrame, hot_rows: int) -> DataFrame:
+    """(set_a, signature) of signatures that more than one set has.
+
+    Rows are shuffled once, to the others of their signature. Those of a hot signature
+    aren't: its ends are aggregated where the rows are, and sent back to them.
+    """
+    rows, same = signed.select("set_a", F.explode("signatures").alias("signature")), Window.partitionBy("signature")
+    ends = (F.min("set_a").alias("low"), F.max("set_a").alias("high"))
+    hot = F.broadcast(_hot(signed, hot_rows))
+    shared = rows.join(hot, "signature", "left_semi").groupBy("signature").agg(*ends).filter("low < high").select("signature")
+    often = rows.join(F.broadcast(shared), "signature", "left_semi").select("set_a", "signature")  # as few as are hot
+    others = rows.join(hot, "signature", "left_anti").select("set_a", "signature", F.min("set_a").over(same).alias("low"), F.max("set_a").over(same).alias("high"))
+    return others.filter("low < high").select("set_a", "signature").union(often).distinct()
 
 
-def _stars(signed: DataFrame) -> DataFrame:
+def _stars(signed: DataFrame, hot_rows: int) -> DataFrame:
     """Edges (u, v) from each set that shares enough signatures to the least set of each signature."""
-    rows = signed.select("set_a", F.explode("signatures").alias("signature"))
-    shared = scratch.table(rows.join(_least(rows, "met"), "signature", "left_semi").distinct(), "shared")
+    shared = scratch.table(_met(signed, hot_rows), "shared")
     band = F.col("signature").bitwiseAND(63).cast("int").alias("band")
     needs = signed.select("set_a", F.explode(F.arrays_zip("bands", "needs")).alias("x")).select("set_a", F.col("x.bands").alias("band"), F.col("x.needs").alias("need")).distinct()
     enough = shared.groupBy("set_a", band).count().join(needs, ["set_a", "band"]).filter("count >= need").select("set_a", "band")
     left = scratch.table(shared.select("set_a", "signature", band).join(enough, ["set_a", "band"], "left_semi").select("set_a", "signature"), "enough")
-    return left.join(_least(left, "low"), "signature").select(F.col("set_a").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
+    # a table of its own, so that the join shuffles both sides alone and can split a hot signature
+    least = scratch.table(left.groupBy("signature").agg(F.min("set_a").alias("v")), "least")
+    return left.join(least, "signature").select(F.col("set_a").alias("u"), "v").filter("u <> v").distinct()
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens: int = 400_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens: int = 400_000, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``docs`` (doc_id, text) to (doc_id, n_shingles, component_id, n_links): one row per document.
 
     ``n_links``: other documents it is linked with, copies included. Null or
@@ -268,7 +289,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens
     sets = signed.select("doc_id", "n_shingles", "set_a", "set_b")
     entries = sets.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("entry"), F.countDistinct("doc_id").alias("copies"))
     entries = scratch.table(entries, "entries")
-    family = scratch.only(spark, lambda: components(_stars(signed)), "families")
+    family = scratch.only(spark, lambda: components(_stars(signed, hot_rows)), "families")
     active = entries.join(family.withColumnRenamed("node", "set_a").withColumnRenamed("component", "family"), "set_a")
     active = scratch.table(active, "active")
 

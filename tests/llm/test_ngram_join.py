@@ -66,6 +66,15 @@ def test_blocks_of_a_large_family(spark):
     assert result(ngram_join.jaccard_join(documents(spark, rows), 4, 85, block_tokens=500)) == brute(rows)
 
 
+def test_hot_signatures(spark):
+    """Signatures that are taken for hot aren't shuffled; the links are the same, and so they are where only some are hot."""
+    base = words(1, 60)
+    rows = [(i, " ".join(edited(base, i, i % 4))) for i in range(50)] + corpus()[:40]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    for least in (1, 12):
+        assert result(ngram_join.jaccard_join(documents(spark, rows), 4, 85, hot_rows=least)) == brute(rows)
+
+
 def test_chain_of_links(spark):
     """Ends of a chain are one class without a link between them."""
     ws, rows = words(5, 120), []
