@@ -1,5 +1,7 @@
 """The candidate filter chain, the audits and the gates against examples."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,36 @@ def test_packaging():
     assert images.packaging_ratio(picture) == 0.81 and images.shadow(picture) == 0
     picture[15, 5:15] = 200
     assert images.shadow(picture) == 1 and images.fill_ratio(picture) == pytest.approx(110 / 400)
+
+
+def png(image, filters):
+    """A PNG file of an array (height, width, channels), each line by the next of the filters."""
+    h, w, n = image.shape
+    px, lines = image.astype(int), []
+    at = lambda y, x: px[y, x] if y >= 0 and x >= 0 else np.zeros(n, int)
+    for y in range(h):
+        kind, line = filters[y % len(filters)], []
+        for x in range(w):
+            a, b, c = at(y, x - 1), at(y - 1, x), at(y - 1, x - 1)
+            paeth = [min((abs(int(i + j - k) - int(v)), o, int(v)) for o, v in enumerate((i, j, k)))[2] for i, j, k in zip(a, b, c)]
+            guess = [np.zeros(n, int), a, b, (a + b) // 2, np.array(paeth)][kind]
+            line += ((px[y, x] - guess) % 256).tolist()
+        lines.append(bytes([kind, *line]))
+    chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+    packed, head = zlib.compress(b"".join(lines)), w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", packed[:20]) + chunk(b"IDAT", packed[20:]) + chunk(b"IEND", b"")
+
+
+def test_png_files(spark):
+    """Every filter and kind of pixel comes back, and a file is measured as its pixels are."""
+    for n in (1, 2, 3, 4):
+        image = np.random.default_rng(n).integers(0, 256, (11, 7, n))
+        h, w, c, raw = images.png_pixels(png(image, [0, 1, 2, 3, 4, 4, 3]))
+        assert (h, w, c) == (11, 7, 1 if n == 2 else n) and (images.pixels(h, w, c, raw) == image[..., :c]).all()
+    whole = png(np.full((3, 3, 3), 9), [0])
+    assert images.png_pixels(None) is None and images.png_pixels(b"GIF89a") is None and images.png_pixels(whole[:50]) is None
+    photo = np.random.default_rng(9).integers(0, 256, (16, 16, 3))
+    files = spark.createDataFrame([(1, bytearray(png(photo, [4, 1]))), (9_007_199_254_740_993, bytearray(b"no image")), (None, None)], "k bigint, c binary")
+    got = {r.k: r for r in images.measure(images.decoded(files, "k", "c"), "k", ["sharpness", "colourfulness"]).collect()}
+    assert set(got) == {1, 9_007_199_254_740_993, None} and got[None].sharpness is None and got[9_007_199_254_740_993].phash is None
+    assert got[1].sharpness == pytest.approx(images.laplacian_variance(photo.astype(float))) and got[1].colourfulness == images.colourfulness(photo.astype(float))
