@@ -24,7 +24,7 @@
    them into classes.
 
 A family of m different near copies takes (tokens / block_tokens)^2 tasks of
-bounded memory; one that would fit a block or a few has up to eight, to spread it. Equality of shingles is that of 64-bit hashes.
+bounded memory, and its tokens are sent as often as it has blocks. Equality of shingles is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -295,7 +295,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens
 
     # A text is read again where its entry is active, once for each entry. What is
     # active grows with the documents, so this join is never a broadcast.
-    many = scratch.table(active.groupBy("family").agg(F.greatest(F.ceil(F.sum("n_shingles") / block_tokens), F.least(F.lit(8), F.ceil(8 * F.sum("n_shingles") / block_tokens))).cast("int").alias("blocks")), "blocks")
+    many = scratch.table(active.groupBy("family").agg(F.ceil(F.sum("n_shingles") / block_tokens).cast("int").alias("blocks")), "blocks")
     active = active.join(many, "family")
     own = texts.join(active.select(F.col("entry").alias("doc_id"), "family", "copies", "blocks", "n_shingles", "set_a").hint("merge"), "doc_id")
     tokens = own.mapInArrow(_tokens(rule), "doc_id bigint, family bigint, copies bigint, blocks int, n_shingles bigint, set_a bigint, tokens binary")
