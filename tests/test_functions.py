@@ -411,3 +411,15 @@ def test_approximate_counts_are_near(spark):
     exact = {r[0]: r[1:] for r in spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.countDistinct("l_partkey"), F.countDistinct("l_suppkey")).collect()}
     for r in registry.queries()["approx_distinct"](spark, d).collect():
         assert all(abs(a - b) <= 0.16 * b for a, b in zip((r.parts, r.suppliers), exact[r.l_returnflag]))
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as N
+
+    from shelfloom.sources import sinks
+
+    nothing = N(isDefined=lambda: False)
+    session = lambda master: N(conf=N(get=lambda *_: None, set=lambda *_: None), sparkContext=N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: nothing))))
+    with pytest.raises(ValueError):
+        sinks.folder(session("yarn"), "x")
+    assert sinks.folder(session("local[2]"), "x").startswith("file://")
