@@ -272,7 +272,7 @@ def _stars(signed: DataFrame, hot_rows: int) -> DataFrame:
     return left.join(least, "signature").select(F.col("set_a").alias("u"), "v").filter("u <> v").distinct()
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens: int = 400_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens: int = 2_000_000, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``docs`` (doc_id, text) to (doc_id, n_shingles, component_id, n_links): one row per document.
 
     ``n_links``: other documents it is linked with, copies included. Null or
