@@ -11,7 +11,9 @@
    shares fewer than m + 1 ranges with all others together has no link: that takes
    out the documents that only share a passage.
 2. Documents with equal sets are one entry. Entries that share a signature form
-   ``families`` (connected components); all others have no link.
+   ``families`` (connected components); all others have no link. A signature is one
+   of a band, the sizes that the larger set of a pair has, and so is a family: sets
+   of other sizes aren't in it, and a pair is counted in the band of its larger set.
 3. ``t_occurrence`` (Python, one task for each block pair of a family): inverted
    lists of one block, searched with each set of the other. By DivideSkip the
    longest lists are set aside, the short ones are merged by counting, and what
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfloom.llm import arrow, scratch
@@ -59,6 +61,11 @@ class Links:
     def __init__(self, size: int = 5, percent: int = 80):
         self.size, self.percent = size, percent
 
+    @staticmethod
+    def band(n):
+        """The band of a size, or of an array of them."""
+        return np.searchsorted(_BANDS, np.maximum(n, 7), side="right") - 1
+
     def shingles(self, text: str | None, hashes: WordHashes) -> np.ndarray:
         """The sorted set of a text."""
         words = blank_separated(text)
@@ -180,16 +187,18 @@ def _search(rule: Links):
     """Rows sorted by (family, block_a, block_b) to (entry, least linked entry or itself, number of links)."""
 
     def group(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        band = rows[0][0] & 63
         rows = list({(r[3], r[4], r[6].tobytes()): r for r in rows}.values())  # a row may be repeated
         left = [r for r in rows if r[3] == r[1]]
         right = left if rows[0][1] == rows[0][2] else [r for r in rows if r[3] == r[2]]
         both = left if right is left else left + right
         entries, copies = (np.array([r[i] for r in both], dtype=np.int64) for i in (4, 5))
+        sizes = np.array([len(r[6]) for r in both], dtype=np.int64)
         shift = 0 if right is left else len(left)
         label, links = np.arange(len(entries)), np.zeros(len(entries), np.int64)
         for i, found in enumerate(t_occurrence(rule, [r[6] for r in right], [r[6] for r in left])):
             found = found + shift
-            found = found[found != i]
+            found = found[(found != i) & (rule.band(np.maximum(sizes[found], sizes[i])) == band)]
             if not len(found):
                 continue
             links[i] += copies[found].sum()
@@ -261,7 +270,7 @@ def _met(signed: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def _stars(signed: DataFrame, hot_rows: int) -> DataFrame:
-    """Edges (u, v) from each set that shares enough signatures to the least set of each signature."""
+    """Edges (u, v) from each set that shares enough signatures to the least set of each signature, as nodes of its band (``_node``)."""
     shared = scratch.table(_met(signed, hot_rows), "shared")
     band = F.col("signature").bitwiseAND(63).cast("int").alias("band")
     needs = signed.select("set_a", F.explode(F.arrays_zip("bands", "needs")).alias("x")).select("set_a", F.col("x.bands").alias("band"), F.col("x.needs").alias("need")).distinct()
@@ -269,7 +278,18 @@ def _stars(signed: DataFrame, hot_rows: int) -> DataFrame:
     left = scratch.table(shared.select("set_a", "signature", band).join(enough, ["set_a", "band"], "left_semi").select("set_a", "signature"), "enough")
     # a table of its own, so that the join shuffles both sides alone and can split a hot signature
     least = scratch.table(left.groupBy("signature").agg(F.min("set_a").alias("v")), "least")
-    return left.join(least, "signature").select(F.col("set_a").alias("u"), "v").filter("u <> v").distinct()
+    own = F.col("signature").bitwiseAND(63)
+    return left.join(least, "signature").select(_node(F.col("set_a"), own).alias("u"), _node(F.col("v"), own).alias("v")).filter("u <> v").distinct()
+
+
+def _node(set_a: Column, band: Column) -> Column:
+    """A set in a band, as one bigint with the band in its low bits. Sets that agree in the high bits are one node, which makes a family larger and loses nothing."""
+    return set_a.bitwiseAND(~63).bitwiseOR(band.cast("bigint"))
+
+
+def _band_of(n: Column) -> Column:
+    """``Links.band`` of a column."""
+    return F.greatest(F.lit(0), F.size(F.filter(F.array(*[F.lit(int(b)) for b in _BANDS[:59]]), lambda b: b <= n)) - 1)
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens: int = 2_000_000, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -290,7 +310,10 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens
     entries = sets.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("entry"), F.countDistinct("doc_id").alias("copies"))
     entries = scratch.table(entries, "entries")
     family = scratch.only(spark, lambda: components(_stars(signed, hot_rows)), "families")
-    active = entries.join(family.withColumnRenamed("node", "set_a").withColumnRenamed("component", "family"), "set_a")
+    # a family is named by its least node, whose low bits are its band; the sets of a node are found by the bands that a size may be in
+    bands = F.sequence(_band_of(F.col("n_shingles")), _band_of(F.floor(F.col("n_shingles") * 100 / percent)))
+    nodes = entries.withColumn("node", F.explode(F.transform(bands, lambda b: _node(F.col("set_a"), b))))
+    active = nodes.join(family.withColumnRenamed("component", "family"), "node").drop("node")
     active = scratch.table(active, "active")
 
     # A text is read again where its entry is active, once for each entry. What is
