@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfloom.llm import arrow, byte_bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts
+from shelfloom.llm import arrow, byte_bpe, chat_format, decontaminate, filter_audit, license_scan, line_dedup, merkle, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 PIECES = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -107,6 +107,31 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in all 120 orders, by language."""
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole text; a fifth of the ids is never learned from."""
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every row, and whether a leaf that may have lost its line feeds still leads to the root."""
+    docs = _read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    again = merkle.leaf([tampered if c == "text" else F.col(c) for c in columns])
+    out = merkle.manifest(docs, columns, group="source", key="doc_id", keep={"again": F.unhex(again)})
+    folded = merkle.fold(F.lower(F.hex("again")), F.col("proof"))
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 _SQL: dict[str, str] = {}
 
 _SQL["op2_ngram_jaccard_join"] = r"""
@@ -259,6 +284,65 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
+_SQL["op11_filter_interaction_audit"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (SELECT *, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM t
+), l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), first AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text), regexp_matches(w.text, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails
+  FROM w JOIN first ON w.text = first.text LEFT JOIN l ON l.doc_id = w.doc_id
+), g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), o AS (SELECT '' AS said UNION ALL SELECT said || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(x) WHERE NOT contains(said, x)
+), s AS (SELECT said AS filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(said) = 5
+), x AS (
+  SELECT part, filter_order, step, n, good, toxic, fails[strpos('ABCDE', filter_order[step])] AS here, len([k FOR k IN range(1, step) IF fails[strpos('ABCDE', filter_order[k])]]) > 0 AS gone, len([k FOR k IN fails IF k]) AS n_fails FROM g, s
+), r AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (here AND n_fails = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost FROM x GROUP BY part, filter_order, step
+)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
+# crc32 takes eight steps for each byte: -1 stands for a step, other values for a byte that comes in before them.
+_SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_prepend(4294967295, flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])),
+    lambda crc, x: CASE WHEN x = -1 THEN xor(crc >> 1, 3988292384 * (crc & 1)) ELSE xor(crc, x::BIGINT) END) AS crc FROM documents
+), e AS (
+  SELECT doc_id, source, text, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM d
+), l AS (SELECT doc_id, coalesce('-' || source, '') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS again FROM e
+), p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l
+), n AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM p
+  UNION ALL
+  SELECT DISTINCT tree, level + 1, pos // 3, sha256(string_agg(digest, '') OVER (PARTITION BY tree, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (n + 2) // 3 FROM n WHERE n > 1
+), s AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM n WHERE n = 1
+), m AS (
+  SELECT 0 AS level, pos, subroot AS digest, n FROM s
+  UNION ALL
+  SELECT DISTINCT level + 1, pos // 3, sha256(string_agg(digest, '') OVER (PARTITION BY pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), (n + 2) // 3 FROM m WHERE n > 1
+), a AS (
+  SELECT tree, level, pos // 3 AS run, pos, digest FROM n WHERE n > 1
+  UNION ALL SELECT tree, level, pos // 3, pos, digest FROM (SELECT s.tree, m.level + 1000 AS level, m.pos, m.digest FROM m, s WHERE m.n > 1)
+), b AS (
+  SELECT x.tree, x.level, x.pos, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos < x.pos), '') AS before, coalesce(string_agg(y.digest, '' ORDER BY y.pos) FILTER (y.pos > x.pos), '') AS after
+  FROM a x JOIN a y ON x.tree = y.tree AND x.level = y.level AND x.run = y.run GROUP BY x.tree, x.level, x.pos
+), q AS (
+  SELECT p.doc_id, p.tree, p.pos, k.level, b.before, b.after
+  FROM p JOIN s ON s.tree = p.tree JOIN (SELECT DISTINCT tree, level FROM a) k ON k.tree = p.tree
+  JOIN b ON b.tree = p.tree AND b.level = k.level AND b.pos = CASE WHEN k.level < 1000 THEN p.pos // (3 ** k.level)::BIGINT ELSE s.pos // (3 ** (k.level - 1000))::BIGINT END
+), z AS (SELECT tree, pos, list(before ORDER BY level) AS b, list(after ORDER BY level) AS a, string_agg(before || after, '' ORDER BY level) AS said FROM q GROUP BY tree, pos
+), u AS (
+  SELECT p.doc_id, p.leaf, s.subroot, (SELECT digest FROM m WHERE n = 1) AS root, sha256(coalesce(z.said, '')) AS proof_sha256,
+    CASE WHEN z.b IS NULL THEN again ELSE list_reduce(list_prepend(again, [x[1] || ',' || x[2] FOR x IN list_zip(z.b, z.a)]), lambda acc, x: sha256(split_part(x, ',', 1) || acc || split_part(x, ',', 2))) END AS folded_root
+  FROM p JOIN s ON s.tree = p.tree LEFT JOIN z ON z.tree = p.tree AND z.pos = p.pos
+)
+SELECT *, folded_root = root AS verified FROM u
+"""
+
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
