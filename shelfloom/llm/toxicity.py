@@ -14,7 +14,7 @@ Fitting takes a bounded sample of the labelled rows: at most ``most_rows``, thos
 the least hashes of their key. It runs in one task over arrays of term places:
 AdaGrad steps on batches, with a soft threshold on w and on each v as a whole, so
 that terms that say nothing are exactly zero and a long text is not the sum of its
-noise. What is fitted is at most ``space`` rows of 1 + ``factors`` numbers, so it can
+noise. Terms that few texts have get no v: there is too little to learn pairs from. What is fitted is at most ``space`` rows of 1 + ``factors`` numbers, so it can
 be sent to every worker. Scoring goes over every whole text.
 """
 
@@ -44,11 +44,17 @@ class Settings:
     space: int = 1 << 18
     factors: int = 4
     least_rows_of_term: int = 3
-    prefix: int = 5
-    epochs: int = 12
+    prefix: int = 4
+    epochs: int = 15
     batch: int = 128
-    rate: float = 0.1
-    threshold: float = 2e-4
+    rate: float = 0.07
+    threshold: float = 0.006
+    #: Texts that have a term before it gets factors, and the soft threshold on them.
+    least_rows_of_pair: int = 50
+    pair_threshold: float = 0.006
+    pair_start: float = 0.05
+    #: How far the rarer label is weighed up: 0 not at all, 1 until both labels weigh alike.
+    balance: float = 0.9
     seed: int = 7
 
 
@@ -101,9 +107,11 @@ def fit_arrays(texts: list[np.ndarray], labels: np.ndarray, settings: Settings)
     dense = np.full(s.space, -1, np.int32)
     dense[terms] = np.arange(len(terms), dtype=np.int32)
     rows = [(d := dense[t])[d >= 0] for t in texts]
-    w, v = np.zeros(len(terms)), random.normal(0, 0.05, (len(terms), s.factors))
+    often = counts[terms] >= s.least_rows_of_pair  # the others have too few partners to learn from
+    w, v = np.zeros(len(terms)), random.normal(0, s.pair_start, (len(terms), s.factors)) * often[:, None]
     n, positive = len(labels), float(labels.sum())
-    bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
+    weight = np.where(labels > 0, ((n - positive + 0.5) / (positive + 0.5)) ** s.balance, 1.0)
+    bias = float(np.log((positive + 0.5) / (n - positive + 0.5))) * (1 - s.balance)
     sq_w, sq_v, sq_b = np.full(len(terms), 1e-6), np.full(len(terms), 1e-6), 1e-6
     for _ in range(s.epochs if 0 < positive < n else 0):
         order = random.permutation(n)
@@ -113,7 +121,7 @@ def fit_arrays(texts: list[np.ndarray], labels: np.ndarray, settings: Settings)
             starts = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             places = np.concatenate(own)
             margin, total = margins(places, starts, w, v, bias)
-            slope = (_sigmoid(margin) - labels[take]) / len(take)
+            slope = weight[take] * (_sigmoid(margin) - labels[take]) / len(take)
             of = np.repeat(np.arange(len(take)), np.diff(starts))
             seen, back = np.unique(places, return_inverse=True)
             g_w = np.bincount(back, slope[of], len(seen))
@@ -129,7 +137,7 @@ def fit_arrays(texts: list[np.ndarray], labels: np.ndarray, settings: Settings)
             step = (s.rate / np.sqrt(sq_v[seen]))[:, None]
             moved = v[seen] - step * g_v
             size = np.sqrt((moved**2).sum(1, keepdims=True))
-            v[seen] = moved * np.maximum(1 - step * s.threshold / np.maximum(size, 1e-12), 0)
+            v[seen] = moved * np.maximum(1 - step * s.pair_threshold / np.maximum(size, 1e-12), 0) * often[seen][:, None]
     v[np.sqrt((v**2).sum(1)) < 1e-9] = 0
     return bias, terms, w, v
 
