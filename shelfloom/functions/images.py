@@ -212,28 +212,149 @@ def fill_ratio(image: np.ndarray, white: int = 251) -> float:
     return float((xs.max() - xs.min() + 1) * (ys.max() - ys.min() + 1) / image[..., 0].size) if len(ys) else 0.0
 
 
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, column after the last) of each run of a mask, row by row."""
+    padded = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    padded[:, 1:-1] = mask
+    steps = np.diff(padded, axis=1)
+    rows, starts = np.nonzero(steps == 1)
+    return rows, starts, np.nonzero(steps == -1)[1]
+
+
+def components(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
+    """(labels from 1 in the order of their first pixels, their number): pixels of a mask that touch, at corners too if ``diagonal``.
+
+    Runs of a row get a label each, runs that touch one of the row above join its set
+    (union-find), and a second pass writes the sets' labels: work grows with the runs.
+    """
+    rows, starts, ends = _runs(mask)
+    parent, reach = list(range(len(rows))), int(diagonal)
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first = np.searchsorted(rows, np.arange(mask.shape[0] + 1)).tolist()
+    a, b = starts.tolist(), ends.tolist()
+    for row in range(1, mask.shape[0]):
+        above, here = first[row - 1], first[row]
+        while above < first[row] and here < first[row + 1]:
+            if a[here] < b[above] + reach and a[above] < b[here] + reach:
+                low, high = sorted((find(above), find(here)))
+                parent[high] = low
+            if b[above] < b[here]:
+                above += 1
+            else:
+                here += 1
+    roots = np.array([find(i) for i in range(len(parent))], dtype=np.int64)
+    kept, labels = np.unique(roots, return_inverse=True)
+    out = np.zeros(mask.shape, np.int32)
+    for row, low, high, label in zip(rows.tolist(), a, b, labels.tolist(), strict=True):
+        out[row, low:high] = label + 1
+    return out, len(kept)
+
+
+def filled(mask: np.ndarray) -> np.ndarray:
+    """A mask with its holes: all but what is open to the outside, through sides and not through corners."""
+    around = np.pad(~mask, 1, constant_values=True)
+    labels, _ = components(around, diagonal=False)
+    return ~(labels == labels[0, 0])[1:-1, 1:-1]
+
+
+def objects(mask: np.ndarray) -> list[tuple[int, int, int, int, int, float]]:
+    """(x, y, width, height, pixels, contour area) of each outermost object of a mask, holes included, in the order of first pixels.
+
+    The contour goes through the centres of the border's pixels, so its area is that
+    of the squares between four pixels, and half of that between three.
+    """
+    labels, n = components(filled(mask))
+    rows, starts, ends = _runs(labels > 0)
+    of = labels[rows, starts] - 1
+    low_x, high_x = np.full(n, mask.shape[1]), np.zeros(n, np.int64)
+    low_y, high_y = np.full(n, mask.shape[0]), np.zeros(n, np.int64)
+    np.minimum.at(low_x, of, starts)
+    np.maximum.at(high_x, of, ends)
+    np.minimum.at(low_y, of, rows)
+    np.maximum.at(high_y, of, rows + 1)
+    pixels = np.bincount(of, ends - starts, n)
+    corners = [labels[:-1, :-1], labels[:-1, 1:], labels[1:, :-1], labels[1:, 1:]]
+    held, owner = sum((c > 0).astype(int) for c in corners), np.maximum.reduce(corners)
+    area = np.bincount(owner[held >= 3] - 1, np.where(held[held >= 3] == 4, 1.0, 0.5), n) if n else np.zeros(0)
+    return [tuple(x) for x in zip(low_x.tolist(), low_y.tolist(), (high_x - low_x).tolist(), (high_y - low_y).tolist(), pixels.astype(int).tolist(), area.tolist(), strict=True)]
+
+
+def largest(mask: np.ndarray) -> tuple[int, int, int, int] | None:
+    """(x, y, width, height) of the object of largest contour area, the first of equal ones; None for an empty mask."""
+    found = objects(mask)
+    return max(found, key=lambda o: o[5])[:4] if found else None
+
+
+def _box_share(box: tuple[int, int, int, int] | None, mask: np.ndarray) -> float:
+    return box[2] * box[3] / mask.size if box else 0.0
+
+
+def border(pixels: np.ndarray, width: int) -> np.ndarray:
+    """The full rows at the top and bottom and the full columns at the sides, so corners come twice."""
+    flat = (-1, *pixels.shape[2:])
+    return np.concatenate([pixels[:width].reshape(flat), pixels[-width:].reshape(flat), pixels[:, :width].reshape(flat), pixels[:, -width:].reshape(flat)])
+
+
 #: White-background gates: border in pixels, least white level, least share of white, least fill, least side.
 BACKGROUND_GATES = {
     "strict": (10, 251, 0.98, 0.85, 21),
     "perimeter": (6, 250, 0.995, 0.0, 1),
     "original": (1, 248, 0.96, 0.0, 400),
-    "compliance": (1, 253, 0.0, 0.0, 1),
+    "compliance": (1, 253, None, None, 1),
 }
 
 
-def background_gate(name: str, image: np.ndarray) -> tuple[float, float, bool]:
-    """(share of white in the border, fill, passed) by a gate; an image that is too small for it fails."""
-    border, level, least_white, least_fill, side = BACKGROUND_GATES[name]
+def background_gate(name: str, image: np.ndarray) -> tuple[float, float, bool | None]:
+    """(share of white in the border, fill, passed) by a gate; an image that is too small for it fails.
+
+    ``strict`` and ``original`` count the corners of the border twice, ``perimeter``
+    once. ``compliance`` counts channels, takes as fill the box of the largest object
+    darker than its level in grey, and has no verdict; the others count pixels and
+    take the box of all that isn't white.
+    """
+    width, level, least_white, least_fill, side = BACKGROUND_GATES[name]
     if min(image.shape[:2]) < side:
         return 0.0, 0.0, False
-    # the last gate counts channels, the others pixels
-    white = image[..., :3] >= level if name == "compliance" else (image[..., :3] >= level).all(axis=2)
-    edge = np.ones(image.shape[:2], dtype=bool)
-    edge[border:-border, border:-border] = False
-    purity, fill = float(white[edge].mean()), fill_ratio(image, level)
+    if name == "compliance":
+        dark = grey(image) > level
+        if dark.all():
+            return 0.0, 0.0, None
+        return float((border(image[..., :3], width) >= level).mean()), _box_share(largest(~dark), dark), None
+    white = (image[..., :3] >= level).all(axis=2)
+    if name == "perimeter":
+        edge = np.ones(white.shape, dtype=bool)
+        edge[width:-width, width:-width] = False
+        purity = float(white[edge].mean())
+    else:
+        purity = float(border(white, width).mean())
+    fill = fill_ratio(image, level)
     return purity, fill, purity >= least_white and fill >= least_fill
 
 
+def layout(image: np.ndarray, level: int = 248) -> tuple[float, float, bool]:
+    """(fill, offset, centred): the box of all objects up to a grey level, and how far the centre of their pixels is from the middle, as a share of the side; at most a tenth either way is centred."""
+    mask = grey(image) <= level
+    if not mask.any():
+        return 0.0, 1.0, False
+    ys, xs = np.nonzero(mask)
+    h, w = mask.shape
+    fill = (xs.max() + 1 - xs.min()) * (ys.max() + 1 - ys.min()) / mask.size
+    off_x, off_y = abs(xs.mean() - w / 2) / w, abs(ys.mean() - h / 2) / h
+    return float(fill), float(max(off_x, off_y)), bool(off_x <= 0.1 and off_y <= 0.1)
+
+
+def largest_fill(image: np.ndarray, level: int = 248) -> float:
+    """Share of the image that the box of its largest object up to a grey level takes."""
+    mask = grey(image) <= level
+    return _box_share(largest(mask), mask)
+
+
 def frequency_ratio(image: np.ndarray) -> float:
     """Share of the spectrum's magnitude outside the low quarter."""
     f = np.abs(np.fft.fftshift(np.fft.fft2(grey(image))))
@@ -328,8 +449,14 @@ AUDIT = {
     "blockiness": blockiness,
     "fill": fill_ratio,
     "content": has_content,
+    "n_objects": lambda image: float(len(objects(grey(image) <= 248))),
+    "largest_fill": largest_fill,
+    "layout_fill": lambda image: layout(image)[0],
+    "layout_offset": lambda image: layout(image)[1],
+    "layout_centred": lambda image: float(layout(image)[2]),
     **{f"{name}_purity": (lambda image, name=name: background_gate(name, image)[0]) for name in BACKGROUND_GATES},
-    **{f"{name}_passed": (lambda image, name=name: float(background_gate(name, image)[2])) for name in BACKGROUND_GATES},
+    **{f"{name}_fill": (lambda image, name=name: background_gate(name, image)[1]) for name in BACKGROUND_GATES},
+    **{f"{name}_passed": (lambda image, name=name: float(background_gate(name, image)[2])) for name in BACKGROUND_GATES if name != "compliance"},
 }
 
 #: Measures by column name.

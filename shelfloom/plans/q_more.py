@@ -202,11 +202,41 @@ def master_image_audit(spark, d):
 @query("background_gates", None)
 def background_gates(spark, d):
     """The white-background gates over one image each, and the density of the package; tests hold them against examples."""
-    names = [f"{n}_{x}" for n in images.BACKGROUND_GATES for x in ("purity", "passed")]
+    names = [f"{n}_{x}" for n in images.BACKGROUND_GATES for x in ("purity", "passed") if f"{n}_{x}" in images.AUDIT]
     m = images.measure(_pictures(spark, d), "vec_id", [*names, "packaging"], images.AUDIT)
     return m.select("vec_id", *[F.round(n, 4).alias(n) for n in names], F.round("packaging", 4).alias("packaging"), (F.col("packaging") >= 0.45).alias("dense"))
 
 
+_MASK = """c AS (SELECT vec_id, r, c, floor(abs(embedding[(r * 16 + c) % 64 + 1]::DOUBLE) * 10000 / (1 + r // 4))::BIGINT % 10 < 4 AS dark FROM embeddings, range(0, 16) a(r), range(0, 16) b(c)),
+    w AS (SELECT vec_id, r, c FROM c WHERE NOT dark UNION ALL SELECT vec_id, x.r, x.c FROM (SELECT DISTINCT vec_id FROM c), (SELECT r, c FROM range(-1, 17) a(r), range(-1, 17) b(c) WHERE r IN (-1, 16) OR c IN (-1, 16)) x),
+    o AS (SELECT vec_id, -1::BIGINT AS r, -1::BIGINT AS c FROM (SELECT DISTINCT vec_id FROM c) UNION SELECT w.vec_id, w.r, w.c FROM o JOIN w ON w.vec_id = o.vec_id AND abs(w.r - o.r) + abs(w.c - o.c) = 1),
+    m AS (SELECT c.vec_id, c.r, c.c FROM c LEFT JOIN o ON o.vec_id = c.vec_id AND o.r = c.r AND o.c = c.c WHERE o.r IS NULL),
+    l AS (SELECT vec_id, r, c, r * 16 + c AS label FROM m UNION SELECT m.vec_id, m.r, m.c, l.label FROM l JOIN m ON m.vec_id = l.vec_id AND greatest(abs(m.r - l.r), abs(m.c - l.c)) = 1 AND m.r * 16 + m.c > l.label),
+    p AS (SELECT vec_id, r, c, min(label) AS label FROM l GROUP BY ALL),
+    s AS (SELECT vec_id, label, count(*) AS k FROM (SELECT DISTINCT p.vec_id, p.label, p.r, p.c, p.r - i AS y, p.c - j AS x FROM p, range(0, 2) a(i), range(0, 2) b(j)) GROUP BY vec_id, label, y, x),
+    b AS (SELECT vec_id, label, count(*) AS n, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM p GROUP BY ALL),
+    a AS (SELECT vec_id, label, sum(CASE k WHEN 4 THEN 1 WHEN 3 THEN 0.5 ELSE 0 END)::DOUBLE AS area FROM s GROUP BY ALL),
+    g AS (SELECT vec_id, count(*) AS n_objects, arg_max((r1 - r0 + 1) * (c1 - c0 + 1), (area, -b.label)) AS box FROM b JOIN a USING (vec_id, label) GROUP BY vec_id),
+    t AS (SELECT vec_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, avg(r) AS cy, avg(c) AS cx FROM c WHERE dark GROUP BY vec_id)"""
+
+
+@query(
+    "image_objects",
+    f"""WITH RECURSIVE {_MASK}
+    SELECT e.vec_id, coalesce(n_objects, 0)::BIGINT AS n_objects, round(coalesce(box, 0) / 256.0::DOUBLE, 6) AS largest_fill, round(coalesce((r1 - r0 + 1) * (c1 - c0 + 1), 0) / 256.0::DOUBLE, 6) AS layout_fill,
+      round(coalesce(greatest(abs(cx - 8), abs(cy - 8)) / 16, 1)::DOUBLE, 6) AS layout_offset, coalesce(abs(cx - 8) / 16 <= 0.1 AND abs(cy - 8) / 16 <= 0.1, false) AS centred
+    FROM embeddings e LEFT JOIN g ON g.vec_id = e.vec_id LEFT JOIN t ON t.vec_id = e.vec_id""",
+)
+def image_objects(spark, d):
+    """Objects of small pictures (dark spots on white, made of the vectors): how many, the box of the largest, the box and the centre of all."""
+    level = lambda i: F.floor(F.abs(F.get("embedding", i % 64).cast("double")) * 10000 / (1 + F.floor(i / 64))) % 10 < 4
+    line = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.when(level(i), F.lit("28")).otherwise(F.lit("FF")))
+    pictures = table(spark, d, "embeddings").select("vec_id", F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(line, "")).alias("pixels"))
+    m = images.measure(pictures, "vec_id", ["n_objects", "largest_fill", "layout_fill", "layout_offset", "layout_centred"], images.AUDIT)
+    rounded = [F.round(n, 6).alias(n) for n in ("largest_fill", "layout_fill", "layout_offset")]
+    return m.select("vec_id", F.col("n_objects").cast("bigint").alias("n_objects"), *rounded, (F.col("layout_centred") == 1).alias("centred"))
+
+
 _GOODS = ("Full cream milk", "Orange JUICE 1L", "Hair lotion", "Dish liquid", "Red apples", "Butter cookies with water", "Skin clean")
 
 

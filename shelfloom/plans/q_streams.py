@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfloom.plans.registry import query
-from shelfloom.sources import sinks, tables
+from shelfloom.sources import event_log, sinks, tables
 from shelfloom.sources.tables import table
 from shelfloom.streaming import jobs
 
@@ -41,9 +41,28 @@ def session_windows(spark, d):
     return jobs.sessions(_events(spark, d)).withColumn("start", F.unix_micros("start"))
 
 
+_LOGGED = "event_id bigint, ts bigint, user_id bigint, event_type string"
+
+
+def _logged(spark, d):
+    return _events(spark, d).select("event_id", "ts", "user_id", "event_type")
+
+
 @query("replay_then_tail", "SELECT event_id, event_type FROM events WHERE event_id > 500")
 def replay_then_tail(spark, d):
-    """History after an id and a tail that overlaps it, each event once."""
+    """A log that a reader follows from an id on: it stops after the history, a tail that overlaps it is appended, and it goes on where it was; each event once."""
+    log, to = sinks.folder(spark, "events-log"), (sinks.folder(spark, "replay"), sinks.folder(spark, "replay-checkpoint"))
+    e, out = _logged(spark, d), None
+    for part in (e.filter("event_id < 6000"), e.filter("event_id > 500")):
+        event_log.append(part, log)
+        stream = jobs.log_stream(spark, log, _LOGGED)
+        out = jobs.drain(jobs.replay_then_tail(stream, None, 500), "replay", to=to)
+    return out.select("event_id", "event_type")
+
+
+@query("replay_union", "SELECT event_id, event_type FROM events WHERE event_id > 500")
+def replay_union(spark, d):
+    """The batch twin: history after an id and a tail that overlaps it."""
     e = _events(spark, d)
     return jobs.replay_then_tail(e.filter("event_id < 6000"), e.filter("event_id > 500"), 500).select("event_id", "event_type")
 
@@ -189,7 +208,9 @@ def settings_load(spark, d):
 
 @query("queue_scan", "SELECT user_id, count(*) AS n, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY user_id")
 def queue_scan(spark, d):
-    """A queue of events read as a stream to its end, without repeats, by owner."""
-    stream = jobs.event_stream(spark, d).filter("event_type = 'error'").select("user_id", "event_id", "ts")
+    """A queue of events in a log, read as a stream to its end, without repeats, by owner."""
+    log = sinks.folder(spark, "queue-log")
+    event_log.append(_logged(spark, d), log)
+    stream = jobs.log_stream(spark, log, _LOGGED, splitBytes=1 << 20).filter("event_type = 'error'").select("user_id", "event_id", "ts")
     seen = jobs.drain(stream.withWatermark("ts", jobs.LATE).dropDuplicates(["event_id"]), "queue")
     return seen.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfloom.functions import images, ports, text
-from shelfloom.operators import ranking
+from shelfloom.operators import brands, ranking
 from shelfloom.plans.registry import query
 from shelfloom.sources.tables import table
 
@@ -308,13 +308,28 @@ def hierarchy_path(spark, d):
     return out.select("n_nationkey", F.coalesce("found1", "over2", "l1").alias("level1"), F.coalesce("found2", "l2").alias("level2"))
 
 
-@query("brand_in_name", "SELECT p_partkey, (SELECT min(w) FROM (VALUES ('ring'), ('bolt'), ('gear'), ('rod')) t(w) WHERE contains(p_name, w)) AS found FROM part")
+_NAMES = """b AS (SELECT p_name AS brand, min(p_partkey) AS place, string_split(p_name, ' ') AS w FROM part GROUP BY p_name),
+    s AS (SELECT brand, place, trim(lower(x)) AS syn FROM b, unnest([upper(brand), ' ' || w[2] || ' ', brand[1:2], w[1] || '&' || w[2]]) u(x)),
+    n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'Ear' || w[2] || 's for ' || w[1][1:2] WHEN 2 THEN w[1] || '-' || w[2] || 'X' WHEN 3 THEN 'set of ' || p_name[1:2] || '!' WHEN 4 THEN w[1] || '&' || upper(w[2]) ELSE 'A' || w[1] || ' b' END AS name
+      FROM (SELECT *, string_split(p_name, ' ') AS w FROM part))"""
+
+
+@query(
+    "brand_in_name",
+    f"""WITH {_NAMES},
+    d AS (SELECT name, string_split(trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')), ' ') AS words FROM (SELECT DISTINCT name FROM n)),
+    f AS (SELECT name, arg_min(brand, (place, brand)) AS found FROM d JOIN s ON CASE WHEN length(syn) > 2 THEN contains(lower(name), syn) ELSE list_contains(words, syn) END GROUP BY name)
+    SELECT n.p_partkey, n.name, found FROM n LEFT JOIN f ON f.name = n.name""",
+)
 def brand_in_name(spark, d):
-    """The first word of a vocabulary that a name holds: names are cut into words, and words meet the vocabulary by equality."""
-    words = spark.createDataFrame([("ring",), ("bolt",), ("gear",), ("rod",)], "w string")
-    cut = table(spark, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w")).join(F.broadcast(words), "w")
-    found = cut.groupBy("p_partkey").agg(F.min("w").alias("found"))
-    return table(spark, d, "part").select("p_partkey").join(found, "p_partkey", "left")
+    """The first brand of a table whose name, second word, joined words or (as a word of its own) first two letters a product name holds; names in other cases, with affixes and punctuation."""
+    p = table(spark, d, "part").withColumn("w", F.split("p_name", " "))
+    one, two, short = F.get("w", F.lit(0)), F.get("w", F.lit(1)), F.substring("p_name", 1, 2)
+    said = [F.upper("p_name"), F.concat(F.lit("Ear"), two, F.lit("s for "), F.substring(one, 1, 2)), F.concat(one, F.lit("-"), two, F.lit("X")), F.concat(F.lit("set of "), short, F.lit("!")), F.concat(one, F.lit("&"), F.upper(two)), F.concat(F.lit("A"), one, F.lit(" b"))]
+    names = p.select("p_partkey", F.get(F.array(*said), (F.col("p_partkey") % 6).cast("int")).alias("name"))
+    listed = F.array(F.upper("p_name"), F.concat(F.lit(" "), two, F.lit(" ")), short, F.concat(one, F.lit("&"), two))
+    vocabulary = p.groupBy(F.col("p_name").alias("brand"), listed.alias("synonyms")).agg(F.min("p_partkey").alias("order"))
+    return brands.first_brand(names, vocabulary, "name", "found")
 
 
 @query("brand_from_start", "SELECT p_partkey, CASE WHEN string_split(p_name, ' ')[1] IN ('new', 'old') THEN string_split(p_name, ' ')[2] ELSE string_split(p_name, ' ')[1] END AS brand FROM part")

@@ -28,6 +28,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, in whatever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.exists(at) and store.getFileStatus(at).isDirectory()
+
+
 def header_fields(columns: list[str]) -> dict[str, str]:
     """Field to column, by the first alias that a header equals in any case; else by the default place."""
     low = {c.strip().lower(): c for c in reversed(columns)}

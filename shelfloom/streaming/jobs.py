@@ -14,20 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfloom.operators import stateful
-from shelfloom.sources import sinks
+from shelfloom.sources import event_log, sinks, tables
 
 LATE = "1 hour"
 
 
 def event_stream(spark: SparkSession, directory: str, files: int = 1) -> DataFrame:
-    """The events of a directory as a stream, with ``ts`` as an instant."""
+    """The events of a directory as a stream, with ``ts`` as an instant. The table is a file or a folder of parts."""
     path = f"{directory}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # a stream reads a folder: the parent, filtered to the table
-    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "events.parquet").parquet(directory)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    # a stream reads a folder: the table's own, or its parent with all else filtered out
+    found = reader.parquet(path) if tables.is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(directory)
     return found.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def log_stream(spark: SparkSession, path: str, schema: str, **options: str | int) -> DataFrame:
+    """The records of an append-only log as a stream, with ``ts`` (microseconds) as an instant."""
+    return event_log.records(spark, path, schema, stream=True, **options).withColumn("ts", F.timestamp_micros("ts"))
+
+
 def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
     """Counts and sums by window and type; late rows are dropped behind the watermark."""
     w = events.withWatermark("ts", LATE).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
@@ -45,9 +50,10 @@ def sessions(events: DataFrame, gap: str = "12 hours") -> DataFrame:
     return w.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def replay_then_tail(history: DataFrame, tail: DataFrame, last_id: int) -> DataFrame:
-    """History after ``last_id`` and the tail, each event once."""
-    both = history.filter(F.col("event_id") > last_id).unionByName(tail)
+def replay_then_tail(history: DataFrame, tail: DataFrame | None, last_id: int) -> DataFrame:
+    """History after ``last_id`` and the tail, each event once. A log that is followed has both in one stream: no ``tail`` then."""
+    kept = history.filter(F.col("event_id") > last_id)
+    both = kept if tail is None else kept.unionByName(tail)
     return both.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]) if both.isStreaming else both.dropDuplicates(["event_id"])
 
 
@@ -55,9 +61,10 @@ def delta_sync(path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: the last state of each key of a batch is written if its hash is new, rows before hashes.
 
     ``path/rows/<batch>`` has what a batch changed, ``path/known/<batch>`` the latest
-    hash of every key after it: a batch reads the one before and no other, and the
-    one before that goes. Folders are named by the batch and overwritten on a retry,
-    so a batch that ran twice is there once.
+    id and hash of every key after it: a batch reads the one before and no other, and
+    the one before that goes. An event that comes late, with a lower id than what is
+    known of its key, changes nothing. Folders are named by the batch and overwritten
+    on a retry, so a batch that ran twice is there once.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -65,12 +72,14 @@ def delta_sync(path: str) -> Callable[[DataFrame, int], None]:
         last = batch.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("x"))
         hashed = last.select("user_id", "x.*").withColumn("hash", F.sha2(F.concat_ws("|", "event_type", F.col("value").cast("string")), 256))
         if number == 0:
-            known = spark.createDataFrame([], "user_id bigint, old string")
+            known = spark.createDataFrame([], "user_id bigint, old_id bigint, old string")
         else:
-            known = spark.read.parquet(f"{path}/known/{number - 1}").withColumnRenamed("hash", "old")
-        changed = hashed.join(known, "user_id", "left").filter(~F.col("hash").eqNullSafe(F.col("old"))).drop("old")
-        changed.write.mode("overwrite").parquet(f"{path}/rows/{number}")
-        now = known.join(hashed.select("user_id", "hash"), "user_id", "full_outer").select("user_id", F.coalesce("hash", "old").alias("hash"))
+            known = spark.read.parquet(f"{path}/known/{number - 1}").select("user_id", F.col("event_id").alias("old_id"), F.col("hash").alias("old"))
+        both = known.join(hashed, "user_id", "full_outer")
+        newer = F.coalesce(F.col("event_id") > F.coalesce("old_id", F.col("event_id") - 1), F.lit(False))
+        changed = both.filter(newer & ~F.col("hash").eqNullSafe(F.col("old")))
+        changed.select("user_id", "event_id", "event_type", "value", "hash").write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        now = both.select("user_id", F.when(newer, F.col("event_id")).otherwise(F.col("old_id")).alias("event_id"), F.when(newer, F.col("hash")).otherwise(F.col("old")).alias("hash"))
         now.write.mode("overwrite").parquet(f"{path}/known/{number}")
         if number > 1:
             sinks.delete(spark, f"{path}/known/{number - 2}")
@@ -124,11 +133,22 @@ def route(column: str, queues: dict[str, list[str]], default: str) -> Callable[[
     return run
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over what has arrived and read back what it wrote; in update mode every version of a row."""
+def drain(stream: DataFrame, label: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None, to: tuple[str, str] | None = None) -> DataFrame:
+    """Run a stream over what has arrived and read back what it wrote: in update mode every version of a row, in complete mode the last result.
+
+    ``to`` is (folder, checkpoint) of a run before, after which this one goes on. A
+    stream in which nothing came gives no rows, with its schema.
+    """
     spark = stream.sparkSession
-    path, at = sinks.folder(spark, label), sinks.folder(spark, label + "-checkpoint")
-    write = batch or (lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{n}"))
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(write).start()
+    path, at = to or (sinks.folder(spark, label), sinks.folder(spark, label + "-checkpoint"))
+
+    def write(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{n}")
+        if mode == "complete" and n > 0:
+            sinks.delete(spark, f"{path}/{n - 1}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(batch or write).start()
     q.awaitTermination()
+    if not tables.is_folder(spark, path):
+        spark.createDataFrame([], stream.schema).write.parquet(f"{path}/none")
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
