@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,17 +20,17 @@ from shelfloom.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quali
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_left: list[str] = []
+#: Scope of the last stage, by thread: a pipeline in another thread has its own.
+_last: ContextVar[scratch.Scope | None] = ContextVar("last", default=None)
 
 
 def _stage(f: Stage) -> Stage:
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.drop(spark, [x for x in _left if x in scratch.written()])
-        _left.clear()
-        before = set(scratch.written())
-        out = f(spark, docs, sf_dir)
-        _left.extend(x for x in scratch.written() if x not in before)
+        scratch.drop(spark, _last.get() or [])
+        with scratch.scope() as used:
+            out = f(spark, docs, sf_dir)
+        _last.set(used)
         return out
 
     return run
@@ -88,8 +89,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents`` of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), "stage")
+    """The stages over ``documents`` of ``sf_dir``. The tables of a stage and what the one before returned go as soon as its own result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.Scope()
+    for _, stage in STAGES:
+        with scratch.scope() as used:
+            out = stage.__wrapped__(spark, docs, sf_dir)
+        with scratch.scope() as kept:
+            docs = scratch.table(out, "stage")
+        for gone in (used, before):
+            scratch.drop(spark, gone)
+        before = kept
+    scratch.keep(before)
     return docs

@@ -35,15 +35,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = scratch.table(now, "edges")
+    with scratch.scope() as held:
+        now = scratch.table(now, "edges")
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or tuple(state) == seen:
             break
         seen = tuple(state)
-        last = scratch.written()[-1]
-        now = scratch.only(spark, lambda edges=now: _small(scratch.table(_large(edges), "stars")), "edges")
-        scratch.drop(spark, [last])
+        with scratch.scope() as new:
+            now = scratch.only(spark, lambda edges=now: _small(scratch.table(_large(edges), "stars")), "edges")
+        scratch.drop(spark, held)
+        held = new
+    scratch.keep(held)
     least = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(least)

@@ -1,8 +1,11 @@
+import os
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace as N
 
 import pytest
 
-from shelfloom.llm import scratch
+import corpus_pipeline
+from shelfloom.llm import queries, scratch
 
 
 def session(master, given=None, named=None):
@@ -31,3 +34,18 @@ def test_tables_go_when_they_are_not_needed(spark):
     assert out.count() == 6 and kept.count() == 3 and len(set(scratch.written()) - before) == 1
     scratch.drop(spark, [x for x in scratch.written() if x not in before])
     assert set(scratch.written()) == before
+
+
+def test_queries_at_once_keep_their_tables(spark, tmp_path):
+    """Threads with the queries that delete tables on their way give what they give one after another, and leave nothing behind in ``clear``."""
+    d = "/root/testdata/sf0.001"
+    runs = [queries.op2_ngram_jaccard_join, queries.op2_ngram_jaccard_join, queries.op5_line_dedup, corpus_pipeline.run]
+    rows = lambda f: sorted(map(str, f(spark, d).collect()))
+    there = lambda: {at for at, _, names in os.walk(f"{scratch.root(spark).removeprefix('file://')}/tables") if any(n.endswith(".parquet") for n in names)}
+    scratch.clear(spark)
+    before = there()
+    alone = {f: rows(f) for f in runs[1:]}
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(rows, runs)) == [alone[f] for f in runs]
+    scratch.clear(spark)
+    assert scratch.written() == [] and there() == before
