@@ -16,20 +16,6 @@ from shelfloom.functions import scoring, text
 
 #: Rows up to which a table is sent to every task at once; a larger one goes in blocks.
 MOST_SENT = 20_000
-#: Similarities that a task holds at once.
-MOST_CELLS = 4_000_000
-
-
-def blocks(df: DataFrame, most: int) -> Iterator[list]:
-    """The rows of a table of any size, ``most`` at a time."""
-    block = []
-    for row in df.toLocalIterator():
-        block.append(row)
-        if len(block) == most:
-            yield block
-            block = []
-    if block:
-        yield block
 
 
 def closest_word(c: Column, vocabulary: list[str], most: float = 0.15) -> Column:
@@ -144,44 +130,6 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64
     return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), F.bit_count(off).alias("distance"))
 
 
-def vector_search(df: DataFrame, queries: DataFrame, key: str, vector: str, least: float) -> DataFrame:
-    """(query, first_hit, best, similarity): for each query the least key and the best of the other rows from ``least`` cosine up.
-
-    Queries are taken in blocks of ``MOST_SENT``. A block goes to every task and meets
-    its rows as matrix products of bounded size; a task returns one row for each
-    query, so the shuffle is queries times tasks. More blocks are more passes.
-    """
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    schema = "query bigint, first_hit bigint, best bigint, similarity double"
-    found = df.sparkSession.createDataFrame([], schema)
-    for block in blocks(queries.select(key, vector), MOST_SENT):
-        ids = np.array([r[0] for r in block], dtype=np.int64)
-        q = unit(np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1))
-        sent = df.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent, step=max(1, MOST_CELLS // len(block))) -> Iterator[pd.DataFrame]:
-            ids, q = sent.value
-            none = np.iinfo(np.int64).max
-            first, best, top = np.full(len(ids), none), np.full(len(ids), none), np.full(len(ids), -2.0)
-            for batch in batches:
-                for at in range(0, len(batch), step):
-                    rows = batch.iloc[at : at + step]
-                    keys = rows[key].to_numpy(np.int64)
-                    s = np.round(unit(np.stack(rows[vector].to_numpy()).astype(np.float64)) @ q.T, 10)
-                    s[keys[:, None] == ids[None, :]] = -2.0
-                    first = np.minimum(first, np.where(s >= least, keys[:, None], none).min(axis=0))
-                    high = s.max(axis=0)
-                    nearest = np.where(s == high, keys[:, None], none).min(axis=0)
-                    best = np.where(high > top, nearest, np.where(high == top, np.minimum(best, nearest), best))
-                    top = np.maximum(top, high)
-            some = top >= least
-            yield pd.DataFrame({"query": ids[some], "first_hit": first[some], "best": best[some], "similarity": top[some]})
-
-        found = found.union(df.select(key, vector).mapInPandas(run, schema))
-    top = F.max(F.struct("similarity", (-F.col("best")).alias("o")))
-    return found.groupBy("query").agg(F.min("first_hit").alias("first_hit"), top.alias("t")).select("query", "first_hit", (-F.col("t.o")).alias("best"), F.round("t.similarity", 6).alias("similarity"))
-
-
 def golden_records(df: DataFrame, group: str, key: str, order: list[Column], fields: list[str]) -> DataFrame:
     """(group, *fields of the first in ``order``, members): the surviving record of each group and the keys behind it."""
     first = df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter("__n = 1").select(group, *fields)

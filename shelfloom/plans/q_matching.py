@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfloom.functions import scoring, text, vectors
-from shelfloom.operators import matching, merge, stateful, vector_models
+from shelfloom.operators import ivf, matching, merge, stateful, vector_models
 from shelfloom.plans.registry import query
+from shelfloom.sources import sinks
 from shelfloom.sources.tables import table
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -132,7 +133,47 @@ _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(li
 def vector_first_and_best_hit(spark, d):
     """For every twentieth vector the first and the best other vector over the threshold."""
     e = table(spark, d, "embeddings")
-    return matching.vector_search(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 0.3)
+    return ivf.all_pairs(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+def _indexed(spark, d):
+    e = table(spark, d, "embeddings")
+    quantizer = ivf.fit(e, "vec_id", "embedding")
+    return e, quantizer, sinks.write(ivf.index(e, quantizer, "vec_id", "embedding"), sinks.folder(spark, "ivf"))
+
+
+@query(
+    "ivf_threshold_hits",
+    f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS hit, round({_COS}, 10) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+    SELECT query, min(hit) AS first_hit, arg_max(hit, (s, -hit)) AS best, round(max(s), 6) AS similarity FROM s WHERE s >= 0.6 GROUP BY query""",
+)
+def ivf_threshold_hits(spark, d):
+    """First and best hits from 0.6 up by the inverted file: only lists that can hold one are read, and none is missed."""
+    e, quantizer, rows = _indexed(spark, d)
+    return ivf.within(rows, quantizer, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 0.6).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("ivf_nearest", None)
+def ivf_nearest(spark, d):
+    """About the ten nearest of every twentieth vector, from as many lists as the fit finds needed; tests hold the recall against all rows."""
+    e, quantizer, rows = _indexed(spark, d)
+    return ivf.nearest(rows, quantizer, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10)
+
+
+@query(
+    "vector_category",
+    f"""WITH c AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label), b AS (SELECT c.label, e.vec_id, e.embedding FROM c JOIN embeddings e ON c.vec_id = e.vec_id),
+    s AS (SELECT a.vec_id, b.label, b.vec_id AS o, round({_COS}, 10) AS s FROM embeddings a JOIN b ON a.vec_id <> b.vec_id)
+    SELECT vec_id, arg_max(label, (s, -o)) AS category, round(max(s), 6) AS confidence FROM s GROUP BY vec_id""",
+)
+def vector_category(spark, d):
+    """The category of the nearest category vector (the first vector of each label, but for itself), with the similarity as confidence."""
+    e = table(spark, d, "embeddings")
+    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    known = e.join(first.select("vec_id"), "vec_id", "left_semi")
+    best = ivf.all_pairs(known, e, "vec_id", "embedding", -1.0)
+    labels = known.select(F.col("vec_id").alias("best"), F.col("label").alias("category"))
+    return best.join(labels, "best").select(F.col("query").alias("vec_id"), "category", F.round("similarity", 6).alias("confidence"))
 
 
 @query(

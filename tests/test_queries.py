@@ -69,12 +69,13 @@ def test_entry_without_the_text_operators(tmp_path):
     subprocess.run([sys.executable, "-W", "ignore", "-c", missing], cwd=root, check=True)
 
 
-@pytest.mark.parametrize("name", ["vector_first_and_best_hit", "blacklist_anti_join"])
+@pytest.mark.parametrize("name", ["vector_first_and_best_hit", "ivf_threshold_hits", "vector_category", "blacklist_anti_join"])
 def test_more_rows_than_one_block(spark, duck, name, monkeypatch):
     """Queries and listed rows beyond what is sent at once are met in blocks."""
-    from shelfloom.operators import matching
+    from shelfloom.operators import ivf, matching
 
     monkeypatch.setattr(matching, "MOST_SENT", 3)
-    monkeypatch.setattr(matching, "MOST_CELLS", 20, raising=False)
+    monkeypatch.setattr(ivf, "MOST_ROWS", 70)
+    monkeypatch.setattr(ivf, "MOST_QUERIES", 3)
     assert duck.execute("SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0").fetchone()[0] > 3
     test_query(spark, duck, name)
