@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfloom.functions import scoring, text, vectors
-from shelfloom.operators import ivf, matching, merge, stateful, vector_models
+from shelfloom.operators import ivf, matching, merge, spelling, stateful, vector_models
 from shelfloom.plans.registry import query
 from shelfloom.sources import sinks
 from shelfloom.sources.tables import table
@@ -26,8 +26,28 @@ def _typos(spark, d):
     SELECT t.c_custkey, coalesce(arg_min(m.w, (m.e, m.w)), any_value(t.typed)) AS corrected FROM t LEFT JOIN m ON t.c_custkey = m.c_custkey GROUP BY t.c_custkey""",
 )
 def brand_typo_correction(spark, d):
-    t = _typos(spark, d)
-    return t.select("c_custkey", matching.closest_word(F.col("typed"), SEGMENTS).alias("corrected"))
+    """Typed segments against the table of segments."""
+    words = table(spark, d, "customer").select("c_mktsegment").distinct()
+    return spelling.corrected(_typos(spark, d), "typed", words, "c_mktsegment").select("c_custkey", "corrected")
+
+
+@query(
+    "spelling_by_vocabulary",
+    """WITH v AS (SELECT p_name || ' ' || lower(p_type) || CASE WHEN length(p_name) > 9 THEN ' of the ' || p_name ELSE '' END AS w, min(p_partkey) AS o FROM part GROUP BY 1),
+    t AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN upper(w) WHEN 1 THEN w[1:2] || w[4:] WHEN 2 THEN w[1:3] || 'xy' || w[4:] WHEN 3 THEN 'q' || w[2:5] || w[7:] || 'z' ELSE reverse(w) END AS typed
+      FROM (SELECT p_partkey, p_name || ' ' || lower(p_type) || CASE WHEN length(p_name) > 9 THEN ' of the ' || p_name ELSE '' END AS w FROM part)),
+    m AS (SELECT typed, w, o, levenshtein(lower(typed), w) AS e FROM (SELECT DISTINCT typed FROM t), v WHERE abs(length(typed) - length(w)) <= 6 AND levenshtein(lower(typed), w) <= 0.15 * greatest(length(typed), length(w)) + 1e-9)
+    SELECT p_partkey, t.typed, coalesce(arg_min(w, (e, o)), t.typed) AS corrected FROM t LEFT JOIN m ON m.typed = t.typed GROUP BY p_partkey, t.typed""",
+)
+def spelling_by_vocabulary(spark, d):
+    """Names with up to four edits against a table of names of 8 to 40 characters."""
+    p = table(spark, d, "part")
+    w = F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"), F.when(F.length("p_name") > 9, F.concat(F.lit(" of the "), F.col("p_name"))).otherwise(F.lit("")))
+    said = p.select("p_partkey", w.alias("w"))
+    part = lambda low, n=1000: F.substring("w", low, n)
+    typed = [F.upper("w"), F.concat(part(1, 2), part(4)), F.concat(part(1, 3), F.lit("xy"), part(4)), F.concat(F.lit("q"), part(2, 4), part(7), F.lit("z")), F.reverse("w")]
+    names = said.select("p_partkey", F.get(F.array(*typed), (F.col("p_partkey") % 5).cast("int")).alias("typed"))
+    return spelling.corrected(names, "typed", said.groupBy("w").agg(F.min("p_partkey").alias("o")), "w", "o")
 
 
 @query("fuzzy_best_match", None)
@@ -145,12 +165,12 @@ def _indexed(spark, d):
 @query(
     "ivf_threshold_hits",
     f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS hit, round({_COS}, 10) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-    SELECT query, min(hit) AS first_hit, arg_max(hit, (s, -hit)) AS best, round(max(s), 6) AS similarity FROM s WHERE s >= 0.6 GROUP BY query""",
+    SELECT query, min(hit) AS first_hit, arg_max(hit, (s, -hit)) AS best, round(max(s), 6) AS similarity FROM s WHERE s >= 0.35 GROUP BY query""",
 )
 def ivf_threshold_hits(spark, d):
-    """First and best hits from 0.6 up by the inverted file: only lists that can hold one are read, and none is missed."""
+    """First and best hits from 0.35 up by the inverted file: only lists that can hold one are read, and none is missed."""
     e, quantizer, rows = _indexed(spark, d)
-    return ivf.within(rows, quantizer, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 0.6).withColumn("similarity", F.round("similarity", 6))
+    return ivf.within(rows, quantizer, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 0.35).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("ivf_nearest", None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfloom.plans.registry import query
 from shelfloom.sources import event_log, sinks, tables
 from shelfloom.sources.tables import table
-from shelfloom.streaming import jobs
+from shelfloom.streaming import jobs, keyed, outbox
 
 
 def _events(spark, d):
@@ -77,10 +77,68 @@ def delta_sync_stream(spark, d):
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/rows").select("user_id", "event_id", "event_type")
 
 
-@query("breaker_stream", None)
+@query(
+    "breaker_stream",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type NOT IN ('error', 'signup') AS ok, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    b AS (SELECT user_id, n, 'CLOSED' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, 0::DOUBLE AS opened FROM e WHERE n = 1
+      UNION ALL SELECT user_id, n, CASE WHEN mode = 'OPEN' THEN mode WHEN ok THEN 'CLOSED' WHEN mode = 'HALF_OPEN' OR failures + 1 >= 2 THEN 'OPEN' ELSE mode END,
+        CASE WHEN mode = 'OPEN' THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN mode <> 'OPEN' AND NOT ok AND (mode = 'HALF_OPEN' OR failures + 1 >= 2) THEN tm ELSE opened END
+      FROM (SELECT e.*, b.failures, b.opened, CASE WHEN b.state = 'OPEN' AND e.tm - b.opened >= 86400 THEN 'HALF_OPEN' ELSE b.state END AS mode FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)),
+    l AS (SELECT * FROM b QUALIFY n = max(n) OVER (PARTITION BY user_id))
+    SELECT user_id, CASE WHEN state = 'OPEN' AND (SELECT max(tm) - 3600 FROM e) >= opened + 86400 THEN 'HALF_OPEN' ELSE state END AS state, failures FROM l""",
+)
 def breaker_stream(spark, d):
-    """Breakers kept as stream state; tests hold them against the batch fold."""
-    return jobs.drain(jobs.breaker_stream(jobs.event_stream(spark, d)), "breaker", "update")
+    """Each user's breaker when the stream is drained: kept as stream state, half-opened by timers behind the watermark of an hour."""
+    own = keyed.with_timers(spark)
+    seen = jobs.drain(keyed.breakers(jobs.event_stream(own, d), "user_id", ~F.col("event_type").isin("error", "signup"), jobs.LATE, 2, 86400.0), "breaker", "update")
+    last = F.max_by(F.struct("state", "failures"), "at").alias("x")
+    return spark.read.schema(seen.schema).parquet(*seen.inputFiles()).groupBy(F.col("key").alias("user_id")).agg(last).select("user_id", "x.*")
+
+
+@query(
+    "blacklist_stream",
+    """WITH e AS (SELECT user_id, event_id, ts, (props->>'$.k')::BIGINT % 5 AS item, event_type = 'error' AS rejects FROM events),
+    r AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM e WHERE rejects WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM r),
+    l AS (SELECT e.user_id, e.event_id, e.item, e.ts, arg_max(i.island, (i.ts, i.event_id)) AS island, max(i.ts) AS last FROM e LEFT JOIN i ON i.user_id = e.user_id AND (i.ts, i.event_id) < (e.ts, e.event_id) WHERE NOT e.rejects GROUP BY ALL)
+    SELECT l.user_id, l.event_id, l.item, coalesce(l.ts - l.last < INTERVAL 12 HOUR AND EXISTS (SELECT 1 FROM i WHERE i.user_id = l.user_id AND i.island = l.island AND i.item = l.item AND (i.ts, i.event_id) < (l.ts, l.event_id)), false) AS blocked FROM l""",
+)
+def blacklist_stream(spark, d):
+    """Whether the item of an event has been rejected in its session, as stream state that ends twelve hours after the last rejection."""
+    own = keyed.with_timers(spark)
+    item = F.get_json_object("props", "$.k").cast("bigint") % 5
+    seen = jobs.drain(keyed.blacklist(jobs.event_stream(own, d), "user_id", item, F.col("event_type") == "error", jobs.LATE, 43200.0), "blacklist")
+    return spark.read.schema(seen.schema).parquet(*seen.inputFiles()).select(F.col("key").alias("user_id"), "event_id", "item", "blocked")
+
+
+_CELL = "event_id bigint, user_id bigint, event_type string, value double"
+
+
+@query(
+    "outbox_stream",
+    """SELECT event_id, CASE WHEN user_id > 120 OR user_id < 1 THEN 'SKIPPED_OUT_OF_BOUNDS' WHEN event_id % 13 = 0 THEN 'DEAD' ELSE 'SYNCED' END AS sync_status, CASE WHEN user_id > 120 OR user_id < 1 THEN 0 WHEN event_id % 13 = 0 THEN 3 WHEN event_id % 11 = 0 THEN 2 ELSE 1 END AS attempts
+    FROM events WHERE event_type IN ('signup', 'error')""",
+)
+def outbox_stream(spark, d):
+    """Cells sent from a stream in bounded batches to a sink that fails once for some keys and always for others: what becomes of each, and after how many attempts."""
+    path, checkpoint = sinks.folder(spark, "outbox"), sinks.folder(spark, "outbox-checkpoint")
+    fails = (F.col("event_id") % 13 == 0) | ((F.col("event_id") % 11 == 0) & (F.col("attempts") == 1))
+    box = outbox.Outbox(path, "event_id", lambda rows: rows.select("event_id", (~fails).alias("ok")), most=20_000)
+    cells = jobs.event_stream(spark, d).filter("event_type in ('signup', 'error')").select("event_id", "user_id", "event_type", "value")
+    outbox.run(cells.filter("user_id between 1 and 120"), box, checkpoint)
+    told = lambda df, status: df.select("event_id", F.lit(status).alias("sync_status"), "attempts")
+    out = _events(spark, d).filter("event_type in ('signup', 'error') and not user_id between 1 and 120").select("event_id", F.lit("SKIPPED_OUT_OF_BOUNDS").alias("sync_status"), F.lit(0).alias("attempts"))
+    return told(box.done(spark, _CELL), "SYNCED").union(told(box.dead(spark, _CELL), "DEAD")).union(out)
+
+
+@query("write_behind_stream", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def write_behind_stream(spark, d):
+    """The last value of each cell, sent from a stream that keeps only the newest write to a cell; a cell that fails is sent again alone."""
+    path, checkpoint = sinks.folder(spark, "behind"), sinks.folder(spark, "behind-checkpoint")
+    fails = (F.col("event_id") % 7 == 0) & (F.col("attempts") == 1)
+    box = outbox.Outbox(path, "event_id", lambda rows: rows.select("event_id", (~fails).alias("ok")), most=20_000, newest=("user_id", "event_type"))
+    outbox.run(jobs.event_stream(spark, d).select("event_id", "user_id", "event_type", "value"), box, checkpoint)
+    return box.done(spark, _CELL).groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"))
 
 
 @query("session_blacklist", "SELECT user_id, event_id FROM events e WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE * 48 AND event_type = 'error'")

@@ -224,15 +224,6 @@ def test_folds():
     assert b[0] == "OPEN" and stateful.breaker_step(b, True, 10.0)[0] == "OPEN" and stateful.breaker_step(b, True, 400.0)[0] == "CLOSED" and stateful.breaker_step(b, False, 400.0)[0] == "OPEN"
 
 
-def test_breaker_stream_equals_the_fold(spark):
-    from shelfloom.plans import registry
-
-    d = "/root/testdata/sf0.001"
-    stream = {r.user_id: (r.state, r.failures) for r in registry.queries()["breaker_stream"](spark, d).collect()}
-    fold = registry.queries()["breaker_fold"](spark, d).groupBy("user_id").agg(F.max_by(F.struct("state", "failures"), "event_id").alias("x"))
-    assert stream == {r.user_id: tuple(r.x) for r in fold.collect()}
-
-
 def test_delta_sync_twice_writes_nothing(spark, tmp_path):
     from shelfloom.streaming import jobs
 
