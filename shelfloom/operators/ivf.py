@@ -165,7 +165,7 @@ def _meet(rows: DataFrame, asked: DataFrame, counts: DataFrame, each: Callable[[
 _HITS = "query bigint, first_hit bigint, best bigint, similarity double"
 
 
-def _hits(least: float, digits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _hits(least: float, digits: int, with_itself: bool = False) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """For each query the least key and the best of the other rows from ``least`` up, of one pair of blocks."""
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
@@ -177,7 +177,8 @@ def _hits(least: float, digits: int) -> Callable[[pa.Table, pa.Table], pa.Table]
             order = np.argsort(keys, kind="stable")  # the first of equals is the least key
             keys, points = keys[order], points[order]
             for i, s in zip(ids, np.round(q @ points.T, digits), strict=True):
-                s[keys == i] = -2.0
+                if not with_itself:
+                    s[keys == i] = -2.0
                 over = s >= least
                 if over.any():
                     best = int(s.argmax())
@@ -193,6 +194,11 @@ def _of_all(found: DataFrame) -> DataFrame:
     return found.groupBy("query").agg(F.min("first_hit").alias("first_hit"), top.alias("t")).select("query", "first_hit", (-F.col("t.o")).alias("best"), F.col("t.similarity").alias("similarity"))
 
 
+def best_hits(rows: DataFrame, asked: DataFrame, counts: DataFrame, least: float, digits: int = 10, with_itself: bool = False) -> DataFrame:
+    """(query, first_hit, best, similarity) of rows (list, key, vector) and queries (list, query, asked) that share a list; ``counts`` has (list, n) of the rows."""
+    return _of_all(_meet(rows, asked, counts, _hits(least, digits, with_itself), _HITS))
+
+
 def within(indexed: DataFrame, quantizer: Quantizer, queries: DataFrame, key: str, vector: str, least: float, digits: int = 10) -> DataFrame:
     """(query, first_hit, best, similarity): for each query the least key and the best of the other rows from ``least`` cosine up. Exact.
 
@@ -211,7 +217,7 @@ def within(indexed: DataFrame, quantizer: Quantizer, queries: DataFrame, key: st
         return (np.flatnonzero((a <= reach) & (widest >= 0)) for a in angles)
 
     asked = _probes(queries, quantizer, key, vector, wanted).drop("near")
-    return _of_all(_meet(indexed.select("list", "key", "vector"), asked, lists.select("list", "n"), _hits(least, digits), _HITS))
+    return best_hits(indexed.select("list", "key", "vector"), asked, lists.select("list", "n"), least, digits)
 
 
 def nearest(indexed: DataFrame, quantizer: Quantizer, queries: DataFrame, key: str, vector: str, k: int, probes: int | None = None, shortlist: int | None = None) -> DataFrame:
@@ -261,4 +267,4 @@ def all_pairs(df: DataFrame, queries: DataFrame, key: str, vector: str, least: f
     width = df.filter(F.col(vector).isNotNull()).agg(F.max(F.size(vector))).first()[0] or 0
     rows, asked = _sound(df, key, vector, width), _sound(queries, key, vector, width).select(F.col("key").alias("query"), F.col("vector").alias("asked"))
     counts = rows.groupBy(F.lit(0).alias("list")).agg(F.count("*").alias("n"))
-    return _of_all(_meet(rows.withColumn("list", F.lit(0)), asked.withColumn("list", F.lit(0)), counts, _hits(least, digits), _HITS))
+    return best_hits(rows.withColumn("list", F.lit(0)), asked.withColumn("list", F.lit(0)), counts, least, digits)

@@ -11,8 +11,10 @@ from shelfloom.functions.text import looks_like_captcha
 
 
 def null_rate(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(null_rate): per cent of cells that are null or blank; 0 without cells."""
-    empty = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), 1).otherwise(0) for c in columns])
+    """(null_rate): per cent of cells that are null, an empty text or an empty list (a blank is a value); 0 without cells."""
+    kinds = dict(df.dtypes)
+    none = lambda c: F.size(c) == 0 if kinds[c].startswith(("array", "map")) else F.col(c).cast("string") == ""
+    empty = reduce(lambda a, b: a + b, [F.when(F.col(c).isNull() | none(c), 1).otherwise(0) for c in columns])
     return df.agg(F.round(F.coalesce(F.sum(empty) / F.nullif(F.count("*") * len(columns), F.lit(0)) * 100, F.lit(0.0)), 2).alias("null_rate"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfloom.functions import scoring, text, vectors
 from shelfloom.operators import ivf, matching, merge, spelling, stateful, vector_models
+from shelfloom.operators import semantic_cache as cache
 from shelfloom.plans.registry import query
 from shelfloom.sources import sinks
 from shelfloom.sources.tables import table
@@ -196,6 +197,24 @@ def vector_category(spark, d):
     return best.join(labels, "best").select(F.col("query").alias("vec_id"), "category", F.round("similarity", 6).alias("confidence"))
 
 
+@query(
+    "semantic_cache",
+    f"""WITH n AS (SELECT count(*) AS m FROM embeddings), p AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS cached, lower(p_brand) AS brand, p_name || [' Milk', ' juice', '', ' chocolate milk'][p_size % 4 + 1] AS name, e.embedding FROM part, n JOIN embeddings e ON e.vec_id = p_partkey % n.m),
+    w AS (SELECT *, list_filter({["chocolate", "strawberry", "vanilla", "laban", "milk", "water", "juice", "atta", "flour", "oil", "rice", "sugar", "salt", "tea", "coffee", "yogurt"]}, lambda x: contains(lower(name), x)) AS words FROM p),
+    s AS (SELECT a.k AS query, b.k AS hit, round({_COS}, 10) AS s FROM w a JOIN w b ON a.brand = b.brand AND a.words = b.words WHERE NOT a.cached AND b.cached)
+    SELECT query, arg_max(hit, (s, -hit)) AS best, round(max(s), 6) AS similarity FROM s WHERE s >= 0.2 GROUP BY query""",
+)
+def semantic_cache(spark, d):
+    """Products answered by a cached one of their brand and words; two thirds of the products ask a third."""
+    e, p = table(spark, d, "embeddings"), table(spark, d, "part")
+    said = F.get(F.array(*[F.lit(x) for x in (" Milk", " juice", "", " chocolate milk")]), F.col("p_size") % 4)
+    n = e.agg(F.count("*").alias("n"))
+    rows = p.join(F.broadcast(n)).select(F.col("p_partkey").alias("k"), F.concat("p_name", said).alias("name"), F.concat(F.lit(" "), F.upper("p_brand")).alias("brand"), (F.col("p_partkey") % F.col("n")).alias("vec_id"))
+    rows = rows.join(e.select("vec_id", "embedding"), "vec_id")
+    out = cache.cache_hits(rows.filter("k % 3 = 0"), rows.filter("k % 3 <> 0"), "k", "name", "brand", "embedding", 0.2)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "blacklist_anti_join",
     f"""WITH {_BITS}, x AS (SELECT e.vec_id, e.embedding, h.bits FROM embeddings e JOIN h ON e.vec_id = h.vec_id), bl AS (SELECT * FROM x WHERE vec_id % 50 = 0)

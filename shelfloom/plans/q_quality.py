@@ -11,11 +11,17 @@ from shelfloom.plans.registry import query
 from shelfloom.sources.tables import table
 
 
-@query("null_rate", "SELECT round(100.0::DOUBLE * (count(*) FILTER (event_id % 7 = 0) + count(*) FILTER (trim(CASE WHEN event_id % 5 = 0 THEN ' ' ELSE event_type END) = '')) / (count(*) * 2), 2) AS null_rate FROM events")
+@query(
+    "null_rate",
+    """WITH r AS (SELECT CASE WHEN event_id % 7 <> 0 THEN value END AS a, CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN '' ELSE event_type END AS b, CASE WHEN event_id % 3 = 0 THEN [] ELSE [event_type] END AS c FROM events)
+    SELECT round(100.0::DOUBLE * (count(*) FILTER (a IS NULL) + count(*) FILTER (b = '') + count(*) FILTER (len(c) = 0)) / (count(*) * 3), 2) AS null_rate FROM r""",
+)
 def null_rate(spark, d):
+    """Nulls, empty texts and empty lists; blanks are values."""
     k = F.col("event_id")
-    rows = table(spark, d, "events").select(F.when(k % 7 != 0, F.col("value")).alias("a"), F.when(k % 5 == 0, " ").otherwise(F.col("event_type")).alias("b"))
-    return quality.null_rate(rows, ["a", "b"])
+    text = F.when(k % 5 == 0, " ").when(k % 5 == 1, "").otherwise(F.col("event_type"))
+    rows = table(spark, d, "events").select(F.when(k % 7 != 0, F.col("value")).alias("a"), text.alias("b"), F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type")).alias("c"))
+    return quality.null_rate(rows, ["a", "b", "c"])
 
 
 @query(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shelfloom.functions import table_functions
 from shelfloom.plans.registry import query
 from shelfloom.sources import event_log, sinks, tables
+from shelfloom.sources import image_files as image_files_source
 from shelfloom.sources.tables import table
 from shelfloom.streaming import jobs, keyed, outbox
 
@@ -249,6 +251,51 @@ def log_tail(spark, d):
     return tables.log_tail(spark, path, 100).select("line_number", "line")
 
 
+#: Ending, head, and what becomes of such a file if its size is right: width, height, type by its head, status.
+_FILES = (
+    ("png", "89504E470D0A1A0A0000000D494844520000025800000190", 600, 400, "image/png", "VERIFICATION_SUCCESS"),
+    ("JPG", "FFD8FFE000104A46494600010100000100010000FFC0001108019002580301220002", 600, 400, "image/jpeg", "VERIFICATION_SUCCESS"),
+    ("webp", "52494646000000005745425056503858" + "0A000000" + "10000000" + "570200" + "8F0100", 600, 400, "image/webp", "VERIFICATION_SUCCESS"),
+    ("webp", "52494646000000005745425056503820" + "0A000000" + "100200" + "9D012A" + "5802" + "9001", 600, 400, "image/webp", "VERIFICATION_SUCCESS"),
+    ("webp", "5249464600000000574542505650384C" + "0A000000" + "2F" + "57C26300", 600, 400, "image/webp", "VERIFICATION_SUCCESS"),
+    ("gif", "4749463839615E015E01", None, None, None, "UNSUPPORTED_MIME_TYPE_image/gif"),
+    ("jpg", "3C21444F43545950452068746D6C3E", None, None, None, "NOT_AN_IMAGE"),
+    ("png", "89504E470D0A1A0A0000000D494844520000000000000190", 0, 400, "image/png", "CORRUPT_HEADER"),
+    ("jpeg", "FFD8FFE000104A46494600010100000100010000FFD9", None, None, "image/jpeg", "CORRUPT_HEADER"),
+)
+_VALUES = ", ".join(f"({i}, {w or 'NULL' if w != 0 else 0}, {h or 'NULL'}, {repr(m) if m else 'NULL'}, '{st}')" for i, (_, _, w, h, m, st) in enumerate(_FILES))
+
+
+@query(
+    "sessions_by_table_function",
+    """WITH e AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 43200000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM e)
+    SELECT user_id, min(us) AS session_start, max(us) AS session_end, count(*) AS n FROM g GROUP BY user_id, s""",
+)
+def sessions_by_table_function(spark, d):
+    """Sessions of twelve hours by a table function that names its own partitioning and order."""
+    table_functions.register(spark)
+    events = _events(spark, d).select("user_id", F.unix_micros("ts").alias("at"))
+    return spark.sql("SELECT * FROM sessionize(TABLE({events}), 'user_id', 'at', 43200000000)", events=events)
+
+
+@query(
+    "image_files",
+    f"""WITH k(i, width, height, mime, status) AS (VALUES {_VALUES}), f AS (SELECT vec_id, 50 + vec_id * 37 % 1000 AS length, k.* FROM embeddings JOIN k ON k.i = vec_id % {len(_FILES)}),
+    g AS (SELECT *, status NOT LIKE 'UNSUPPORTED%' AND (length > 900 OR length < 100) AS shut FROM f)
+    SELECT vec_id, length::BIGINT AS length, CASE WHEN NOT shut THEN mime END AS mime, CASE WHEN NOT shut THEN width END::INT AS width, CASE WHEN NOT shut THEN height END::INT AS height,
+      CASE WHEN shut AND length > 900 THEN 'FILE_SIZE_EXCEEDS_LIMIT_' || length WHEN shut THEN 'FILE_SIZE_BELOW_MINIMUM_' || length ELSE status END AS status FROM g""",
+)
+def image_files(spark, d):
+    """Files of many kinds and sizes, broken ones among them, written and checked by name, size and head."""
+    path, n = sinks.folder(spark, "images"), F.col("vec_id")
+    kind = F.get(F.array(*[F.struct(F.lit(e).alias("e"), F.lit(h).alias("h")) for e, h, *_ in _FILES]), (n % len(_FILES)).cast("int"))
+    length = (50 + n * 37 % 1000).cast("int")
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("img-"), n, F.lit("."), kind["e"]).alias("name"), F.unhex(F.rpad(kind["h"], length * 2, "00")).alias("content"))
+    image_files_source.write(rows, path, "name", "content").agg(F.count("*")).first()
+    out = image_files_source.scan(spark, path, 100, 900)
+    return out.select(F.regexp_extract("path", r"img-(\d+)\.", 1).cast("bigint").alias("vec_id"), "length", "mime", "width", "height", "status")
+
+
 _KINDS = {"keys": "list", "strict": "bool", "least_width": "int", "share": "float", "name": "text", "broken": "int"}
 
 
