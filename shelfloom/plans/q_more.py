@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfloom.functions import images, scoring, text, vectors
-from shelfloom.operators import catalog, matching, merge, ranking
+from shelfloom.operators import catalog, matching, merge, ranking, search
 from shelfloom.plans.registry import query
 from shelfloom.sources import sinks
 from shelfloom.sources.tables import table
@@ -55,6 +55,51 @@ def product_search(spark, d):
     return placed.select(F.col("product_key").alias("product"), "candidate", "engine", "rank", F.col("reject_reason").alias("reason"), "has_brand", "place")
 
 
+@query(
+    "search_end_to_end",
+    f"""WITH v AS (SELECT p_brand AS brand, min(p_partkey) AS place FROM part GROUP BY 1),
+    t AS (SELECT p_name, p_brand, min(p_partkey) AS k, arg_min(p_size, p_partkey) AS p_size FROM part GROUP BY ALL),
+    p AS (SELECT k, p_name || CASE WHEN k % 4 = 2 THEN ' ' || p_brand ELSE '' END || ' ' || (p_size * 10) || 'ml (new)' AS name, p_name || CASE WHEN k % 4 = 2 THEN ' ' || lower(p_brand) ELSE '' END AS title,
+      CASE k % 4 WHEN 0 THEN upper(p_brand) WHEN 1 THEN 'Brnd' || p_brand[6:] END AS typed, p_size * 10 AS ml, 'Brand#' || (p_brand[7:]::INT % 25 + 1) AS rival FROM t),
+    y AS (SELECT k, arg_min(brand, (levenshtein(lower(typed), lower(brand)), place)) AS near FROM p, v WHERE levenshtein(lower(typed), lower(brand)) <= 0.15 * greatest(length(typed), length(brand)) + 1e-9 GROUP BY k),
+    h AS (SELECT k, arg_min(brand, place) AS held FROM p, v WHERE contains(lower(name), lower(brand)) GROUP BY k),
+    b AS (SELECT p.*, coalesce(near, typed, held, string_split(name, ' ')[1]) AS brand, CASE WHEN typed IS NOT NULL THEN 'typed' WHEN held IS NOT NULL THEN 'name' ELSE 'start' END AS brand_from FROM p LEFT JOIN y USING (k) LEFT JOIN h USING (k)),
+    u AS (SELECT *, trim(regexp_replace(replace(title, lower(brand), ''), '\\s+', ' ', 'g')) AS bare FROM b),
+    s AS (SELECT *, [trim(lower(brand) || ' ' || bare), bare, title || ' product'] AS qs FROM u),
+    q AS (SELECT k, qs[i] AS query, i AS step FROM s, range(1, 4) r(i)),
+    i AS (SELECT p_partkey AS candidate, p_partkey % 4 AS engine, CASE p_partkey % 4 WHEN 0 THEN lower(p_brand) || ' ' || p_name WHEN 3 THEN p_name || ' product' ELSE p_name END AS query, {_DRAWN} || lower(p_brand) || ' ' || p_name || ' ' || p_size * 10 || 'ml' AS title, 'https://' || {_HOST} || '/' || p_partkey || '.jpg' AS url, p_size * 30 AS width, p_size * 25 AS height, p_size * 10 AS ml FROM part),
+    l AS (SELECT *, row_number() OVER (PARTITION BY engine, query ORDER BY candidate) AS rank FROM i QUALIFY rank <= 15),
+    x AS (SELECT q.k, q.step, l.* FROM q JOIN l ON l.query = q.query QUALIFY step = min(step) OVER (PARTITION BY q.k, engine)),
+    f AS (SELECT k, candidate, round(sum(CASE WHEN engine = 0 THEN 2.0::DOUBLE ELSE 1 END / (60 + rank)), 6) AS score, count(DISTINCT engine) AS n_engines, arg_min(query, step) AS query FROM x GROUP BY ALL),
+    c AS (SELECT f.*, s.brand, s.brand_from, s.rival, s.name, s.ml AS p_ml, i.title, i.url, i.width, i.height, i.ml FROM f JOIN s ON s.k = f.k JOIN i ON i.candidate = f.candidate),
+    j AS (SELECT c.*, {_REASON.replace("p.rival", "c.rival").replace("p.ml", "c.p_ml")} AS reason, contains(title, lower(brand)) OR contains(url, lower(brand)) AS has_brand,
+      (list_sum([3 * (contains(url, w)::INT + contains(title, w)::INT) FOR w IN string_split(lower(name), ' ') IF length(w) > 1]) + 15 * (contains(title, lower(brand)) OR contains(url, lower(brand)))::INT)::INT AS points FROM c)
+    SELECT k AS product_key, brand, brand_from, candidate, query, n_engines, score, reason AS reject_reason, has_brand, CASE WHEN reason IS NULL THEN points ELSE 0 END AS relevance,
+      row_number() OVER (PARTITION BY k ORDER BY reason IS NOT NULL, CASE WHEN reason IS NULL THEN points ELSE 0 END DESC, score DESC, width * height DESC, candidate)::INT AS place FROM j""",
+)
+def search_end_to_end(spark, d):
+    """Search of each product from its name as typed: brand corrected, found in the name or guessed, title cleaned, queries in sequence, four engines fused, candidates judged and placed."""
+    part = table(spark, d, "part")
+    k, size, brand = F.col("p_partkey"), F.col("p_size"), F.col("p_brand")
+    drawn = F.when(F.col("p_type").contains("PROMO"), "vector art of ").when(size > 47, "start of ").otherwise("")
+    host = F.when(size == 13, "i.pinimg.com").when(size == 14, "shop.example.ae").otherwise("cdn.example.com")
+    asked = F.when(k % 4 == 0, F.concat_ws(" ", F.lower(brand), "p_name")).when(k % 4 == 3, F.concat(F.col("p_name"), F.lit(" product"))).otherwise(F.col("p_name"))
+    images_of = part.select(
+        k.alias("candidate"), (k % 4).alias("engine"), asked.alias("query"), F.concat(drawn, F.lower(brand), F.lit(" "), F.col("p_name"), F.lit(" "), (size * 10).cast("string"), F.lit("ml")).alias("title"),
+        F.concat(F.lit("https://"), host, F.lit("/"), k.cast("string"), F.lit(".jpg")).alias("url"), (size * 30).alias("width"), (size * 25).alias("height"),
+    )
+    results = ranking.with_rank(images_of, [F.asc("candidate")], ["engine", "query"])
+    first = part.groupBy("p_name", "p_brand").agg(F.min_by(F.struct("p_partkey", "p_size"), "p_partkey").alias("x")).select("p_name", "p_brand", "x.*")
+    more = F.when(k % 4 == 2, F.concat(F.lit(" "), brand)).otherwise("")
+    products = first.select(
+        k.alias("product_key"), F.concat("p_name", more, F.lit(" "), (size * 10).cast("string"), F.lit("ml (new)")).alias("name"),
+        F.when(k % 4 == 0, F.upper(brand)).when(k % 4 == 1, F.concat(F.lit("Brnd"), F.substring("p_brand", 6, 9))).alias("brand"),
+        F.array(F.concat(F.lit("Brand#"), (F.substring("p_brand", 7, 9).cast("int") % 25 + 1).cast("string"))).alias("competitors"),
+    )
+    vocabulary = part.groupBy(brand.alias("brand"), F.array(brand).alias("synonyms")).agg(F.min(k).alias("order"))
+    return search.search(products, results, vocabulary, {"0": 2.0})
+
+
 @query("candidates_by_key", "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_orderkey = 7 ORDER BY l_extendedprice DESC, l_partkey")
 def candidates_by_key(spark, d):
     """The candidates of one row, best first; the key reaches the scan."""
