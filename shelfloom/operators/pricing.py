@@ -22,12 +22,12 @@ def fake_promotions(df: DataFrame, key: str, days_ago: str, price: str) -> DataF
 def audit(df: DataFrame, key: str, days_ago: str, price: str, peer: str) -> DataFrame:
     """(key, price, sigma, fake, r): the last price, whether it is an outlier of the ones before, a fake promotion in the history, and its correlation with ``peer``.
 
-    One shuffle: the history of a key is read once, in one window order and its reverse.
+    One shuffle and one sort: the history of a key is read once, from its oldest price on, and the last price is the one that nothing follows.
     """
-    old, new = Window.partitionBy(key).orderBy(F.desc(days_ago), F.asc(price)), Window.partitionBy(key).orderBy(F.asc(days_ago))
+    old = Window.partitionBy(key).orderBy(F.desc(days_ago), F.asc(price))
     p1, p2, d2 = F.lead(price, 1).over(old), F.lead(price, 2).over(old), F.lead(days_ago, 2).over(old)
     hit = (F.col(days_ago) - d2 <= 14) & (p1 >= 1.25 * F.col(price)) & (p2 <= 1.05 * F.col(price))
-    rows = df.withColumn("__hit", F.coalesce(hit, F.lit(False))).withColumn("__last", F.row_number().over(new) == 1)
+    rows = df.withColumn("__hit", F.coalesce(hit, F.lit(False))).withColumn("__last", F.lead(days_ago, 1).over(old).isNull())
     before, last = F.when(~F.col("__last"), F.col(price)), F.when(F.col("__last"), F.col(price))
     s = rows.groupBy(key).agg(F.max(last).alias("price"), F.avg(before).alias("__mean"), F.stddev_pop(before).alias("__sd"), F.count(before).alias("__n"), F.max("__hit").alias("fake"), pearson(price, peer).alias("r"))
     return s.select(key, "price", three_sigma(F.col("price"), F.col("__mean"), F.col("__sd"), F.col("__n")).alias("sigma"), "fake", "r")

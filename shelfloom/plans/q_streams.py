@@ -296,18 +296,25 @@ def image_files(spark, d):
     return out.select(F.regexp_extract("path", r"img-(\d+)\.", 1).cast("bigint").alias("vec_id"), "length", "mime", "width", "height", "status")
 
 
-_KINDS = {"keys": "list", "strict": "bool", "least_width": "int", "share": "float", "name": "text", "broken": "int"}
-
-
-@query("settings_load", "SELECT * FROM (VALUES ('keys', 'a|b'), ('least_width', '640'), ('name', 'from the file'), ('share', '0.5'), ('strict', 'true')) t(name, value)")
+@query(
+    "settings_load",
+    """WITH e AS (SELECT r_name AS name, r_regionkey::VARCHAR AS value FROM region), t AS (SELECT r_name AS name, count(*)::VARCHAR AS value FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey % 2 = 0 GROUP BY r_name),
+    l AS (SELECT r_name || ' nations' AS name, string_agg(n_name, '|' ORDER BY n_name) AS value FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name)
+    SELECT name, coalesce(t.value, e.value) AS value FROM e LEFT JOIN t USING (name) UNION ALL SELECT * FROM l UNION ALL SELECT r_name || ' even', (r_regionkey % 2 = 0)::VARCHAR FROM region""",
+)
 def settings_load(spark, d):
-    """Settings by layer: an environment file, over which goes a table of keys and values, with their types."""
+    """Settings by layer, with their types: an environment file of the regions, over which goes a table of keys and values of nations; what is unknown or can't be read is left out."""
     env, path = sinks.folder(spark, "env"), sinks.folder(spark, "settings")
-    spark.createDataFrame([("# comment",), ("name='from the file'",), ("least_width=320",), ("",), ("broken=x",)], "value string").coalesce(1).write.text(env)
-    spark.createDataFrame([("keys", "a, b,,"), ("strict", "Yes"), ("least_width", "640"), ("share", "0.5"), ("unknown", "1")], "key string, value string").write.parquet(path)
-    lines = [r.value for r in spark.read.text(env).limit(1000).collect()]
-    found = tables.typed_settings(tables.key_values(lines) | tables.settings(spark.read.parquet(path)), _KINDS)
-    shown = [(k, "|".join(v) if isinstance(v, list) else str(v).lower() if isinstance(v, bool) else str(v)) for k, v in found.items()]
+    region, nation = table(spark, d, "region"), table(spark, d, "nation")
+    lines = F.explode(F.array(F.lit("# comment"), F.concat(F.lit(" "), F.col("r_name"), F.lit(" = '"), F.col("r_regionkey"), F.lit("'")), F.concat(F.col("r_name"), F.lit(" broken=x")), F.concat(F.col("r_name"), F.lit(" even="), F.when(F.col("r_regionkey") % 2 == 0, "Yes").otherwise("off"))))
+    region.select(lines.alias("value")).write.text(env)
+    of = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "r_regionkey").agg(F.count("*").cast("string").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), " , ").alias("names"))
+    pairs = F.array(F.struct(F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).otherwise("unknown").alias("key"), F.col("n").alias("value")), F.struct(F.concat("r_name", F.lit(" nations")).alias("key"), F.concat("names", F.lit(",,")).alias("value")))
+    of.select(F.explode(pairs).alias("x")).select("x.key", "x.value").write.parquet(path)
+    names = [r[0] for r in region.select("r_name").limit(1000).collect()]
+    kinds = {n + end: kind for n in names for end, kind in (("", "int"), (" broken", "int"), (" even", "bool"), (" nations", "list"))}
+    found = tables.typed_settings(tables.key_values([r.value for r in spark.read.text(env).limit(4000).collect()]) | tables.settings(spark.read.parquet(path)), kinds)
+    shown = [(k, "|".join(v) if isinstance(v, list) else str(v).lower()) for k, v in found.items()]
     return spark.createDataFrame(shown, "name string, value string")
 
 
