@@ -6,6 +6,7 @@ import difflib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,6 @@ from pyspark.sql import functions as F
 
 from shelfloom.functions import scoring, text
 
-#: Rows up to which a table is sent to every task at once; a larger one goes in blocks.
-MOST_SENT = 20_000
-
-
 def closest_word(c: Column, vocabulary: list[str], most: float = 0.15) -> Column:
     """The word of a vocabulary within ``most`` edits a character, the nearest and then the first; the value itself without one."""
     low = F.lower(F.trim(c))
@@ -107,29 +104,55 @@ def hash_classes(df: DataFrame, key: str, bits: str) -> DataFrame:
     return some.join(least, bits).select(key, "class_id")
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64, agree: int = 2) -> DataFrame:
-    """(a, b, n_a, n_b, distance): pairs of classes of equal hashes that differ in at most ``most`` bits, by their least keys and sizes.
-
-    A hash is cut into ``most + agree`` bands, of which ``agree`` are equal in such a
-    pair; each choice of so many bands is a key. More bands in a key are more keys
-    for each hash, and a power fewer rows that share one. A pair is given out by its
-    first common key only, so nothing is made distinct. ``hash_classes`` has the
-    members of a class; a hash of 0 is no hash.
-    """
+def _masks(most: int, agree: int, width: int) -> list[int]:
+    """Masks of each choice of ``agree`` of ``most + agree`` bands: hashes within ``most`` bits are equal under one at least."""
     n = most + agree
     edges = [round(i * width / n) for i in range(n + 1)]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     bands = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(n)]
-    masks = F.array(*[F.lit(signed(sum(chosen))).cast("bigint") for chosen in combinations(bands, agree)])
-    classes = df.filter(F.col(bits) != 0).groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("k"), F.count("*").alias("n"))
-    keyed = classes.select("k", "n", "h", F.posexplode(masks).alias("i", "m")).select("k", "n", "h", "i", F.col("h").bitwiseAND(F.col("m")).alias("v"))
+    return [signed(sum(chosen)) for chosen in combinations(bands, agree)]
+
+
+def bands_that_agree(n: int, most: int, width: int = 64) -> int:
+    """How many bands a key should have for ``n`` hashes: keys for each hash and expected rows under them are least. More bands are more keys, and a power fewer rows that share one."""
+    able = [a for a in range(1, 5) if most + a <= width]
+    return min(able, key=lambda a: comb(most + a, a) * (1 + n / 2 ** (a * width / (most + a))), default=1)
+
+
+def _keyed(df: DataFrame, bits: str, masks: Column) -> DataFrame:
+    """``df`` for each mask: (..., i, v) with the bits under it."""
+    names = df.columns
+    return df.select(*names, F.posexplode(masks).alias("i", "m")).select(*names, "i", F.col(bits).bitwiseAND(F.col("m")).alias("v"))
+
+
+def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64, agree: int | None = None) -> DataFrame:
+    """(a, b, n_a, n_b, distance): pairs of classes of equal hashes that differ in at most ``most`` bits, by their least keys and sizes.
+
+    A hash is cut into ``most + agree`` bands, of which ``agree`` are equal in such a
+    pair; each choice of so many bands is a key (``bands_that_agree`` of the number of
+    classes unless given). A pair is given out by its first common key only, so
+    nothing is made distinct. ``hash_classes`` has the members of a class; a hash of
+    0 is no hash.
+    """
+    # names that no column has: of a column under its own name the optimizer drops the alias, and the two sides of the join then share it
+    classes = df.filter(F.col(bits) != 0).select(F.col(bits).alias("_hash"), F.col(key).alias("_key")).groupBy("_hash").agg(F.min("_key").alias("k"), F.count("*").alias("n"))
+    masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(most, agree or bands_that_agree(classes.count(), most, width), width)])
+    keyed = _keyed(classes, "_hash", masks)
     x, y = keyed.alias("x"), keyed.alias("y")
-    off = F.col("x.h").bitwiseXOR(F.col("y.h"))
+    off = F.col("x._hash").bitwiseXOR(F.col("y._hash"))
     first = F.array_position(F.transform(masks, lambda m: off.bitwiseAND(m) == 0), True) - 1
     pairs = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k")) & (F.bit_count(off) <= most) & (F.col("x.i") == first))
     return pairs.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), F.bit_count(off).alias("distance"))
 
 
+def hamming_near(df: DataFrame, listed: DataFrame, bits: str, most: int, width: int = 64) -> DataFrame:
+    """(``bits``): the distinct hashes of ``df`` within ``most`` bits of a hash of ``listed``, by keys of bands; 0 is a hash here."""
+    own, other = df.select(F.col(bits).alias("_own")).filter("_own is not null").distinct(), listed.select(F.col(bits).alias("_h")).filter("_h is not null").distinct()
+    masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(most, bands_that_agree(other.count(), most, width), width)])
+    met = _keyed(own, "_own", masks).join(_keyed(other, "_h", masks).withColumnsRenamed({"i": "_i", "v": "_v"}), (F.col("i") == F.col("_i")) & (F.col("v") == F.col("_v")) & (F.bit_count(F.col("_own").bitwiseXOR(F.col("_h"))) <= most))
+    return met.select(F.col("_own").alias(bits)).distinct()
+
+
 def golden_records(df: DataFrame, group: str, key: str, order: list[Column], fields: list[str]) -> DataFrame:
     """(group, *fields of the first in ``order``, members): the surviving record of each group and the keys behind it."""
     first = df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter("__n = 1").select(group, *fields)

@@ -221,18 +221,13 @@ def semantic_cache(spark, d):
     SELECT vec_id FROM x a WHERE NOT EXISTS (SELECT 1 FROM bl b WHERE a.vec_id = b.vec_id OR bit_count(xor(a.bits, b.bits)) <= 4 OR round(1 - {_COS}, 10) < 0.5)""",
 )
 def blacklist_anti_join(spark, d):
-    """Candidates that are no blacklisted row, nor near one by hash or by vector. The blacklist is met in blocks of about ``MOST_SENT`` rows."""
+    """Candidates that are no blacklisted row, nor near one by hash or by vector: ids by equality, hashes by keys of bands, vectors in blocks."""
     e = table(spark, d, "embeddings")
     x = e.select("vec_id", "embedding", vectors.sign_bits(F.col("embedding")).alias("bits"))
     listed = x.filter("vec_id % 50 = 0")
-    n = -(-e.filter("vec_id % 50 = 0").count() // matching.MOST_SENT)
-    left = x
-    for i in range(n):
-        block = listed.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i)
-        b = F.broadcast(block.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b_v"), F.col("bits").alias("b_h")))
-        near = (F.col("vec_id") == F.col("b_id")) | (F.bit_count(F.col("bits").bitwiseXOR(F.col("b_h"))) <= 4) | (F.round(vectors.cosine_distance(F.col("embedding"), F.col("b_v")), 10) < 0.5)
-        left = left.join(b, near, "left_anti")
-    return left.select("vec_id")
+    alike = ivf.all_pairs(listed, x, "vec_id", "embedding", 0.5 + 1e-10).select(F.col("query").alias("vec_id"))
+    left = x.join(listed.select("vec_id"), "vec_id", "left_anti").join(matching.hamming_near(x, listed, "bits", 4), "bits", "left_anti")
+    return left.join(alike, "vec_id", "left_anti").select("vec_id")
 
 
 @query(

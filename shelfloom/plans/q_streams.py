@@ -244,11 +244,11 @@ def task_routing(spark, d):
 
 @query("log_tail", "WITH l AS (SELECT event_id, event_type || ' ' || user_id AS line, row_number() OVER (ORDER BY event_id) AS line_number FROM events) SELECT line_number, line FROM l ORDER BY line_number DESC LIMIT 100")
 def log_tail(spark, d):
-    """The last hundred lines of a log that was written in order."""
+    """The last hundred lines of a log of several files that were written in order, with their numbers in all of it."""
     path = sinks.folder(spark, "log")
     lines = table(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("value"))
-    lines.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)  # one log is one file
-    return tables.log_tail(spark, path, 100).select("line_number", "line")
+    lines.repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)  # a file for each range, named in their order
+    return tables.log_tail(spark, path, 100, across=True).select("line_number", "line")
 
 
 #: Ending, head, and what becomes of such a file if its size is right: width, height, type by its head, status.

@@ -111,8 +111,8 @@ def typed_settings(found: dict[str, str], kinds: dict[str, str]) -> dict:
     return out
 
 
-def log_tail(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
-    """The last lines of a log: (file, line_number, line), oldest first. Files go by name; numbers are those of the lines in their file.
+def log_tail(spark: SparkSession, path: str, lines: int = 100, across: bool = False) -> DataFrame:
+    """The last lines of a log: (file, line_number, line), oldest first. Files go by name; numbers are those of the lines in their file, or in all files if ``across``.
 
     A file is read in splits. A line's place is its file, the byte at which its split
     starts, and its row there; each task keeps ``lines`` rows, and the rows of a split
@@ -120,7 +120,9 @@ def log_tail(spark: SparkSession, path: str, lines: int = 100) -> DataFrame:
     """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
     last = rows.orderBy(F.desc("file"), F.desc("split"), F.desc("row")).limit(lines)
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    # a row for each split: few, also where they are ordered as one list
+    order = Window.partitionBy(F.lit(1)).orderBy("file", "split") if across else Window.partitionBy("file").orderBy("split")
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     counts = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("row").alias("first")).withColumn("before", F.coalesce(before, F.lit(0)))
     numbered_lines = last.join(counts, ["file", "split"])
     return numbered_lines.select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line_number"), "line").orderBy("file", "line_number")
