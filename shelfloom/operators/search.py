@@ -35,11 +35,11 @@ def resolve_brands(products: DataFrame, table: DataFrame, name: str = "name", br
 
 
 def query_sequence(name: Column, brand: Column) -> Column:
-    """Queries in their order, each once, in lower case: brand and cleaned title, the title alone, the title with the word that fits its kind."""
+    """Queries in their order, each once, in lower case: brand and cleaned title, the title alone, the title with the word that fits its kind; none without a title."""
     title, own = F.lower(text.search_name(name)), F.lower(F.coalesce(brand, F.lit("")))
     bare = F.trim(F.regexp_replace(F.replace(title, F.when(own != "", own).otherwise(F.lit("\0"))), r"\s+", " "))
     sequence = F.array(F.trim(F.concat_ws(" ", own, bare)), bare, F.lower(text.fallback_query(name)))
-    return F.array_distinct(F.filter(sequence, lambda q: q != ""))
+    return F.when(title != "", F.array_distinct(F.filter(sequence, lambda q: q != ""))).otherwise(F.array().cast("array<string>"))
 
 
 def search(products: DataFrame, results: DataFrame, table: DataFrame, weights: dict[str, float] | None = None, most: int = catalog.MOST_CANDIDATES) -> DataFrame:

@@ -74,7 +74,7 @@ def delta_sync(path: str) -> Callable[[DataFrame, int], None]:
         else:
             known = spark.read.parquet(f"{path}/known/{number - 1}").select("user_id", F.col("event_id").alias("old_id"), F.col("hash").alias("old"))
         both = known.join(hashed, "user_id", "full_outer")
-        newer = F.coalesce(F.col("event_id") > F.coalesce("old_id", F.col("event_id") - 1), F.lit(False))
+        newer = F.coalesce(F.col("event_id") >= F.coalesce("old_id", "event_id"), F.lit(False))
         changed = both.filter(newer & ~F.col("hash").eqNullSafe(F.col("old")))
         changed.select("user_id", "event_id", "event_type", "value", "hash").write.mode("overwrite").parquet(f"{path}/rows/{number}")
         now = both.select("user_id", F.when(newer, F.col("event_id")).otherwise(F.col("old_id")).alias("event_id"), F.when(newer, F.col("hash")).otherwise(F.col("old")).alias("hash"))

@@ -84,7 +84,7 @@ def test_background_gates():
     image[0, :80] = 249
     assert [images.background_gate(n, image)[2] for n in ("perimeter", "original")] == [False, True]
     image[0, :80] = 100
-    assert not images.background_gate("original", image)[2] and images.background_gate("compliance", image)[0] == pytest.approx(1 - 80 / 1680)
+    assert not images.background_gate("original", image)[2] and images.background_gate("compliance", image)[0] == pytest.approx(1 - 81 / 1680)  # the corner is in a row and in a column
     assert not images.background_gate("strict", image[:20, :20])[2] and not images.background_gate("original", image[:300, :300])[2]
 
 
