@@ -14,7 +14,8 @@ Fitting takes a bounded sample of the labelled rows: at most ``most_rows``, thos
 the least hashes of their key. It runs in one task over arrays of term places:
 AdaGrad steps on batches, with a soft threshold on w and on each v as a whole, so
 that terms that say nothing are exactly zero and a long text is not the sum of its
-noise. Terms that few texts have get no v: there is too little to learn pairs from. What is fitted is at most ``space`` rows of 1 + ``factors`` numbers, so it can
+noise. Terms that few texts have get no v: there is too little to learn pairs from.
+The model is the mean over the last third of the epochs. What is fitted is at most ``space`` rows of 1 + ``factors`` numbers, so it can
 be sent to every worker. Scoring goes over every whole text.
 """
 
@@ -113,7 +114,8 @@ def fit_arrays(texts: list[np.ndarray], labels: np.ndarray, settings: Settings)
     weight = np.where(labels > 0, ((n - positive + 0.5) / (positive + 0.5)) ** s.balance, 1.0)
     bias = float(np.log((positive + 0.5) / (n - positive + 0.5))) * (1 - s.balance)
     sq_w, sq_v, sq_b = np.full(len(terms), 1e-6), np.full(len(terms), 1e-6), 1e-6
-    for _ in range(s.epochs if 0 < positive < n else 0):
+    kept, last = [], max(1, s.epochs // 3)
+    for epoch in range(s.epochs if 0 < positive < n else 0):
         order = random.permutation(n)
         for at in range(0, n, s.batch):
             take = order[at : at + s.batch]
@@ -138,6 +140,12 @@ def fit_arrays(texts: list[np.ndarray], labels: np.ndarray, settings: Settings)
             moved = v[seen] - step * g_v
             size = np.sqrt((moved**2).sum(1, keepdims=True))
             v[seen] = moved * np.maximum(1 - step * s.pair_threshold / np.maximum(size, 1e-12), 0) * often[seen][:, None]
+        if epoch == s.epochs - last:
+            kept = [bias, w.copy(), v.copy()]
+        elif epoch > s.epochs - last:
+            kept = [kept[0] + bias, kept[1] + w, kept[2] + v]
+    if kept:
+        bias, w, v = (x / last for x in kept)
     v[np.sqrt((v**2).sum(1)) < 1e-9] = 0
     return bias, terms, w, v
 
