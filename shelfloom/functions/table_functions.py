@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
@@ -55,3 +57,6 @@ def register(spark: SparkSession) -> None:
     from pyspark.sql.functions import udtf
 
     spark.udtf.register("sessionize", udtf(Sessionize))
+
+# Spark plans these in Python processes of the driver's that have no files of this package: classes go by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -22,11 +22,13 @@ from __future__ import annotations
 import fnmatch
 import json
 import os
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -191,3 +193,6 @@ def append(df: DataFrame, path: str) -> None:
 def offsets(text: str) -> dict[str, int]:
     """A stream's offset, as its checkpoint has it."""
     return {k: int(v) for k, v in json.loads(text).items()}
+
+# Spark plans these in Python processes of the driver's that have no files of this package: classes go by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

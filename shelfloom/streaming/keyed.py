@@ -13,13 +13,16 @@ dropped, as everywhere in Structured Streaming. The state store must be RocksDB
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from shelfloom.operators import stateful
 from shelfloom.operators.stateful import breaker_step
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -153,3 +156,7 @@ def blacklist(events: DataFrame, session: str, item, rejects, late: str, ttl: fl
     """(key, event_id, item, blocked) of ``Blacklist`` over a stream with event_id and ts; ``rejects`` is the condition of a rejection."""
     rows = events.withWatermark("ts", late).select(F.col(session).alias("key"), "event_id", "ts", item.cast("bigint").alias("item"), rejects.alias("rejects"), (F.unix_micros("ts") / 1e6).alias("at"))
     return rows.groupBy("key").transformWithStateInPandas(Blacklist(ttl), "key bigint, event_id bigint, item bigint, blocked boolean", "Append", "EventTime")
+
+# Spark plans these in Python processes of the driver's that have no files of this package: classes go by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(stateful)

@@ -128,3 +128,19 @@ def test_delta_sync_keeps_the_newer_event(spark, tmp_path):
     wrote = lambda n: sorted((r.user_id, r.event_id) for r in spark.read.parquet(f"{tmp_path}/rows/{n}").collect())
     assert [wrote(n) for n in range(3)] == [[(1, 10), (2, 5)], [(3, 1)], [(1, 11)]]
     assert sorted((r.user_id, r.event_id) for r in spark.read.parquet(f"{tmp_path}/known/2").collect()) == [(1, 11), (2, 6), (3, 1)]
+
+
+def test_classes_load_without_the_package(tmp_path):
+    """Spark plans sources, processors and table functions in processes that have none of this package's files."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from shelfloom.functions import table_functions
+    from shelfloom.streaming import keyed
+
+    made = [event_log.EventLog, keyed.Breaker(2, 1.0, None), keyed.Blacklist(1.0), table_functions.Sessionize]
+    (tmp_path / "p").write_bytes(cloudpickle.dumps(made))
+    code = "import pickle, sys; assert len(pickle.load(open('p', 'rb'))) == 4; assert not any(m.startswith('shelfloom') for m in sys.modules)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
