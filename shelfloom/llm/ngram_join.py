@@ -10,8 +10,12 @@
    sets share one. Nothing is missed, however frequent a shingle may be. A set that
    shares fewer than m + 1 ranges with all others together has no link: that takes
    out the documents that only share a passage.
-2. Documents with equal sets are one entry. Entries that share a signature form
-   ``families`` (connected components); all others have no link. A signature is one
+2. Documents with equal sets are one entry. Entries that may be linked form
+   ``families`` (connected components); all others have no link. Two entries may be
+   linked if they share enough signatures that few have, counted by pairs, or a
+   frequent one that isn't among the m most frequent ones of either (``_kept``): one
+   signature in common is not enough, or families would grow faster than the input
+   until most entries are in one. A signature is one
    of a band, the sizes that the larger set of a pair has, and so is a family: sets
    of other sizes aren't in it, and a pair is counted in the band of its larger set.
 3. ``t_occurrence`` (Python, one task for each block pair of a family): inverted
@@ -53,6 +57,8 @@ _MU = 0.0085
 _SEEN = 200_000
 #: Signatures that are taken for hot at most, the items that their sketch tracks in a task, and the rows from which one is hot.
 _HOT, _TRACKED, HOT_ROWS = 512, 4096, 10_000
+#: Rows of a signature up to which its pairs of sets are counted.
+_FEW = 8
 
 
 class Links:
@@ -255,31 +261,55 @@ def _hot(signed: DataFrame, least_rows: int) -> DataFrame:
 
 
 def _met(signed: DataFrame, hot_rows: int) -> DataFrame:
-    """(set_a, signature) of signatures that more than one set has.
+    """(set_a, signature, n) of signatures that more than one set has; ``n`` is the number of rows with one.
 
     Rows are shuffled once, to the others of their signature. Those of a hot signature
     aren't: its ends are aggregated where the rows are, and sent back to them.
     """
     rows, same = signed.select("set_a", F.explode("signatures").alias("signature")), Window.partitionBy("signature")
-    ends = (F.min("set_a").alias("low"), F.max("set_a").alias("high"))
+    ends = (F.min("set_a").alias("low"), F.max("set_a").alias("high"), F.count("*").alias("n"))
     hot = F.broadcast(_hot(signed, hot_rows))
-    shared = rows.join(hot, "signature", "left_semi").groupBy("signature").agg(*ends).filter("low < high").select("signature")
-    often = rows.join(F.broadcast(shared), "signature", "left_semi").select("set_a", "signature")  # as few as are hot
-    others = rows.join(hot, "signature", "left_anti").select("set_a", "signature", F.min("set_a").over(same).alias("low"), F.max("set_a").over(same).alias("high"))
-    return others.filter("low < high").select("set_a", "signature").union(often).distinct()
+    shared = rows.join(hot, "signature", "left_semi").groupBy("signature").agg(*ends).filter("low < high").select("signature", "n")
+    often = rows.join(F.broadcast(shared), "signature").select("set_a", "signature", "n")  # as few as are hot
+    others = rows.join(hot, "signature", "left_anti").select("set_a", "signature", F.min("set_a").over(same).alias("low"), F.max("set_a").over(same).alias("high"), F.count("*").over(same).alias("n"))
+    return others.filter("low < high").select("set_a", "signature", "n").union(often).distinct()
 
 
-def _stars(signed: DataFrame, hot_rows: int) -> DataFrame:
-    """Edges (u, v) from each set that shares enough signatures to the least set of each signature, as nodes of its band (``_node``)."""
+def _kept(shared: DataFrame, signed: DataFrame) -> DataFrame:
+    """(set_a, signature, few, least, inside): the shared signatures of sets that share enough of a band, by which they can meet.
+
+    Signatures of up to ``_FEW`` rows are counted by pairs: two linked sets have
+    ``need`` in common, so at least ``least`` of these, as the others are so many at
+    most, or only others. Others meet by stars, without the ``need - 1`` most frequent
+    ones of a set: all sets put them in the same order, and the first one that two
+    linked sets share has all that they share behind it, so both keep it. A set is
+    ``inside`` the band that its own size is in, as the larger one of a linked pair is.
+    """
+    band = F.col("signature").bitwiseAND(63).cast("int")
+    needs = signed.select("set_a", _band_of(F.col("n_shingles")).alias("own"), F.explode(F.arrays_zip("bands", "needs")).alias("x"))
+    needs = needs.select("set_a", F.col("x.bands").alias("band"), F.col("x.needs").alias("need"), (F.col("x.bands") == F.col("own")).alias("inside")).distinct()
+    own, few = Window.partitionBy("set_a", "band"), F.col("n") <= _FEW
+    ordered = shared.withColumn("band", band).join(needs, ["set_a", "band"]).withColumn("few", few).withColumns({
+        "place": F.row_number().over(own.orderBy(F.desc("n"), "signature")), "all": F.count("*").over(own), "others": F.count_if(~F.col("few")).over(own),
+    })
+    some = ordered.filter((F.col("all") >= F.col("need")) & (F.col("few") | (F.col("place") >= F.col("need"))))
+    return some.select("set_a", "signature", "few", F.greatest(F.col("need") - F.col("others"), F.lit(1)).cast("int").alias("least"), "inside")
+
+
+def _edges(signed: DataFrame, hot_rows: int) -> DataFrame:
+    """Edges (u, v) between sets that may be linked, as nodes of their band (``_node``): pairs that share enough rare signatures, and stars of frequent ones."""
     shared = scratch.table(_met(signed, hot_rows), "shared")
-    band = F.col("signature").bitwiseAND(63).cast("int").alias("band")
-    needs = signed.select("set_a", F.explode(F.arrays_zip("bands", "needs")).alias("x")).select("set_a", F.col("x.bands").alias("band"), F.col("x.needs").alias("need")).distinct()
-    enough = shared.groupBy("set_a", band).count().join(needs, ["set_a", "band"]).filter("count >= need").select("set_a", "band")
-    left = scratch.table(shared.select("set_a", "signature", band).join(enough, ["set_a", "band"], "left_semi").select("set_a", "signature"), "enough")
-    # a table of its own, so that the join shuffles both sides alone and can split a hot signature
-    least = scratch.table(left.groupBy("signature").agg(F.min("set_a").alias("v")), "least")
+    kept = scratch.table(_kept(shared, signed), "kept")
     own = F.col("signature").bitwiseAND(63)
-    return left.join(least, "signature").select(_node(F.col("set_a"), own).alias("u"), _node(F.col("v"), own).alias("v")).filter("u <> v").distinct()
+    rare = kept.filter("few").select("signature", "least", "inside", _node(F.col("set_a"), own).alias("node"))
+    x, y = rare.alias("x"), rare.alias("y")
+    pairs = x.join(y.hint("merge"), (F.col("x.signature") == F.col("y.signature")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.inside") | F.col("y.inside")))
+    pairs = pairs.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count("*").alias("n"), F.min(F.greatest("x.least", "y.least")).alias("least"))
+    often = kept.filter("not few").select("set_a", "signature", "inside")
+    # a table of its own, so that the join shuffles both sides alone and can split a hot signature
+    least = scratch.table(often.groupBy("signature").agg(F.min("set_a").alias("v"), F.max("inside").alias("some")).filter("some").select("signature", "v"), "least")
+    stars = often.join(least, "signature").select(_node(F.col("set_a"), own).alias("u"), _node(F.col("v"), own).alias("v")).filter("u <> v")
+    return pairs.filter("n >= least").select("u", "v").union(stars).distinct()
 
 
 def _node(set_a: Column, band: Column) -> Column:
@@ -309,7 +339,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, block_tokens
     sets = signed.select("doc_id", "n_shingles", "set_a", "set_b")
     entries = sets.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("entry"), F.countDistinct("doc_id").alias("copies"))
     entries = scratch.table(entries, "entries")
-    family = scratch.only(spark, lambda: components(_stars(signed, hot_rows)), "families")
+    family = scratch.only(spark, lambda: components(_edges(signed, hot_rows)), "families")
     # a family is named by its least node, whose low bits are its band; the sets of a node are found by the bands that a size may be in
     bands = F.sequence(_band_of(F.col("n_shingles")), _band_of(F.floor(F.col("n_shingles") * 100 / percent)))
     nodes = entries.withColumn("node", F.explode(F.transform(bands, lambda b: _node(F.col("set_a"), b))))

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from shelfloom.llm import ngram_join
+from shelfloom.llm import ngram_join, scratch
 from shelfloom.llm.components import components
 from tests.llm.helpers import documents, edited, words
 
@@ -144,3 +144,23 @@ def test_bound_on_differing_shingles(percent):
         most = max(most, rule.differ(both))
         if both % 2 == 0 and both >= 14:
             assert max(rule.differ(both), rule.differ(both - 1)) == most
+
+
+def test_a_common_passage_makes_no_family(spark, monkeypatch):
+    """Texts that share a passage and no more are searched by nobody, and pairs beside them are found; so families don't grow with the number of documents."""
+    r, tables = random.Random(3), {}
+    word = lambda: f"w{r.randrange(10**9)}"
+    passage = [word() for _ in range(30)]
+    texts = [[word() for _ in range(460)] for _ in range(60)]
+    texts = [t[:200] + passage + t[200:] for t in texts]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(texts[i][:480])) for i in range(3)]
+    write = scratch.table
+
+    def table(df, label):
+        tables[label] = write(df, label)
+        return tables[label]
+
+    monkeypatch.setattr(scratch, "table", table)
+    got = {x.doc_id: (x.component_id, x.n_links) for x in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"), size=5, percent=80).collect()}
+    assert got == {i: (i % 100 if i % 100 < 3 else i, int(i % 100 < 3)) for i, _ in rows}
+    assert {x.entry for x in tables["active"].select("entry").collect()} == {0, 1, 2, 100, 101, 102}
