@@ -33,6 +33,8 @@ from shelfloom.functions import vectors
 #: Rows, and queries, that meet in one task at most (about: blocks are by hash).
 MOST_ROWS = 20_000
 MOST_QUERIES = 2_000
+#: Similarities that a task holds at once.
+_HELD = 1_000_000
 #: Angles are compared with so much to spare, as they are of rounded numbers.
 _SPARE = 1e-5
 
@@ -176,14 +178,17 @@ def _hits(least: float, digits: int, with_itself: bool = False) -> Callable[[pa.
             ids, q = asked.column("query").to_numpy(), _unit(_matrix(asked.column("asked"), width))
             order = np.argsort(keys, kind="stable")  # the first of equals is the least key
             keys, points = keys[order], points[order]
-            for i, s in zip(ids, np.round(q @ points.T, digits), strict=True):
-                if not with_itself:
-                    s[keys == i] = -2.0
-                over = s >= least
-                if over.any():
-                    best = int(s.argmax())
-                    for name, value in zip(out, (int(i), int(keys[over.argmax()]), int(keys[best]), float(s[best])), strict=True):
-                        out[name].append(value)
+            step = max(1, _HELD // len(keys))
+            for at in range(0, len(ids), step):
+                near = q[at : at + step] @ points.T
+                for i, s in zip(ids[at : at + step], np.round(near, digits, out=near), strict=True):
+                    if not with_itself:
+                        s[keys == i] = -2.0
+                    over = s >= least
+                    if over.any():
+                        best = int(s.argmax())
+                        for name, value in zip(out, (int(i), int(keys[over.argmax()]), int(keys[best]), float(s[best])), strict=True):
+                            out[name].append(value)
         return pa.table({n: pa.array(v, pa.float64() if n == "similarity" else pa.int64()) for n, v in out.items()})
 
     return run
